@@ -8,12 +8,11 @@ first wrap and with ``}`` or ``,`` for the second, which no text does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from logspark.functions.text import trim_space
+from logspark.functions.sqltext import coalesce, literal, literals, trim_space, when
 
-_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_STRICT = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
 
 # Member names (lower case) and the column each one fills.
 MEMBER_ALIASES = {
@@ -30,71 +29,58 @@ MEMBER_ALIASES = {
 KNOWN_MEMBERS = tuple(name for names in MEMBER_ALIASES.values() for name in names)
 
 
-def with_members(frame: DataFrame, text: Column, wanted: Column, out: str) -> DataFrame:
-    """Add ``out``: the object's scalar members, or NULL when not an object.
+def with_members(frame: DataFrame, text: str, wanted: str, out: str) -> DataFrame:
+    """Add the scalar members of a text that is one JSON object.
 
-    ``out`` is array<struct<alias, key, value>> in reverse order, so the first
-    hit for a name is its last occurrence. Nested values and nulls are left out.
+    ``{out}_keys``, ``{out}_values`` and ``{out}_aliases`` (lower-case keys) run
+    from last to first, so the first hit for a name is its last occurrence.
+    They are NULL when the text is not an object. Nested values and nulls are
+    left out.
     """
-    listed, nested = f"{out}_listed", f"{out}_nested"
-    tried = wanted & F.startswith(trim_space(text), F.lit("{"))
-    frame = frame.withColumns(
-        {
-            listed: F.when(
-                tried,
-                F.from_json(
-                    F.concat(F.lit("["), text, F.lit("]")),
-                    "array<map<string,string>>",
-                    _STRICT,
-                ),
-            ),
-            nested: F.when(
-                tried,
-                F.from_json(
-                    F.concat(F.lit('{"k":'), text, F.lit("}")),
-                    "struct<k:map<string,variant>>",
-                    _STRICT,
-                ),
-            ),
-        }
+    tried = f"{wanted} AND contains({text}, '{{') AND startswith({trim_space(text)}, '{{')"
+    listed = f"from_json('[' || {text} || ']', 'array<map<string,string>>', {_STRICT})"
+    nested = f"from_json('{{\"k\":' || {text} || '}}', 'struct<k:map<string,variant>>', {_STRICT})"
+    frame = frame.selectExpr(
+        "*", f"{when(tried, listed)} AS {out}_listed", f"{when(tried, nested)} AS {out}_nested"
     )
-    whole = (F.size(listed) == 1) & F.col(listed)[0].isNotNull() & F.col(f"{nested}.k").isNotNull()
-    pairs = F.zip_with(
-        F.map_entries(F.col(listed)[0]), F.map_values(F.col(f"{nested}.k")), _member
+    whole = (
+        f"size({out}_listed) = 1 AND {out}_listed[0] IS NOT NULL AND {out}_nested.k IS NOT NULL"
     )
-    members = F.reverse(F.filter(pairs, lambda pair: pair["scalar"]))
-    return frame.withColumn(out, F.when(F.coalesce(whole, F.lit(False)), members)).drop(
-        listed, nested
+    bracketed = "(startswith(e.value, '{') OR startswith(e.value, '['))"
+    scalar = f"e.value IS NOT NULL AND (NOT {bracketed} OR schema_of_variant(v) = 'STRING')"
+    pairs = (
+        f"zip_with(map_entries({out}_listed[0]), map_values({out}_nested.k), (e, v) -> "
+        f"named_struct('key', e.key, 'value', e.value, 'scalar', {scalar}))"
     )
-
-
-def _member(entry: Column, typed: Column) -> Column:
-    value = entry["value"]
-    bracketed = F.startswith(value, F.lit("{")) | F.startswith(value, F.lit("["))
-    scalar = value.isNotNull() & (~bracketed | (F.schema_of_variant(typed) == "STRING"))
-    return F.struct(
-        F.lower(entry["key"]).alias("alias"),
-        entry["key"].alias("key"),
-        value.alias("value"),
-        scalar.alias("scalar"),
+    members = f"reverse(filter({pairs}, m -> m.scalar))"
+    frame = frame.selectExpr("*", f"{when(whole, members)} AS {out}").drop(
+        f"{out}_listed", f"{out}_nested"
     )
+    frame = frame.selectExpr("*", f"{out}.key AS {out}_keys", f"{out}.value AS {out}_values")
+    return frame.selectExpr("*", f"transform({out}_keys, k -> lower(k)) AS {out}_aliases").drop(out)
 
 
-def member_value(members: Column, alias: str) -> Column:
+def member_value(out: str, alias: str) -> str:
     """Value of the last member called ``alias``, or NULL."""
-    at = F.array_position(members["alias"], F.lit(alias)).cast("int")
-    return F.get(members["value"], at - 1)
+    return f"get({out}_values, int(array_position({out}_aliases, {literal(alias)})) - 1)"
+
+
+def exact_value(out: str, key: str) -> str:
+    """Value of the last member spelled exactly ``key``, or NULL."""
+    return f"get({out}_values, int(array_position({out}_keys, {literal(key)})) - 1)"
 
 
-def member(members: Column, target: str) -> Column:
+def member(out: str, target: str) -> str:
     """Value for a known column; with several aliases present the first
     listed one counts."""
-    return F.coalesce(*[member_value(members, alias) for alias in MEMBER_ALIASES[target]])
+    return coalesce(*[member_value(out, alias) for alias in MEMBER_ALIASES[target]])
 
 
-def other_members(members: Column) -> Column:
-    """Members that fill no known column, as (key, value) pairs."""
-    return F.transform(
-        F.filter(members, lambda pair: ~pair["alias"].isin(*KNOWN_MEMBERS)),
-        lambda pair: F.struct(pair["key"].alias("key"), pair["value"].alias("value")),
-    )
+def is_other(out: str) -> str:
+    """Per member: whether it fills no known column."""
+    return f"transform({out}_aliases, a -> a NOT IN ({literals(KNOWN_MEMBERS)}))"
+
+
+def pick_others(out: str, part: str) -> str:
+    """Keys or values of the members flagged in ``{out}_is_other``, first to last."""
+    return f"reverse(filter({out}_{part}, (x, i) -> {out}_is_other[i]))"

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from logspark.functions.sqltext import literal, literals, when
 
 # A word, '=', then a quoted text or a run without white space and commas.
 # The look-behind and the possessive loops keep long words and long quoted
@@ -25,73 +26,62 @@ KEY_ALIASES = {
 SERVICE_KEYS = ("service", "svc")
 
 
-def extract_pairs(message: Column) -> Column:
-    """array<struct<alias, key, value>> in order of appearance."""
-    found = F.regexp_extract_all(message, F.lit(PAIR), F.lit(0))
-
-    def pair(text: Column) -> Column:
-        key = F.substring_index(text, "=", 1)
-        value = F.btrim(F.substr(text, F.length(key) + 2), F.lit('"'))
-        return F.struct(
-            F.lower(key).alias("alias"), key.alias("key"), value.alias("value")
-        )
-
-    return F.when(F.contains(message, F.lit("=")), F.transform(found, pair))
+def with_pairs(frame: DataFrame, message: str, wanted: str) -> DataFrame:
+    """Add ``_keys`` and ``_values`` in order of appearance, and ``_aliases``
+    (lower-case keys) with ``_latest`` (values) from last to first."""
+    found = f"regexp_extract_all({message}, {literal(PAIR)}, 0)"
+    frame = frame.selectExpr(
+        "*", f"{when(f'{wanted} AND contains({message}, {literal(chr(61))})', found)} AS _found"
+    )
+    frame = frame.selectExpr(
+        "*",
+        "transform(_found, p -> substring_index(p, '=', 1)) AS _keys",
+        "transform(_found, p -> btrim(substr(p, instr(p, '=') + 1), '\"')) AS _values",
+    ).drop("_found")
+    return frame.selectExpr(
+        "*", "transform(reverse(_keys), k -> lower(k)) AS _aliases", "reverse(_values) AS _latest"
+    )
 
 
-def last_value(reversed_pairs: Column, target: str) -> Column:
+def last_value(target: str) -> str:
     """Value of the last pair that fills ``target``, or NULL."""
-    spots = [
-        F.nullif(F.array_position(reversed_pairs["alias"], F.lit(alias)), F.lit(0).cast("bigint"))
-        for alias in KEY_ALIASES[target]
-    ]
-    return F.get(reversed_pairs["value"], F.least(*spots).cast("int") - 1)
+    spots = ", ".join(
+        f"nullif(array_position(_aliases, {literal(alias)}), 0)" for alias in KEY_ALIASES[target]
+    )
+    return f"get(_latest, int(least({spots})) - 1)"
 
 
-def first_service(pairs: Column) -> Column:
+def first_service() -> str:
     """First non-empty service value, or NULL."""
-    named = F.filter(
-        pairs, lambda pair: pair["alias"].isin(*SERVICE_KEYS) & (pair["value"] != "")
+    named = (
+        f"filter(arrays_zip(_aliases, _latest), p -> p._aliases IN ({literals(SERVICE_KEYS)}) "
+        "AND p._latest != '')"
     )
-    return F.get(named, F.lit(0))["value"]
+    return f"try_element_at({named}, -1)._latest"
 
 
-def last_wins_map(pairs: Column) -> Column:
-    """(key, value) pairs -> map; of equal keys the last one stays.
+def last_wins_map(keys: str, values: str) -> str:
+    """Two arrays -> map; of equal keys the last one stays.
 
-    ``pairs`` must be a column of the frame, not a computed expression: it is
-    read more than once. Unique keys, the usual case, need no sort.
+    Both must be columns of the frame, not computed expressions: they are read
+    more than once. Unique keys, the usual case, need no sort.
     """
-    keys = pairs["key"]
-    numbered = F.transform(
-        pairs,
-        lambda pair, at: F.struct(
-            pair["key"].alias("key"), at.alias("at"), pair["value"].alias("value")
-        ),
+    ordered = (
+        f"array_sort(zip_with({keys}, transform({values}, (v, i) -> named_struct('at', i, 'value', v)), "
+        "(k, v) -> named_struct('key', k, 'at', v.at, 'value', v.value)))"
+    )
+    marked = (
+        "zip_with(o, slice(o, 2, size(o)), (p, next) -> named_struct("
+        "'key', p.key, 'value', p.value, 'last', next.key IS NULL OR next.key != p.key))"
+    )
+    kept = (
+        f"transform(filter({marked}, p -> p.last AND p.key IS NOT NULL), "
+        "p -> struct(p.key, p.value))"
+    )
+    # The one-element array binds the sorted list once for the lambda.
+    deduplicated = f"transform(array({ordered}), o -> map_from_entries({kept}))[0]"
+    return when(
+        f"size(array_distinct({keys})) = size({keys})",
+        f"map_from_arrays({keys}, {values})",
+        deduplicated,
     )
-    # One-element array: binds the sorted list once for the lambda.
-    deduplicated = F.transform(
-        F.array(F.array_sort(numbered)),
-        lambda ordered: F.map_from_entries(
-            F.transform(
-                F.filter(
-                    F.zip_with(
-                        ordered,
-                        F.slice(ordered, F.lit(2), F.size(ordered)),
-                        lambda this, following: F.struct(
-                            this["key"].alias("key"),
-                            this["value"].alias("value"),
-                            (following["key"].isNull() | (following["key"] != this["key"])).alias(
-                                "last"
-                            ),
-                        ),
-                    ),
-                    lambda pair: pair["last"] & pair["key"].isNotNull(),
-                ),
-                lambda pair: F.struct(pair["key"], pair["value"]),
-            )
-        ),
-    )[0]
-    return F.when(
-        F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, pairs["value"])
-    ).otherwise(deduplicated)

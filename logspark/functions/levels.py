@@ -1,11 +1,8 @@
-"""Log level normalisation."""
+"""Log level normalisation (SQL text in, SQL text out)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from logspark.functions.text import trim_space
+from logspark.functions.sqltext import literals, trim_space
 
 UNKNOWN = "UNKNOWN"
 
@@ -21,9 +18,12 @@ LEVEL_SPELLINGS = {
 }
 
 
-def normalize_level(text: Column) -> Column:
-    upper = F.upper(trim_space(text))
-    result = F
-    for level, spellings in LEVEL_SPELLINGS.items():
-        result = result.when(upper.isin(*spellings), F.lit(level))
-    return result.otherwise(F.lit(UNKNOWN))
+def normalize_level(text: str) -> str:
+    words = [
+        word
+        for level, spellings in LEVEL_SPELLINGS.items()
+        for spelling in spellings
+        for word in (spelling, level)
+    ]
+    found = f"try_element_at(map({literals(words)}), upper({trim_space(text)}))"
+    return f"coalesce({found}, '{UNKNOWN}')"

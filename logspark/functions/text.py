@@ -18,13 +18,6 @@ def trim_space(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
-def strip_ansi(text: Column) -> Column:
-    """Remove terminal colour sequences; lines without ESC skip the regex."""
-    return F.when(
-        F.contains(text, F.lit("\x1b")), F.regexp_replace(text, ANSI_COLOUR, "")
-    ).otherwise(text)
-
-
 def ellipsis(text: Column, width: int) -> Column:
     """Shorten to ``width`` characters, the last three being dots."""
     return F.when(

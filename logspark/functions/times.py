@@ -9,8 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from logspark.functions.sqltext import coalesce, literal, literals, when
 
 _CLOCK = r"\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?"
 
@@ -33,48 +32,37 @@ _SHAPES = {
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
-def _one_space(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " +", " ")).otherwise(text)
-
-
-def parse_time(text: Column, layout: str, ingest_ts: Column) -> Column:
-    """Text in ``layout`` -> TIMESTAMP, or NULL.
+def parse_time(text: str, layout: str, ingest_ts: str) -> str:
+    """Text in ``layout`` -> TIMESTAMP, or NULL (SQL text in, SQL text out).
 
     Clock times fall on the ingest day and syslog times in the ingest year.
     """
     if layout not in _SHAPES:
-        return F.try_to_timestamp(text, F.lit(layout))
-    shaped = text.rlike(_SHAPES[layout])
-    dotted = F.replace(text, F.lit(","), F.lit("."))
-    if layout in (ZONED, UNZONED):
-        return F.when(shaped, dotted.try_cast("timestamp"))
-    if layout == SPACED:
-        return F.when(shaped, _one_space(dotted).try_cast("timestamp"))
+        return f"try_to_timestamp({text}, {literal(layout)})"
+    dotted = f"replace({text}, ',', '.')"
+    if layout in (SPACED, SYSLOG):
+        dotted = f"regexp_replace({dotted}, ' +', ' ')"
     if layout == SYSLOG:
-        return F.when(shaped, _syslog_time(_one_space(dotted), ingest_ts))
-    day = F.date_format(ingest_ts, "yyyy-MM-dd ")
-    return F.when(shaped, F.concat(day, dotted).try_cast("timestamp"))
-
-
-def _syslog_time(text: Column, ingest_ts: Column) -> Column:
-    month = F.array_position(
-        F.array(*[F.lit(name) for name in _MONTHS]), F.lower(F.substring(text, 1, 3))
-    )
-    rest = F.concat(
-        F.lit("-"),
-        F.nullif(month, F.lit(0)).cast("string"),
-        F.lit("-"),
-        F.substr(text, F.lit(5)),
-    )
-    in_year = F.concat(F.date_format(ingest_ts, "yyyy"), rest).try_cast("timestamp")
+        value = _syslog_time(dotted, ingest_ts)
+    elif layout in (CLOCK, CLOCK_MILLIS):
+        value = f"try_cast(date_format({ingest_ts}, 'yyyy-MM-dd ') || {dotted} AS timestamp)"
+    else:
+        value = f"try_cast({dotted} AS timestamp)"
+    return when(f"{text} RLIKE {literal(_SHAPES[layout])}", value)
+
+
+def _syslog_time(text: str, ingest_ts: str) -> str:
+    month = f"array_position(array({literals(_MONTHS)}), lower(substr({text}, 1, 3)))"
+    rest = f"'-' || nullif({month}, 0) || '-' || substr({text}, 5)"
+    in_year = f"try_cast(date_format({ingest_ts}, 'yyyy') || {rest} AS timestamp)"
     # 29 February is a real date even when the ingest year lacks it.
-    in_leap_year = F.concat(F.lit("2000"), rest).try_cast("timestamp")
-    return F.coalesce(in_year, F.when(in_leap_year.isNotNull(), ingest_ts))
+    in_leap_year = f"try_cast('2000' || {rest} AS timestamp)"
+    return f"coalesce({in_year}, {when(in_leap_year + ' IS NOT NULL', ingest_ts)})"
 
 
-def parse_json_time(text: Column, ingest_ts: Column) -> Column:
+def parse_json_time(text: str, ingest_ts: str) -> str:
     """Layouts allowed inside JSON lines; numeric epochs are not."""
-    return F.coalesce(*[parse_time(text, name, ingest_ts) for name in (ZONED, SPACED, UNZONED)])
+    return coalesce(*[parse_time(text, name, ingest_ts) for name in (ZONED, SPACED, UNZONED)])
 
 
 # --- driver-side values -------------------------------------------------

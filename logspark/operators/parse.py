@@ -5,22 +5,21 @@ gives a level or a time. A pattern that matches without giving either still
 sets message and service, and the search goes on. Key=value pairs and a JSON
 object inside the message then fill the remaining columns.
 
-Each step is its own projection, so every regex and JSON parse is evaluated at
-most once per line, and only on lines that reach it. There is no shuffle and no
-Python in the plan.
+The patterns are one fold over each line; the other steps are projections of
+their own, so every regex and JSON parse is evaluated at most once per line and
+only on lines that reach it. There is no shuffle and no Python in the plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions import jsonline, keyvalue
 from logspark.functions.levels import UNKNOWN, normalize_level
-from logspark.functions.text import blank_to_null, null_to_blank, strip_ansi, trim_space
+from logspark.functions.sqltext import coalesce, literal, strip_ansi, trim_space, when
 from logspark.functions.times import parse_json_time, parse_time
 from logspark.operators.patterns import DEFAULTS, Pattern
 
@@ -64,212 +63,234 @@ def parse_lines(
     NULL. Other input columns are kept.
     """
     ingest = F.current_timestamp() if ingest_ts is None else ingest_ts.cast("timestamp")
-    kept = [name for name in lines.columns if name != value]
-    frame = lines.withColumns({"_line": strip_ansi(F.col(value)), "_ingest": ingest})
+    kept = [F.col(name) for name in lines.columns if name != value]
+    frame = lines.select(
+        *kept, F.expr(f"{strip_ansi(f'`{value}`')} AS _line"), ingest.alias("_ingest")
+    )
     frame = _read_json_line(frame)
     frame = _try_patterns(frame, patterns)
     frame = _read_pairs(frame)
     frame = _read_json_message(frame)
-    frame = _collect_fields(frame, patterns)
-    return frame.select(*kept, *[_output(name) for name in PARSED_COLUMNS])
+    frame = _collect_fields(frame)
+    return frame.select(*kept, *[F.expr(f"{_output(name)} AS {name}") for name in PARSED_COLUMNS])
+
+
+def _replace(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """One projection that adds or replaces ``columns``."""
+    same = [f"`{name}`" for name in frame.columns if name not in columns]
+    return frame.selectExpr(*same, *[f"{text} AS `{name}`" for name, text in columns.items()])
 
 
 def _read_json_line(frame: DataFrame) -> DataFrame:
-    line, members = F.col("_line"), F.col("_json")
-    frame = jsonline.with_members(frame, line, F.lit(True), "_json")
-    known = {
-        f"_json_{name}": jsonline.member(members, name)
+    """Add ``_j``: what a line that is one JSON object says, else NULL."""
+    frame = jsonline.with_members(frame, "_line", "true", "_json")
+    found = "_json_keys IS NOT NULL"
+    time_aliases = jsonline.MEMBER_ALIASES["ts"]
+    picks = [
+        f"'{name}', {jsonline.member('_json', name)}"
         for name in jsonline.MEMBER_ALIASES
-        if name not in ("ts", "level")
-    }
-    known["_json_level"] = normalize_level(null_to_blank(jsonline.member(members, "level")))
-    known["_json_ts"] = F.coalesce(
-        *[
-            parse_json_time(jsonline.member_value(members, alias), F.col("_ingest"))
-            for alias in jsonline.MEMBER_ALIASES["ts"]
-        ]
-    )
-    known["_json_other"] = jsonline.other_members(members)
-    frame = frame.withColumns(
-        {name: F.when(members.isNotNull(), column) for name, column in known.items()}
+        if name != "ts"
+    ]
+    picks += [
+        f"'time{at}', {jsonline.member_value('_json', alias)}"
+        for at, alias in enumerate(time_aliases)
+    ]
+    picks.append(f"'action', {_action_text('_json')}")
+    frame = _replace(
+        frame,
+        {
+            "_picked": when(found, f"named_struct({', '.join(picks)})"),
+            "_json_is_other": jsonline.is_other("_json"),
+        },
     )
+    read = [parse_json_time(f"_picked.time{at}", "_ingest") for at in range(len(time_aliases))]
+    texts = [
+        f"'{name}', nullif(_picked.{name}, '')"
+        for name in (*jsonline.MEMBER_ALIASES, "action")
+        if name not in ("ts", "level")
+    ]
+    parts = [
+        f"'level', {normalize_level("coalesce(_picked.level, '')")}",
+        f"'ts', {coalesce(*read)}",
+        *texts,
+        f"'keys', {jsonline.pick_others('_json', 'keys')}",
+        f"'values', {jsonline.pick_others('_json', 'values')}",
+    ]
+    frame = _replace(frame, {"_j": when(found, f"named_struct({', '.join(parts)})")})
     accepted = (
-        (F.col("_json_level") != UNKNOWN)
-        | F.col("_json_ts").isNotNull()
-        | (null_to_blank(F.col("_json_trace_id")) != "")
-        | (null_to_blank(F.col("_json_component")) != "")
-        | (F.size("_json_other") > 0)
+        f"_j.level != '{UNKNOWN}' OR _j.ts IS NOT NULL OR _j.trace_id IS NOT NULL"
+        " OR _j.component IS NOT NULL OR size(_j.keys) > 0"
     )
-    return frame.withColumn(
-        "_accepted", F.when(members.isNotNull(), F.coalesce(accepted, F.lit(False))).otherwise(False)
+    return frame.selectExpr(
+        "* EXCEPT (_json_keys, _json_values, _json_aliases, _json_is_other, _picked)",
+        f"coalesce({accepted}, false) AS _accepted",
     )
 
 
 def _try_patterns(frame: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
-    line = F.col("_line")
-    searching = ~F.col("_accepted")
-    for at, pattern in enumerate(patterns):
-        groups, found = f"_groups{at}", f"_found{at}"
-        frame = frame.withColumn(
-            groups, F.when(searching & line.rlike(pattern.line_regex), _capture(line, pattern))
-        )
-        captured = F.col(groups)
-        level = normalize_level(captured["level"]) if pattern.level_group else F.lit(UNKNOWN)
-        ts = (
-            parse_time(captured["time"], pattern.time_layout, F.col("_ingest"))
-            if pattern.time_group
-            else F.lit(None).cast("timestamp")
-        )
-        frame = frame.withColumn(
-            found, F.when(captured.isNotNull(), F.struct(level.alias("level"), ts.alias("ts")))
-        )
-        hit = F.col(found)
-        searching = searching & ~F.coalesce(
-            (hit["level"] != UNKNOWN) | hit["ts"].isNotNull(), F.lit(False)
-        )
-    steps = range(len(patterns))
-    latest_first = list(reversed(steps))
-    level = F.coalesce(*[F.nullif(F.col(f"_found{at}.level"), F.lit(UNKNOWN)) for at in steps])
-    json_message = F.coalesce(blank_to_null(F.col("_json_message")), line)
+    """Fold the patterns over each line, stopping at the first good match."""
+    nothing = "CAST(array() AS array<string>)"
+    start = ["'good', false", f"'level', '{UNKNOWN}'", "'ts', CAST(NULL AS timestamp)"]
+    start += ["'message', coalesce(_j.message, _line)"]
+    start += [f"'{target}', coalesce(_j.{target}, '')" for target in _FIELD_COLUMNS]
+    start += [f"'keys', {nothing}", f"'values', {nothing}"]
+    steps = " ".join(f"WHEN {at} THEN {_step(pattern)}" for at, pattern in enumerate(patterns))
+    folded = (
+        f"reduce(sequence(0, {len(patterns) - 1}), named_struct({', '.join(start)}), "
+        f"(s, i) -> CASE WHEN s.good THEN s ELSE CASE i {steps} END END)"
+    )
+    frame = _replace(frame, {"_mark": _mark()})
+    frame = _replace(frame, {"_p": when("NOT _accepted", folded)})
     columns = {
-        "_level": F.when(
-            F.col("_accepted"),
-            F.when(F.col("_json_level") == UNKNOWN, "INFO").otherwise(F.col("_json_level")),
-        ).otherwise(F.coalesce(level, F.lit(UNKNOWN))),
-        "_ts": F.when(F.col("_accepted"), F.col("_json_ts")).otherwise(
-            F.coalesce(*[F.col(f"_found{at}.ts") for at in steps])
-        ),
-        "_message": F.when(F.col("_accepted"), _json_text(json_message, line)).otherwise(
-            F.coalesce(
-                *[F.col(f"_groups{at}.message") for at in latest_first if patterns[at].message_group],
-                json_message,
-            )
+        "_level": when(
+            "_accepted",
+            f"CASE _j.level WHEN '{UNKNOWN}' THEN 'INFO' ELSE _j.level END",
+            "_p.level",
         ),
+        "_ts": when("_accepted", "_j.ts", "_p.ts"),
+        "_message": when("_accepted", _json_text("coalesce(_j.message, _line)"), "_p.message"),
     }
+    columns |= {
+        f"_{target}": when("_accepted", f"coalesce(_j.{target}, '')", f"_p.{target}")
+        for target in _FIELD_COLUMNS
+    }
+    return _replace(frame, columns)
+
+
+def _step(pattern: Pattern) -> str:
+    """State after one pattern: unchanged ``s`` unless the line matches.
+
+    One-element arrays bind the groups (``g``) and the level and time (``f``).
+    """
+
+    def group(index: int) -> str:
+        return f"g[{_captured_groups(pattern).index(index) + 1}]"
+
+    level = normalize_level(group(pattern.level_group)) if pattern.level_group else "s.level"
+    ts = "s.ts"
+    if pattern.time_group:
+        ts = parse_time(group(pattern.time_group), pattern.time_layout, "_ingest")
+    message = trim_space(group(pattern.message_group)) if pattern.message_group else "s.message"
+    state = [
+        f"'good', f.level != '{UNKNOWN}' OR f.ts IS NOT NULL",
+        "'level', f.level",
+        "'ts', f.ts",
+        f"'message', {message}",
+    ]
     for target, names in _FIELD_COLUMNS.items():
-        captured = [
-            blank_to_null(F.col(f"_groups{at}")[f"field_{name}"])
-            for at in latest_first
-            for name in reversed(list(patterns[at].fields))
-            if name in names
+        latest = [f"nullif({group(at)}, '')" for name, at in pattern.fields.items() if name in names]
+        state.append(f"'{target}', {coalesce(*reversed(latest), f's.{target}')}")
+    for part in ("keys", "values"):
+        extra = [
+            when(f"{group(at)} != ''", f"array({literal(name) if part == 'keys' else group(at)})",
+                 "CAST(array() AS array<string>)")
+            for name, at in pattern.fields.items()
         ]
-        columns[f"_{target}"] = F.coalesce(
-            *captured, blank_to_null(F.col(f"_json_{target}")), F.lit("")
-        )
-    return frame.withColumns(columns)
+        state.append(f"'{part}', " + (f"concat(s.{part}, {', '.join(extra)})" if extra else f"s.{part}"))
+    found = (
+        f"transform(array(named_struct('level', {level}, 'ts', {ts})), "
+        f"f -> named_struct({', '.join(state)}))[0]"
+    )
+    return f"transform(array({_capture(pattern)}), g -> {when('size(g) > 1', found, 's')})[0]"
 
 
-def _capture(line: Column, pattern: Pattern) -> Column:
-    """The groups of a matching line."""
+def _capture(pattern: Pattern) -> str:
+    """An array with the groups from index 1 on, or shorter without a match.
 
-    def group(index: int) -> Column:
-        return F.regexp_extract(line, pattern.line_regex, index)
+    One replacement marks every group, so the regex runs once per line however
+    many groups it has. ``_mark`` does not occur in the line.
+    """
+    groups = _captured_groups(pattern)
+    regex = literal(pattern.line_regex)
+    if pattern.anywhere:
+        texts = ", ".join(f"regexp_extract(_line, {regex}, {group})" for group in groups)
+        return when(f"_line RLIKE {regex}", f"array('', {texts})", "array('')")
+    marked = " || ".join(f"_mark || '${group}'" for group in groups)
+    return f"split(regexp_replace(_line, {regex}, {marked}), _mark, -1)"
 
-    parts = [F.lit(True).alias("matched")]
-    if pattern.time_group:
-        parts.append(group(pattern.time_group).alias("time"))
-    if pattern.level_group:
-        parts.append(group(pattern.level_group).alias("level"))
-    if pattern.message_group:
-        parts.append(trim_space(group(pattern.message_group)).alias("message"))
-    parts += [group(index).alias(f"field_{name}") for name, index in pattern.fields.items()]
-    return F.struct(*parts)
 
+def _captured_groups(pattern: Pattern) -> list[int]:
+    used = {pattern.time_group, pattern.level_group, pattern.message_group}
+    return sorted((used | set(pattern.fields.values())) - {0})
 
-def _json_text(message: Column, line: Column) -> Column:
-    """Message of an accepted JSON line; without one, built from its members."""
-    members = F.col("_json")
-    action = _action_text(members)
-    return F.when(message != line, message).otherwise(
-        F.coalesce(blank_to_null(action), F.lit(_FALLBACK_MESSAGE))
-    )
 
+def _mark() -> str:
+    """A text that does not occur in the line: a control character, or with
+    it a digest of the line when the line holds that character."""
+    return when("contains(_line, '\\u0001')", "'\\u0001' || sha2(_line, 256)", "'\\u0001'")
 
-def _action_text(members: Column) -> Column:
-    """``operation entity`` when both members are there, else NULL."""
-    keys = members["key"]
 
-    def exact(key: str) -> Column:
-        return F.get(members["value"], F.array_position(keys, F.lit(key)).cast("int") - 1)
+def _json_text(message: str) -> str:
+    """Message of an accepted JSON line; without one, built from its members."""
+    built = f"coalesce(_j.action, '{_FALLBACK_MESSAGE}')"
+    return when(f"{message} != _line", message, built)
 
-    return F.concat(exact("operation"), F.lit(" "), exact("entity"))
+
+def _action_text(members: str) -> str:
+    """``operation entity`` when both members are there, else NULL."""
+    operation = jsonline.exact_value(members, "operation")
+    entity = jsonline.exact_value(members, "entity")
+    return f"({operation} || ' ' || {entity})"
 
 
 def _read_pairs(frame: DataFrame) -> DataFrame:
-    frame = frame.withColumn(
-        "_pairs", F.when(~F.col("_accepted"), keyvalue.extract_pairs(F.col("_message")))
-    )
-    frame = frame.withColumn("_latest", F.reverse("_pairs"))
-    latest = F.col("_latest")
+    frame = keyvalue.with_pairs(frame, "_message", "NOT _accepted")
     columns = {
-        f"_{target}": F.when(
-            F.size("_pairs") > 0,
-            F.coalesce(keyvalue.last_value(latest, target), F.col(f"_{target}")),
-        ).otherwise(F.col(f"_{target}"))
+        f"_{target}": when(
+            "size(_keys) > 0",
+            coalesce(keyvalue.last_value(target), f"_{target}"),
+            f"_{target}",
+        )
         for target in keyvalue.KEY_ALIASES
     }
-    columns["_service"] = F.when(
-        (F.col("_service") == "") & (F.size("_pairs") > 0),
-        F.coalesce(keyvalue.first_service(F.col("_pairs")), F.lit("")),
-    ).otherwise(F.col("_service"))
-    return frame.withColumns(columns)
+    columns["_service"] = when(
+        "_service = '' AND size(_keys) > 0",
+        f"coalesce({keyvalue.first_service()}, '')",
+        "_service",
+    )
+    return _replace(frame, columns)
 
 
 def _read_json_message(frame: DataFrame) -> DataFrame:
-    message, members = F.col("_message"), F.col("_inner")
-    frame = jsonline.with_members(frame, message, ~F.col("_accepted"), "_inner")
+    frame = jsonline.with_members(frame, "_message", "NOT _accepted", "_inner")
     columns = {
-        f"_{target}": F.when(
-            members.isNotNull() & (F.col(f"_{target}") == ""),
-            null_to_blank(jsonline.member(members, target)),
-        ).otherwise(F.col(f"_{target}"))
+        f"_{target}": when(
+            f"_inner_keys IS NOT NULL AND _{target} = ''",
+            f"coalesce({jsonline.member('_inner', target)}, '')",
+            f"_{target}",
+        )
         for target in ("trace_id", "request_id", "user_id", "component")
     }
-    inner_text = blank_to_null(jsonline.member(members, "message"))
-    columns["_message"] = F.when(
-        members.isNotNull(),
-        F.when(inner_text != message, inner_text).otherwise(
-            F.coalesce(_action_text(members), message)
-        ),
-    ).otherwise(message)
-    columns["_inner_other"] = F.when(members.isNotNull(), jsonline.other_members(members))
-    return frame.withColumns(columns)
-
-
-def _collect_fields(frame: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
-    """All extra fields in rising priority; members come last-first."""
-    nothing = F.array().cast("array<struct<key:string,value:string>>")
-    named = [
-        F.when(
-            F.col(f"_groups{at}").isNotNull() & (F.col(f"_groups{at}")[f"field_{name}"] != ""),
-            F.array(
-                F.struct(F.lit(name).alias("key"), F.col(f"_groups{at}")[f"field_{name}"].alias("value"))
-            ),
-        )
-        for at, pattern in enumerate(patterns)
-        for name in pattern.fields
-    ]
-    pairs = F.transform(
-        "_pairs", lambda pair: F.struct(pair["key"].alias("key"), pair["value"].alias("value"))
+    inner_text = f"nullif({jsonline.member('_inner', 'message')}, '')"
+    columns["_message"] = when(
+        "_inner_keys IS NOT NULL",
+        f"coalesce(nullif({inner_text}, _message), {_action_text('_inner')}, _message)",
+        "_message",
     )
-    sources = [F.reverse("_inner_other"), *named, pairs]
-    searched = reduce(F.concat, [F.coalesce(source, nothing) for source in sources])
-    frame = frame.withColumn(
-        "_fields",
-        F.when(F.col("_accepted"), F.reverse("_json_other")).otherwise(searched),
+    columns["_inner_is_other"] = jsonline.is_other("_inner")
+    return _replace(frame, columns)
+
+
+def _collect_fields(frame: DataFrame) -> DataFrame:
+    """All extra fields in rising priority."""
+    nothing = "CAST(array() AS array<string>)"
+    columns = {}
+    for part in ("keys", "values"):
+        sources = [jsonline.pick_others("_inner", part), f"_p.{part}", f"_{part}"]
+        searched = f"concat({', '.join(coalesce(source, nothing) for source in sources)})"
+        columns[f"_field_{part}"] = when("_accepted", f"_j.{part}", searched)
+    frame = _replace(frame, columns)
+    return _replace(
+        frame, {"_fields_map": keyvalue.last_wins_map("_field_keys", "_field_values")}
     )
-    return frame.withColumn("_fields_map", keyvalue.last_wins_map(F.col("_fields")))
-
-
-def _output(name: str) -> Column:
-    if name == "ts":
-        return F.coalesce("_ts", "_ingest").alias(name)
-    if name == "timed":
-        return F.col("_ts").isNotNull().alias(name)
-    if name == "raw_line":
-        return F.col("_line").alias(name)
-    if name == "fields":
-        return F.col("_fields_map").alias(name)
-    if name in ("level", "message"):
-        return F.col(f"_{name}").alias(name)
-    return blank_to_null(F.col(f"_{name}")).alias(name)
+
+
+def _output(name: str) -> str:
+    return {
+        "ts": "coalesce(_ts, _ingest)",
+        "timed": "_ts IS NOT NULL",
+        "raw_line": "_line",
+        "fields": "_fields_map",
+        "level": "_level",
+        "message": "_message",
+    }.get(name, f"nullif(_{name}, '')")

@@ -14,6 +14,7 @@ from logspark.functions import times
 class Pattern:
     """A regular expression and the meaning of its groups (0 = not captured).
 
+    The expression covers the whole line unless ``anywhere`` is set.
     ``time_layout`` is a name from ``functions.times`` or a Spark datetime
     pattern. ``fields`` maps a field name to its group.
     """
@@ -25,11 +26,12 @@ class Pattern:
     level_group: int = 0
     message_group: int = 0
     fields: Mapping[str, int] = field(default_factory=dict)
+    anywhere: bool = False
 
     @property
     def line_regex(self) -> str:
         # (?d): only a line feed ends a line.
-        return "(?d)" + self.regex
+        return f"(?d){self.regex}" if self.anywhere else rf"(?d)\A(?:{self.regex})\z"
 
 
 _S = r"[\t\n\f\r ]"
@@ -40,8 +42,8 @@ _LEVELS = r"(TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|PANIC)"
 DEFAULTS = (
     Pattern(
         name="Structured KV with Timestamp",
-        regex=r"(?i)^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?)"
-        + rf"{_S}+\[{_LEVELS}\]{_S}+\[([^\]]+)\]{_S}+(.+)\z",
+        regex=r"(?i)(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?)"
+        + rf"{_S}+\[{_LEVELS}\]{_S}+\[([^\]]+)\]{_S}+(.+)",
         time_layout=times.ZONED,
         time_group=1,
         level_group=2,
@@ -50,8 +52,8 @@ DEFAULTS = (
     ),
     Pattern(
         name="Syslog",
-        regex=rf"^(\w{{3}}{_S}+\d{{1,2}}{_S}+\d{{2}}:\d{{2}}:\d{{2}}){_S}+{_NOT_S}+{_S}+"
-        + rf"({_NOT_S}+)(?:\[\d+\])?{_S}*:{_S}*(?:\[(\w+)\])?{_S}*(.+)\z",
+        regex=rf"(\w{{3}}{_S}+\d{{1,2}}{_S}+\d{{2}}:\d{{2}}:\d{{2}}){_S}+{_NOT_S}+{_S}+"
+        + rf"({_NOT_S}+)(?:\[\d+\])?{_S}*:{_S}*(?:\[(\w+)\])?{_S}*(.+)",
         time_layout=times.SYSLOG,
         time_group=1,
         level_group=3,
@@ -60,8 +62,8 @@ DEFAULTS = (
     ),
     Pattern(
         name="JSON Prefix",
-        regex=r'^\{"timestamp":"([^"]+)","level":"(\w+)"(?:,"service":"([^"]+)")?\}'
-        + rf"{_S}*(.*)\z",
+        regex=r'\{"timestamp":"([^"]+)","level":"(\w+)"(?:,"service":"([^"]+)")?\}'
+        + rf"{_S}*(.*)",
         time_layout=times.ZONED,
         time_group=1,
         level_group=2,
@@ -70,7 +72,7 @@ DEFAULTS = (
     ),
     Pattern(
         name="Simple Bracketed",
-        regex=rf"^\[([^\]]+)\]{_S}+\[(\w+)\]{_S}+(.+)\z",
+        regex=rf"\[([^\]]+)\]{_S}+\[(\w+)\]{_S}+(.+)",
         time_layout=times.SPACED,
         time_group=1,
         level_group=2,
@@ -78,8 +80,8 @@ DEFAULTS = (
     ),
     Pattern(
         name="Level First",
-        regex=rf"^(\w+){_S}+(\d{{4}}-\d{{2}}-\d{{2}}{_S}+\d{{2}}:\d{{2}}:\d{{2}})"
-        + rf"{_S}+({_NOT_S}+):{_S}+(.+)\z",
+        regex=rf"(\w+){_S}+(\d{{4}}-\d{{2}}-\d{{2}}{_S}+\d{{2}}:\d{{2}}:\d{{2}})"
+        + rf"{_S}+({_NOT_S}+):{_S}+(.+)",
         time_layout=times.SPACED,
         time_group=2,
         level_group=1,
@@ -90,10 +92,11 @@ DEFAULTS = (
         name="Generic Bracketed Level",
         regex=rf"(?i)\[{_LEVELS}\]",
         level_group=1,
+        anywhere=True,
     ),
     Pattern(
         name="Bracketed Time Level Service JSON",
-        regex=rf"^\[(\d{{2}}:\d{{2}}:\d{{2}}\.\d+)\]{_S}+(\w+){_S}+\(([^)]+)\):{_S}+(.+)\z",
+        regex=rf"\[(\d{{2}}:\d{{2}}:\d{{2}}\.\d+)\]{_S}+(\w+){_S}+\(([^)]+)\):{_S}+(.+)",
         time_layout=times.CLOCK_MILLIS,
         time_group=1,
         level_group=2,

@@ -108,6 +108,9 @@ GOLDENS = [
      ("INFO", T(2025, 11, 3, 20, 42, 47, 173000), "a", "put row", {},
       {"service": "a", "operation": "put", "entity": "row"})),
     ("", ("UNKNOWN", None, None, "", {}, {})),
+    # control characters inside the groups
+    ("[2025-10-21 00:58:21] [INFO] a\x01b", ("INFO", T(2025, 10, 21, 0, 58, 21), None, "a\x01b", {}, {})),
+    ("plain \x01 text", ("UNKNOWN", None, None, "plain \x01 text", {}, {})),
 ]
 
 
@@ -137,7 +140,7 @@ def test_levels(spark):
         "TRACE": "TRACE", "PANIC": "PANIC", "UNKNOWN_LEVEL": "UNKNOWN", " crit\t": "FATAL",
     }
     frame = spark.createDataFrame(list(pairs), "string").select(
-        "value", normalize_level(F.col("value")).alias("level")
+        "value", F.expr(normalize_level("value")).alias("level")
     )
     assert {row["value"]: row["level"] for row in frame.collect()} == pairs
 
@@ -145,7 +148,7 @@ def test_levels(spark):
 def test_custom_pattern_is_tried_last(spark):
     custom = Pattern(
         name="Pipes",
-        regex=r"^([^|]+)\|(\w+)\|(\w+)\|(.*)\z",
+        regex=r"([^|]+)\|(\w+)\|(\w+)\|(.*)",
         time_layout="dd/MM/yyyy HH:mm",
         time_group=1,
         level_group=2,
