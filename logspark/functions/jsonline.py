@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from logspark.functions.sqltext import coalesce, literal, literals, trim_space, when
+from logspark.functions.sqltext import coalesce, literal, literals, opaque, trim_space, when
 
 _STRICT = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
 
@@ -41,7 +41,9 @@ def with_members(frame: DataFrame, text: str, wanted: str, out: str) -> DataFram
     listed = f"from_json('[' || {text} || ']', 'array<map<string,string>>', {_STRICT})"
     nested = f"from_json('{{\"k\":' || {text} || '}}', 'struct<k:map<string,variant>>', {_STRICT})"
     frame = frame.selectExpr(
-        "*", f"{when(tried, listed)} AS {out}_listed", f"{when(tried, nested)} AS {out}_nested"
+        "*",
+        f"{opaque(when(tried, listed))} AS {out}_listed",
+        f"{opaque(when(tried, nested))} AS {out}_nested",
     )
     whole = (
         f"size({out}_listed) = 1 AND {out}_listed[0] IS NOT NULL AND {out}_nested.k IS NOT NULL"
@@ -53,11 +55,14 @@ def with_members(frame: DataFrame, text: str, wanted: str, out: str) -> DataFram
         f"named_struct('key', e.key, 'value', e.value, 'scalar', {scalar}))"
     )
     members = f"reverse(filter({pairs}, m -> m.scalar))"
-    frame = frame.selectExpr("*", f"{when(whole, members)} AS {out}").drop(
+    frame = frame.selectExpr("*", f"{opaque(when(whole, members))} AS {out}").drop(
         f"{out}_listed", f"{out}_nested"
     )
-    frame = frame.selectExpr("*", f"{out}.key AS {out}_keys", f"{out}.value AS {out}_values")
-    return frame.selectExpr("*", f"transform({out}_keys, k -> lower(k)) AS {out}_aliases").drop(out)
+    frame = frame.selectExpr(
+        "*", f"{opaque(out + '.key')} AS {out}_keys", f"{opaque(out + '.value')} AS {out}_values"
+    )
+    aliases = opaque(f"transform({out}_keys, k -> lower(k))")
+    return frame.selectExpr("*", f"{aliases} AS {out}_aliases").drop(out)
 
 
 def member_value(out: str, alias: str) -> str:

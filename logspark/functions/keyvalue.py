@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from logspark.functions.sqltext import literal, literals, when
+from logspark.functions.sqltext import literal, literals, opaque, when
 
 # A word, '=', then a quoted text or a run without white space and commas.
 # The look-behind and the possessive loops keep long words and long quoted
@@ -29,17 +29,20 @@ SERVICE_KEYS = ("service", "svc")
 def with_pairs(frame: DataFrame, message: str, wanted: str) -> DataFrame:
     """Add ``_keys`` and ``_values`` in order of appearance, and ``_aliases``
     (lower-case keys) with ``_latest`` (values) from last to first."""
-    found = f"regexp_extract_all({message}, {literal(PAIR)}, 0)"
-    frame = frame.selectExpr(
-        "*", f"{when(f'{wanted} AND contains({message}, {literal(chr(61))})', found)} AS _found"
-    )
+    tried = f"{wanted} AND contains({message}, '=')"
+    found = when(tried, f"regexp_extract_all({message}, {literal(PAIR)}, 0)")
+    frame = frame.selectExpr("*", f"{opaque(found)} AS _found")
+    keys = "transform(_found, p -> substring_index(p, '=', 1))"
+    values = "transform(_found, p -> btrim(substr(p, instr(p, '=') + 1), '\"'))"
     frame = frame.selectExpr(
         "*",
-        "transform(_found, p -> substring_index(p, '=', 1)) AS _keys",
-        "transform(_found, p -> btrim(substr(p, instr(p, '=') + 1), '\"')) AS _values",
+        f"{opaque(keys)} AS _keys",
+        f"{opaque(values)} AS _values",
     ).drop("_found")
     return frame.selectExpr(
-        "*", "transform(reverse(_keys), k -> lower(k)) AS _aliases", "reverse(_values) AS _latest"
+        "*",
+        f"{opaque('transform(reverse(_keys), k -> lower(k))')} AS _aliases",
+        f"{opaque('reverse(_values)')} AS _latest",
     )
 
 

@@ -27,6 +27,17 @@ def coalesce(*values: str) -> str:
     return values[0] if len(values) == 1 else f"coalesce({', '.join(values)})"
 
 
+def opaque(value: str) -> str:
+    """``value``, computed here and nowhere else.
+
+    Spark moves filters below a projection by repeating the projection's
+    expressions inside the filter. For the parser that would repeat its regexes
+    and JSON parses many times over; it does not happen to an expression that
+    holds the partition number.
+    """
+    return when("spark_partition_id() >= 0", value)
+
+
 def trim_space(text: str) -> str:
     return f"btrim({text}, {literal(SPACES)})"
 

@@ -36,14 +36,33 @@ def null_to_blank(text: Column) -> Column:
 def duration_text(seconds: Column) -> Column:
     """``12s`` below a minute, ``5m`` below an hour, else ``1.5h``.
 
-    Halves round to the even neighbour.
+    Rounds the binary value to the nearest digit, halves to the even one.
     """
+    minutes = F.floor(seconds / 60) + F.pmod(seconds, F.lit(60.0)) / 60.0
+    hours = F.floor(seconds / 3600) + F.pmod(seconds, F.lit(3600.0)) / 3600.0
+    # Twenty times the hours as a sum and its rounding error: odd sums lie half
+    # way between two tenths, and the error tells on which side.
+    double_tenths = hours * 16.0 + hours * 4.0
+    error = hours * 4.0 - (double_tenths - hours * 16.0)
+    halfway = (double_tenths == F.floor(double_tenths)) & (F.pmod(double_tenths, F.lit(2.0)) == 1.0)
+    tenths = (
+        F.when(halfway & (error > 0), (double_tenths + 1) / 2)
+        .when(halfway & (error < 0), (double_tenths - 1) / 2)
+        .otherwise(F.bround(double_tenths / 2, 0))
+        .cast("bigint")
+    )
     whole = lambda value: F.bround(value, 0).cast("bigint").cast("string")
-    tenths = F.bround(seconds / F.lit(3600.0), 1).cast("decimal(18,1)").cast("string")
     return (
         F.when(seconds < 60, F.concat(whole(seconds), F.lit("s")))
-        .when(seconds < 3600, F.concat(whole(seconds / F.lit(60.0)), F.lit("m")))
-        .otherwise(F.concat(tenths, F.lit("h")))
+        .when(seconds < 3600, F.concat(whole(minutes), F.lit("m")))
+        .otherwise(
+            F.concat(
+                F.floor(tenths / 10).cast("string"),
+                F.lit("."),
+                (tenths % 10).cast("string"),
+                F.lit("h"),
+            )
+        )
     )
 
 

@@ -119,9 +119,10 @@ def tail_json(rows: DataFrame) -> DataFrame:
     tags = F.col("tags")
     if rows.schema["tags"].dataType.typeName() != "array":
         tags = F.split(blank_to_null(tags), ",", -1)
+    fraction = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     members = [
         F.col("id"),
-        F.col("ts"),
+        F.concat(F.regexp_replace(fraction, r"\.?0+$", ""), F.lit("Z")).alias("ts"),
         F.col("source"),
         F.col("level"),
         F.col("message"),
@@ -131,5 +132,5 @@ def tail_json(rows: DataFrame) -> DataFrame:
         ],
         F.when(F.size(tags) > 0, tags).alias("tags"),
     ]
-    options = {"ignoreNullFields": "true", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"}
-    return rows.select(F.to_json(F.struct(*members), options).alias("value"))
+    as_json = F.to_json(F.struct(*members), {"ignoreNullFields": "true"})
+    return rows.select(as_json.alias("value"))

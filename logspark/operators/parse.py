@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions import jsonline, keyvalue
 from logspark.functions.levels import UNKNOWN, normalize_level
-from logspark.functions.sqltext import coalesce, literal, strip_ansi, trim_space, when
+from logspark.functions.sqltext import coalesce, literal, opaque, strip_ansi, trim_space, when
 from logspark.functions.times import parse_json_time, parse_time
 from logspark.operators.patterns import DEFAULTS, Pattern
 
@@ -60,7 +60,8 @@ def parse_lines(
 
     ``ingest_ts`` dates lines without a usable time (default: query time).
     ``timed`` tells whether the line carried its own time. Absent texts are
-    NULL. Other input columns are kept.
+    NULL. Other input columns are kept. Filter on those before parsing: a
+    filter on the result is not moved below the parser.
     """
     ingest = F.current_timestamp() if ingest_ts is None else ingest_ts.cast("timestamp")
     kept = [F.col(name) for name in lines.columns if name != value]
@@ -78,7 +79,8 @@ def parse_lines(
 def _replace(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
     """One projection that adds or replaces ``columns``."""
     same = [f"`{name}`" for name in frame.columns if name not in columns]
-    return frame.selectExpr(*same, *[f"{text} AS `{name}`" for name, text in columns.items()])
+    new = [f"{opaque(text)} AS `{name}`" for name, text in columns.items()]
+    return frame.selectExpr(*same, *new)
 
 
 def _read_json_line(frame: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def _read_json_line(frame: DataFrame) -> DataFrame:
     )
     return frame.selectExpr(
         "* EXCEPT (_json_keys, _json_values, _json_aliases, _json_is_other, _picked)",
-        f"coalesce({accepted}, false) AS _accepted",
+        f"{opaque(f'coalesce({accepted}, false)')} AS _accepted",
     )
 
 

@@ -18,6 +18,7 @@ from logspark.sources.lake import lake_rows
 # How long a key is remembered, and how often rows are flushed.
 DEDUP_DELAY = "1 minute"
 FLUSH_INTERVAL = "30 seconds"
+_SALTS = 32
 
 
 def pipe_rows(
@@ -40,26 +41,27 @@ def container_rows(
 
 
 def dedup_stream(rows: DataFrame, delay: str = DEDUP_DELAY) -> DataFrame:
-    """Timed rows without repeats; keys are forgotten after ``delay``.
+    """Rows without repeats that arrive within ``delay`` of the first one.
 
-    The state is partitioned by key, and equal rows in a batch are reduced
-    before the state is read. Rows later than the watermark would be dropped
-    here: send them through ``late_rows`` of the same input when none may be
-    lost.
+    The watermark runs on arrival time, which never goes back, so no row is
+    late and none is lost, whatever time it carries. Copies are removed per
+    salt first: a line repeated any number of times reaches the task that owns
+    its key at most once per salt. Rows without their own time are all kept.
     """
-    keyed = rows.where("timed").withColumn("dedup_key", dedup_key())
-    unique = keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["dedup_key"])
-    return unique.drop("dedup_key")
-
-
-def is_late(delay: str = DEDUP_DELAY) -> Column:
-    """Rows older than ``delay`` at arrival; only those can miss the watermark."""
-    return F.col("ts") < F.col("ingest_ts") - F.expr(f"INTERVAL {delay}")
-
-
-def undeduplicated(rows: DataFrame) -> DataFrame:
-    """Rows that bypass the state: without their own time."""
-    return rows.where(~F.col("timed"))
+    arrived = (
+        rows.where("timed")
+        .withColumns(
+            {
+                "_arrival": F.current_timestamp(),
+                "_key": dedup_key(),
+                "_salt": F.pmod(F.spark_partition_id(), F.lit(_SALTS)),
+            }
+        )
+        .withWatermark("_arrival", delay)
+    )
+    unique = arrived.dropDuplicatesWithinWatermark(["_key", "_salt"])
+    unique = unique.dropDuplicatesWithinWatermark(["_key"]).drop("_arrival", "_key", "_salt")
+    return unique.unionByName(rows.where(~F.col("timed")))
 
 
 def write_stream(
