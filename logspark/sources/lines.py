@@ -17,6 +17,17 @@ def clean_lines(lines: DataFrame, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     )
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """Lines on at least as many tasks as there are cores.
+
+    Parsing costs far more than moving a line, and one file without split
+    points (gzip, a single row group) would keep it on one core. Input that
+    already has enough partitions is returned as it is, without a shuffle.
+    """
+    wanted = lines.sparkSession.sparkContext.defaultParallelism
+    return lines if lines.rdd.getNumPartitions() >= wanted else lines.repartition(wanted)
+
+
 def read_lines(spark: SparkSession, path: str, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """Lines of text files; only a line feed ends a line."""
     return clean_lines(spark.read.option("lineSep", "\n").text(path), max_bytes)

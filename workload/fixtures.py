@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logspark.runtime import prepare
+from logspark.sources.lines import spread
 
 _LOGS = """
 SELECT concat('evt-', lpad(cast(event_id AS varchar(20)), 8, '0')) AS id,
@@ -131,12 +132,12 @@ def compaction_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
     """(id, value): every log row as a line of one format."""
     text = _SHAPES[shape].format(**_SPARK_TIMES)
-    return logs(spark, sf_dir).selectExpr("id", f"{text} AS value")
+    return spread(logs(spark, sf_dir)).selectExpr("id", f"{text} AS value")
 
 
 def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, value): every log row, the formats taking turns."""
-    return logs(spark, sf_dir).selectExpr("id", f"{mixed(_SPARK_TIMES)} AS value")
+    return spread(logs(spark, sf_dir)).selectExpr("id", f"{mixed(_SPARK_TIMES)} AS value")
 
 
 def mixed(times: dict[str, str]) -> str:

@@ -17,7 +17,7 @@ from logspark.plans import compaction, retention
 from logspark.schema import DISTINCT_COLUMNS
 from logspark.sources.inventory import file_inventory
 from logspark.sources.lake import lake_rows, read_lake, write_sorted
-from logspark.sources.lines import stream_lines, trim_lines
+from logspark.sources.lines import spread, stream_lines, trim_lines
 from logspark.streaming.counters import running_counters
 from logspark.streaming.ingest import dedup_stream, pipe_rows, write_stream
 from workload import fixtures
@@ -256,7 +256,7 @@ def parse_mixed(spark, sf_dir) -> DataFrame:
 
 def parse_documents(spark, sf_dir) -> DataFrame:
     """Every line of every document: prose, so mostly nothing to recognise."""
-    documents = fixtures.table(spark, sf_dir, "documents")
+    documents = spread(fixtures.table(spark, sf_dir, "documents"))
     lines = documents.select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "value")
     )
@@ -268,8 +268,8 @@ def parse_documents(spark, sf_dir) -> DataFrame:
 
 def parse_pages(spark, sf_dir) -> DataFrame:
     """Whole pages as one text each: markup attributes are key=value pairs."""
-    pages = fixtures.table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value"))
-    return _parse(pages).select("page_id", "level", fields_text().alias("fields"))
+    pages = spread(fixtures.table(spark, sf_dir, "pages"))
+    return _parse(pages.select("page_id", F.col("html").alias("value"))).select("page_id", "level", fields_text().alias("fields"))
 
 
 def entries_pipe(spark, sf_dir) -> DataFrame:
@@ -279,7 +279,7 @@ def entries_pipe(spark, sf_dir) -> DataFrame:
 
 
 def entries_containers(spark, sf_dir) -> DataFrame:
-    lines = fixtures.logs(spark, sf_dir).selectExpr(
+    lines = spread(fixtures.logs(spark, sf_dir)).selectExpr(
         "id",
         "stream AS container",
         "CASE WHEN level IN ('ERROR', 'FATAL') THEN 'stderr' ELSE 'stdout' END AS stream_type",
@@ -299,6 +299,7 @@ def _repeated(spark, sf_dir) -> DataFrame:
 
 def dedup_lines(spark, sf_dir) -> DataFrame:
     rows = entries.from_pipe(_parse(_repeated(spark, sf_dir)), "stdin")
+    rows = rows.select("id", "copy", "ts", "source", "message", "timed")
     kept = entries.dedup(rows, ("copy", "id"))
     return kept.select("id", "copy", "ts", "source", "message", entries.dedup_key().alias("dedup_key"))
 
