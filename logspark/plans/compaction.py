@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from logspark.runtime import cut_lineage
 from logspark.schema import PARTITION_COLUMNS
+from logspark.sources.inventory import file_inventory
 from logspark.sources.lake import file_system, path_exists, read_files, write_sorted
 
 STAGING = "_compaction"
@@ -91,11 +92,12 @@ def compaction_plan(
     )
 
 
-def compaction_totals(plan: DataFrame) -> DataFrame:
-    """One row: partitions to compact and files they merge."""
+def compaction_totals(plan: DataFrame, ran_at: Column) -> DataFrame:
+    """One row: partitions to compact, files they merge, and when."""
     return plan.where("needs_compaction").agg(
         F.count("*").alias("total_compactions"),
         F.coalesce(F.sum("merged_files"), F.lit(0)).alias("total_files_merged"),
+        F.max(ran_at).alias("last_compaction"),
     )
 
 
@@ -111,21 +113,22 @@ def rewrite_set(
     return files.join(chosen.select(*keys, "output_files"), list(keys))
 
 
-def merge_rows(rows: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Rows placed for the rewrite: each partition's rows go to its
-    ``output_files`` tasks, so a large hour is not one task's work.
+def merge_rows(rows: DataFrame, outputs: DataFrame, total: int) -> DataFrame:
+    """Rows placed for the rewrite, one task per output file.
 
-    ``outputs`` has the partition columns and output_files.
+    ``outputs`` has the partition columns, output_files and ``first``, the
+    number of the partition's first output file out of ``total``. A large hour
+    is spread over all its files.
     """
-    spread = F.pmod(F.xxhash64("ts", "id", "message"), F.col("output_files"))
-    placed = rows.join(outputs, list(PARTITION_COLUMNS)).withColumn("_part", spread)
-    return placed.repartition(*PARTITION_COLUMNS, "_part").drop("_part", "output_files")
+    part = F.pmod(F.xxhash64("ts", "id", "message"), F.col("output_files"))
+    placed = rows.join(outputs, list(PARTITION_COLUMNS))
+    number = (F.col("first") + part).cast("int")
+    return placed.repartitionById(total, number).drop("output_files", "first")
 
 
 def compact_lake(
     spark: SparkSession,
     root: str,
-    inventory: DataFrame,
     now: Column,
     policy: CompactionPolicy = CompactionPolicy(),
     files_per_job: int = FILES_PER_JOB,
@@ -141,23 +144,36 @@ def compact_lake(
     if path_exists(spark, f"{root}/_spark_metadata"):
         raise ValueError("a streaming sink owns this folder; compact a curated copy")
     finish_pending(spark, root)
-    files = cut_lineage(
-        rewrite_set(inventory, now, policy).select(*PARTITION_COLUMNS, "path", "output_files")
-    )
+    chosen = rewrite_set(file_inventory(spark, root), now, policy)
+    files = cut_lineage(chosen.select(*PARTITION_COLUMNS, "path", "output_files"))
     merged = 0
     for batch in _batches(files, files_per_job):
         run = f"{root}/{STAGING}/{uuid.uuid4().hex}"
         paths = [row["path"] for row in batch]
-        chosen = spark.createDataFrame(batch, files.schema)
-        outputs = chosen.select(*PARTITION_COLUMNS, "output_files").distinct()
+        outputs, total = _number_outputs(spark, batch, files)
+        spark.createDataFrame([(path,) for path in paths], "path string").write.parquet(
+            f"{run}/replaced"
+        )
         rows = read_files(spark, root, paths)
-        chosen.select("path").write.parquet(f"{run}/replaced")
-        write_sorted(merge_rows(rows, outputs), f"{run}/data")
+        write_sorted(merge_rows(rows, outputs, total), f"{run}/data")
         publish(spark, root, run)
         merged += len(paths)
     return merged
 
 
+def _number_outputs(
+    spark: SparkSession, batch: list[Row], files: DataFrame
+) -> tuple[DataFrame, int]:
+    counts = {tuple(row[name] for name in PARTITION_COLUMNS): row["output_files"] for row in batch}
+    numbered, total = [], 0
+    for place, count in counts.items():
+        numbered.append((*place, count, total))
+        total += count
+    kinds = [f"{name} {files.schema[name].dataType.simpleString()}" for name in PARTITION_COLUMNS]
+    schema = ", ".join([*kinds, "output_files bigint", "first bigint"])
+    return spark.createDataFrame(numbered, schema), total
+
+
 def _batches(files: DataFrame, size: int) -> Iterator[list[Row]]:
     """Whole partitions in batches of about ``size`` files."""
     batch: list[Row] = []

@@ -384,7 +384,8 @@ FROM (SELECT id, copy, {_SECOND} AS ts, source, message,
         ),
         "compaction_plan": f"{_COMPACTION} SELECT * FROM plan",
         "compaction_totals": f"""{_COMPACTION} SELECT count(*) AS total_compactions,
- coalesce(sum(merged_files), 0)::BIGINT AS total_files_merged FROM plan WHERE needs_compaction""",
+ coalesce(sum(merged_files), 0)::BIGINT AS total_files_merged, max({_LATEST}) AS last_compaction
+FROM plan WHERE needs_compaction""",
         "compaction_files": f"""{_COMPACTION} SELECT c.stream AS stream, c.dt AS dt, name, length, output_files
 FROM chosen c JOIN plan p ON c.stream = p.stream AND c.dt = p.dt WHERE needs_compaction AND in_rewrite""",
         "compaction_rewrite": _logs(

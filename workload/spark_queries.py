@@ -15,7 +15,6 @@ from logspark.operators import entries, filters, render, search, sessions, stats
 from logspark.operators.parse import parse_lines
 from logspark.plans import compaction, retention
 from logspark.schema import DISTINCT_COLUMNS
-from logspark.sources.inventory import file_inventory
 from logspark.sources.lake import lake_rows, read_lake, write_sorted
 from logspark.sources.lines import spread, stream_lines, trim_lines
 from logspark.streaming.counters import running_counters
@@ -356,7 +355,8 @@ def compaction_plan(spark, sf_dir) -> DataFrame:
 
 
 def compaction_totals(spark, sf_dir) -> DataFrame:
-    return compaction.compaction_totals(compaction_plan(spark, sf_dir))
+    ran_at = _now(fixtures.compaction_inventory(spark, sf_dir))
+    return compaction.compaction_totals(compaction_plan(spark, sf_dir), ran_at)
 
 
 def compaction_files(spark, sf_dir) -> DataFrame:
@@ -373,9 +373,8 @@ def compaction_rewrite(spark, sf_dir) -> DataFrame:
         "ts", F.expr("date_trunc('DAY', ts) + (ts - date_trunc('HOUR', ts))")
     )
     write_sorted(lake_rows(rows).repartition(6, "id"), root)
-    files = file_inventory(spark, root)
     now = F.current_timestamp() + F.expr("INTERVAL 3 HOURS")
-    compaction.compact_lake(spark, root, files, now)
+    compaction.compact_lake(spark, root, now)
     return _ntz(read_lake(spark, root).select("id", "ts", "level", "message", "dt", "hour"))
 
 
