@@ -8,6 +8,8 @@ first wrap and with ``}`` or ``,`` for the second, which no text does.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 
 from logspark.functions.sqltext import coalesce, literal, literals, opaque, trim_space, when
@@ -29,19 +31,23 @@ MEMBER_ALIASES = {
 KNOWN_MEMBERS = tuple(name for names in MEMBER_ALIASES.values() for name in names)
 
 
-def with_members(frame: DataFrame, text: str, wanted: str, out: str) -> DataFrame:
+def with_members(
+    frame: DataFrame, text: str, wanted: str, out: str, also: Mapping[str, str] | None = None
+) -> DataFrame:
     """Add the scalar members of a text that is one JSON object.
 
     ``{out}_keys``, ``{out}_values`` and ``{out}_aliases`` (lower-case keys) run
     from last to first, so the first hit for a name is its last occurrence.
     They are NULL when the text is not an object. Nested values and nulls are
-    left out.
+    left out. ``also`` replaces other columns in the first of the projections.
     """
     tried = f"{wanted} AND contains({text}, '{{') AND startswith({trim_space(text)}, '{{')"
     listed = f"from_json('[' || {text} || ']', 'array<map<string,string>>', {_STRICT})"
     nested = f"from_json('{{\"k\":' || {text} || '}}', 'struct<k:map<string,variant>>', {_STRICT})"
+    others = also or {}
     frame = frame.selectExpr(
-        "*",
+        *[f"`{name}`" for name in frame.columns if name not in others],
+        *[f"{opaque(value)} AS `{name}`" for name, value in others.items()],
         f"{opaque(when(tried, listed))} AS {out}_listed",
         f"{opaque(when(tried, nested))} AS {out}_nested",
     )
@@ -58,11 +64,13 @@ def with_members(frame: DataFrame, text: str, wanted: str, out: str) -> DataFram
     frame = frame.selectExpr("*", f"{opaque(when(whole, members))} AS {out}").drop(
         f"{out}_listed", f"{out}_nested"
     )
-    frame = frame.selectExpr(
-        "*", f"{opaque(out + '.key')} AS {out}_keys", f"{opaque(out + '.value')} AS {out}_values"
-    )
-    aliases = opaque(f"transform({out}_keys, k -> lower(k))")
-    return frame.selectExpr("*", f"{aliases} AS {out}_aliases").drop(out)
+    aliases = f"transform({out}.key, k -> lower(k))"
+    return frame.selectExpr(
+        "*",
+        f"{opaque(out + '.key')} AS {out}_keys",
+        f"{opaque(out + '.value')} AS {out}_values",
+        f"{opaque(aliases)} AS {out}_aliases",
+    ).drop(out)
 
 
 def member_value(out: str, alias: str) -> str:

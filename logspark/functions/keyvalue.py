@@ -27,23 +27,20 @@ SERVICE_KEYS = ("service", "svc")
 
 
 def with_pairs(frame: DataFrame, message: str, wanted: str) -> DataFrame:
-    """Add ``_keys`` and ``_values`` in order of appearance, and ``_aliases``
-    (lower-case keys) with ``_latest`` (values) from last to first."""
+    """Add ``_keys``, ``_aliases`` (lower-case keys) and ``_values``, all from
+    the last pair to the first."""
     tried = f"{wanted} AND contains({message}, '=')"
-    found = when(tried, f"regexp_extract_all({message}, {literal(PAIR)}, 0)")
+    found = when(tried, f"reverse(regexp_extract_all({message}, {literal(PAIR)}, 0))")
     frame = frame.selectExpr("*", f"{opaque(found)} AS _found")
     keys = "transform(_found, p -> substring_index(p, '=', 1))"
+    aliases = "transform(_found, p -> lower(substring_index(p, '=', 1)))"
     values = "transform(_found, p -> btrim(substr(p, instr(p, '=') + 1), '\"'))"
-    frame = frame.selectExpr(
+    return frame.selectExpr(
         "*",
         f"{opaque(keys)} AS _keys",
+        f"{opaque(aliases)} AS _aliases",
         f"{opaque(values)} AS _values",
     ).drop("_found")
-    return frame.selectExpr(
-        "*",
-        f"{opaque('transform(reverse(_keys), k -> lower(k))')} AS _aliases",
-        f"{opaque('reverse(_values)')} AS _latest",
-    )
 
 
 def last_value(target: str) -> str:
@@ -51,16 +48,16 @@ def last_value(target: str) -> str:
     spots = ", ".join(
         f"nullif(array_position(_aliases, {literal(alias)}), 0)" for alias in KEY_ALIASES[target]
     )
-    return f"get(_latest, int(least({spots})) - 1)"
+    return f"get(_values, int(least({spots})) - 1)"
 
 
 def first_service() -> str:
     """First non-empty service value, or NULL."""
     named = (
-        f"filter(arrays_zip(_aliases, _latest), p -> p._aliases IN ({literals(SERVICE_KEYS)}) "
-        "AND p._latest != '')"
+        f"filter(arrays_zip(_aliases, _values), p -> p._aliases IN ({literals(SERVICE_KEYS)}) "
+        "AND p._values != '')"
     )
-    return f"try_element_at({named}, -1)._latest"
+    return f"try_element_at({named}, -1)._values"
 
 
 def last_wins_map(keys: str, values: str) -> str:

@@ -126,6 +126,7 @@ def _read_json_line(frame: DataFrame) -> DataFrame:
     return frame.selectExpr(
         "* EXCEPT (_json_keys, _json_values, _json_aliases, _json_is_other, _picked)",
         f"{opaque(f'coalesce({accepted}, false)')} AS _accepted",
+        f"{opaque(_mark())} AS _mark",
     )
 
 
@@ -141,7 +142,6 @@ def _try_patterns(frame: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
         f"reduce(sequence(0, {len(patterns) - 1}), named_struct({', '.join(start)}), "
         f"(s, i) -> CASE WHEN s.good THEN s ELSE CASE i {steps} END END)"
     )
-    frame = _replace(frame, {"_mark": _mark()})
     frame = _replace(frame, {"_p": when("NOT _accepted", folded)})
     columns = {
         "_level": when(
@@ -156,7 +156,7 @@ def _try_patterns(frame: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
         f"_{target}": when("_accepted", f"coalesce(_j.{target}, '')", f"_p.{target}")
         for target in _FIELD_COLUMNS
     }
-    return _replace(frame, columns)
+    return _replace(frame, columns).drop("_mark")
 
 
 def _step(pattern: Pattern) -> str:
@@ -236,6 +236,7 @@ def _action_text(members: str) -> str:
 
 
 def _read_pairs(frame: DataFrame) -> DataFrame:
+    """Fill columns from pairs, and read a JSON object inside the message."""
     frame = keyvalue.with_pairs(frame, "_message", "NOT _accepted")
     columns = {
         f"_{target}": when(
@@ -250,11 +251,10 @@ def _read_pairs(frame: DataFrame) -> DataFrame:
         f"coalesce({keyvalue.first_service()}, '')",
         "_service",
     )
-    return _replace(frame, columns)
+    return jsonline.with_members(frame, "_message", "NOT _accepted", "_inner", also=columns)
 
 
 def _read_json_message(frame: DataFrame) -> DataFrame:
-    frame = jsonline.with_members(frame, "_message", "NOT _accepted", "_inner")
     columns = {
         f"_{target}": when(
             f"_inner_keys IS NOT NULL AND _{target} = ''",
@@ -278,7 +278,7 @@ def _collect_fields(frame: DataFrame) -> DataFrame:
     nothing = "CAST(array() AS array<string>)"
     columns = {}
     for part in ("keys", "values"):
-        sources = [jsonline.pick_others("_inner", part), f"_p.{part}", f"_{part}"]
+        sources = [jsonline.pick_others("_inner", part), f"_p.{part}", f"reverse(_{part})"]
         searched = f"concat({', '.join(coalesce(source, nothing) for source in sources)})"
         columns[f"_field_{part}"] = when("_accepted", f"_j.{part}", searched)
     frame = _replace(frame, columns)
