@@ -5,9 +5,10 @@ gives a level or a time. A pattern that matches without giving either still
 sets message and service, and the search goes on. Key=value pairs and a JSON
 object inside the message then fill the remaining columns.
 
-The patterns are one fold over each line; the other steps are projections of
-their own, so every regex and JSON parse is evaluated at most once per line and
-only on lines that reach it. There is no shuffle and no Python in the plan.
+The patterns are tested in order; from the first match on they are one fold over
+the line. The other steps are projections of their own, so every JSON parse is
+evaluated at most once per line and only on lines that reach it. There is no
+shuffle and no Python in the plan.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def parse_lines(
     frame = lines.select(
         *kept, F.expr(f"{strip_ansi(f'`{value}`')} AS _line"), ingest.alias("_ingest")
     )
-    frame = _read_json_line(frame)
+    frame = _read_json_line(frame, patterns)
     frame = _try_patterns(frame, patterns)
     frame = _read_pairs(frame)
     frame = _read_json_message(frame)
@@ -83,8 +84,10 @@ def _replace(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
     return frame.selectExpr(*same, *new)
 
 
-def _read_json_line(frame: DataFrame) -> DataFrame:
-    """Add ``_j``: what a line that is one JSON object says, else NULL."""
+def _read_json_line(frame: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
+    """Add ``_j``: what a line that is one JSON object says, else NULL; and
+    ``_first``: the first pattern that matches a line that JSON did not explain.
+    """
     frame = jsonline.with_members(frame, "_line", "true", "_json")
     found = "_json_keys IS NOT NULL"
     time_aliases = jsonline.MEMBER_ALIASES["ts"]
@@ -123,40 +126,48 @@ def _read_json_line(frame: DataFrame) -> DataFrame:
         f"_j.level != '{UNKNOWN}' OR _j.ts IS NOT NULL OR _j.trace_id IS NOT NULL"
         " OR _j.component IS NOT NULL OR size(_j.keys) > 0"
     )
+    accepted = f"coalesce({accepted}, false)"
+    matches = " ".join(
+        f"WHEN _line RLIKE {literal(pattern.line_regex)} THEN {at}"
+        for at, pattern in enumerate(patterns)
+    )
     return frame.selectExpr(
         "* EXCEPT (_json_keys, _json_values, _json_aliases, _json_is_other, _picked)",
-        f"{opaque(f'coalesce({accepted}, false)')} AS _accepted",
+        f"{opaque(accepted)} AS _accepted",
+        f"{opaque(f'CASE WHEN {accepted} THEN NULL {matches} END')} AS _first",
         f"{opaque(_mark())} AS _mark",
     )
 
 
 def _try_patterns(frame: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
-    """Fold the patterns over each line, stopping at the first good match."""
-    nothing = "CAST(array() AS array<string>)"
+    """Fold the patterns over each line from the first match on, stopping at
+    the first good one."""
     start = ["'good', false", f"'level', '{UNKNOWN}'", "'ts', CAST(NULL AS timestamp)"]
     start += ["'message', coalesce(_j.message, _line)"]
     start += [f"'{target}', coalesce(_j.{target}, '')" for target in _FIELD_COLUMNS]
-    start += [f"'keys', {nothing}", f"'values', {nothing}"]
+    start += [f"'{part}', CAST(array() AS array<string>)" for part in ("keys", "values")]
     steps = " ".join(f"WHEN {at} THEN {_step(pattern)}" for at, pattern in enumerate(patterns))
     folded = (
-        f"reduce(sequence(0, {len(patterns) - 1}), named_struct({', '.join(start)}), "
+        f"reduce(sequence(_first, {len(patterns) - 1}), named_struct({', '.join(start)}), "
         f"(s, i) -> CASE WHEN s.good THEN s ELSE CASE i {steps} END END)"
     )
-    frame = _replace(frame, {"_p": when("NOT _accepted", folded)})
+    frame = _replace(frame, {"_p": when("_first IS NOT NULL", folded)})
     columns = {
         "_level": when(
             "_accepted",
             f"CASE _j.level WHEN '{UNKNOWN}' THEN 'INFO' ELSE _j.level END",
-            "_p.level",
+            f"coalesce(_p.level, '{UNKNOWN}')",
         ),
         "_ts": when("_accepted", "_j.ts", "_p.ts"),
-        "_message": when("_accepted", _json_text("coalesce(_j.message, _line)"), "_p.message"),
-    }
-    columns |= {
-        f"_{target}": when("_accepted", f"coalesce(_j.{target}, '')", f"_p.{target}")
-        for target in _FIELD_COLUMNS
+        "_message": when(
+            "_accepted",
+            _json_text("coalesce(_j.message, _line)"),
+            "coalesce(_p.message, _j.message, _line)",
+        ),
     }
-    return _replace(frame, columns).drop("_mark")
+    # A match starts from what the JSON said, so its columns include it.
+    columns |= {f"_{target}": f"coalesce(_p.{target}, _j.{target}, '')" for target in _FIELD_COLUMNS}
+    return _replace(frame, columns).drop("_mark", "_first")
 
 
 def _step(pattern: Pattern) -> str:
