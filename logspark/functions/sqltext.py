@@ -38,6 +38,15 @@ def opaque(value: str) -> str:
     return when("spark_partition_id() >= 0", value)
 
 
+def own_stage(value: str) -> str:
+    """``value``, in a projection that Spark compiles on its own.
+
+    Fused into one method with its neighbours, a large projection outgrows what
+    the JVM is willing to optimise. A higher-order function keeps it apart.
+    """
+    return f"transform(array({value}), x -> x)[0]"
+
+
 def trim_space(text: str) -> str:
     return f"btrim({text}, {literal(SPACES)})"
 

@@ -20,7 +20,15 @@ from pyspark.sql import functions as F
 
 from logspark.functions import jsonline, keyvalue
 from logspark.functions.levels import UNKNOWN, normalize_level
-from logspark.functions.sqltext import coalesce, literal, opaque, strip_ansi, trim_space, when
+from logspark.functions.sqltext import (
+    coalesce,
+    literal,
+    opaque,
+    own_stage,
+    strip_ansi,
+    trim_space,
+    when,
+)
 from logspark.functions.times import parse_json_time, parse_time
 from logspark.operators.patterns import DEFAULTS, Pattern
 
@@ -140,34 +148,86 @@ def _read_json_line(frame: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
 
 
 def _try_patterns(frame: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
-    """Fold the patterns over each line from the first match on, stopping at
-    the first good one."""
-    start = ["'good', false", f"'level', '{UNKNOWN}'", "'ts', CAST(NULL AS timestamp)"]
-    start += ["'message', coalesce(_j.message, _line)"]
-    start += [f"'{target}', coalesce(_j.{target}, '')" for target in _FIELD_COLUMNS]
-    start += [f"'{part}', CAST(array() AS array<string>)" for part in ("keys", "values")]
+    """Read the first match; if it gives neither level nor time, which is rare,
+    fold the later patterns over the line until one does."""
+    captures = " ".join(f"WHEN {at} THEN {_capture(pattern)}" for at, pattern in enumerate(patterns))
+    frame = _replace(frame, {"_groups": when("_first IS NOT NULL", own_stage(f"CASE _first {captures} END"))})
+    frame = _replace(frame, _first_match(patterns))
+    last = len(patterns) - 1
+    state = [f"'good', false, 'level', '{UNKNOWN}', 'ts', CAST(NULL AS timestamp)"]
+    state += ["'message', _hit_message"]
+    state += [f"'{target}', coalesce(_hit_{target}, _j.{target}, '')" for target in _FIELD_COLUMNS]
+    state += [f"'{part}', _hit_{part}" for part in ("keys", "values")]
     steps = " ".join(f"WHEN {at} THEN {_step(pattern)}" for at, pattern in enumerate(patterns))
     folded = (
-        f"reduce(sequence(_first, {len(patterns) - 1}), named_struct({', '.join(start)}), "
+        f"reduce(sequence(_first + 1, {last}), named_struct({', '.join(state)}), "
         f"(s, i) -> CASE WHEN s.good THEN s ELSE CASE i {steps} END END)"
     )
-    frame = _replace(frame, {"_p": when("_first IS NOT NULL", folded)})
+    unread = f"_first < {last} AND _hit_level = '{UNKNOWN}' AND _hit_ts IS NULL"
+    frame = _replace(frame, {"_p": when(unread, folded)})
     columns = {
         "_level": when(
             "_accepted",
             f"CASE _j.level WHEN '{UNKNOWN}' THEN 'INFO' ELSE _j.level END",
-            f"coalesce(_p.level, '{UNKNOWN}')",
+            f"coalesce(_p.level, _hit_level, '{UNKNOWN}')",
         ),
-        "_ts": when("_accepted", "_j.ts", "_p.ts"),
+        "_ts": when("_accepted", "_j.ts", "coalesce(_p.ts, _hit_ts)"),
         "_message": when(
             "_accepted",
             _json_text("coalesce(_j.message, _line)"),
-            "coalesce(_p.message, _j.message, _line)",
+            "coalesce(_p.message, _hit_message, _j.message, _line)",
         ),
     }
-    # A match starts from what the JSON said, so its columns include it.
-    columns |= {f"_{target}": f"coalesce(_p.{target}, _j.{target}, '')" for target in _FIELD_COLUMNS}
-    return _replace(frame, columns).drop("_mark", "_first")
+    columns |= {
+        f"_{target}": f"coalesce(_p.{target}, _hit_{target}, _j.{target}, '')"
+        for target in _FIELD_COLUMNS
+    }
+    columns |= {f"_pattern_{part}": f"coalesce(_p.{part}, _hit_{part})" for part in ("keys", "values")}
+    used = [name for name in frame.columns if name.startswith("_hit_")]
+    return _replace(frame, columns).drop("_mark", "_first", "_groups", "_p", *used)
+
+
+def _first_match(patterns: Sequence[Pattern]) -> dict[str, str]:
+    """Columns read from ``_groups`` of the pattern ``_first``."""
+
+    def by_pattern(texts: dict[int, str]) -> str:
+        if not texts:
+            return "NULL"
+        return f"CASE _first {' '.join(f'WHEN {at} THEN {text}' for at, text in texts.items())} END"
+
+    layouts = dict.fromkeys(pattern.time_layout for pattern in patterns if pattern.time_group)
+    times = " ".join(
+        f"WHEN _first IN ({', '.join(str(at) for at, pattern in enumerate(patterns) if pattern.time_group and pattern.time_layout == layout)})"
+        f" THEN {parse_time('_groups[1]', layout, '_ingest')}"
+        for layout in layouts
+    )
+    with_message = [str(at) for at, pattern in enumerate(patterns) if pattern.message_group]
+    message = "coalesce(_j.message, _line)"
+    if with_message:
+        message = when(f"_first IN ({', '.join(with_message)})", trim_space("_groups[3]"), message)
+    columns = {
+        "_hit_level": when("_first IS NOT NULL", own_stage(normalize_level("_groups[2]"))),
+        "_hit_ts": f"CASE {times} END" if times else "CAST(NULL AS timestamp)",
+        "_hit_message": when("_first IS NOT NULL", message),
+    }
+    for target, names in _FIELD_COLUMNS.items():
+        found = {}
+        for at, pattern in enumerate(patterns):
+            latest = [f"nullif({text}, '')" for name, text in _fields(pattern, "_groups") if name in names]
+            if latest:
+                found[at] = coalesce(*reversed(latest))
+        columns[f"_hit_{target}"] = f"CAST({by_pattern(found)} AS string)"
+    for part in ("keys", "values"):
+        parts = {
+            at: _field_array(pattern, "_groups", part)
+            for at, pattern in enumerate(patterns)
+            if pattern.fields
+        }
+        nothing = "CAST(array() AS array<string>)"
+        columns[f"_hit_{part}"] = when(
+            "_first IS NOT NULL", f"coalesce({by_pattern(parts)}, {nothing})"
+        )
+    return columns
 
 
 def _step(pattern: Pattern) -> str:
@@ -175,31 +235,19 @@ def _step(pattern: Pattern) -> str:
 
     One-element arrays bind the groups (``g``) and the level and time (``f``).
     """
-
-    def group(index: int) -> str:
-        return f"g[{_captured_groups(pattern).index(index) + 1}]"
-
-    level = normalize_level(group(pattern.level_group)) if pattern.level_group else "s.level"
-    ts = "s.ts"
-    if pattern.time_group:
-        ts = parse_time(group(pattern.time_group), pattern.time_layout, "_ingest")
-    message = trim_space(group(pattern.message_group)) if pattern.message_group else "s.message"
+    level = normalize_level("g[2]") if pattern.level_group else "s.level"
+    ts = parse_time("g[1]", pattern.time_layout, "_ingest") if pattern.time_group else "s.ts"
     state = [
         f"'good', f.level != '{UNKNOWN}' OR f.ts IS NOT NULL",
         "'level', f.level",
         "'ts', f.ts",
-        f"'message', {message}",
+        f"'message', {trim_space('g[3]') if pattern.message_group else 's.message'}",
     ]
     for target, names in _FIELD_COLUMNS.items():
-        latest = [f"nullif({group(at)}, '')" for name, at in pattern.fields.items() if name in names]
+        latest = [f"nullif({text}, '')" for name, text in _fields(pattern, "g") if name in names]
         state.append(f"'{target}', {coalesce(*reversed(latest), f's.{target}')}")
     for part in ("keys", "values"):
-        extra = [
-            when(f"{group(at)} != ''", f"array({literal(name) if part == 'keys' else group(at)})",
-                 "CAST(array() AS array<string>)")
-            for name, at in pattern.fields.items()
-        ]
-        state.append(f"'{part}', " + (f"concat(s.{part}, {', '.join(extra)})" if extra else f"s.{part}"))
+        state.append(f"'{part}', concat(s.{part}, {_field_array(pattern, 'g', part)})")
     found = (
         f"transform(array(named_struct('level', {level}, 'ts', {ts})), "
         f"f -> named_struct({', '.join(state)}))[0]"
@@ -207,26 +255,39 @@ def _step(pattern: Pattern) -> str:
     return f"transform(array({_capture(pattern)}), g -> {when('size(g) > 1', found, 's')})[0]"
 
 
+def _fields(pattern: Pattern, groups: str) -> list[tuple[str, str]]:
+    """The pattern's field names with the expressions of their groups."""
+    return [(name, f"{groups}[{at}]") for at, name in enumerate(pattern.fields, start=4)]
+
+
+def _field_array(pattern: Pattern, groups: str, part: str) -> str:
+    """Keys or values of the fields a match fills."""
+    nothing = "CAST(array() AS array<string>)"
+    filled = [
+        when(f"{text} != ''", f"array({literal(name) if part == 'keys' else text})", nothing)
+        for name, text in _fields(pattern, groups)
+    ]
+    return f"concat({', '.join(filled)})" if filled else nothing
+
+
 def _capture(pattern: Pattern) -> str:
-    """An array with the groups from index 1 on, or shorter without a match.
+    """``['', time, level, message, fields...]``, or one text without a match.
 
-    One replacement marks every group, so the regex runs once per line however
-    many groups it has. ``_mark`` does not occur in the line.
+    One replacement marks every group, so the regex runs once however many
+    groups it has. ``_mark`` does not occur in the line.
     """
-    groups = _captured_groups(pattern)
+    groups = [pattern.time_group, pattern.level_group, pattern.message_group]
+    groups += pattern.fields.values()
     regex = literal(pattern.line_regex)
     if pattern.anywhere:
-        texts = ", ".join(f"regexp_extract(_line, {regex}, {group})" for group in groups)
+        texts = ", ".join(
+            f"regexp_extract(_line, {regex}, {group})" if group else "''" for group in groups
+        )
         return when(f"_line RLIKE {regex}", f"array('', {texts})", "array('')")
-    marked = " || ".join(f"_mark || '${group}'" for group in groups)
+    marked = " || ".join(f"_mark || '${group}'" if group else "_mark" for group in groups)
     return f"split(regexp_replace(_line, {regex}, {marked}), _mark, -1)"
 
 
-def _captured_groups(pattern: Pattern) -> list[int]:
-    used = {pattern.time_group, pattern.level_group, pattern.message_group}
-    return sorted((used | set(pattern.fields.values())) - {0})
-
-
 def _mark() -> str:
     """A text that does not occur in the line: a control character, or with
     it a digest of the line when the line holds that character."""
@@ -289,7 +350,7 @@ def _collect_fields(frame: DataFrame) -> DataFrame:
     nothing = "CAST(array() AS array<string>)"
     columns = {}
     for part in ("keys", "values"):
-        sources = [jsonline.pick_others("_inner", part), f"_p.{part}", f"reverse(_{part})"]
+        sources = [jsonline.pick_others("_inner", part), f"_pattern_{part}", f"reverse(_{part})"]
         searched = f"concat({', '.join(coalesce(source, nothing) for source in sources)})"
         columns[f"_field_{part}"] = when("_accepted", f"_j.{part}", searched)
     frame = _replace(frame, columns)
