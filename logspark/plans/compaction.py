@@ -145,12 +145,12 @@ def compact_lake(
         raise ValueError("a streaming sink owns this folder; compact a curated copy")
     finish_pending(spark, root)
     chosen = rewrite_set(file_inventory(spark, root), now, policy)
-    files = cut_lineage(chosen.select(*PARTITION_COLUMNS, "path", "output_files"))
+    files = cut_lineage(chosen.select(*PARTITION_COLUMNS, "path", "length"))
     merged = 0
     for batch in _batches(files, files_per_job):
         run = f"{root}/{STAGING}/{uuid.uuid4().hex}"
         paths = [row["path"] for row in batch]
-        outputs, total = _number_outputs(spark, batch, files)
+        outputs, total = _number_outputs(spark, batch, files, policy.max_file_bytes)
         spark.createDataFrame([(path,) for path in paths], "path string").write.parquet(
             f"{run}/replaced"
         )
@@ -162,11 +162,16 @@ def compact_lake(
 
 
 def _number_outputs(
-    spark: SparkSession, batch: list[Row], files: DataFrame
+    spark: SparkSession, batch: list[Row], files: DataFrame, max_bytes: int
 ) -> tuple[DataFrame, int]:
-    counts = {tuple(row[name] for name in PARTITION_COLUMNS): row["output_files"] for row in batch}
+    """Output files per partition of the batch, numbered through."""
+    sizes: dict[tuple, int] = {}
+    for row in batch:
+        place = tuple(row[name] for name in PARTITION_COLUMNS)
+        sizes[place] = sizes.get(place, 0) + row["length"]
     numbered, total = [], 0
-    for place, count in counts.items():
+    for place, size in sizes.items():
+        count = max(1, -(-size // max_bytes))
         numbered.append((*place, count, total))
         total += count
     kinds = [f"{name} {files.schema[name].dataType.simpleString()}" for name in PARTITION_COLUMNS]
@@ -175,16 +180,14 @@ def _number_outputs(
 
 
 def _batches(files: DataFrame, size: int) -> Iterator[list[Row]]:
-    """Whole partitions in batches of about ``size`` files."""
+    """At most ``size`` files at a time, those of a partition together where
+    they fit; a partition with more files takes several jobs."""
     batch: list[Row] = []
-    place = None
-    for row in files.orderBy(*PARTITION_COLUMNS).toLocalIterator():
-        here = tuple(row[name] for name in PARTITION_COLUMNS)
-        if here != place and len(batch) >= size:
+    for row in files.orderBy(*PARTITION_COLUMNS, "path").toLocalIterator():
+        batch.append(row)
+        if len(batch) == size:
             yield batch
             batch = []
-        batch.append(row)
-        place = here
     if batch:
         yield batch
 

@@ -112,7 +112,7 @@ def test_compaction_splits_large_partitions_and_batches(spark, small_files):
     before = contents(spark, small_files)
     policy = compaction.CompactionPolicy(max_file_bytes=8_000)
     now = F.current_timestamp() + F.expr(LATER)
-    assert compaction.compact_lake(spark, small_files, now, policy, files_per_job=1) == 14
+    assert compaction.compact_lake(spark, small_files, now, policy, files_per_job=4) == 14
     assert contents(spark, small_files) == before
     merged = inventory.file_inventory(spark, small_files).where(compaction.is_compacted(F.col("path")))
     assert merged.groupBy("hour").count().where("count > 1").count() == 2

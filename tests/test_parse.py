@@ -176,3 +176,19 @@ def test_plan_has_no_python_and_no_shuffle(spark):
     frame = spark.createDataFrame([("a",)], "value string")
     plan = parse_lines(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_filters_do_not_repeat_the_parser(spark):
+    frame = spark.createDataFrame([("a",)], "value string")
+    parsed = parse_lines(frame)
+    plain = parsed._jdf.queryExecution().executedPlan().toString()
+    chosen = parsed.where("level = 'ERROR' AND trace_id IS NOT NULL AND timed AND fields['a'] = '1'")
+    filtered = chosen._jdf.queryExecution().executedPlan().toString()
+    for name in ("from_json", "regexp_extract_all", "RLIKE"):
+        assert filtered.count(name) == plain.count(name)
+
+
+def test_pruned_columns_cost_nothing(spark):
+    frame = spark.createDataFrame([("a",)], "value string")
+    plan = parse_lines(frame).select("level", "ts")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "map_from_arrays" not in plan
