@@ -41,7 +41,12 @@ def with_members(
     They are NULL when the text is not an object. Nested values and nulls are
     left out. ``also`` replaces other columns in the first of the projections.
     """
-    tried = f"{wanted} AND contains({text}, '{{') AND startswith({trim_space(text)}, '{{')"
+    # Cheap tests first: a failed parse costs far more than a text check.
+    trimmed = trim_space(text)
+    tried = (
+        f"{wanted} AND contains({text}, '{{') AND startswith({trimmed}, '{{') "
+        f"AND endswith({trimmed}, '}}')"
+    )
     listed = f"from_json('[' || {text} || ']', 'array<map<string,string>>', {_STRICT})"
     nested = f"from_json('{{\"k\":' || {text} || '}}', 'struct<k:map<string,variant>>', {_STRICT})"
     others = also or {}
