@@ -8,8 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
 from tests.compare import connect, difference  # noqa: E402
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+from workload import oracle, spark_queries  # noqa: E402
+
+QUERIES = spark_queries.queries()
+ORACLES = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -26,5 +28,10 @@ def test_query(spark, sf_dir, duck, name):
     assert difference(QUERIES[name](spark, sf_dir), duck.sql(ORACLES[name])) == ""
 
 
+def test_registered():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
