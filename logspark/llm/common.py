@@ -15,6 +15,8 @@ from logspark.runtime import ensure_checkpoint_dir
 
 # Texts are handled in blocks of about this many bytes; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
+# The place of null keys.
+LOWEST = -(2**63)
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +72,12 @@ def text_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         first = last
 
 
+def small_batches(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about BLOCK_BYTES of one column each, so that what is made of them stays small."""
+    for first, _, offsets in text_blocks(batch.column(column)):
+        yield batch.slice(first, len(offsets) - 1)
+
+
 def slice_bounds(docs: DataFrame, key: str, count: int) -> list[int]:
     """At most ``count - 1`` rising values that cut a long column into parts of like row counts."""
     shares = [i / count for i in range(1, count)]
@@ -79,15 +87,45 @@ def slice_bounds(docs: DataFrame, key: str, count: int) -> list[int]:
     return sorted({int(x) for x in row["cuts"] or []})
 
 
+def place(values: np.ndarray, bounds: list[int]) -> np.ndarray:
+    """How many bounds are at or below each value."""
+    return np.searchsorted(np.array(bounds, np.int64), values, "right").astype(np.int32)
+
+
 def with_slice(docs: DataFrame, key: str, bounds: list[int]) -> DataFrame:
     """Add ``slice``: how many bounds are at or below the key; a null key belongs to slice 0."""
-    cuts = np.array(bounds, np.int64)
+
 
     @F.pandas_udf(T.IntegerType())
-    def place(values):
+    def placed(values):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(cuts, values.to_numpy(), "right").astype(np.int32))
+        return pd.Series(place(values.to_numpy(), bounds))
+
+    return docs.withColumn("slice", placed(F.coalesce(F.col(key), F.lit(LOWEST))))
+
+
+class Memory(dict):
+    """Results of a function for the keys met, in two generations of bounded size.
+
+    Look-ups of known keys run as plain dictionary access. ``age`` starts a new
+    generation when the present one is full; keys longer than ``longest`` are
+    never kept.
+    """
 
-    lowest = F.lit(-(2**63))
-    return docs.withColumn("slice", place(F.coalesce(F.col(key), lowest)))
+    def __init__(self, make, limit: int, longest: int):
+        super().__init__()
+        self.make, self.limit, self.longest, self.before = make, limit, longest, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            self[key] = value
+        return value
+
+    def age(self) -> None:
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            self.clear()

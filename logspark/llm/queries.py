@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logspark.llm.bytebpe import op3_byte_bpe
 from logspark.llm.fingerprint import op6_bottom_k
+from logspark.llm.packing import op1_bm25_packing
 from logspark.llm.quality import op7_quality
 from logspark.llm.rans import op2_rans
+from logspark.llm.sharding import op10_two_pass_shuffle
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_rans, op6_bottom_k, op7_quality)
+    found = (
+        op1_bm25_packing,
+        op2_rans,
+        op3_byte_bpe,
+        op6_bottom_k,
+        op7_quality,
+        op10_two_pass_shuffle,
+    )
     return {query.__name__: query for query in found}
 
 

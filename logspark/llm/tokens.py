@@ -10,20 +10,22 @@ from __future__ import annotations
 import functools
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import texts
+from logspark.llm.common import Memory, small_batches, texts
 
 END_ID = 1
 # A chunk of letters that composition leaves alone and case folds one by one, then
 # marks: two pieces to the tokenizer, the first of which its model takes as it is.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 # Entries in one generation of the memory, and the longest one worth keeping.
-KEPT_CHUNKS, KEPT_CHARS = 500_000, 40
+WIDE, NARROW = "<u4", "<u2"
+KEPT_CHUNKS, KEPT_CHARS = 250_000, 40
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,94 +38,92 @@ def _byte_letters() -> dict[int, str]:
     return {byte: chr(byte) for byte in shown} | {byte: chr(256 + at) for at, byte in enumerate(hidden)}
 
 
-class ChunkMemory(dict):
-    """chunk -> its ids as little-endian uint32 bytes."""
+class ChunkEncoder:
+    """Ids of texts as bytes: little-endian uint32, or uint16 for a small vocabulary."""
 
-    def __init__(self, tokenizer, limit: int = KEPT_CHUNKS):
-        super().__init__()
-        self.tokenizer, self.model, self.limit, self.before = tokenizer, tokenizer.model, limit, {}
-        self.letters = _byte_letters()
+    def __init__(self, tokenizer, kind: str = WIDE):
+        self.kind, self.code = kind, {WIDE: "I", NARROW: "H"}[kind]
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        self.memory = Memory(self._chunk, KEPT_CHUNKS, KEPT_CHARS)
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.before.get(chunk)
-        if ids is None:
-            ids = self._new(chunk)
-        if len(chunk) <= KEPT_CHARS:
-            self[chunk] = ids
-        return ids
-
-    def _new(self, chunk: str) -> bytes:
+    def _chunk(self, chunk: str) -> bytes:
         plain = _PLAIN.fullmatch(chunk)
         if plain is None:
             found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-            return np.array(found, "<u4").tobytes()
+            return np.array(found, self.kind).tobytes()
         word, marks = plain[1].lower(), plain[2]
         if marks:
-            return self[word] + self[marks]
+            return self.memory[word] + self.memory[marks]
         if word != chunk:
-            return self[word]
-        return self._model(word)
-
-    def _model(self, piece: str) -> bytes:
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [token.id for token in self.model.tokenize(piece)]).tobytes()
-
-    def age(self) -> None:
-        """Start a new generation once this one is full."""
-        if len(self) >= self.limit:
-            self.before = dict(self)
-            self.clear()
+            return self.memory[word]
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [token.id for token in self.model.tokenize(word)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         # Line feeds are white space to the tokenizer just as spaces are.
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        ids = b"".join(map(self.memory.__getitem__, text.replace("\n", " ").split(" ")))
+        self.memory.age()
+        return ids
 
 
-def _verified(tokenizer) -> ChunkMemory:
-    """The memory; it refuses a tokenizer whose pieces are not what it takes them for."""
-    memory = ChunkMemory(tokenizer)
+@functools.cache
+def encoder(definition: bytes, kind: str = WIDE) -> ChunkEncoder:
+    """The encoder of a tokenizer file; it refuses one that parts words in another way."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(definition.decode())
+    found = ChunkEncoder(tokenizer, kind)
     for chunk in ("word", "Word", "\u00c9t\u00e9", "Fin.", "a!?", "x,"):
-        whole = np.array(tokenizer.encode(f"b {chunk} c", add_special_tokens=False).ids, "<u4").tobytes()
-        if memory.encode(f"b {chunk} c") != whole:
+        text = f"b {chunk} c\n{chunk}"
+        whole = np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
+        if found.encode(text) != whole:
             raise ValueError("this tokenizer does not part words at white space and marks")
-    return memory
-
+    return found
 
-@functools.cache
-def _memory(definition: bytes) -> ChunkMemory:
-    from tokenizers import Tokenizer
 
-    return _verified(Tokenizer.from_str(definition.decode()))
+def id_kind(tokenizer_path: str) -> str:
+    """The narrowest integers that hold every id."""
+    return NARROW if vocabulary_size(tokenizer_path) <= 1 << 16 else WIDE
 
 
-def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids, n_tokens): the ids of each text and then ``end_id``, as little-endian uint32.
+def token_rows(
+    docs: DataFrame,
+    tokenizer_path: str,
+    end_id: int = END_ID,
+    kind: str = WIDE,
+    extra: tuple[str, pa.DataType, Callable] | None = None,
+) -> DataFrame:
+    """(doc_id, ids, n_tokens): the ids of each text and then ``end_id``, as integers of one kind.
 
     The driver reads the tokenizer file and sends its content along, so
-    executors need no copy. A null or empty text has the end id alone.
+    executors need no copy. A null or empty text has the end id alone. ``extra``
+    adds a column: its name, type, and a function of the doc_ids (an Arrow
+    array) and the ids (a list of bytes).
     """
     with open(tokenizer_path, "rb") as file:
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], kind).tobytes()
+    width = len(end)
 
     def run(batches):
-        memory = _memory(definition.value)
+        encode = encoder(definition.value, kind).encode
         for batch in batches:
-            ids = []
-            for text in batch.column("text"):
-                ids.append(memory.encode(text.as_py()) + end)
-                memory.age()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(ids, pa.binary()),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                ],
-                names=["doc_id", "ids", "n_tokens"],
-            )
-
-    return texts(docs).mapInArrow(run, "doc_id long, ids binary, n_tokens long")
+            for part in small_batches(batch):
+                ids = [encode(text.as_py()) + end for text in part.column("text")]
+                columns = {
+                    "doc_id": part.column("doc_id"),
+                    "ids": pa.array(ids, pa.binary()),
+                    "n_tokens": pa.array([len(x) // width for x in ids], pa.int64()),
+                }
+                if extra is not None:
+                    columns[extra[0]] = pa.array(extra[2](part.column("doc_id"), ids), extra[1])
+                yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "doc_id long, ids binary, n_tokens long"
+    if extra is not None:
+        schema += f", {extra[0]} {'int' if extra[1] == pa.int32() else 'long'}"
+    return texts(docs).mapInArrow(run, schema)
 
 
 def vocabulary_size(tokenizer_path: str) -> int:
@@ -132,20 +132,14 @@ def vocabulary_size(tokenizer_path: str) -> int:
     return Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
 
 
-def token_counts(tokens: DataFrame, size: int, per_document: bool = False) -> DataFrame:
-    """(token, n): how often each id occurs, or in how many documents."""
+def document_counts(tokens: DataFrame, size: int, kind: str) -> DataFrame:
+    """(token, n): in how many documents each id occurs; one row for each id and task before the sum."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
-                found = np.frombuffer(ids.as_buffer(), "<u4")
-                if per_document:
-                    total[np.unique(found)] += 1
-                else:
-                    total += np.bincount(found, minlength=size) if len(found) > size // 8 else 0
-                    if len(found) <= size // 8:
-                        np.add.at(total, found, 1)
+                total[np.unique(np.frombuffer(ids.as_buffer(), kind))] += 1
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["token", "n"])
 
