@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.llm.common import partitions, read_documents, slice_bounds, texts, text_blocks, with_slice
-from logspark.llm.hashing import Spans, Words, lower_ascii, windows
+from logspark.llm.hashing import shingle_sets
 
 SHINGLE_WORDS = 5
 SKETCH_SIZE = 128
@@ -32,16 +32,7 @@ def sketches(column: pa.Array, width: int = SHINGLE_WORDS, size: int = SKETCH_SI
     """The sketch of each text: rising distinct uint64 values, at most ``size``."""
     out = []
     for _, raw, offsets in text_blocks(column):
-        raw = lower_ascii(raw)
-        words = Words(raw, offsets)
-        values, owners, _ = windows(words.hashes(Spans(raw)), words, width)
-        # Low hashes first: then only texts with many shingles need a cut.
-        order = np.lexsort((values, owners))
-        values, owners = values[order], owners[order]
-        new = np.ones(len(values), bool)
-        new[1:] = (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])
-        values, owners = values[new], owners[new]
-        places = np.searchsorted(owners, np.arange(len(offsets)))
+        values, places = shingle_sets(raw, offsets, width)
         out += [values[a : min(b, a + size)] for a, b in zip(places[:-1], places[1:])]
     return out
 

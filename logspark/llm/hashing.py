@@ -130,3 +130,16 @@ def windows(hashes: np.ndarray, words: Words, width: int, whole: bool = True):
             texts = np.concatenate([texts, short])
             places = np.concatenate([places, words.first[short]])
     return values, texts, places
+
+
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int):
+    """The distinct shingles of each text of a block: hashes rising within a text, and where texts begin."""
+    raw = lower_ascii(raw)
+    words = Words(raw, offsets)
+    values, owners, _ = windows(words.hashes(Spans(raw)), words, width)
+    order = np.lexsort((values, owners))
+    values, owners = values[order], owners[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])
+    values, owners = values[new], owners[new]
+    return values, np.searchsorted(owners, np.arange(len(offsets)))
