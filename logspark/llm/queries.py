@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logspark.llm.bytebpe import op3_byte_bpe
 from logspark.llm.fingerprint import op6_bottom_k
+from logspark.llm.ngram_join import op5_count_rtree
 from logspark.llm.packing import op1_bm25_packing
 from logspark.llm.quality import op7_quality
 from logspark.llm.rans import op2_rans
+from logspark.llm.sentences import op8_sentence_spans
 from logspark.llm.sharding import op10_two_pass_shuffle
 
 
@@ -19,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_bm25_packing,
         op2_rans,
         op3_byte_bpe,
+        op5_count_rtree,
         op6_bottom_k,
         op7_quality,
+        op8_sentence_spans,
         op10_two_pass_shuffle,
     )
     return {query.__name__: query for query in found}
