@@ -14,6 +14,8 @@ from logspark.llm.quality import op7_quality
 from logspark.llm.rans import op2_rans
 from logspark.llm.sentences import op8_sentence_spans
 from logspark.llm.sharding import op10_two_pass_shuffle
+from logspark.llm.suffixes import op9_prefix_doubling
+from logspark.llm.urls import op4_markov_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +23,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_bm25_packing,
         op2_rans,
         op3_byte_bpe,
+        op4_markov_urls,
         op5_count_rtree,
         op6_bottom_k,
         op7_quality,
         op8_sentence_spans,
+        op9_prefix_doubling,
         op10_two_pass_shuffle,
     )
     return {query.__name__: query for query in found}
