@@ -26,10 +26,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm.common import Memory, read_documents, texts
+from logspark.llm.common import Memory, read_documents, small_batches, texts
 
 # Pieces and chunks in one generation of a worker's memory; long ones are not kept.
-KEPT, KEPT_CHARS = 400_000, 40
+KEPT_PIECES, KEPT_CHUNKS, KEPT_CHARS = 200_000, 100_000, 40
+# Pairs of tokens whose compatibility is kept.
+KEPT_PAIRS = 500_000
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -68,13 +70,15 @@ class ByteEncoder:
                 self.by_text[token.decode("latin-1")] = rank
             if parts:
                 self.splits[rank] = parts
-        self.reach = automaton.longest_prefix
+        automaton.make_automaton()
+        self.reach, self.matched = automaton.longest_prefix, automaton.iter_long
         self.most = max(map(len, self.by_text))
         self.lengths = {rank: len(token) for rank, token in self.tokens.items()}
-        self.prefixes: dict[int, int | None] = {}
+        self.prefixes = {rank: self._prefix(rank) for rank in self.by_text.values()}
+        self.cuts = Memory(self._cut, KEPT_PIECES, KEPT_CHARS)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces = Memory(self._piece, KEPT, KEPT_CHARS)
-        self.chunks = Memory(self._chunk, KEPT, KEPT_CHARS)
+        self.pieces = Memory(self._piece, KEPT_PIECES, KEPT_CHARS)
+        self.chunks = Memory(self._chunk, KEPT_CHUNKS, KEPT_CHARS)
 
     def _cut(self, text: str) -> int | None:
         """The token that is the longest prefix of a text."""
@@ -85,11 +89,9 @@ class ByteEncoder:
                 return rank
         return None
 
-    def _prefix(self, rank: int) -> int | None:
+    def _prefix(self, token: int) -> int | None:
         """The longest token that is a proper prefix of this one."""
-        if rank not in self.prefixes:
-            self.prefixes[rank] = self._cut(self.tokens[rank][:-1].decode("latin-1"))
-        return self.prefixes[rank]
+        return self._cut(self.tokens[token][:-1].decode("latin-1"))
 
     def _fit(self, left: int, right: int) -> bool:
         """Whether merging by rank keeps the border between the two tokens.
@@ -111,7 +113,7 @@ class ByteEncoder:
                 bound, two = two + 1, second[0]
             else:
                 break
-        if len(self.fits) > 4 * KEPT:
+        if len(self.fits) > KEPT_PAIRS:
             self.fits.clear()
         self.fits[left, right] = fits
         return fits
@@ -122,9 +124,19 @@ class ByteEncoder:
         if whole is not None:
             return array("I", [whole]).tobytes()
         text, most, lengths, known = raw.decode("latin-1"), self.most, self.lengths, self.fits
-        out: list[int] = []
-        live = bytearray(b"\1") * (len(raw) + 1)
-        at, token = 0, self._cut(text[:most])
+        # Longest matches, one after the other; often they fit each other as they are.
+        found = [rank for _, rank in self.matched(text)]
+        out = found[:1]
+        for token in found[1:]:
+            fits = known.get((out[-1], token))
+            if not (self._fit(out[-1], token) if fits is None else fits):
+                break
+            out.append(token)
+        else:
+            return array("I", out).tobytes()
+        places = list(itertools.accumulate([lengths[token] for token in found], initial=0))
+        longest = dict(zip(places, found))
+        at, live, cuts = places[len(out)], bytearray(b"\1") * (len(raw) + 1), self.cuts
         while True:
             end = at + lengths[token]
             if live[end]:
@@ -136,9 +148,11 @@ class ByteEncoder:
                     at = end
                     if at == len(raw):
                         return array("I", out).tobytes()
-                    token = self._cut(text[at : at + most])
+                    token = longest.get(at)
+                    if token is None:
+                        token = cuts[text[at : at + most]]
                     continue
-            shorter = self._prefix(token)
+            shorter = self.prefixes[token]
             if shorter is not None:
                 token = shorter
                 continue
@@ -167,8 +181,8 @@ class ByteEncoder:
             first, *rest = text.split(" ")
             look = self.chunks.__getitem__
             ids = look(first) + b"".join([look(" " + chunk) for chunk in rest])
-        self.pieces.age()
-        self.chunks.age()
+        for memory in (self.pieces, self.chunks, self.cuts):
+            memory.age()
         return ids
 
 
@@ -199,10 +213,11 @@ def encode_bytes(docs: DataFrame, ranks_path: str, pattern: str = public_tokeniz
     def run(batches):
         encode = _encoder(content.value, pattern).encode
         for batch in batches:
-            ids = [encode(text.as_py()) for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
-            )
+            for part in small_batches(batch):
+                ids = [encode(text.as_py()) for text in part.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
+                )
 
     return texts(docs).mapInArrow(run, "doc_id long, ids binary")
 
@@ -214,13 +229,13 @@ def decode_bytes(rows: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches):
         look = _vocabulary(content.value).__getitem__
         for batch in batches:
-            found = [
-                b"".join(map(look, np.frombuffer(ids.as_buffer(), "<u4").tolist())) for ids in batch.column("ids")
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids"), pa.array(found, pa.binary())],
-                names=["doc_id", "ids", "decoded"],
-            )
+            for part in small_batches(batch, "ids"):
+                ids = [np.frombuffer(x.as_buffer(), "<u4").tolist() for x in part.column("ids")]
+                found = [b"".join(map(look, x)) for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("ids"), pa.array(found, pa.binary())],
+                    names=["doc_id", "ids", "decoded"],
+                )
 
     known = rows.select("doc_id", F.coalesce("ids", F.lit(b"")).alias("ids"))
     return known.mapInArrow(run, "doc_id long, ids binary, decoded binary")

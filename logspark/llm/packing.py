@@ -15,6 +15,8 @@ often as they occur. Each id of a document lies in exactly one piece.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -40,13 +42,18 @@ K1, B = 1.2, 0.75
 _BEST = 32
 
 
-def signature(ids: np.ndarray) -> int:
+@functools.cache
+def _token_hashes(size: int) -> np.ndarray:
+    """Four hashes of 32 bits for each id."""
+    turns = [np.arange(size, dtype=np.uint64) + np.uint64((turn + 1) << 32) for turn in range(4)]
+    return np.stack([(mix(tokens) >> np.uint64(32)).astype(np.uint32) for tokens in turns])
+
+
+def signature(ids: np.ndarray, size: int) -> int:
     """Four minima of token hashes in a row, 15 bits each: alike token sets sort near each other."""
-    tokens = np.unique(ids).astype(np.uint64)
     value = 0
-    for turn in range(4):
-        least = mix(tokens + np.uint64((turn + 1) << 32)).min()
-        value = value << 15 | int(least & np.uint64(0x7FFF))
+    for hashes in _token_hashes(size):
+        value = value << 15 | int(hashes[ids].min()) & 0x7FFF
     return value
 
 
@@ -60,11 +67,12 @@ class Index:
     def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean_length: float):
         self.count = len(documents)
         lengths = np.array([len(ids) for ids in documents])
-        owners = np.repeat(np.arange(self.count, dtype=np.int64), lengths)
-        tokens = np.concatenate(documents).astype(np.int64)
-        useful = idf[tokens] > 0
-        pairs, times = np.unique(owners[useful] * len(idf) + tokens[useful], return_counts=True)
-        owner, token = pairs // len(idf), pairs % len(idf)
+        sets = [np.unique(ids, return_counts=True) for ids in documents]
+        owner = np.repeat(np.arange(self.count), [len(tokens) for tokens, _ in sets])
+        token = np.concatenate([tokens for tokens, _ in sets])
+        times = np.concatenate([counts for _, counts in sets])
+        useful = idf[token] > 0
+        owner, token, times = owner[useful], token[useful], times[useful]
         norm = K1 * (1 - B + B * lengths[owner] / mean_length)
         weight = idf[token] * times * (K1 + 1) / (times + norm)
         self.tokens_of = token
@@ -250,10 +258,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
     ``ids`` holds a piece's ids as little-endian uint32. Texts are tokenised once,
     into a table in the shared folder.
     """
-    kind = id_kind(tokenizer_path)
-    sign = ("signature", pa.int64(), lambda _, ids: [signature(np.frombuffer(x, kind)) for x in ids])
+    kind, size = id_kind(tokenizer_path), vocabulary_size(tokenizer_path)
+    sign = ("signature", pa.int64(), lambda _, ids: [signature(np.frombuffer(x, kind), size) for x in ids])
     tokens = written(token_rows(docs, tokenizer_path, kind=kind, extra=sign), "tokens")
-    return pack_tokens(tokens, vocabulary_size(tokenizer_path), kind, window)
+    return pack_tokens(tokens, size, kind, window)
 
 
 def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
