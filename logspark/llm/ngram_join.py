@@ -40,7 +40,7 @@ PERCENT = 80
 #: Sets smaller than this meet by prefix, larger ones by groups.
 SMALL = 100
 _RATIO = 1.5
-DIMENSIONS = 64
+DIMENSIONS = 256
 # Entries of one R-tree, and of a leaf.
 TREE_POINTS, LEAF = 8192, 32
 # Bits of the filter that finds the documents of candidate pairs.
