@@ -35,7 +35,8 @@ _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 def parse_time(text: str, layout: str, ingest_ts: str) -> str:
     """Text in ``layout`` -> TIMESTAMP, or NULL (SQL text in, SQL text out).
 
-    Clock times fall on the ingest day and syslog times in the ingest year.
+    Clock times fall on the ingest day. Syslog times fall in the year that puts them
+    last before the day after ingest.
     """
     if layout not in _SHAPES:
         return f"try_to_timestamp({text}, {literal(layout)})"
@@ -54,10 +55,13 @@ def parse_time(text: str, layout: str, ingest_ts: str) -> str:
 def _syslog_time(text: str, ingest_ts: str) -> str:
     month = f"array_position(array({literals(_MONTHS)}), lower(substr({text}, 1, 3)))"
     rest = f"'-' || nullif({month}, 0) || '-' || substr({text}, 5)"
-    in_year = f"try_cast(date_format({ingest_ts}, 'yyyy') || {rest} AS timestamp)"
-    # 29 February is a real date even when the ingest year lacks it.
+    in_year = lambda years: f"try_cast((year({ingest_ts}) + {years}) || {rest} AS timestamp)"
+    latest = f"({ingest_ts} + INTERVAL 1 DAY)"
+    candidates = [when(f"{in_year(years)} <= {latest}", in_year(years)) for years in (1, 0)]
+    # 29 February is a real date even when neither year has it.
     in_leap_year = f"try_cast('2000' || {rest} AS timestamp)"
-    return f"coalesce({in_year}, {when(in_leap_year + ' IS NOT NULL', ingest_ts)})"
+    known = when(in_leap_year + " IS NOT NULL", ingest_ts)
+    return f"coalesce({', '.join([*candidates, in_year(-1)])}, {known})"
 
 
 def parse_json_time(text: str, ingest_ts: str) -> str:
@@ -75,6 +79,7 @@ _BOUND_FORMATS = (
     "%Y-%m-%d",
     "%Y-%m-%dT%H:%M",
 )
+# Units of a duration.
 _UNIT_SECONDS = {
     "ns": 1e-9,
     "us": 1e-6,

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.functions.text import blank_to_null, null_to_blank
-from logspark.operators.membership import broadcast_if_small
 from logspark.schema import OPTIONAL_COLUMNS
 
 
@@ -34,7 +33,7 @@ def from_containers(parsed: DataFrame, containers: DataFrame) -> DataFrame:
         F.col("project").alias("_project"),
         F.col("component").alias("_component"),
     )
-    rows = parsed.join(broadcast_if_small(labels), "container", "inner")
+    rows = parsed.join(labels, "container", "inner")
     plain = F.when(
         F.col("stream_type") == "stderr", F.concat("container", F.lit("[stderr]"))
     ).otherwise(F.col("container"))
@@ -62,42 +61,55 @@ def with_random_id(rows: DataFrame) -> DataFrame:
 
 def with_content_id(rows: DataFrame) -> DataFrame:
     """An id that is the same in every run; for de-duplicated rows."""
-    text = F.concat_ws(
-        "|",
-        null_to_blank(F.col("source")),
-        F.unix_micros(F.col("ts").cast("timestamp")).cast("string"),
-        null_to_blank(F.col("message")),
-    )
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("string")
+    text = joined(null_to_blank(F.col("source")), micros, null_to_blank(F.col("message")))
     return rows.withColumn("id", F.sha2(text, 256))
 
 
+def joined(*parts: Column) -> Column:
+    """The parts behind their lengths, so that different parts never read alike."""
+    pieces = []
+    for part in parts:
+        pieces += [F.char_length(part).cast("string"), F.lit(":"), part]
+    return F.concat(*pieces)
+
+
+def _same_line() -> list[Column]:
+    """Rows equal in these are copies: message, second and source."""
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return [null_to_blank(F.col("message")), second, null_to_blank(F.col("source"))]
+
+
 def dedup_key() -> Column:
-    """16 hex digits over message, second and source."""
-    text = F.concat_ws(
-        "|",
-        null_to_blank(F.col("message")),
-        F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"),
-        null_to_blank(F.col("source")),
-    )
-    return F.substring(F.sha2(text, 256), 1, 16)
+    """16 hex digits over message, second and source, to show; too short to group by."""
+    message, second, source = _same_line()
+    return F.substring(F.sha2(F.concat_ws("|", message, second.cast("string"), source), 256), 1, 16)
+
+
+def exact_key() -> Column:
+    """A full digest that only copies share."""
+    message, second, source = _same_line()
+    return F.sha2(joined(message, F.coalesce(second.cast("string"), F.lit("")), source), 256)
 
 
 def dedup(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """One row per dedup key, the first by ``order``.
+    """One row per message, second and source, the first by ``order``.
 
-    The row is chosen while rows are still on the map side, so a message
-    repeated any number of times costs one row per task in the shuffle. Rows
-    without their own time (``timed`` is false) share the ingest second, which
-    says nothing about repetition: they are all kept.
+    Each task keeps its first row of a key before the shuffle (a group limit), so
+    a message repeated any number of times costs one row per task. Rows without
+    their own time (``timed`` is false) share the ingest second, which says
+    nothing about repetition: they are all kept. Select the columns to keep
+    beforehand: whole rows are sorted.
     """
-    names = rows.columns
-    timed = F.col("timed") if "timed" in names else F.lit(True)
-    keyed = rows.where(timed).withColumn("_key", dedup_key())
-    first = keyed.groupBy("_key").agg(
-        F.min_by(F.struct(*names), F.struct(*order)).alias("row")
+    timed = F.col("timed") if "timed" in rows.columns else F.lit(True)
+    message, second, source = _same_line()
+    keyed = rows.where(timed).withColumns(
+        {"_message": message, "_second": second, "_source": source}
     )
-    kept = first.select(*[F.col("row")[name].alias(name) for name in names])
-    return kept.unionByName(rows.where(~timed)) if "timed" in names else kept
+    copies = Window.partitionBy("_message", "_second", "_source").orderBy(*order)
+    first = keyed.withColumn("_rank", F.row_number().over(copies)).where("_rank = 1")
+    kept = first.drop("_message", "_second", "_source", "_rank")
+    return kept.unionByName(rows.where(~timed)) if "timed" in rows.columns else kept
 
 
 def storage_rows(rows: DataFrame) -> DataFrame:

@@ -69,15 +69,11 @@ def for_last(duration: str, now: dt.datetime, **fields) -> QueryFilter:
 
 
 def for_api(now: dt.datetime, **fields) -> QueryFilter:
-    """Last 24 hours; a limit outside 1..1000 or a negative offset is ignored."""
+    """Last 24 hours; a limit outside 1..1000 or a negative offset raises."""
     limit, offset = fields.pop("limit", API_LIMIT), fields.pop("offset", 0)
-    return for_last(
-        "24h",
-        now,
-        limit=clamp_limit(limit, API_LIMIT),
-        offset=max(offset, 0),
-        **fields,
-    )
+    if offset < 0:
+        raise ValueError(f"offset {offset} is negative")
+    return for_last("24h", now, limit=checked_limit(limit), offset=offset, **fields)
 
 
 def for_cli_filter(now: dt.datetime, **fields) -> QueryFilter:
@@ -90,8 +86,10 @@ def for_cli_search(now: dt.datetime, **fields) -> QueryFilter:
     return for_range(midnight, now, **fields)
 
 
-def clamp_limit(limit: int, default: int) -> int:
-    return limit if 1 <= limit <= MAX_API_LIMIT else default
+def checked_limit(limit: int) -> int:
+    if not 1 <= limit <= MAX_API_LIMIT:
+        raise ValueError(f"limit {limit} is not between 1 and {MAX_API_LIMIT}")
+    return limit
 
 
 # --- predicates ---------------------------------------------------------
@@ -117,9 +115,14 @@ def predicate(logs: DataFrame, wanted: QueryFilter) -> Column:
 
 
 def timestamp_literal(logs: DataFrame, value: dt.datetime) -> Column:
-    """A constant of the type of ``ts``, so that the comparison reaches the scan."""
+    """A constant of the type of ``ts``, so that the comparison reaches the scan.
+
+    It names UTC where the type has a zone, so the session's zone does not matter.
+    """
     text = to_utc(value).isoformat(sep=" ", timespec="microseconds")
-    return F.lit(text).cast(logs.schema["ts"].dataType)
+    kind = logs.schema["ts"].dataType
+    zone = "+00:00" if kind.typeName() == "timestamp" else ""
+    return F.lit(text + zone).cast(kind)
 
 
 def time_between(logs: DataFrame, start: dt.datetime, end: dt.datetime) -> Column:
@@ -161,7 +164,7 @@ def check_regex(spark: SparkSession, text: str) -> None:
     if _PLAIN.fullmatch(text):
         return
     try:
-        spark.range(1).select(F.lit("").rlike(f"(?iu){text}")).collect()
+        spark._jvm.java.util.regex.Pattern.compile(f"(?iu){text}")
     except PySparkException as error:
         raise ValueError(f"invalid search expression: {text!r}") from error
 

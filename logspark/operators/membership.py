@@ -1,4 +1,4 @@
-"""Keep or enrich rows by a key table whose size is checked first."""
+"""Keep rows whose key occurs in a key table."""
 
 from __future__ import annotations
 
@@ -8,31 +8,25 @@ from pyspark.sql import functions as F
 # A key list this short becomes a literal IN predicate, which also prunes
 # partitions when the key is a partition column.
 MAX_LITERAL_KEYS = 1_000
-# A side this small is sent to every executor; larger ones are shuffled.
-MAX_BROADCAST_ROWS = 1_000_000
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def keep_members(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` occurs in the one-column frame ``keys``."""
-    distinct = keys.select(F.col(keys.columns[0]).alias(column)).where(F.col(column).isNotNull())
-    distinct = distinct.distinct()
-    few = distinct.limit(MAX_LITERAL_KEYS + 1).collect()
-    if len(few) <= MAX_LITERAL_KEYS:
-        return rows.where(F.col(column).isin([row[0] for row in few]))
-    return rows.join(broadcast_if_small(distinct), column, "left_semi")
-
-
-def broadcast_if_small(side: DataFrame) -> DataFrame:
-    """Mark a side for broadcast only when its measured size allows it."""
-    width = sum(
-        (
-            F.coalesce(F.octet_length(F.col(field.name).cast("string")), F.lit(0)) + F.lit(16)
-            for field in side.schema.fields
-        ),
-        F.lit(0),
-    )
-    size = side.agg(F.count("*").alias("n"), F.sum(width.cast("bigint")).alias("bytes")).first()
-    if size["n"] <= MAX_BROADCAST_ROWS and (size["bytes"] or 0) <= MAX_BROADCAST_BYTES:
-        return F.broadcast(side)
-    return side
+    """Rows whose ``column`` occurs in the one-column frame ``keys``, of any size.
+
+    The key plan runs once, inside the query; adaptive execution broadcasts its
+    result if it turns out small, and splits a hot key otherwise.
+    """
+    wanted = keys.select(F.col(keys.columns[0]).alias(column)).where(F.col(column).isNotNull())
+    return rows.join(wanted, column, "left_semi")
+
+
+def keep_listed(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The same for a short key table that is cheap to read, such as a session's streams.
+
+    At most 1,001 keys are read beforehand; a longer table is joined.
+    """
+    few = keys.select(F.col(keys.columns[0]).alias(column)).where(F.col(column).isNotNull())
+    listed = few.distinct().limit(MAX_LITERAL_KEYS + 1).collect()
+    if len(listed) > MAX_LITERAL_KEYS:
+        return keep_members(rows, keys, column)
+    return rows.where(F.col(column).isin([row[0] for row in listed]))

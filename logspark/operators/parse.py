@@ -31,6 +31,7 @@ from logspark.functions.sqltext import (
 )
 from logspark.functions.times import parse_json_time, parse_time
 from logspark.operators.patterns import DEFAULTS, Pattern
+from logspark.runtime import require_utc
 
 PARSED_COLUMNS = (
     "ts",
@@ -72,6 +73,7 @@ def parse_lines(
     NULL. Other input columns are kept. Filter on those before parsing: a
     filter on the result is not moved below the parser.
     """
+    require_utc(lines.sparkSession)
     ingest = F.current_timestamp() if ingest_ts is None else ingest_ts.cast("timestamp")
     kept = [F.col(name) for name in lines.columns if name != value]
     frame = lines.select(

@@ -6,8 +6,9 @@ import datetime as dt
 import time
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logspark.functions.text import null_to_blank, split_tags
 from logspark.operators.filters import (
@@ -17,6 +18,7 @@ from logspark.operators.filters import (
     timestamp_literal,
 )
 from logspark.operators.membership import keep_members
+from logspark.sources.inventory import file_inventory
 
 NEWEST_FIRST = ("ts DESC", "id ASC")
 _BLANKED = ("trace_id", "source", "id", "process")
@@ -89,19 +91,16 @@ def count_matches(logs: DataFrame, wanted: QueryFilter) -> DataFrame:
     return matching(logs, wanted).agg(F.count("*").alias("total"))
 
 
-def files_scanned(lake: DataFrame, wanted: QueryFilter) -> DataFrame:
-    """One row: data files in the partitions the filter reaches.
+def files_scanned(spark: SparkSession, root: str, wanted: QueryFilter) -> DataFrame:
+    """One row: data files in the folders of the lake that the filter reaches.
 
-    Only partition columns are tested, so no data column is read.
+    Files are listed, not read, and only in those folders.
     """
-    reached = lake.where(partitions_between(lake, wanted.start, wanted.end))
+    files = file_inventory(spark, root, start=wanted.start, end=wanted.end, stream=wanted.process)
+    reached = files.where(partitions_between(files, wanted.start, wanted.end))
     if wanted.process:
         reached = reached.where(F.col("stream") == wanted.process)
-    return (
-        reached.select(F.col("_metadata.file_path").alias("path"))
-        .distinct()
-        .agg(F.count("*").alias("files_scanned"))
-    )
+    return reached.agg(F.count("*").alias("files_scanned"))
 
 
 def page_info(logs: DataFrame, wanted: QueryFilter) -> DataFrame:
@@ -140,19 +139,46 @@ class SearchResult:
     files_scanned: int | None
     limit: int
     offset: int
+    schema: T.StructType
 
     @property
     def returned(self) -> int:
         return len(self.entries)
 
 
-def run_search(logs: DataFrame, wanted: QueryFilter, from_lake: bool = False) -> SearchResult:
-    """Run one bounded page and its count; the page alone reaches the driver."""
+def run_search(logs: DataFrame, wanted: QueryFilter, root: str = "") -> SearchResult:
+    """Run one bounded page and its count in one pass; the page alone reaches the driver.
+
+    With the lake's ``root`` the files in reach are counted from a listing.
+    """
     if wanted.limit <= 0:
         raise ValueError("run_search needs a limit; use search() for all rows")
     began = time.monotonic()
-    entries = search(logs, wanted).collect()
-    total = count_matches(logs, wanted).first()["total"]
-    scanned = files_scanned(logs, wanted).first()["files_scanned"] if from_lake else None
+    counted = Observation()
+    matches = matching(logs, wanted).observe(counted, F.count("*").alias("total"))
+    page = page_of(matches.select(*result_columns()), wanted.limit, wanted.offset)
+    entries = page.collect()
+    total = counted.get["total"]
+    scanned = None
+    if root:
+        scanned = files_scanned(logs.sparkSession, root, wanted).first()["files_scanned"]
     elapsed = int((time.monotonic() - began) * 1000)
-    return SearchResult(entries, total, elapsed, scanned, wanted.limit, wanted.offset)
+    return SearchResult(entries, total, elapsed, scanned, wanted.limit, wanted.offset, page.schema)
+
+
+def search_envelope(logs: DataFrame, wanted: QueryFilter, root: str = "") -> DataFrame:
+    """One row: the page as an array, total, returned, limit, offset, files scanned and time taken."""
+    found = run_search(logs, wanted, root)
+    schema = T.StructType(
+        [
+            T.StructField("entries", T.ArrayType(found.schema)),
+            *[T.StructField(name, T.LongType()) for name in ("total", "returned", "limit", "offset")],
+            T.StructField("files_scanned", T.LongType()),
+            T.StructField("query_time_ms", T.LongType()),
+        ]
+    )
+    row = (
+        found.entries, found.total, found.returned, found.limit, found.offset,
+        found.files_scanned, found.query_time_ms,
+    )
+    return logs.sparkSession.createDataFrame([row], schema)

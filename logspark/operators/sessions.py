@@ -1,8 +1,7 @@
 """Sessions: named groups of streams, their views and counters.
 
 ``members`` has (session, stream); ``sessions`` has session, id, start_time,
-active and last_update. Both are small dimension tables, but their size is
-checked before anything is broadcast.
+active and last_update. Spark broadcasts what it measures to be small.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions.text import duration_text, null_to_blank
 from logspark.operators.filters import quick_match, time_between, view_levels
-from logspark.operators.membership import broadcast_if_small, keep_members
+from logspark.operators.membership import keep_listed
 from logspark.operators.search import newest_first, page_of, result_columns
 from logspark.schema import ERROR_LEVELS, WARNING_LEVELS
 
@@ -26,17 +25,18 @@ _PARTS = 64
 def session_logs(logs: DataFrame, members: DataFrame, session: str) -> DataFrame:
     """Rows of the streams attached to ``session``."""
     streams = members.where(F.col("session") == session).select("stream")
-    return keep_members(logs, streams, "stream")
+    return keep_listed(logs, streams, "stream")
 
 
 def newest_per_stream(logs: DataFrame, count: int = PER_STREAM) -> DataFrame:
     """The ``count`` newest rows of every stream, newest first, then by id.
 
     A first ranking over 64 parts of each stream leaves at most 64 * count rows
-    per stream for the second one, however many rows a stream has.
+    per stream for the second one, however many rows a stream has. A task's rows
+    are all of one part, so it keeps ``count`` rows per stream before the shuffle.
     """
     order = [F.col("ts").desc(), null_to_blank(F.col("id")).asc()]
-    part = F.pmod(F.xxhash64("ts", "id", "message"), F.lit(_PARTS))
+    part = F.pmod(F.spark_partition_id(), F.lit(_PARTS))
     parts = logs.withColumn("_part", part)
     within_part = Window.partitionBy("stream", "_part").orderBy(*order)
     candidates = parts.withColumn("_rank", F.row_number().over(within_part)).where(
@@ -57,21 +57,27 @@ def session_view(
     window: dt.timedelta = dt.timedelta(hours=1),
     per_stream: int = PER_STREAM,
     shown: int = SHOWN,
+    search_shown_only: bool = False,
 ) -> DataFrame:
-    """The live list of a session.
+    """The live list of a session: of the newest matching rows of each stream, the newest.
 
-    Level views filter before the newest rows per stream are taken, the traces
-    view after; the text search applies to the list that is shown.
+    View and text select before rows are cut to ``per_stream`` and ``shown``. With
+    ``search_shown_only`` the traces view selects among the newest rows per stream, and
+    the text among the rows shown, as a screen does that filters what it has.
     """
     rows = session_logs(logs, members, session).where(time_between(logs, now - window, now))
     levels = view_levels(view)
     if levels:
         rows = rows.where(F.col("level").isin(*levels))
+    has_trace, found = F.col("trace_id") != "", quick_match(text)
+    if not search_shown_only:
+        rows = rows.where(has_trace) if view == "traces" else rows
+        rows = rows.where(found) if text else rows
     newest = newest_per_stream(rows, per_stream).select(*result_columns(), "stream")
-    if view == "traces":
-        newest = newest.where(F.col("trace_id") != "")
-    listed = page_of(newest, shown)
-    return newest_first(listed.where(quick_match(text))) if text else listed
+    if not search_shown_only:
+        return page_of(newest, shown)
+    listed = page_of(newest.where(has_trace) if view == "traces" else newest, shown)
+    return newest_first(listed.where(found)) if text else listed
 
 
 def counters() -> list[Column]:
@@ -90,7 +96,7 @@ def process_counts(logs: DataFrame, members: DataFrame) -> DataFrame:
     Logs are reduced to one row per stream before they meet the members.
     """
     streams = members.select("stream").distinct()
-    per_stream = keep_members(logs, streams, "stream").groupBy("stream").agg(*counters())
+    per_stream = logs.join(streams, "stream", "left_semi").groupBy("stream").agg(*counters())
     joined = members.join(per_stream, "stream", "left")
     zero = F.lit(0).cast("bigint")
     return joined.select(
@@ -115,7 +121,7 @@ def session_totals(process_counts: DataFrame) -> DataFrame:
 def session_listing(sessions: DataFrame, totals: DataFrame, now: Column) -> DataFrame:
     """Active sessions: name, short id, duration, processes, logs, last update."""
     seconds = F.timestamp_diff("SECOND", F.col("start_time"), now).cast("double")
-    joined = sessions.where("active").join(broadcast_if_small(totals), "session", "left")
+    joined = sessions.where("active").join(totals, "session", "left")
     zero = F.lit(0).cast("bigint")
     return joined.select(
         F.col("session").alias("name"),

@@ -10,18 +10,19 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logspark.runtime import cut_lineage
 from logspark.schema import PARTITION_COLUMNS
+from logspark.sources.folders import in_parallel, only_run, partition_folders, path_of, refuse_sink
 from logspark.sources.inventory import file_inventory
 from logspark.sources.lake import file_system, path_exists, read_files, write_sorted
 
 STAGING = "_compaction"
 _PREFIX = "compacted_"
-# Files rewritten by one Spark job; a longer plan takes several jobs.
-FILES_PER_JOB = 10_000
+# Bytes rewritten by one Spark job; a larger plan takes several jobs.
+BYTES_PER_JOB = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -116,14 +117,22 @@ def rewrite_set(
 def merge_rows(rows: DataFrame, outputs: DataFrame, total: int) -> DataFrame:
     """Rows placed for the rewrite, one task per output file.
 
-    ``outputs`` has the partition columns, output_files and ``first``, the
-    number of the partition's first output file out of ``total``. A large hour
-    is spread over all its files.
+    ``outputs`` has the partition columns, output_files and ``first``, the number
+    of the partition's first output file out of ``total``. The files of a large
+    hour hold slices of its time with like row counts, cut at whole seconds, so a
+    search within the hour skips files.
     """
-    part = F.pmod(F.xxhash64("ts", "id", "message"), F.col("output_files"))
-    placed = rows.join(outputs, list(PARTITION_COLUMNS))
-    number = (F.col("first") + part).cast("int")
-    return placed.repartitionById(total, number).drop("output_files", "first")
+    keys = list(PARTITION_COLUMNS)
+    second = F.pmod(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(3600))
+    placed = rows.join(outputs, keys).withColumn("_second", second)
+    large = placed.where("output_files > 1").groupBy(*keys, "_second", "output_files").count()
+    hour = Window.partitionBy(*keys)
+    before = F.sum("count").over(hour.orderBy("_second").rowsBetween(Window.unboundedPreceding, -1))
+    share = F.coalesce(before, F.lit(0)) * F.col("output_files") / F.sum("count").over(hour)
+    slices = large.select(*keys, "_second", F.floor(share).alias("_slice"))
+    sliced = placed.join(slices, [*keys, "_second"], "left")
+    number = (F.col("first") + F.coalesce("_slice", F.lit(0))).cast("int")
+    return sliced.repartitionById(total, number).drop("output_files", "first", "_second", "_slice")
 
 
 def compact_lake(
@@ -131,100 +140,137 @@ def compact_lake(
     root: str,
     now: Column,
     policy: CompactionPolicy = CompactionPolicy(),
-    files_per_job: int = FILES_PER_JOB,
+    bytes_per_job: int = BYTES_PER_JOB,
+    takeover: bool = False,
 ) -> int:
-    """Rewrite every partition the plan names; returns the files merged.
-
-    Each job stages its merged files together with the list of files they
-    replace, then publishes: staged files move into place, replaced ones go.
-    A run that dies leaves its staging folder; the next run publishes complete
-    ones again and drops incomplete ones. Readers should be paused while a job
-    publishes, as plain Parquet has no atomic swap.
+    """Rewrite every settled partition the plan names; returns the files merged.
+
+    A partition is settled when all its files are old enough; others wait for a
+    later run. Jobs take whole partitions, up to ``bytes_per_job`` but always at
+    least one, so the result does not depend on the job size. Each job stages its
+    partitions, then swaps folders: the old one moves aside, the staged one into
+    its place, and files that came in meanwhile move back. A run that dies leaves
+    its staging folder; the next run, which must take over the marker, finishes
+    complete ones and drops incomplete ones. Readers should be paused during a
+    swap, as plain Parquet has no atomic one.
     """
-    if path_exists(spark, f"{root}/_spark_metadata"):
-        raise ValueError("a streaming sink owns this folder; compact a curated copy")
-    finish_pending(spark, root)
-    chosen = rewrite_set(file_inventory(spark, root), now, policy)
-    files = cut_lineage(chosen.select(*PARTITION_COLUMNS, "path", "length"))
-    merged = 0
-    for batch in _batches(files, files_per_job):
-        run = f"{root}/{STAGING}/{uuid.uuid4().hex}"
-        paths = [row["path"] for row in batch]
-        outputs, total = _number_outputs(spark, batch, files, policy.max_file_bytes)
-        spark.createDataFrame([(path,) for path in paths], "path string").write.parquet(
-            f"{run}/replaced"
-        )
-        rows = read_files(spark, root, paths)
-        write_sorted(merge_rows(rows, outputs, total), f"{run}/data")
-        publish(spark, root, run)
-        merged += len(paths)
+    refuse_sink(spark, root, "compact")
+    if not path_exists(spark, root):
+        return 0
+    with only_run(spark, f"{root}/{STAGING}/_running", takeover):
+        finish_pending(spark, root)
+        files = cut_lineage(with_eligibility(file_inventory(spark, root), now, policy))
+        settled = files.groupBy(*PARTITION_COLUMNS).agg(F.bool_and("eligible").alias("settled")).where("settled")
+        plan = compaction_plan(files, now, policy).where("needs_compaction")
+        chosen = plan.join(settled, list(PARTITION_COLUMNS), "left_semi")
+        merged = 0
+        for job in _jobs(chosen, bytes_per_job):
+            merged += _rewrite(spark, root, files, job, policy)
     return merged
 
 
-def _number_outputs(
-    spark: SparkSession, batch: list[Row], files: DataFrame, max_bytes: int
-) -> tuple[DataFrame, int]:
-    """Output files per partition of the batch, numbered through."""
-    sizes: dict[tuple, int] = {}
-    for row in batch:
-        place = tuple(row[name] for name in PARTITION_COLUMNS)
-        sizes[place] = sizes.get(place, 0) + row["length"]
-    numbered, total = [], 0
-    for place, size in sizes.items():
-        count = max(1, -(-size // max_bytes))
-        numbered.append((*place, count, total))
-        total += count
+def _jobs(chosen: DataFrame, most_bytes: int) -> Iterator[list[Row]]:
+    """Whole partitions in order, up to some bytes at a time; the driver holds one job's partitions."""
+    job, size = [], 0
+    for row in chosen.orderBy(*PARTITION_COLUMNS).toLocalIterator():
+        if job and size + row["merged_bytes"] > most_bytes:
+            yield job
+            job, size = [], 0
+        job.append(row)
+        size += row["merged_bytes"]
+    if job:
+        yield job
+
+
+def _rewrite(
+    spark: SparkSession, root: str, files: DataFrame, job: list[Row], policy: CompactionPolicy
+) -> int:
     kinds = [f"{name} {files.schema[name].dataType.simpleString()}" for name in PARTITION_COLUMNS]
+    numbered, total = [], 0
+    for row in job:
+        numbered.append((*[row[name] for name in PARTITION_COLUMNS], row["output_files"], total))
+        total += row["output_files"]
     schema = ", ".join([*kinds, "output_files bigint", "first bigint"])
-    return spark.createDataFrame(numbered, schema), total
+    outputs = spark.createDataFrame(numbered, schema)
+    folders = [partition_folder(spark, row) for row in job]
+    run = f"{root}/{STAGING}/{uuid.uuid4().hex}"
+    replaced = files.join(outputs.select(*PARTITION_COLUMNS), list(PARTITION_COLUMNS))
+    name = F.element_at(F.split("path", "/"), -1)
+    listed = cut_lineage(replaced.select(*PARTITION_COLUMNS, "path", name.alias("name")))
+    # Each partition's list lies in a folder of its own, for the swap.
+    listed.drop("path").repartition(*PARTITION_COLUMNS).write.partitionBy(*PARTITION_COLUMNS).text(f"{run}/replaced")
+    # All listed files of the partitions are read, young compacted ones too, and no others.
+    rows = read_files(spark, root, [f"{root}/{folder}" for folder in folders])
+    rows = rows.withColumn("_path", F.col("_metadata.file_path"))
+    rows = rows.join(listed.select(F.col("path").alias("_path")), "_path", "left_semi").drop("_path")
+    write_sorted(merge_rows(rows, outputs, total), f"{run}/data")
+    publish(spark, root, run)
+    return listed.count()
+
+
+def partition_folder(spark: SparkSession, row: Row) -> str:
+    """The folder of a partition, relative to the lake."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return "/".join(f"{name}={escape(str(row[name]))}" for name in PARTITION_COLUMNS)
 
 
-def _batches(files: DataFrame, size: int) -> Iterator[list[Row]]:
-    """At most ``size`` files at a time, those of a partition together where
-    they fit; a partition with more files takes several jobs."""
-    batch: list[Row] = []
-    for row in files.orderBy(*PARTITION_COLUMNS, "path").toLocalIterator():
-        batch.append(row)
-        if len(batch) == size:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
+def publish(spark: SparkSession, root: str, run: str) -> None:
+    """Swap a run's partitions in; repeatable after a failure at any point."""
+    staged = list(partition_folders(spark, f"{run}/replaced"))
+    in_parallel(lambda folder: _swap(spark, root, run, folder), staged)
+    # What is left aside are the replaced files of partitions that are in place.
+    file_system(spark, root).delete(path_of(spark, run), True)
 
 
-def publish(spark: SparkSession, root: str, run: str) -> None:
-    """Move a run's files into place, delete what they replace; repeatable."""
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
+def _swap(spark: SparkSession, root: str, run: str, folder: str) -> None:
     files = file_system(spark, root)
-    data, name = path_of(f"{run}/data"), run.rsplit("/", 1)[1]
-    base = data.toUri().getPath()
-    if files.exists(data):
-        staged = files.listFiles(data, True)
-        sources = []
-        while staged.hasNext():
-            sources.append(staged.next().getPath())
-        for source in sources:
-            if source.getName().endswith(".parquet"):
-                folder = source.getParent().toUri().getPath()[len(base):]
-                target = f"{root}{folder}/{_PREFIX}{name}_{source.getName()}"
-                if not files.rename(source, path_of(target)):
-                    raise OSError(f"could not move {source} to {target}")
-    if files.exists(path_of(f"{run}/replaced")):
-        for row in spark.read.parquet(f"{run}/replaced").toLocalIterator():
-            files.delete(path_of(row["path"]), False)
-    files.delete(path_of(run), True)
+    place, aside, staged = (path_of(spark, f"{base}/{folder}") for base in (root, f"{run}/old", f"{run}/data"))
+    name = run.rsplit("/", 1)[1]
+    if not files.exists(aside):
+        for status in files.listStatus(staged) if files.exists(staged) else []:
+            if status.getPath().getName().startswith("part-"):
+                target = path_of(spark, f"{run}/data/{folder}/{_PREFIX}{name}_{status.getPath().getName()}")
+                _move(files, status.getPath(), target)
+        files.mkdirs(aside.getParent())
+        _move(files, place, aside)
+    if files.exists(staged):
+        # Files that came in meanwhile may have made the folder anew.
+        for status in files.listStatus(place) if files.exists(place) else []:
+            _move(files, status.getPath(), path_of(spark, f"{run}/data/{folder}/{status.getPath().getName()}"))
+        files.delete(place, True)
+        _move(files, staged, place)
+    known = _replaced(spark, run, folder)
+    for status in files.listStatus(aside):
+        if status.getPath().getName().endswith(".parquet") and status.getPath().getName() not in known:
+            _move(files, status.getPath(), path_of(spark, f"{root}/{folder}/{status.getPath().getName()}"))
+
+
+def _replaced(spark: SparkSession, run: str, folder: str) -> set[str]:
+    """Names of the files of a partition that the run has read."""
+    files, names = file_system(spark, run), set()
+    for status in files.listStatus(path_of(spark, f"{run}/replaced/{folder}")):
+        stream = files.open(status.getPath())
+        names |= set(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines())
+        stream.close()
+    return names
+
+
+def _move(files, source, target) -> None:
+    if not files.rename(source, target):
+        raise OSError(f"could not move {source} to {target}")
 
 
 def finish_pending(spark: SparkSession, root: str) -> None:
     """Publish runs that were staged completely, drop the others."""
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
     files = file_system(spark, root)
-    staging = path_of(f"{root}/{STAGING}")
+    staging = path_of(spark, f"{root}/{STAGING}")
     if not files.exists(staging):
         return
     for status in files.listStatus(staging):
+        if not status.isDirectory():
+            continue
         run = f"{root}/{STAGING}/{status.getPath().getName()}"
-        if files.exists(path_of(f"{run}/data/_SUCCESS")):
+        if files.exists(path_of(spark, f"{run}/data/_SUCCESS")):
             publish(spark, root, run)
         else:
-            files.delete(path_of(run), True)
+            files.delete(path_of(spark, run), True)

@@ -52,6 +52,11 @@ def running_totals(
         (F.coalesce(F.sum(f"_{name}").over(inside), zero) + F.col(f"_{name}_offset")).alias(name)
         for name in totals
     ]
-    return ranged.join(offsets, [group, "_slice"]).select(
+    same = F.col(f"r.{group}").eqNullSafe(F.col(f"o.{group}")) & (
+        F.col("r._slice") == F.col("o._slice")
+    )
+    both = ranged.alias("r").join(offsets.alias("o"), same)
+    added = [name for name in offsets.columns if name not in (group, "_slice")]
+    return both.select("r.*", *added).select(
         *rows.columns, *sums, *[f"{name}_total" for name in totals]
     )

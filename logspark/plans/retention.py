@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from logspark.operators.filters import timestamp_literal
 from logspark.plans.ranking import running_totals
+from logspark.sources.folders import in_parallel, path_of, refuse_sink
 from logspark.sources.lake import file_system
 
 
@@ -54,9 +55,9 @@ def retention_plan(inventory: DataFrame, now: Column, policy: RetentionPolicy) -
         & (F.col("bytes") - F.col("aged_bytes") < excess)
         & (left - 1 >= policy.keep_min)
     )
-    return aged.join(taken, "stream").select(
-        *inventory.columns, "by_age", by_size.alias("by_size")
-    )
+    same = F.col("f.stream").eqNullSafe(F.col("t.stream"))
+    both = aged.alias("f").join(taken.alias("t"), same).select("f.*", "aged_bytes")
+    return both.select(*inventory.columns, "by_age", by_size.alias("by_size"))
 
 
 def doomed(plan: DataFrame) -> DataFrame:
@@ -92,17 +93,15 @@ def row_retention(logs: DataFrame, now: dt.datetime, days: int = 30) -> DataFram
     return logs.where(young)
 
 
-def delete_files(spark: SparkSession, files: DataFrame, dry_run: bool = False) -> int:
-    """Delete the files of a plan; returns how many there were.
+def delete_files(spark: SparkSession, root: str, files: DataFrame, dry_run: bool = False) -> int:
+    """Delete a lake's files of a plan; returns how many there were.
 
-    Paths come to the driver one partition at a time. Deleting again what is
-    already gone is harmless, so a failed run can simply be repeated.
+    Many files go at a time; the driver holds a few thousand paths. Deleting again
+    what is already gone is harmless, so a failed run can simply be repeated.
     """
+    refuse_sink(spark, root, "clean")
     if dry_run:
         return files.count()
-    count = 0
-    for row in files.select("path").toLocalIterator():
-        target = spark._jvm.org.apache.hadoop.fs.Path(row["path"])
-        file_system(spark, row["path"]).delete(target, False)
-        count += 1
-    return count
+    system = file_system(spark, root)
+    paths = (row["path"] for row in files.select("path").toLocalIterator())
+    return in_parallel(lambda path: system.delete(path_of(spark, path), False), paths)

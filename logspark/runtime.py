@@ -15,6 +15,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Raise unless the session is on UTC, where times without a zone are read."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "Z", "GMT", "+00:00"):
+        raise ValueError(f"the session's time zone is {zone}; call prepare(spark) first")
+
+
 @contextmanager
 def session_conf(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
     """Apply SQL settings for one action and put the old ones back."""
@@ -34,22 +41,32 @@ def session_conf(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[N
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the session.
 
-    Only a local-mode session without one (a test) gets a fresh folder; a
-    cluster must name a folder that all executors share.
+    Results and intermediate tables go there, so it must be a folder that driver
+    and executors share; without one this raises.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and context._jsc.sc().getCheckpointDir().isDefined():
         return context._jsc.sc().getCheckpointDir().get()
     if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="logspark-checkpoint-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder
 
 
+def own_checkpoint_dir(spark: SparkSession) -> None:
+    """For tests and trials in local mode: name a fresh folder if the session names none.
+
+    Elsewhere a folder of one machine would be of no use, and nothing is named.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    local = context.master == "local" or context.master.startswith("local[")
+    if named is None and local and not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="logspark-checkpoint-"))
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Materialise a frame in the shared checkpoint folder."""
     ensure_checkpoint_dir(frame.sparkSession)

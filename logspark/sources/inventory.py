@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logspark.sources.lake import foreign_partition, path_exists
+from logspark.sources.lake import foreign_partition, path_exists, reachable_folders
 
 INVENTORY_SCHEMA = T.StructType(
     [
@@ -20,15 +22,28 @@ INVENTORY_SCHEMA = T.StructType(
 )
 
 
-def file_inventory(spark: SparkSession, root: str, foreign: bool = False) -> DataFrame:
-    """One row per Parquet file under the lake; file contents are not read."""
-    if not path_exists(spark, root):
+def file_inventory(
+    spark: SparkSession,
+    root: str,
+    foreign: bool = False,
+    start: dt.datetime | None = None,
+    end: dt.datetime | None = None,
+    stream: str = "",
+) -> DataFrame:
+    """One row per Parquet file under the lake; file contents are not read.
+
+    With time bounds or a stream only the folders they reach are listed.
+    """
+    folders = [root] if path_exists(spark, root) else []
+    if folders and (start is not None and end is not None or stream):
+        folders = reachable_folders(spark, root, start, end, stream)
+    if not folders:
         return spark.createDataFrame([], INVENTORY_SCHEMA)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet")
-        .load(root)
+        .load(folders)
         .select("path", "length", F.col("modificationTime").alias("mtime"))
     )
     place = foreign_partition(F.col("path")) if foreign else _partition(F.col("path"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.functions.text import blank_to_null
+from logspark.functions.times import to_utc
 from logspark.operators.entries import storage_rows
 from logspark.runtime import session_conf
 from logspark.schema import LAKE_SCHEMA, LOG_COLUMNS, LOG_SCHEMA, PARTITION_COLUMNS
@@ -28,11 +30,19 @@ def lake_rows(rows: DataFrame, collector: str = "default") -> DataFrame:
             for name in LOG_COLUMNS
         ],
         stream.alias("stream"),
-        F.to_date("ts").alias("dt"),
-        F.hour("ts").alias("hour"),
+        *utc_partition(F.col("ts"), rows.schema["ts"].dataType.typeName()),
     )
 
 
+def utc_partition(ts: Column, kind: str) -> list[Column]:
+    """dt and hour of a time in UTC, whatever zone the session has."""
+    if kind == "timestamp_ntz":
+        return [F.to_date(ts).alias("dt"), F.hour(ts).alias("hour")]
+    seconds = F.unix_seconds(ts)
+    day = F.date_from_unix_date(F.floor(seconds / 86400).cast("int"))
+    return [day.alias("dt"), F.pmod(F.floor(seconds / 3600), F.lit(24)).cast("int").alias("hour")]
+
+
 def write_lake(rows: DataFrame, root: str, collector: str = "default") -> None:
     """Append rows to the lake.
 
@@ -55,15 +65,64 @@ def write_sorted(clustered: DataFrame, root: str) -> None:
         )
 
 
-def read_lake(spark: SparkSession, root: str) -> DataFrame:
-    """The whole lake; an empty or missing one has no rows.
+def read_lake(
+    spark: SparkSession,
+    root: str,
+    start: dt.datetime | None = None,
+    end: dt.datetime | None = None,
+    stream: str = "",
+) -> DataFrame:
+    """The lake, or the folders of it that a time range and a stream can reach.
 
-    Predicates on stream, dt and hour prune partitions, those on ts prune row
-    groups (operators.filters derives the former from a time range).
+    With both bounds only the folders of those days (of those hours, within one
+    day) are listed; a long range lists by month. The rows are still to be
+    filtered: predicates on stream, dt and hour prune partitions, those on ts row
+    groups. An empty or missing lake has no rows.
     """
-    if not path_exists(spark, root):
+    folders = [root]
+    if start is not None and end is not None or stream:
+        folders = reachable_folders(spark, root, start, end, stream)
+    if not folders or not path_exists(spark, root):
         return spark.createDataFrame([], LAKE_SCHEMA)
-    return spark.read.schema(LAKE_SCHEMA).option("basePath", root).parquet(root)
+    return spark.read.schema(LAKE_SCHEMA).option("basePath", root).parquet(*folders)
+
+
+def reachable_folders(
+    spark: SparkSession, root: str, start: dt.datetime | None, end: dt.datetime | None, stream: str = ""
+) -> list[str]:
+    """Existing partition folders of a time range (bounds included) and a stream.
+
+    One lookup of the streams, and one of their days or hours, whatever else the
+    lake holds.
+    """
+    if start is not None and end is not None and to_utc(start) > to_utc(end):
+        return []
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    pattern = f"{root}/stream=" + (_plain_glob(escape(stream)) if stream else "*")
+    if start is not None and end is not None:
+        pattern += "/" + _time_glob(to_utc(start), to_utc(end))
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = file_system(spark, root).globStatus(path)
+    return [status.getPath().toString() for status in found or []]
+
+
+def _plain_glob(text: str) -> str:
+    return "".join(f"\\{char}" if char in "*?[]{}\\," else char for char in text)
+
+
+def _time_glob(start: dt.datetime, end: dt.datetime) -> str:
+    """A pattern of day (and hour) folders that holds every hour of the range."""
+    days = (end.date() - start.date()).days + 1
+    if days == 1:
+        hours = ",".join(str(hour) for hour in range(start.hour, end.hour + 1))
+        return f"dt={start.date()}/hour={{{hours}}}"
+    if days <= 62:
+        return "dt={" + ",".join(str(start.date() + dt.timedelta(at)) for at in range(days)) + "}"
+    months = (end.year - start.year) * 12 + end.month - start.month + 1
+    if months > 240:
+        return "dt=*"
+    places = [divmod(start.year * 12 + start.month - 1 + at, 12) for at in range(months)]
+    return "dt={" + ",".join(f"{year:04d}-{month + 1:02d}-*" for year, month in places) + "}"
 
 
 def read_files(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFrame:

@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 
 from logspark.functions.text import trim_space
 
-MAX_LINE_BYTES = 1024 * 1024
 
-
-def clean_lines(lines: DataFrame, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
-    """Drop a closing carriage return, then empty and over-long lines."""
-    return lines.withColumn("value", F.regexp_replace("value", r"\r\z", "")).where(
-        F.octet_length("value").between(1, max_bytes)
-    )
+def clean_lines(lines: DataFrame) -> DataFrame:
+    """Drop a closing carriage return, then empty lines; lines of any length stay."""
+    return lines.withColumn("value", F.regexp_replace("value", r"\r\z", "")).where("value <> ''")
 
 
 def spread(lines: DataFrame) -> DataFrame:
@@ -28,26 +24,55 @@ def spread(lines: DataFrame) -> DataFrame:
     return lines if lines.rdd.getNumPartitions() >= wanted else lines.repartition(wanted)
 
 
-def read_lines(spark: SparkSession, path: str, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files; only a line feed ends a line."""
-    return clean_lines(spark.read.option("lineSep", "\n").text(path), max_bytes)
+    return clean_lines(spark.read.option("lineSep", "\n").text(path))
 
 
 def stream_lines(
     spark: SparkSession,
     path: str,
     max_files_per_trigger: int = 1000,
-    max_bytes: int = MAX_LINE_BYTES,
 ) -> DataFrame:
     """Lines of files that arrive under ``path``, with the file's arrival time
-    as ``ingest_ts``."""
+    as ``ingest_ts``.
+
+    A file is read once, so files must be moved in complete; ``grown_files``
+    finds those that were not. Use Kafka for lines that keep coming.
+    """
     lines = (
         spark.readStream.option("lineSep", "\n")
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .text(path)
         .select("value", F.col("_metadata.file_modification_time").alias("ingest_ts"))
     )
-    return clean_lines(lines, max_bytes)
+    return clean_lines(lines)
+
+
+def grown_files(spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
+    """(path, seen, modified): files of a line stream that changed after the stream took them.
+
+    The stream's source log in ``checkpoint`` has the modification time that each
+    file was taken with. Lines written later were not read: move such files in
+    again under a new name.
+    """
+    taken = (
+        spark.read.text(f"{checkpoint}/sources/0/*")
+        .where("value LIKE '{%'")
+        .select(F.from_json("value", "path string, timestamp bigint").alias("file"))
+        .groupBy(F.url_decode("file.path").alias("path"))
+        .agg(F.max("file.timestamp").alias("seen"))
+    )
+    there = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .load(path)
+        .select("path", F.unix_millis("modificationTime").alias("modified"))
+    )
+    plain = lambda name: F.regexp_replace(name, "^file:/+", "/")
+    same = plain(F.col("t.path")) == plain(F.col("h.path"))
+    changed = taken.alias("t").join(there.alias("h"), same).where("modified > seen")
+    return changed.select("h.path", F.timestamp_millis("seen").alias("seen"), F.timestamp_millis("modified").alias("modified"))
 
 
 def kafka_lines(
@@ -55,7 +80,6 @@ def kafka_lines(
     servers: str,
     topic: str,
     max_offsets_per_trigger: int = 10_000_000,
-    max_bytes: int = MAX_LINE_BYTES,
 ) -> DataFrame:
     """Lines from a Kafka topic (needs Spark's Kafka package on the cluster)."""
     records = (
@@ -68,7 +92,7 @@ def kafka_lines(
     lines = records.select(
         F.col("value").cast("string").alias("value"), F.col("timestamp").alias("ingest_ts")
     )
-    return clean_lines(lines, max_bytes)
+    return clean_lines(lines)
 
 
 def container_columns(path: Column) -> list[Column]:

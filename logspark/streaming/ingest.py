@@ -1,4 +1,4 @@
-"""Continuous ingest: lines -> parsed rows -> de-duplicated rows -> Parquet."""
+"""Continuous ingest: lines -> parsed rows -> de-duplicated rows -> the lake."""
 
 from __future__ import annotations
 
@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logspark.operators.entries import dedup_key, from_containers, from_pipe, with_random_id
+from logspark.operators.entries import exact_key, from_containers, from_pipe, with_random_id
 from logspark.operators.parse import parse_lines
 from logspark.operators.patterns import DEFAULTS, Pattern
-from logspark.runtime import session_conf
 from logspark.schema import PARTITION_COLUMNS
-from logspark.sources.lake import lake_rows
+from logspark.sources.folders import in_parallel, path_of
+from logspark.sources.lake import file_system, write_lake
 
 # How long a key is remembered, and how often rows are flushed.
 DEDUP_DELAY = "1 minute"
@@ -53,7 +53,7 @@ def dedup_stream(rows: DataFrame, delay: str = DEDUP_DELAY) -> DataFrame:
         .withColumns(
             {
                 "_arrival": F.current_timestamp(),
-                "_key": dedup_key(),
+                "_key": exact_key(),
                 "_salt": F.pmod(F.spark_partition_id(), F.lit(_SALTS)),
             }
         )
@@ -72,24 +72,48 @@ def write_stream(
     interval: str | None = FLUSH_INTERVAL,
     with_ids: bool = True,
 ) -> StreamingQuery:
-    """Append to a landing lake with the exactly-once file sink.
+    """Append every micro-batch to the lake; compaction and retention apply to it.
 
-    ``interval=None`` drains what is there and stops. The sink keeps its own
-    file log under ``root``, so maintenance runs on a curated copy.
+    ``interval=None`` drains what is there and stops. A batch is staged under the
+    checkpoint, rebalanced and sorted like any write, and then its files move
+    into the lake under names that hold the batch number. A batch that runs again
+    after a failure finishes what it began, or finds itself done.
     """
-    stored = lake_rows(with_random_id(rows) if with_ids else rows, collector)
-    # Session settings are captured when the query starts.
-    with session_conf(
-        rows.sparkSession, {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MILLIS"}
-    ):
-        writer = (
-            stored.writeStream.format("parquet")
-            .outputMode("append")
-            .option("path", root)
-            .option("checkpointLocation", checkpoint)
-            .option("compression", "zstd")
-            .partitionBy(*PARTITION_COLUMNS)
-        )
-        if interval is None:
-            return writer.trigger(availableNow=True).start()
-        return writer.trigger(processingTime=interval).start()
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        append_batch(with_random_id(batch) if with_ids else batch, root, checkpoint, batch_id, collector)
+
+    writer = rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    if interval is None:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=interval).start()
+
+
+def append_batch(
+    rows: DataFrame, root: str, checkpoint: str, batch_id: int, collector: str = "default"
+) -> None:
+    """Add a numbered batch to the lake once, however often it is called."""
+    spark = rows.sparkSession
+    files = file_system(spark, checkpoint)
+    staged = f"{checkpoint}/staged/{batch_id}"
+    done = path_of(spark, f"{checkpoint}/done/{batch_id}")
+    if files.exists(done):
+        return
+    if not files.exists(path_of(spark, f"{staged}/_SUCCESS")):
+        files.delete(path_of(spark, staged), True)
+        write_lake(rows, staged, collector)
+    lake = file_system(spark, root)
+    base = files.makeQualified(path_of(spark, staged)).toString()
+
+    def move(source: str) -> None:
+        folder, name = source[len(base) :].rsplit("/", 1)
+        target = path_of(spark, f"{root}{folder}/batch_{batch_id:09d}_{name}")
+        lake.mkdirs(target.getParent())
+        if not lake.rename(path_of(spark, source), target):
+            raise OSError(f"could not move {source} to {target}")
+
+    pattern = "/".join(f"{name}=*" for name in PARTITION_COLUMNS)
+    found = files.globStatus(path_of(spark, f"{staged}/{pattern}/*.parquet")) or []
+    in_parallel(move, [status.getPath().toString() for status in found])
+    files.create(done, True).close()
+    files.delete(path_of(spark, staged), True)

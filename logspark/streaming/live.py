@@ -13,6 +13,7 @@ from logspark.operators.sessions import session_view
 from logspark.sources.lake import read_lake
 
 REFRESH_INTERVAL = "3 seconds"
+WINDOW = dt.timedelta(hours=1)
 
 
 def live_view(
@@ -33,8 +34,9 @@ def live_view(
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        lake = read_lake(batch.sparkSession, root)
-        show(session_view(lake, members, session, now(), view))
+        at = now()
+        lake = read_lake(batch.sparkSession, root, at - WINDOW, at)
+        show(session_view(lake, members, session, at, view, window=WINDOW))
 
     writer = ticks.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     if interval is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
@@ -10,7 +11,7 @@ _SCHEMA = "batch_id bigint, entries bigint, entries_per_ms double, duration_ms b
 
 
 def export_metrics(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """One row per reported micro-batch (Spark keeps the last hundred)."""
+    """One row per reported micro-batch (Spark keeps the last hundred; ExportLog keeps all)."""
     failure = query.exception()
     rows = [
         (
@@ -25,21 +26,30 @@ def export_metrics(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     return spark.createDataFrame(rows, _SCHEMA)
 
 
-class ExportTotals(StreamingQueryListener):
-    """Totals over all micro-batches of a session: entries, exports, errors."""
+class ExportLog(StreamingQueryListener):
+    """Every micro-batch of a session, and totals: entries, exports, errors.
+
+    Register it before the query starts. One small row is held for each batch;
+    ``flush`` appends them to a table and forgets them.
+    """
 
     def __init__(self) -> None:
         self.entries = 0
         self.exports = 0
         self.errors = 0
+        self.rows: list[tuple] = []
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        if event.progress.numInputRows > 0:
-            self.entries += event.progress.numInputRows
+        report = event.progress
+        if report.numInputRows > 0:
+            self.entries += report.numInputRows
             self.exports += 1
+            rate = (report.processedRowsPerSecond or 0.0) / 1000.0
+            took = int(report.durationMs.get("triggerExecution", 0))
+            self.rows.append((report.batchId, report.numInputRows, rate, took, None))
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -47,3 +57,19 @@ class ExportTotals(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         if event.exception is not None:
             self.errors += 1
+            self.rows.append((None, 0, 0.0, 0, event.exception))
+
+    def metrics(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, _SCHEMA)
+
+    def flush(self, spark: SparkSession, folder: str) -> None:
+        rows, self.rows = self.rows, []
+        if rows:
+            spark.createDataFrame(rows, _SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+
+
+def export_sizes(inventory: DataFrame) -> DataFrame:
+    """(batch_id, files, bytes) of the batches whose files are still as ``write_stream`` named them."""
+    batch = F.regexp_extract("path", r"/batch_(\d+)_[^/]+$", 1)
+    named = inventory.withColumn("batch_id", batch.try_cast("bigint")).where("batch_id IS NOT NULL")
+    return named.groupBy("batch_id").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))

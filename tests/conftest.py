@@ -7,6 +7,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+from logspark.runtime import own_checkpoint_dir  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,6 +22,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    own_checkpoint_dir(session)
     yield session
     session.stop()
 

@@ -60,8 +60,9 @@ def test_bad_durations():
 def test_entry_point_defaults():
     api = filters.for_api(NOW)
     assert (api.start, api.end, api.limit) == (NOW - dt.timedelta(hours=24), NOW, 100)
-    assert filters.for_api(NOW, limit=5000, offset=-3).limit == 100
-    assert filters.for_api(NOW, limit=5000, offset=-3).offset == 0
+    for wrong in ({"limit": 5000}, {"limit": 0}, {"offset": -3}):
+        with pytest.raises(ValueError):
+            filters.for_api(NOW, **wrong)
     assert filters.for_api(NOW, limit=7).limit == 7
     assert filters.for_cli_filter(NOW).limit == 100
     today = filters.for_cli_search(NOW)
@@ -136,14 +137,22 @@ def test_run_search(spark, sf_dir):
 def test_membership_ways_agree(spark, sf_dir, monkeypatch):
     logs = fixtures.logs(spark, sf_dir)
     keys = logs.where("level = 'FATAL'").select("trace_id")
-    by_literal = membership.keep_members(logs, keys, "trace_id").select("id").collect()
+    joined = membership.keep_members(logs, keys, "trace_id").select("id")
+    listed = membership.keep_listed(logs, keys, "trace_id").select("id")
+    assert "Join" not in physical(listed)
     monkeypatch.setattr(membership, "MAX_LITERAL_KEYS", 3)
-    broadcast = membership.keep_members(logs, keys, "trace_id")
-    assert "BroadcastHashJoin" in physical(broadcast)
-    assert sorted(by_literal) == sorted(broadcast.select("id").collect())
-    monkeypatch.setattr(membership, "MAX_BROADCAST_ROWS", 3)
-    with_shuffle = membership.keep_members(logs, keys, "trace_id")
-    assert sorted(by_literal) == sorted(with_shuffle.select("id").collect())
+    longer = membership.keep_listed(logs, keys, "trace_id").select("id")
+    assert "Join" in physical(longer)
+    assert sorted(joined.collect()) == sorted(listed.collect()) == sorted(longer.collect()) != []
+
+
+def test_search_envelope_is_one_pass(spark, sf_dir):
+    logs = fixtures.logs(spark, sf_dir)
+    wanted = filters.QueryFilter(dt.datetime(2024, 1, 1), NOW, limit=5, offset=3)
+    row = search.search_envelope(logs, wanted).first()
+    assert row["total"] == search.count_matches(logs, wanted).first()["total"]
+    assert [entry["id"] for entry in row["entries"]] == [r["id"] for r in search.search(logs, wanted).collect()]
+    assert (row["returned"], row["limit"], row["offset"], row["files_scanned"]) == (5, 5, 3, None)
 
 
 def test_lake_stats(spark, sf_dir):

@@ -73,12 +73,11 @@ def test_files_hold_millisecond_statistics(spark, root):
 
 
 def test_files_scanned_counts_files_in_reach(spark, root):
-    stored = lake.read_lake(spark, root)
     everything = filters.QueryFilter(dt.datetime(2023, 1, 1), dt.datetime(2025, 1, 1))
     files = inventory.file_inventory(spark, root)
-    assert search.files_scanned(stored, everything).first()[0] == files.count()
+    assert search.files_scanned(spark, root, everything).first()[0] == files.count()
     one = filters.QueryFilter(dt.datetime(2024, 1, 1, 3), dt.datetime(2024, 1, 1, 3, 59), process="svc-3")
-    scanned = search.files_scanned(stored, one).first()[0]
+    scanned = search.files_scanned(spark, root, one).first()[0]
     assert scanned == files.where("stream = 'svc-3' AND dt = '2024-01-01' AND hour = 3").count()
 
 
@@ -109,9 +108,53 @@ def test_foreign_layout(spark, sf_dir, tmp_path):
 
 
 def test_line_source(spark, tmp_path):
-    (tmp_path / "a.log").write_bytes(b"one\r\n\ntwo\rhalf\n" + b"x" * 30 + b"\nlast")
-    found = [row["value"] for row in lines.read_lines(spark, str(tmp_path), max_bytes=20).collect()]
-    assert sorted(found) == ["last", "one", "two\rhalf"]
+    long = "x" * 3_000_000
+    (tmp_path / "a.log").write_bytes(b"one\r\n\ntwo\rhalf\n" + long.encode() + b"\nlast")
+    found = [row["value"] for row in lines.read_lines(spark, str(tmp_path)).collect()]
+    assert sorted(found) == ["last", "one", "two\rhalf", long]
+
+
+def test_only_reachable_folders_are_listed(spark, root):
+    every = lake.read_lake(spark, root)
+    for start, end, stream in (
+        (dt.datetime(2024, 1, 1, 3, 30), dt.datetime(2024, 1, 1, 5, 10), "svc-3"),
+        (dt.datetime(2024, 1, 1, 22), dt.datetime(2024, 1, 3, 1), ""),
+        (dt.datetime(2023, 11, 1), dt.datetime(2024, 3, 1), "svc-1"),
+        (dt.datetime(1900, 1, 1), dt.datetime(2100, 1, 1), ""),
+        (dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 1), ""),
+    ):
+        wanted = filters.QueryFilter(start, end, process=stream)
+        near = lake.read_lake(spark, root, start, end, stream)
+        assert search.matching(near, wanted).count() == search.matching(every, wanted).count()
+    day = lake.reachable_folders(spark, root, dt.datetime(2024, 1, 1, 3), dt.datetime(2024, 1, 1, 4))
+    assert day and all("/dt=2024-01-01/hour=" in folder for folder in day)
+    listed = lake.read_lake(spark, root, dt.datetime(2024, 1, 1, 3), dt.datetime(2024, 1, 1, 4)).inputFiles()
+    assert listed and all("hour=3/" in path or "hour=4/" in path for path in listed)
+
+
+def test_partitions_are_utc_in_any_zone(spark, sf_dir, tmp_path):
+    logs = fixtures.logs(spark, sf_dir).where("event_id < 24")
+    rows = logs.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.checkpoint()
+    folder = str(tmp_path / "zoned")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        lake.write_lake(rows, folder)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    found = search.matching(lake.read_lake(spark, folder), filters.QueryFilter(first, last))
+    assert found.count() == 24
+    assert found.where("dt = to_date(ts) AND hour = hour(ts)").count() == 24
+
+
+def test_rows_that_read_alike_with_separators_stay_apart(spark):
+    rows = spark.createDataFrame(
+        [("x|5", "1970-01-01 00:00:07", "s"), ("x", "1970-01-01 00:00:05", "7|s"), ("x", "1970-01-01 00:00:05", "7|s")],
+        "message string, at string, source string",
+    ).select("message", F.col("at").cast("timestamp").alias("ts"), "source")
+    assert entries.dedup(rows, ("message",)).count() == 2
+    assert rows.select(entries.exact_key()).distinct().count() == 2
 
 
 def test_container_lines(spark, tmp_path):

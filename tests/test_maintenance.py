@@ -1,5 +1,4 @@
 import datetime as dt
-import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -14,47 +13,42 @@ SCHEMA = "stream string, path string, length bigint, mtime timestamp_ntz"
 NOW = dt.datetime(2024, 3, 1)
 
 
-def loop_plan(files, policy, now):
-    """The retention rule as a plain loop over one stream's files."""
-    files = sorted(files, key=lambda file: (file[3], file[1]))
-    cutoff = now - dt.timedelta(days=policy.days)
-    by_age = []
-    for at, file in enumerate(files):
-        if len(files) - at <= policy.keep_min:
-            break
-        if file[3] < cutoff:
-            by_age.append(file)
-    by_size = []
-    excess = sum(file[2] for file in files) - policy.max_bytes
-    for file in files:
-        if excess <= 0:
-            break
-        gone = len(by_age) + len(by_size)
-        if file not in by_age and len(files) - gone - 1 >= policy.keep_min:
-            by_size.append(file)
-            excess -= file[2]
-    return {(file[0], file[1]): (file in by_age, file in by_size) for file in files}
+def aged(row, now, days):
+    return row["mtime"] < now - dt.timedelta(days=days)
 
 
-FILE = st.tuples(st.sampled_from("abc"), st.integers(1, 100), st.integers(0, 60))
+FILE = st.tuples(st.sampled_from(["a", "b", None]), st.integers(1, 100), st.integers(0, 60))
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(files=st.lists(FILE, min_size=1, max_size=60), keep=st.integers(0, 8), cap=st.integers(1, 1500))
-def test_retention_equals_the_loop(spark, files, keep, cap):
+def test_retention_properties(spark, files, keep, cap):
+    """Oldest first, the minimum kept, and the excess covered by not one file more than needed."""
     rows = [
         (stream, f"f{at}", size, NOW - dt.timedelta(days=age))
         for at, (stream, size, age) in enumerate(files)
     ]
     policy = retention.RetentionPolicy(days=30, keep_min=keep, max_bytes=cap)
-    expected = {}
+    now = F.lit(str(NOW)).cast("timestamp_ntz")
+    found = retention.retention_plan(spark.createDataFrame(rows, SCHEMA), now, policy).collect()
+    assert sorted(row["path"] for row in found) == sorted(row[1] for row in rows)
     for stream in {row[0] for row in rows}:
-        expected |= loop_plan([row for row in rows if row[0] == stream], policy, NOW)
-    plan = retention.retention_plan(
-        spark.createDataFrame(rows, SCHEMA), F.lit(str(NOW)).cast("timestamp_ntz"), policy
-    )
-    found = {(row["stream"], row["path"]): (row["by_age"], row["by_size"]) for row in plan.collect()}
-    assert found == expected
+        plan = sorted((r for r in found if r["stream"] == stream), key=lambda r: (r["mtime"], r["path"]))
+        old = [r for r in plan if r["by_age"]]
+        large = [r for r in plan if r["by_size"]]
+        left = plan[len(old) + len(large) :]
+        # the oldest files go, those by age before those by size
+        assert plan == old + large + left
+        assert len(left) >= min(keep, len(plan))
+        # by age: only old files, and all of them unless the minimum stops it
+        assert all(aged(r, NOW, 30) for r in old)
+        rest = plan[len(old) :]
+        assert len(rest) <= keep or not aged(rest[0], NOW, 30)
+        # by size: age bytes do not count, the excess is covered unless the minimum stops it
+        excess = sum(r["length"] for r in plan) - cap
+        freed = sum(r["length"] for r in large)
+        assert freed >= excess or len(left) <= keep
+        assert not large or freed - large[-1]["length"] < excess
 
 
 def test_running_totals_of_a_hot_group(spark):
@@ -112,10 +106,48 @@ def test_compaction_splits_large_partitions_and_batches(spark, small_files):
     before = contents(spark, small_files)
     policy = compaction.CompactionPolicy(max_file_bytes=8_000)
     now = F.current_timestamp() + F.expr(LATER)
-    assert compaction.compact_lake(spark, small_files, now, policy, files_per_job=4) == 14
+    assert compaction.compact_lake(spark, small_files, now, policy, bytes_per_job=1) == 14
     assert contents(spark, small_files) == before
     merged = inventory.file_inventory(spark, small_files).where(compaction.is_compacted(F.col("path")))
     assert merged.groupBy("hour").count().where("count > 1").count() == 2
+    # each file of a large hour holds a slice of its time
+    spans = (
+        lake.read_lake(spark, small_files).where("hour = 10").groupBy(F.col("_metadata.file_path").alias("path"))
+        .agg(F.min("ts").alias("first"), F.max("ts").alias("last")).orderBy("first").collect()
+    )
+    assert all(one["last"] < two["first"] for one, two in zip(spans, spans[1:]))
+
+
+@pytest.mark.parametrize("most", [1, 9_000, 1 << 40])
+def test_job_size_does_not_change_the_files(spark, small_files, most):
+    now = F.current_timestamp() + F.expr(LATER)
+    assert compaction.compact_lake(spark, small_files, now, bytes_per_job=most) == 14
+    assert inventory.file_inventory(spark, small_files).count() == 3
+
+
+def test_files_that_come_in_during_a_swap_stay(spark, small_files, monkeypatch):
+    before = contents(spark, small_files)
+    now = F.current_timestamp() + F.expr(LATER)
+    extra = lake.read_lake(spark, small_files).where("hour = 10").limit(3).withColumn("id", F.lit("late"))
+    late = extra.checkpoint()
+    publish = compaction.publish
+
+    def meanwhile(*args):
+        lake.write_sorted(late.select(*lake.LAKE_SCHEMA.fieldNames()), small_files)
+        publish(*args)
+
+    monkeypatch.setattr(compaction, "publish", meanwhile)
+    assert compaction.compact_lake(spark, small_files, now) == 14
+    found = contents(spark, small_files)
+    assert len(found) == len(before) + 3 and set(before) <= set(found)
+
+
+def test_a_second_run_is_refused(spark, small_files):
+    now = F.current_timestamp() + F.expr(LATER)
+    with compaction.only_run(spark, f"{small_files}/{compaction.STAGING}/_running", False):
+        with pytest.raises(RuntimeError):
+            compaction.compact_lake(spark, small_files, now)
+        assert compaction.compact_lake(spark, small_files, now, takeover=True) == 14
 
 
 def test_broken_compaction_is_finished_by_the_next(spark, small_files, monkeypatch):
@@ -157,6 +189,8 @@ def test_streaming_sink_folder_is_refused(spark, tmp_path):
     (tmp_path / "_spark_metadata").mkdir()
     with pytest.raises(ValueError):
         compaction.compact_lake(spark, str(tmp_path), F.current_timestamp())
+    with pytest.raises(ValueError):
+        retention.delete_files(spark, str(tmp_path), spark.createDataFrame([], "path string"))
 
 
 def test_retention_deletes_planned_files(spark, small_files):
@@ -164,12 +198,12 @@ def test_retention_deletes_planned_files(spark, small_files):
     now = F.current_timestamp() + F.expr("INTERVAL 40 DAYS")
     plan = retention.retention_plan(files, now, retention.RetentionPolicy(keep_min=4)).checkpoint()
     doomed = retention.doomed(plan)
-    assert retention.delete_files(spark, doomed, dry_run=True) == 11
+    assert retention.delete_files(spark, small_files, doomed, dry_run=True) == 11
     assert inventory.file_inventory(spark, small_files).count() == 15
-    assert retention.delete_files(spark, doomed) == 11
+    assert retention.delete_files(spark, small_files, doomed) == 11
     left = {row["path"] for row in inventory.file_inventory(spark, small_files).collect()}
     assert left == {row["path"] for row in retention.kept(plan).collect()}
-    assert retention.delete_files(spark, doomed) == 11  # again: nothing happens
+    assert retention.delete_files(spark, small_files, doomed) == 11  # again: nothing happens
 
 
 def test_row_retention_prunes_days(spark, small_files):

@@ -1,11 +1,14 @@
 import datetime as dt
+import os
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from logspark.operators import entries
 from logspark.operators.parse import parse_lines
 from logspark.schema import LAKE_SCHEMA
-from logspark.sources import lake, lines
+from logspark.sources import inventory, lake, lines
 from logspark.streaming import counters, ingest, live, progress
 from workload import fixtures
 
@@ -112,3 +115,62 @@ def test_container_stream(spark, tmp_path):
     found = lake.read_lake(spark, root).collect()
     assert len(found) == 2  # containers are not de-duplicated
     assert (found[0]["source"], found[0]["component"], found[0]["process"]) == ("web[stderr]", "front", "web")
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path, monkeypatch):
+    root, checkpoint = str(tmp_path / "lake"), str(tmp_path / "cp")
+    rows = spark.sql(
+        "SELECT timestamp'2025-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts, 'INFO' AS level,"
+        " concat('s', id % 3) AS source, 'm' AS message, cast(id AS string) AS id FROM range(60)"
+    )
+    ingest.append_batch(rows, root, checkpoint, 0)
+    ingest.append_batch(rows, root, checkpoint, 0)
+    assert lake.read_lake(spark, root).count() == 60
+    # the run dies after it has moved some files
+    moved = []
+
+    def part(call, paths):
+        for path in list(paths)[:1]:
+            moved.append(call(path))
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(ingest, "in_parallel", part)
+        with pytest.raises(RuntimeError):
+            ingest.append_batch(rows, root, checkpoint, 1)
+    ingest.append_batch(rows, root, checkpoint, 1)
+    assert len(moved) == 1 and lake.read_lake(spark, root).count() == 120
+
+
+def test_grown_files_are_found(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for name in ("a", "b"):
+        (source / f"{name}.log").write_text("[2025-01-01 00:00:00] [INFO] x\n")
+    checkpoint = str(tmp_path / "cp")
+    rows = ingest.pipe_rows(lines.stream_lines(spark, str(source)), "stdin", ingest_ts=F.lit(INGEST))
+    ingest.write_stream(rows, str(tmp_path / "lake"), checkpoint, interval=None).awaitTermination()
+    assert lines.grown_files(spark, str(source), checkpoint).count() == 0
+    os.utime(source / "a.log", (2_000_000_000, 2_000_000_000))
+    assert [row["path"].rsplit("/", 1)[1] for row in lines.grown_files(spark, str(source), checkpoint).collect()] == ["a.log"]
+
+
+def test_export_log_keeps_every_batch(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "lake")
+    for at in range(3):
+        _write_lines(spark, source, _texts(2, at))
+    log = progress.ExportLog()
+    spark.streams.addListener(log)
+    try:
+        rows = ingest.pipe_rows(lines.stream_lines(spark, source, 1), "stdin", ingest_ts=F.lit(INGEST))
+        ingest.write_stream(rows, root, str(tmp_path / "cp"), interval=None).awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for _ in range(100):
+            if log.exports >= 3:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    assert log.entries == 6 and log.metrics(spark).count() == 3
+    sizes = progress.export_sizes(inventory.file_inventory(spark, root))
+    assert sizes.count() == 3 and sizes.where("bytes > 0").count() == 3

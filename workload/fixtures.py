@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logspark.runtime import prepare
+from logspark.runtime import own_checkpoint_dir, prepare
 from logspark.sources.lines import spread
 
 _LOGS = """
@@ -36,7 +36,7 @@ SELECT session, stream FROM (VALUES ('checkout','svc-0'),('checkout','svc-1'),('
 _CONTAINERS = """
 SELECT concat('svc-', cast(n_nationkey AS varchar(20))) AS container, n_nationkey % 2 = 0 AS enabled,
  CASE WHEN n_nationkey IN (0,4) THEN 'shop' ELSE '' END AS project,
- CASE WHEN n_nationkey % 4 = 0 THEN 'api' ELSE '' END AS component FROM {nation} WHERE n_nationkey < 8
+ CASE WHEN n_nationkey % 4 = 0 THEN 'api' ELSE '' END AS component FROM {nation}
 """
 
 # One session per customer nation: started at its first order, last seen at its
@@ -95,6 +95,7 @@ _DUCKDB_TIMES = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    own_checkpoint_dir(spark)
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -104,8 +105,15 @@ def _fixture(spark: SparkSession, sf_dir: str, text: str, *names: str, **parts:
     return spark.sql(text.format(**slots, **parts), **frames)
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ts = "cast(date_trunc('MILLISECOND', ts) AS timestamp_ntz)"
+# The first day of the events. For lakes their time passes 24 times as fast, so that
+# all rows and streams fall into some thirty hours of two days.
+_BEGIN = "2024-01-01 00:00:00"
+
+
+def logs(spark: SparkSession, sf_dir: str, fast: bool = False) -> DataFrame:
+    begin = f"timestamp_ntz'{_BEGIN}'"
+    fast_ts = f"timestampadd(MICROSECOND, timestampdiff(MICROSECOND, {begin}, cast(ts AS timestamp_ntz)) div 24, {begin})"
+    ts = f"cast(date_trunc('MILLISECOND', {fast_ts if fast else 'ts'}) AS timestamp_ntz)"
     return _fixture(spark, sf_dir, _LOGS, "events", ts=ts)
 
 
@@ -129,15 +137,15 @@ def compaction_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fixture(spark, sf_dir, _COMPACTION, "lineitem")
 
 
-def lines(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, shape: str, fast: bool = False) -> DataFrame:
     """(id, value): every log row as a line of one format."""
     text = _SHAPES[shape].format(**_SPARK_TIMES)
-    return spread(logs(spark, sf_dir)).selectExpr("id", f"{text} AS value")
+    return spread(logs(spark, sf_dir, fast)).selectExpr("id", f"{text} AS value")
 
 
-def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixed_lines(spark: SparkSession, sf_dir: str, fast: bool = False) -> DataFrame:
     """(id, value): every log row, the formats taking turns."""
-    return spread(logs(spark, sf_dir)).selectExpr("id", f"{mixed(_SPARK_TIMES)} AS value")
+    return spread(logs(spark, sf_dir, fast)).selectExpr("id", f"{mixed(_SPARK_TIMES)} AS value")
 
 
 def mixed(times: dict[str, str]) -> str:
@@ -147,8 +155,10 @@ def mixed(times: dict[str, str]) -> str:
     return f"CASE event_id % {len(_SHAPES)} {cases} END"
 
 
-def duckdb_logs() -> str:
-    return _LOGS.format(ts="date_trunc('millisecond', ts)", events="events")
+def duckdb_logs(fast: bool = False) -> str:
+    begin = f"TIMESTAMP '{_BEGIN}'"
+    fast_ts = f"{begin} + to_microseconds((epoch_us(ts) - epoch_us({begin})) // 24)"
+    return _LOGS.format(ts=f"date_trunc('millisecond', {fast_ts if fast else 'ts'})", events="events")
 
 
 def duckdb_fixture(name: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from logspark.schema import DISTINCT_COLUMNS
 from workload import fixtures
-from workload.spark_queries import INGEST
+from workload.spark_queries import INGEST, LONG_LINE, separators_sql
 
 _RESULT = """ts, level, message, coalesce(trace_id, '') AS trace_id, coalesce(source, '') AS source,
  coalesce(replace(tags, ', ', ','), '') AS tags, coalesce(id, '') AS id, coalesce(process, '') AS process"""
@@ -20,6 +20,15 @@ def _logs(query: str, **others: str) -> str:
     return f"WITH {named} {query}"
 
 
+def _fast_logs(query: str) -> str:
+    """Over the rows as lakes hold them."""
+    return f"WITH logs AS ({fixtures.duckdb_logs(fast=True)}) {query}"
+
+
+_LAKE = "ts >= TIMESTAMP '2024-01-01 05:30:00' AND ts <= TIMESTAMP '2024-01-02 02:15:00'"
+_PLACE = "stream, ts::DATE AS dt, hour(ts)::INTEGER AS hour"
+
+
 def _search(where: str, limit: int | None = 100, offset: int = 0) -> str:
     page = "" if limit is None else f" LIMIT {limit} OFFSET {offset}"
     return _logs(
@@ -43,15 +52,15 @@ _COMBINED = (
 )
 
 
-def _view(levels: str = "true", after: str = "true", search: str = "true") -> str:
+def _view(where: str = "true") -> str:
     members = fixtures.MEMBERS
     return _logs(
         f"""SELECT * FROM (
  SELECT {_RESULT}, stream FROM (
   SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts DESC, coalesce(id, '')) AS rn FROM logs
   WHERE stream IN (SELECT stream FROM members WHERE session = 'checkout')
-   AND ts >= {_NEWEST} - INTERVAL 10 DAY AND ts <= {_NEWEST} AND {levels})
- WHERE rn <= 200 AND {after} ORDER BY ts DESC, id LIMIT 100) WHERE {search}""",
+   AND ts >= {_NEWEST} - INTERVAL 10 DAY AND ts <= {_NEWEST} AND {where})
+ WHERE rn <= 200 ORDER BY ts DESC, id LIMIT 100)""",
         members=members,
     )
 
@@ -209,11 +218,15 @@ def _short(text: str, width: int) -> str:
     return f"CASE WHEN length({text}) > {width} THEN substring({text}, 1, {width - 3}) || '...' ELSE {text} END"
 
 
+_LAKE_COLUMNS = "id, ts, level, source, message, trace_id"
+# Structured lines as a streamed lake holds them.
+_STREAMED = f"SELECT ts, level, source, {_STRUCTURED} AS message, CAST(NULL AS VARCHAR) AS trace_id, {_PLACE} FROM logs"
+
+
 def oracle_sql() -> dict[str, str]:
     stored = (
         "ts, source, level, message, id, trace_id, process, component, thread, user_id, request_id, tags"
     )
-    folded = "date_trunc('day', ts) + (ts - date_trunc('hour', ts))"
     found = {
         "flagship_errors": _search(f"{_DAY} AND level IN ('ERROR', 'FATAL') AND {_text('timeout')}"),
         "search_time_range": _search(_DAY),
@@ -241,7 +254,16 @@ def oracle_sql() -> dict[str, str]:
         "search_since_start_of_day": _search(
             f"ts >= date_trunc('day', {_NEWEST}) AND ts <= {_NEWEST}", 1000
         ),
-        "search_lake": _search(f"{_DAY} AND level IN ('ERROR', 'FATAL') AND {_text('Timeout|full')}", None),
+        "search_lake": _fast_logs(
+            f"SELECT {_RESULT} FROM logs WHERE {_LAKE} AND stream = 'svc-3' AND level IN ('ERROR', 'FATAL')"
+            f" AND {_text('Timeout|full')} ORDER BY ts DESC, coalesce(id, '')"
+        ),
+        "search_envelope": _logs(
+            f"""SELECT string_agg(id, ',' ORDER BY ts DESC, id) AS ids, any_value(total) AS total, count(*) AS returned,
+ 20::BIGINT AS "limit", 40::BIGINT AS "offset"
+FROM (SELECT id, ts, count(*) OVER () AS total FROM logs WHERE {_MONTH} AND level = 'ERROR'
+ ORDER BY ts DESC, id LIMIT 20 OFFSET 40)"""
+        ),
         "page_info": _logs(
             f"""SELECT total, 50::BIGINT AS "limit", 100::BIGINT AS "offset",
  least(greatest(total - 100, 0), 50) AS returned, greatest(ceil(total / 50.0), 1)::BIGINT AS total_pages,
@@ -251,9 +273,9 @@ def oracle_sql() -> dict[str, str]:
 FROM (SELECT count(*) AS total FROM logs WHERE {_MONTH} AND level = 'ERROR')"""
         ),
         "count_matches": _logs(f"SELECT count(*) AS total FROM logs WHERE {_COMBINED}"),
-        "files_scanned": _logs(
-            "SELECT count(DISTINCT date_trunc('hour', ts)) AS files_scanned FROM logs"
-            " WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11 01:00:00'"
+        "files_scanned": _fast_logs(
+            "SELECT count(DISTINCT (stream, date_trunc('hour', ts))) AS files_scanned FROM logs"
+            " WHERE ts >= TIMESTAMP '2024-01-01 05:00:00' AND ts < TIMESTAMP '2024-01-02 03:00:00'"
         ),
         "time_range": _logs(
             "SELECT min(ts) AS oldest, max(ts) AS newest,"
@@ -286,10 +308,10 @@ FROM years y LEFT JOIN (SELECT stream, min(ts) AS oldest, max(ts) AS newest FROM
         "view_all": _view(),
         "view_errors": _view("level IN ('ERROR', 'FATAL')"),
         "view_warnings": _view("level IN ('WARN', 'WARNING', 'ERROR', 'FATAL')"),
-        "view_traces": _view(after="trace_id != ''"),
+        "view_traces": _view("trace_id != ''"),
         "view_search": _view(
-            search="contains(lower(message), 'purchase') OR contains(lower(source), 'purchase')"
-            " OR contains(lower(process), 'purchase') OR contains(lower(level), 'purchase')"
+            "(contains(lower(message), 'purchase') OR contains(lower(source), 'purchase')"
+            " OR contains(lower(coalesce(process, '')), 'purchase') OR contains(lower(level), 'purchase'))"
         ),
         "newest_per_stream": _logs(
             "SELECT stream, ts, id, level, message FROM (SELECT *, row_number() OVER"
@@ -365,7 +387,8 @@ FROM (SELECT id, copy, {_SECOND} AS ts, source, message,
  FROM logs, (SELECT unnest(range(3))::INTEGER AS copy)) WHERE rn = 1"""
         ),
         "content_ids": _logs(
-            "SELECT sha256(source || '|' || epoch_us(ts) || '|' || message) AS id, event_id FROM logs"
+            """SELECT sha256(length(source) || ':' || source || length(epoch_us(ts)::VARCHAR) || ':' || epoch_us(ts)
+ || length(message) || ':' || message) AS id, event_id FROM logs"""
         ),
         "storage_normalize": _logs(
             "SELECT id, ts, source, level, message, trace_id, process, tags, CAST(NULL AS VARCHAR) AS component FROM logs"
@@ -379,8 +402,24 @@ FROM (SELECT id, copy, {_SECOND} AS ts, source, message,
  || '","request_id":"' || request_id || '"'
  || coalesce(',"tags":["' || replace(tags, ',', '","') || '"]', '') || '}}' AS value FROM logs"""
         ),
-        "lake_roundtrip": _logs(
-            f"SELECT {stored}, 'all' AS stream, ts::DATE AS dt, hour(ts)::INTEGER AS hour FROM logs"
+        "lake_roundtrip": _fast_logs(f"SELECT {stored}, {_PLACE} FROM logs"),
+        "dedup_separators": f"SELECT message, ts, source, min(event_id) AS event_id FROM ({separators_sql()})"
+        " GROUP BY message, ts, source",
+        "lines_long": f"""SELECT length(value) AS size, md5(value) AS digest FROM (
+ SELECT repeat(line, CASE WHEN doc_id % 10 = 0 THEN {LONG_LINE} // length(line) + 1 ELSE 1 END) AS value
+ FROM (SELECT doc_id, doc_id || ': ' || translate(text, chr(10) || chr(13), '  ') AS line FROM documents WHERE text != ''))""",
+        "parse_syslog_new_year": _logs(
+            f"""SELECT id, month, CASE WHEN month = 12 THEN {_SECOND} + INTERVAL 11 MONTH
+ WHEN {_SECOND} + INTERVAL 1 YEAR <= TIMESTAMP '2025-01-16 12:00:00' THEN {_SECOND} + INTERVAL 1 YEAR
+ ELSE {_SECOND} END AS ts
+FROM logs, (SELECT unnest([1, 12])::INTEGER AS month)"""
+        ),
+        "parse_kv": _logs(
+            f"""SELECT id, user_id, 'a=' || (event_id + 1) || {_NL} || 'b=two words ' || user_id
+ || {_NL} || 'c=' || level || {_NL} || 'user=' || user_id AS fields FROM logs"""
+        ),
+        "parse_custom_pattern": _logs(
+            f"SELECT id, {_SECOND} AS ts, level, thread, component || ' done' AS message FROM logs"
         ),
         "compaction_plan": f"{_COMPACTION} SELECT * FROM plan",
         "compaction_totals": f"""{_COMPACTION} SELECT count(*) AS total_compactions,
@@ -388,9 +427,10 @@ FROM (SELECT id, copy, {_SECOND} AS ts, source, message,
 FROM plan WHERE needs_compaction""",
         "compaction_files": f"""{_COMPACTION} SELECT c.stream AS stream, c.dt AS dt, name, length, output_files
 FROM chosen c JOIN plan p ON c.stream = p.stream AND c.dt = p.dt WHERE needs_compaction AND in_rewrite""",
-        "compaction_rewrite": _logs(
-            f"SELECT id, {folded} AS ts, level, message, ts::DATE AS dt, 0 AS hour FROM logs"
-        ),
+        "compaction_rewrite": _fast_logs(f"SELECT {_LAKE_COLUMNS}, {_PLACE} FROM logs"),
+        "retention_apply": _fast_logs(f"SELECT {_LAKE_COLUMNS}, {_PLACE} FROM logs WHERE ts >= TIMESTAMP '2024-01-02'"),
+        "stream_compact": _fast_logs(_STREAMED),
+        "stream_retain": _fast_logs(f"{_STREAMED} WHERE ts >= TIMESTAMP '2024-01-02'"),
         "retention_plan": f"{_RETENTION} SELECT * FROM plan",
         "retention_totals": f"""{_RETENTION} SELECT stream, count(*) AS files_scanned,
  count_if(by_age OR by_size)::BIGINT AS files_deleted,
@@ -418,15 +458,15 @@ FROM chosen c JOIN plan p ON c.stream = p.stream AND c.dt = p.dt WHERE needs_com
         ),
         "duration_text": f"SELECT o_orderkey, {_DURATION} AS duration FROM"
         " (SELECT o_orderkey, (o_orderkey % 100000)::DOUBLE AS s FROM orders)",
-        "stream_ingest": _logs(
-            f""", parsed AS (SELECT {_mixed_rows('ts', 'level', 'message', 'service', 'trace_id', 'timed')} FROM logs)
-SELECT min(level) AS level, coalesce(service, 'stdin') AS source, message, min(trace_id) AS trace_id
+        "stream_ingest": _fast_logs(
+            f"""SELECT *, source AS stream, ts::DATE AS dt, hour(ts)::INTEGER AS hour FROM (
+WITH parsed AS (SELECT {_mixed_rows('ts', 'level', 'message', 'service', 'trace_id', 'timed')} FROM logs)
+SELECT min(ts) AS ts, min(level) AS level, coalesce(service, 'stdin') AS source, message, min(trace_id) AS trace_id
 FROM parsed WHERE timed GROUP BY message, date_trunc('second', ts), coalesce(service, 'stdin')
-UNION ALL SELECT level, coalesce(service, 'stdin'), message, trace_id FROM parsed WHERE NOT timed"""
+UNION ALL SELECT ts, level, coalesce(service, 'stdin'), message, trace_id FROM parsed WHERE NOT timed)"""
         ),
-        "stream_dedup": _logs(
-            f"SELECT DISTINCT date_trunc('day', {_SECOND}) + ({_SECOND} - date_trunc('hour', ts)) AS ts,"
-            " source, message FROM logs"
+        "stream_dedup": _fast_logs(
+            f"SELECT DISTINCT {_SECOND} AS ts, source, message, {_PLACE} FROM logs"
         ),
         "stream_counters": _logs(
             """SELECT stream, count(*) AS log_count, count_if(level IN ('ERROR', 'FATAL'))::BIGINT AS error_count,

@@ -4,31 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-from logspark.runtime import ensure_checkpoint_dir
+from logspark.runtime import ensure_checkpoint_dir, own_checkpoint_dir
 from logspark.sources.lake import write_lake
 from workload import fixtures
 
 
 def new_folder(spark: SparkSession) -> str:
+    own_checkpoint_dir(spark)
     return f"{ensure_checkpoint_dir(spark)}/logspark-{uuid.uuid4().hex}"
 
 
-_lakes: dict[tuple[str, str], str] = {}
-
-
 def lake_of_logs(spark: SparkSession, sf_dir: str) -> str:
-    """A lake that holds the logs table as one stream; written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _lakes:
-        root = f"{new_folder(spark)}/lake"
-        write_lake(one_stream(fixtures.logs(spark, sf_dir)), root)
-        _lakes[key] = root
-    return _lakes[key]
-
-
-def one_stream(rows: DataFrame) -> DataFrame:
-    """The stream of a collector that takes in all sources."""
-    return rows.withColumn("stream", F.lit("all"))
+    """A fresh lake that holds the logs table, all its streams and hours."""
+    root = f"{new_folder(spark)}/lake"
+    write_lake(fixtures.logs(spark, sf_dir, fast=True), root)
+    return root

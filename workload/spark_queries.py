@@ -13,17 +13,21 @@ from logspark.functions.levels import normalize_level
 from logspark.functions.text import duration_text
 from logspark.operators import entries, filters, render, search, sessions, stats
 from logspark.operators.parse import parse_lines
+from logspark.operators.patterns import DEFAULTS, Pattern
 from logspark.plans import compaction, retention
 from logspark.schema import DISTINCT_COLUMNS
+from logspark.sources import inventory
 from logspark.sources.lake import lake_rows, read_lake, write_sorted
-from logspark.sources.lines import spread, stream_lines, trim_lines
+from logspark.sources.lines import read_lines, spread, stream_lines, trim_lines
 from logspark.streaming.counters import running_counters
 from logspark.streaming.ingest import dedup_stream, pipe_rows, write_stream
 from workload import fixtures
-from workload.scratch import lake_of_logs, new_folder, one_stream
+from workload.scratch import lake_of_logs, new_folder
 
 DAY_START = dt.datetime(2024, 1, 10)
 DAY_END = dt.datetime(2024, 1, 11)
+LAKE_START = dt.datetime(2024, 1, 1, 5, 30)
+LAKE_END = dt.datetime(2024, 1, 2, 2, 15)
 MONTH_START = dt.datetime(2024, 1, 1)
 MONTH_END = dt.datetime(2024, 2, 1)
 INGEST = "2024-06-01 12:30:45"
@@ -101,11 +105,12 @@ def search_relative(spark, sf_dir, factory) -> DataFrame:
 
 
 def search_lake(spark, sf_dir) -> DataFrame:
-    """A day's errors out of the partitioned lake."""
-    lake = read_lake(spark, lake_of_logs(spark, sf_dir))
+    """Some hours' errors of one stream, out of the folders of the lake they can be in."""
+    root = lake_of_logs(spark, sf_dir)
     wanted = filters.QueryFilter(
-        DAY_START, DAY_END, process="all", levels=["ERROR", "FATAL"], message_search="Timeout|full"
+        LAKE_START, LAKE_END, process="svc-3", levels=["ERROR", "FATAL"], message_search="Timeout|full"
     )
+    lake = read_lake(spark, root, wanted.start, wanted.end, wanted.process)
     return _plain(_ntz(search.search(lake, wanted)))
 
 
@@ -119,9 +124,17 @@ def count_matches(spark, sf_dir) -> DataFrame:
 
 
 def files_scanned(spark, sf_dir) -> DataFrame:
-    """Hours of the day that hold rows: the lake keeps one file per hour here."""
-    lake = read_lake(spark, lake_of_logs(spark, sf_dir))
-    return search.files_scanned(lake, filters.QueryFilter(DAY_START, DAY_END, process="all"))
+    """Hours of the range that hold rows of any stream: the lake keeps one file for each here."""
+    root = lake_of_logs(spark, sf_dir)
+    return search.files_scanned(spark, root, filters.QueryFilter(LAKE_START, LAKE_END))
+
+
+def search_envelope(spark, sf_dir) -> DataFrame:
+    """Page and envelope in one row; the page is told by its ids."""
+    wanted = filters.QueryFilter(MONTH_START, MONTH_END, levels=["ERROR"], limit=20, offset=40)
+    found = search.search_envelope(fixtures.logs(spark, sf_dir), wanted)
+    ids = F.array_join(F.transform("entries", lambda entry: entry["id"]), ",")
+    return found.select(ids.alias("ids"), "total", "returned", "limit", "offset")
 
 
 # --- statistics ---------------------------------------------------------
@@ -303,6 +316,72 @@ def dedup_lines(spark, sf_dir) -> DataFrame:
     return kept.select("id", "copy", "ts", "source", "message", entries.dedup_key().alias("dedup_key"))
 
 
+_SEPARATORS = """SELECT concat('k', event_id % 50, '|5') AS message, {second} 00:00:07' AS ts, 's' AS source, event_id FROM {events}
+UNION ALL SELECT concat('k', event_id % 50) AS message, {second} 00:00:05' AS ts, '7|s' AS source, event_id FROM {events}"""
+
+
+def dedup_separators(spark, sf_dir) -> DataFrame:
+    """Messages and sources that hold the separator: read together they look alike."""
+    events = fixtures.table(spark, sf_dir, "events")
+    text = _SEPARATORS.format(second="timestamp_ntz'1970-01-01", events="{events}")
+    rows = spark.sql(text, events=events)
+    return entries.dedup(rows, ("event_id",))
+
+
+def separators_sql() -> str:
+    return _SEPARATORS.format(second="TIMESTAMP '1970-01-01", events="events")
+
+
+LONG_LINE = 1_200_000
+
+
+def lines_long(spark, sf_dir) -> DataFrame:
+    """Lines as long as the whole text of a document, each tenth of them over a mebibyte."""
+    docs = fixtures.table(spark, sf_dir, "documents").where("text <> ''")
+    line = "concat(doc_id, ': ', translate(text, '\n\r', '  '))"
+    times = f"CASE WHEN doc_id % 10 = 0 THEN {LONG_LINE} div length({line}) + 1 ELSE 1 END"
+    folder = f"{new_folder(spark)}/lines"
+    docs.selectExpr(f"repeat({line}, cast({times} AS int)) AS value").write.text(folder)
+    read = read_lines(spark, folder)
+    return read.selectExpr("length(value) AS size", "md5(value) AS digest")
+
+
+def parse_syslog_new_year(spark, sf_dir) -> DataFrame:
+    """Syslog lines without a year, taken in at the turn of the year."""
+    lines = fixtures.lines(spark, sf_dir, "syslog")
+    ends = lines.withColumn("value", F.regexp_replace("value", "^Jan (\\d\\d)", "Dec $1"))
+    both = lines.withColumn("month", F.lit(1)).unionByName(ends.withColumn("month", F.lit(12)))
+    parsed = parse_lines(both, ingest_ts=F.lit("2025-01-15 12:00:00"))
+    return _ntz(parsed).select("id", "month", "ts")
+
+
+def parse_kv(spark, sf_dir) -> DataFrame:
+    """Pairs with quotes, dashes and repeats; the last of a repeated name counts."""
+    lines = spread(fixtures.logs(spark, sf_dir)).selectExpr(
+        "id",
+        "concat('note a=', event_id, ' b=\"two words ', user_id, '\" a=', event_id + 1, ' user=', user_id, ' c=', level, ', end') AS value",
+    )
+    return _parse(lines).select("id", "user_id", fields_text().alias("fields"))
+
+
+def parse_custom_pattern(spark, sf_dir) -> DataFrame:
+    """A user's own format after the standard ones."""
+    own = Pattern(
+        name="Tildes",
+        regex=r"~(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)~(\w+)~([^~]+)~(.*)",
+        time_layout="yyyy-MM-dd HH:mm:ss",
+        time_group=1,
+        level_group=2,
+        message_group=4,
+        fields={"thread": 3},
+    )
+    lines = spread(fixtures.logs(spark, sf_dir)).selectExpr(
+        "id", "concat('~', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), '~', lower(level), '~', thread, '~', component, ' done') AS value"
+    )
+    parsed = _ntz(parse_lines(lines, ingest_ts=F.lit(INGEST), patterns=(*DEFAULTS, own)))
+    return parsed.select("id", "ts", "level", "thread", "message")
+
+
 def storage_normalize(spark, sf_dir) -> DataFrame:
     events = fixtures.table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("raw_ts"))
     logs = fixtures.logs(spark, sf_dir).join(events, "event_id")
@@ -367,15 +446,25 @@ def compaction_files(spark, sf_dir) -> DataFrame:
 
 
 def compaction_rewrite(spark, sf_dir) -> DataFrame:
-    """A lake of small files, compacted: the rows must stay the same."""
+    """A lake of small files in every stream and hour, compacted: the rows must stay the same."""
     root = f"{new_folder(spark)}/lake"
-    rows = one_stream(fixtures.logs(spark, sf_dir)).withColumn(
-        "ts", F.expr("date_trunc('DAY', ts) + (ts - date_trunc('HOUR', ts))")
-    )
-    write_sorted(lake_rows(rows).repartition(6, "id"), root)
+    rows = lake_rows(fixtures.logs(spark, sf_dir, fast=True))
+    write_sorted(rows.repartition(6, "id"), root)
     now = F.current_timestamp() + F.expr("INTERVAL 3 HOURS")
     compaction.compact_lake(spark, root, now)
-    return _ntz(read_lake(spark, root).select("id", "ts", "level", "message", "dt", "hour"))
+    return _stored(read_lake(spark, root))
+
+
+def _stored(lake: DataFrame) -> DataFrame:
+    return _ntz(lake.select("id", "ts", "level", "source", "message", "trace_id", "stream", "dt", "hour"))
+
+
+def retention_apply(spark, sf_dir) -> DataFrame:
+    """The rows left when the files of the first day are deleted."""
+    root = lake_of_logs(spark, sf_dir)
+    files = inventory.file_inventory(spark, root)
+    retention.delete_files(spark, root, files.where(F.col("dt") < F.lit(LAKE_END.date())))
+    return _stored(read_lake(spark, root))
 
 
 def _retention(spark, sf_dir) -> DataFrame:
@@ -430,32 +519,54 @@ def _text_files(lines: DataFrame) -> str:
     return folder
 
 
-def _drain(rows: DataFrame) -> DataFrame:
-    """Run a stream over what is there and return what its sink holds."""
-    spark, folder = rows.sparkSession, new_folder(rows.sparkSession)
-    query = write_stream(one_stream(rows), f"{folder}/landing", f"{folder}/checkpoint", interval=None)
+def _ingested(rows: DataFrame) -> str:
+    """Run a stream over what is there; returns the lake it made."""
+    folder = new_folder(rows.sparkSession)
+    query = write_stream(rows, f"{folder}/lake", f"{folder}/checkpoint", interval=None, with_ids=False)
     query.awaitTermination()
-    return _ntz(read_lake(spark, f"{folder}/landing"))
+    return f"{folder}/lake"
 
 
-def _folded(rows: DataFrame) -> DataFrame:
-    """All rows in the first hour of their day, for fewer partitions."""
-    return rows.withColumn("ts", F.expr("date_trunc('DAY', ts) + (ts - date_trunc('HOUR', ts))"))
+def _landed(lake: DataFrame) -> DataFrame:
+    return _ntz(lake.select("ts", "level", "source", "message", "trace_id", "stream", "dt", "hour"))
 
 
 def stream_ingest(spark, sf_dir) -> DataFrame:
     """Mixed lines through the streaming job: files -> parse -> dedup -> lake."""
-    folder = _text_files(fixtures.mixed_lines(spark, sf_dir))
+    folder = _text_files(fixtures.mixed_lines(spark, sf_dir, fast=True))
     rows = pipe_rows(stream_lines(spark, folder), "stdin", ingest_ts=F.lit(INGEST))
-    landed = _drain(_folded(dedup_stream(rows)))
-    return landed.select("level", "source", "message", "trace_id")
+    return _landed(read_lake(spark, _ingested(dedup_stream(rows))))
 
 
 def stream_dedup(spark, sf_dir) -> DataFrame:
-    folder = _text_files(_repeated(spark, sf_dir))
+    lines = fixtures.lines(spark, sf_dir, "json_prefix", fast=True)
+    folder = _text_files(lines.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(2)))))
     rows = pipe_rows(stream_lines(spark, folder), "stdin", ingest_ts=F.lit(INGEST))
-    landed = _drain(_folded(dedup_stream(rows)))
-    return landed.select("ts", "source", "message")
+    landed = read_lake(spark, _ingested(dedup_stream(rows)))
+    return _ntz(landed.select("ts", "source", "message", "stream", "dt", "hour"))
+
+
+def _batches(spark, sf_dir) -> DataFrame:
+    """Structured lines as a stream of several micro-batches."""
+    folder = _text_files(fixtures.lines(spark, sf_dir, "structured", fast=True))
+    lines = stream_lines(spark, folder, max_files_per_trigger=3)
+    return pipe_rows(lines, "stdin", ingest_ts=F.lit(INGEST))
+
+
+def stream_compact(spark, sf_dir) -> DataFrame:
+    """A streamed lake after compaction: the rows of its batch twin."""
+    root = _ingested(_batches(spark, sf_dir))
+    policy = compaction.CompactionPolicy(min_files=2)
+    compaction.compact_lake(spark, root, F.current_timestamp() + F.expr("INTERVAL 3 HOURS"), policy)
+    return _landed(read_lake(spark, root))
+
+
+def stream_retain(spark, sf_dir) -> DataFrame:
+    """A streamed lake after the files of its first day are deleted."""
+    root = _ingested(_batches(spark, sf_dir))
+    files = inventory.file_inventory(spark, root)
+    retention.delete_files(spark, root, files.where(F.col("dt") < F.lit(LAKE_END.date())))
+    return _landed(read_lake(spark, root))
 
 
 def stream_counters(spark, sf_dir) -> DataFrame:
@@ -565,6 +676,15 @@ def queries() -> dict[str, Query]:
         "render_detail": lambda spark, sf_dir: render.detail_rows(logs(spark, sf_dir)),
         "render_search": lambda spark, sf_dir: render.search_rows(logs(spark, sf_dir)),
         "duration_text": duration_texts,
+        "dedup_separators": dedup_separators,
+        "lines_long": lines_long,
+        "parse_syslog_new_year": parse_syslog_new_year,
+        "parse_kv": parse_kv,
+        "parse_custom_pattern": parse_custom_pattern,
+        "search_envelope": search_envelope,
+        "retention_apply": retention_apply,
+        "stream_compact": stream_compact,
+        "stream_retain": stream_retain,
         "stream_ingest": stream_ingest,
         "stream_dedup": stream_dedup,
         "stream_counters": stream_counters,
