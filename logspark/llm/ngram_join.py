@@ -17,8 +17,8 @@ No link between components is lost, and no group is expanded into all its pairs.
 
 Shingles are 64-bit hashes. A text with fewer words than a shingle has one
 shingle, its whole sequence; a text without words (null, empty, blank) has none
-and links with nothing. Rows of one doc_id, or without one, count as one
-document each in the result but share a component.
+and links with nothing. Rows of one doc_id share a component, which
+every text of theirs can link; rows without doc_id link with nothing.
 """
 
 from __future__ import annotations
@@ -232,8 +232,7 @@ def bounded(pairs: DataFrame, places: DataFrame, percent: int) -> DataFrame:
             yield batch.select(names).filter(kept)
 
     sides = [
-        places.select(F.col("doc_id").alias(name), F.col("counts").alias(f"counts_{name}")).dropDuplicates([name])
-        for name in ("a", "b")
+        places.select(F.col("doc_id").alias(name), F.col("counts").alias(f"counts_{name}")) for name in ("a", "b")
     ]
     joined = pairs.join(sides[0], "a").join(sides[1], "b").select(*names, "counts_a", "counts_b")
     schema = ", ".join(f"{name} long" for name in names)
@@ -257,8 +256,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
     sets = points(docs, ids, width, True).select("doc_id", "shingles")
     sides = [
-        sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"set_{name}")).dropDuplicates([name])
-        for name in ("a", "b")
+        sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"set_{name}")) for name in ("a", "b")
     ]
     joined = pairs.select("a", "b").join(sides[1], "b").join(sides[0], "a")
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
@@ -387,6 +385,10 @@ def _labelled(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, component) for all documents that link with another one."""
+    docs = texts(docs).where("doc_id IS NOT NULL")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # Repeated rows would meet themselves again and again.
+        docs = docs.distinct()
     met = written(meetings(key_rows(docs, width, percent)), "meetings")
     ids = met.select(F.col("a").alias("doc_id")).union(met.select("b"))
     places = written(points(docs, ids, width, False).drop("shingles"), "points")
@@ -408,7 +410,7 @@ def link_components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     groups = (
         members.join(where, "doc_id", "left")
         .withColumn("component", F.coalesce("component", "doc_id"))
-        .join(places.dropDuplicates(["doc_id"]), "doc_id")
+        .join(places, "doc_id")
     )
     others = tree_pairs(groups, percent).join(near.select("a", "b"), ["a", "b"], "left_anti")
     others = written(others, "others")

@@ -81,7 +81,8 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """
     rows = written(span_rows(docs, span), "spans")
     first = rows.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
-    known = first.where("n > 1").select("high", "low", "first")
+    # Written, so that both sides of the join are dealt for it alone and a hot run can be split.
+    known = written(first.where("n > 1").select("high", "low", "first"), "repeats")
     again = rows.join(known, ["high", "low"]).where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
     return again.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
