@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut sentences of repeated passages out of all but the first document that has them."""
-    shorter = without_repeats(docs).drop("cut")
+    shorter = without_repeats(docs)
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
         shorter = shorter.withColumn("n_chars", size)

@@ -88,8 +88,9 @@ def meeting_keys(values: np.ndarray, first: np.ndarray, percent: int) -> tuple[n
     keys, texts_of = [mix(values[near] ^ np.uint64(0x5851F42D4C957F2D))], [owners[near]]
     begins, most, groups = bands(percent)
     own = np.searchsorted(begins, sizes, "right") - 1
-    # A set serves its own band, and the one below if sets of it are large enough to link.
-    for band in (own, own - 1):
+    # A set serves its own band, and those below whose sets are large enough to link.
+    below = int(np.log(100 / percent) / np.log(_RATIO)) + 2
+    for band in (own - step for step in range(below + 1)):
         served = (band >= 0) & (sizes > 0)
         served &= begins[np.maximum(band, 0) + 1] - 1 >= least_size(sizes, percent)
         picked = served[owners]

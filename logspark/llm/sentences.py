@@ -96,7 +96,12 @@ def covered(places, count: int, span: int) -> list[bool]:
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """The rows of ``docs`` with shortened texts, and ``n_sentences`` and ``n_removed`` in a struct ``cut``."""
+    """The rows of ``docs`` with shortened texts."""
+    return cut_documents(docs, span).select("record.*")
+
+
+def cut_documents(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """(record, n_sentences, n_removed): the rows of ``docs`` as structs, with shortened texts."""
     found = repeats(docs, span)
     marked = docs.alias("d").join(
         found.alias("r"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")), "left"
@@ -136,13 +141,13 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
             T.StructField("n_removed", T.LongType()),
         ]
     )
-    out = laid.mapInArrow(run, schema)
     columns = [
         (F.col("text") if name == "text" else F.col(f"row.`{name}`")).alias(name) for name in docs.columns
     ]
-    return out.select(*columns, F.struct("n_sentences", "n_removed").alias("cut"))
+    out = laid.mapInArrow(run, schema)
+    return out.select(F.struct(*columns).alias("record"), "n_sentences", "n_removed")
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
-    return without_repeats(docs).select("doc_id", "cut.n_sentences", "cut.n_removed", "text")
+    return cut_documents(docs).select("record.doc_id", "n_sentences", "n_removed", "record.text")
