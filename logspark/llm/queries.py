@@ -12,7 +12,7 @@ from logspark.llm.ngram_join import op5_count_rtree
 from logspark.llm.packing import op1_bm25_packing
 from logspark.llm.quality import op7_quality
 from logspark.llm.rans import op2_rans
-from logspark.llm.sentences import op8_sentence_spans
+from logspark.llm.sentences import SENTENCE, SPAN, op8_sentence_spans
 from logspark.llm.sharding import op10_two_pass_shuffle
 from logspark.llm.suffixes import op9_prefix_doubling
 from logspark.llm.urls import op4_markov_urls
@@ -34,5 +34,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in found}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_JOIN = f"""WITH RECURSIVE texts AS (
+ SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w
+ FROM documents),
+shingles AS (SELECT DISTINCT doc_id, s FROM (
+ SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM texts)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+ FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+ WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reached r JOIN ways w ON r.b = w.a),
+least_of AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT d.doc_id AS doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of l ON l.a = d.doc_id"""
+
+_SPANS = f"""WITH texts AS (
+ SELECT doc_id, text, list_filter(regexp_extract_all(coalesce(text, ''), '{SENTENCE}'), lambda s: s <> '') AS parts FROM documents),
+plain AS (SELECT doc_id, list_transform(parts, lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))) AS parts FROM texts),
+runs AS (SELECT doc_id, i AS place, parts[i:i + {SPAN - 1}] AS run
+ FROM plain, unnest(range(1, greatest(len(parts) - {SPAN - 2}, 1))) AS t(i)),
+again AS (SELECT doc_id, place FROM (
+ SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS rn FROM runs) WHERE rn > 1),
+gone AS (SELECT doc_id, list(DISTINCT place + step) AS places FROM again, unnest(range({SPAN})) AS t(step) GROUP BY doc_id),
+kept AS (SELECT t.doc_id AS doc_id, text, parts, coalesce(places, []) AS places FROM texts t LEFT JOIN gone g ON g.doc_id = t.doc_id)
+SELECT doc_id, len(parts) AS n_sentences, len(places) AS n_removed, CASE WHEN text IS NOT NULL THEN array_to_string(
+ list_transform(list_filter(range(1, len(parts) + 1), lambda i: NOT list_contains(places, i)), lambda i: parts[i]), '') END AS text
+FROM kept"""
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say it and stays small: the byte strings of op9 do not fit in memory, and the
+    others need a tokenizer, a generator or sketch hashes, or train a model. Tests compare
+    those with brute force."""
+    return {"op5_count_rtree": _JOIN, "op8_sentence_spans": _SPANS}
