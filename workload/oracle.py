@@ -418,6 +418,25 @@ FROM logs, (SELECT unnest([1, 12])::INTEGER AS month)"""
             f"""SELECT id, user_id, 'a=' || (event_id + 1) || {_NL} || 'b=two words ' || user_id
  || {_NL} || 'c=' || level || {_NL} || 'user=' || user_id AS fields FROM logs"""
         ),
+        "parse_fallthrough": _logs(
+            "SELECT id, level, '[' || level || '] ' || component AS message, false AS timed FROM logs"
+        ),
+        "parse_embedded_json": _logs(
+            f"""SELECT id, level, source AS service, component || ' ' || thread AS message,
+ 'entity=' || thread || {_NL} || 'operation=' || component || {_NL} || 'service=' || source AS fields FROM logs"""
+        ),
+        "read_containers": _logs(
+            "SELECT stream AS container, CASE WHEN level IN ('ERROR', 'FATAL') THEN 'stderr' ELSE 'stdout' END"
+            " AS stream_type, id || ' ' || message AS value FROM logs"
+        ),
+        "session_files": _sessions(
+            "SELECT session, session || '-web' AS stream, id, start_time, last_update, active AND"
+            " (SELECT max(last_update) FROM sessions) - last_update <= INTERVAL 1 HOUR AS active FROM sessions"
+        ),
+        "live_view": f"""WITH logs AS ({fixtures.duckdb_logs(fast=True)}), members AS ({fixtures.MEMBERS})
+SELECT {_RESULT}, stream FROM logs WHERE stream IN (SELECT stream FROM members WHERE session = 'checkout')
+ AND ts >= {_NEWEST} - INTERVAL 1 HOUR AND level IN ('ERROR', 'FATAL') ORDER BY ts DESC, id LIMIT 100""",
+        "stream_late": _fast_logs(f"SELECT DISTINCT {_SECOND} AS ts, source, message, {_PLACE} FROM logs"),
         "parse_custom_pattern": _logs(
             f"SELECT id, {_SECOND} AS ts, level, thread, component || ' done' AS message FROM logs"
         ),

@@ -17,8 +17,17 @@ from logspark.operators.patterns import DEFAULTS, Pattern
 from logspark.plans import compaction, retention
 from logspark.schema import DISTINCT_COLUMNS
 from logspark.sources import inventory
-from logspark.sources.lake import lake_rows, read_lake, write_sorted
-from logspark.sources.lines import read_lines, spread, stream_lines, trim_lines
+from logspark.sources.folders import in_parallel, path_of
+from logspark.sources.lake import file_system, lake_rows, read_lake, write_sorted
+from logspark.sources.lines import (
+    read_container_lines,
+    read_lines,
+    spread,
+    stream_lines,
+    trim_lines,
+)
+from logspark.sources.session_files import read_sessions, session_members
+from logspark.streaming import live
 from logspark.streaming.counters import running_counters
 from logspark.streaming.ingest import dedup_stream, pipe_rows, write_stream
 from workload import fixtures
@@ -382,6 +391,81 @@ def parse_custom_pattern(spark, sf_dir) -> DataFrame:
     return parsed.select("id", "ts", "level", "thread", "message")
 
 
+def parse_fallthrough(spark, sf_dir) -> DataFrame:
+    """An early format takes the line but says neither level nor time; a later one has the level."""
+    lines = spread(fixtures.logs(spark, sf_dir)).selectExpr(
+        "id", "concat('[', stream, '] [', thread, '] [', level, '] ', component) AS value"
+    )
+    return _parse(lines).select("id", "level", "message", "timed")
+
+
+def parse_embedded_json(spark, sf_dir) -> DataFrame:
+    """A JSON object as the message of a line, without a message of its own."""
+    lines = spread(fixtures.logs(spark, sf_dir)).selectExpr(
+        "id",
+        "concat('[', date_format(ts, 'HH:mm:ss.SSS'), '] ', level, ' (', source, '): {\"operation\":\"', component,"
+        " '\",\"entity\":\"', thread, '\",\"service\":\"other\"}') AS value",
+    )
+    return _parse(lines).select("id", "level", "service", "message", fields_text().alias("fields"))
+
+
+def read_containers(spark, sf_dir) -> DataFrame:
+    """Container logs out of their folders, one file for each container and stream."""
+    folder = new_folder(spark)
+    kind = F.when(F.col("level").isin("ERROR", "FATAL"), "stderr").otherwise("stdout")
+    lines = fixtures.logs(spark, sf_dir).select(
+        F.concat(F.lit("  "), "id", F.lit(" "), "message").alias("value"), F.col("stream").alias("container"), kind.alias("kind")
+    )
+    lines.repartition("container", "kind").write.partitionBy("container", "kind").text(f"{folder}/staged")
+    _move_files(spark, f"{folder}/staged/container=*/kind=*/*.txt", _container_file(f"{folder}/logs"))
+    return read_container_lines(spark, f"{folder}/logs").select("container", "stream_type", "value")
+
+
+def _container_file(folder: str):
+    def target(path: str) -> str:
+        container, kind, name = path.split("/")[-3:]
+        return f"{folder}/{container.split('=')[1]}/{kind.split('=')[1]}-{name}.log"
+
+    return target
+
+
+def _move_files(spark: SparkSession, pattern: str, target: Callable[[str], str]) -> None:
+    files = file_system(spark, pattern.split("*")[0])
+    found = [status.getPath().toString() for status in files.globStatus(path_of(spark, pattern))]
+
+    def move(path: str) -> None:
+        place = path_of(spark, target(path))
+        files.mkdirs(place.getParent())
+        files.rename(path_of(spark, path), place)
+
+    in_parallel(move, found)
+
+
+def session_files(spark, sf_dir) -> DataFrame:
+    """Session definitions, one JSON file each, and the streams attached to them."""
+    folder = new_folder(spark)
+    time = lambda name: F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    process = F.struct(
+        F.lit("web").alias("name"), time("start_time").alias("start_time"), F.lit(0).alias("log_count"),
+        time("start_time").alias("last_seen"), F.lit(0).alias("error_count"), F.lit(0).alias("warning_count"),
+    )
+    known = fixtures.sessions(spark, sf_dir)
+    file = F.struct(
+        "id", F.col("session").alias("name"), time("start_time").alias("start_time"),
+        F.create_map(F.concat("session", F.lit("-web")), process).alias("processes"), "active",
+        time("last_update").alias("last_update"),
+    )
+    rows = known.select(F.to_json(file).alias("value"), F.col("session").alias("of"))
+    rows.write.partitionBy("of").text(f"{folder}/staged")
+    _move_files(spark, f"{folder}/staged/of=*/*.txt", lambda path: f"{folder}/all/{path.split('/')[-2][3:]}.json")
+    now = F.lit(_latest(known, "last_update")).cast("timestamp")
+    read = read_sessions(spark, f"{folder}/all", now)
+    members = session_members(read).drop("start_time")
+    joined = read.join(members, "session")
+    naive = lambda name: F.col(name).cast("timestamp_ntz").alias(name)
+    return joined.select("session", "stream", "id", naive("start_time"), naive("last_update"), "active")
+
+
 def storage_normalize(spark, sf_dir) -> DataFrame:
     events = fixtures.table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("raw_ts"))
     logs = fixtures.logs(spark, sf_dir).join(events, "event_id")
@@ -546,6 +630,35 @@ def stream_dedup(spark, sf_dir) -> DataFrame:
     return _ntz(landed.select("ts", "source", "message", "stream", "dt", "hour"))
 
 
+def stream_late(spark, sf_dir) -> DataFrame:
+    """Rows that arrive latest first, in batches, every row twice: none is too late."""
+    logs = fixtures.logs(spark, sf_dir, fast=True)
+    newest = logs.agg(F.max("ts")).first()[0]
+    lines = fixtures.lines(spark, sf_dir, "json_prefix", fast=True).join(logs.select("id", "ts"), "id")
+    folder = new_folder(spark)
+    for at, hours in enumerate((range(0, 10), range(10, 20), range(20, 40))):
+        from_, to = (newest - dt.timedelta(hours=h) for h in (hours.stop, hours.start))
+        part = lines.where((F.col("ts") > F.lit(from_)) & (F.col("ts") <= F.lit(to))).select("value")
+        part.unionByName(part).coalesce(2).write.mode("append").text(f"{folder}/lines")
+    rows = pipe_rows(stream_lines(spark, f"{folder}/lines", 2), "stdin", ingest_ts=F.lit(INGEST))
+    landed = read_lake(spark, _ingested(dedup_stream(rows)))
+    return _ntz(landed.select("ts", "source", "message", "stream", "dt", "hour"))
+
+
+def live_view(spark, sf_dir) -> DataFrame:
+    """The list a live view shows after its last tick: the newest hour of the lake."""
+    root = lake_of_logs(spark, sf_dir)
+    newest = _newest(fixtures.logs(spark, sf_dir, fast=True))
+    ticks = spark.readStream.schema("value string").text(_text_files(fixtures.lines(spark, sf_dir, "json").limit(8)))
+    shown: list[DataFrame] = []
+    query = live.live_view(
+        ticks, root, fixtures.members(spark), "checkout", shown.append, f"{new_folder(spark)}/checkpoint",
+        view="errors", now=lambda: newest, interval=None,
+    )
+    query.awaitTermination()
+    return _plain(_ntz(shown[-1]))
+
+
 def _batches(spark, sf_dir) -> DataFrame:
     """Structured lines as a stream of several micro-batches."""
     folder = _text_files(fixtures.lines(spark, sf_dir, "structured", fast=True))
@@ -681,6 +794,12 @@ def queries() -> dict[str, Query]:
         "parse_syslog_new_year": parse_syslog_new_year,
         "parse_kv": parse_kv,
         "parse_custom_pattern": parse_custom_pattern,
+        "parse_fallthrough": parse_fallthrough,
+        "parse_embedded_json": parse_embedded_json,
+        "read_containers": read_containers,
+        "session_files": session_files,
+        "live_view": live_view,
+        "stream_late": stream_late,
         "search_envelope": search_envelope,
         "retention_apply": retention_apply,
         "stream_compact": stream_compact,
