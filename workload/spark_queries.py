@@ -394,7 +394,7 @@ def parse_custom_pattern(spark, sf_dir) -> DataFrame:
 def parse_fallthrough(spark, sf_dir) -> DataFrame:
     """An early format takes the line but says neither level nor time; a later one has the level."""
     lines = spread(fixtures.logs(spark, sf_dir)).selectExpr(
-        "id", "concat('[', stream, '] [', thread, '] [', level, '] ', component) AS value"
+        "id", "concat('[', stream, '] [main] [', level, '] ', component) AS value"
     )
     return _parse(lines).select("id", "level", "message", "timed")
 
