@@ -40,7 +40,7 @@ PERCENT = 80
 #: Sets smaller than this meet by prefix, larger ones by groups.
 SMALL = 100
 _RATIO = 1.5
-DIMENSIONS = 256
+DIMENSIONS = 512
 # Entries of one R-tree, and of a leaf.
 TREE_POINTS, LEAF = 8192, 32
 # Bits of the filter that finds the documents of candidate pairs.
@@ -179,6 +179,20 @@ def vectors(values: np.ndarray, first: np.ndarray, dimensions: int = DIMENSIONS)
     return np.bincount(owners * dimensions + group, minlength=rows * dimensions).reshape(rows, dimensions).astype(np.int32)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Group counts as bytes, a byte for each if they fit."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if len(raw) == DIMENSIONS else np.uint32)
+
+
+def _shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Summed minima of rows."""
+    return np.minimum(one, two).sum(axis=1, dtype=np.int64)
+
+
 def points(docs: DataFrame, ids: DataFrame, width: int, with_sets: bool) -> DataFrame:
     """(doc_id, size, counts, shingles) of the documents whose id passes the filter of ``ids``.
 
@@ -200,7 +214,7 @@ def points(docs: DataFrame, ids: DataFrame, width: int, with_sets: bool) -> Data
                     [
                         batch.column("doc_id").slice(at, len(sets)),
                         pa.array(np.diff(first)),
-                        pa.array([row.tobytes() for row in counts], pa.binary()),
+                        pa.array([packed(row) for row in counts], pa.binary()),
                         pa.array(sets, pa.binary()),
                     ],
                     names=["doc_id", "size", "counts", "shingles"],
@@ -225,12 +239,10 @@ def bounded(pairs: DataFrame, places: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             one, two = (
-                np.frombuffer(b"".join(batch.column(name).to_pylist()), np.int32).reshape(batch.num_rows, -1)
-                for name in ("counts_a", "counts_b")
+                np.stack([unpacked(x) for x in batch.column(name).to_pylist()]) for name in ("counts_a", "counts_b")
             )
-            shared = np.minimum(one, two).sum(axis=1)
-            kept = pa.array(_passes(shared, one.sum(axis=1) + two.sum(axis=1), percent))
-            yield batch.select(names).filter(kept)
+            total = one.sum(axis=1, dtype=np.int64) + two.sum(axis=1, dtype=np.int64)
+            yield batch.select(names).filter(pa.array(_passes(_shared(one, two), total, percent)))
 
     sides = [
         places.select(F.col("doc_id").alias(name), F.col("counts").alias(f"counts_{name}")) for name in ("a", "b")
@@ -271,7 +283,7 @@ class RTree:
     """
 
     def __init__(self, counts: np.ndarray, leaf: int = LEAF):
-        self.counts, self.sizes = counts, counts.sum(axis=1)
+        self.counts, self.sizes = counts, counts.sum(axis=1, dtype=np.int64)
         self.order = np.arange(len(counts))
         self.levels: list[tuple[np.ndarray, ...]] = []
         cuts = self._cut(np.arange(len(counts)), leaf)
@@ -297,16 +309,16 @@ class RTree:
         half = len(order) // 2
         return self._cut(order[:half], leaf) + self._cut(order[half:], leaf)
 
-    def search(self, query: np.ndarray, percent: int) -> np.ndarray:
-        """The points whose summed minima with the query allow a link."""
-        size = int(query.sum())
+    def search(self, query: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The points whose summed minima with the query allow a link, and the similarity these allow."""
+        size = int(query.sum(dtype=np.int64))
         live = None
         for begins, ends, most, low, high in reversed(self.levels):
             at = np.arange(len(begins)) if live is None else live
-            shared = np.minimum(np.minimum(most[at], query).sum(axis=1), np.minimum(high[at], size))
+            shared = np.minimum(_shared(most[at], query), np.minimum(high[at], size))
             at = at[_passes(shared, low[at] + size, percent)]
             if not len(at):
-                return at
+                return at, np.zeros(0)
             live = at if begins is self.levels[0][0] else (at[:, None] * 8 + np.arange(8)).ravel()
             below = len(self.levels[0][0]) if begins is self.levels[0][0] else None
             if below is None:
@@ -314,26 +326,28 @@ class RTree:
                 live = live[live < len(self.levels[depth - 1][0])]
         begins, ends = self.levels[0][:2]
         places = np.concatenate([self.order[begins[leaf] : ends[leaf]] for leaf in live])
-        shared = np.minimum(self.counts[places], query).sum(axis=1)
-        return places[_passes(shared, self.sizes[places] + size, percent)]
+        shared, total = _shared(self.counts[places], query), self.sizes[places] + size
+        kept = _passes(shared, total, percent)
+        return places[kept], shared[kept] / np.maximum(total - shared, 1)[kept]
 
 
 def tree_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one group, of different components, that pass the bound.
+    """Pairs (a, b) of one group, of different components, that pass the bound, and the bound.
 
     ``groups`` has leader, doc_id, component, size and counts. A group is cut by
     size into cells, since links need like sizes. A cell's documents are dealt to
     trees of bounded size, and all documents of the cell and of the one below are
     searched in each tree, passing by one at a time.
     """
-    band = F.floor(F.log("size") / F.lit(float(np.log(100 / percent)))).cast("int")
+    # A little wider than the ratio of linked sizes, so that these never lie two cells apart.
+    band = F.floor(F.log("size") / F.lit(float(np.log(100 / percent)) * 1.01)).cast("int")
     rows = groups.withColumn("cell", band)
     trees = rows.groupBy("leader", "cell").agg(
         F.ceil(F.count("*") / F.lit(TREE_POINTS)).cast("int").alias("trees")
     )
     own = rows.join(trees, ["leader", "cell"])
     points_of = own.withColumn("tree", F.pmod(F.xxhash64("doc_id"), F.col("trees")).cast("int")).withColumn("role", F.lit(0))
-    near = rows.select("leader", "doc_id", "component", "size", "counts", F.explode(F.array("cell", F.col("cell") + 1, F.col("cell") + 2)).alias("cell"))
+    near = rows.select("leader", "doc_id", "component", "size", "counts", F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
     seekers = (
         near.join(trees, ["leader", "cell"])
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
@@ -350,29 +364,31 @@ def tree_pairs(groups: DataFrame, percent: int) -> DataFrame:
             for leader, cell, number, role, doc_id, component, counts in zip(*(batch.column(n).to_pylist() for n in names)):
                 if (leader, cell, number) != where:
                     where, held, tree = (leader, cell, number), [], None
-                point = np.frombuffer(counts, np.int32)
+                point = unpacked(counts)
                 if role == 0:
                     held.append((doc_id, component, point))
                     continue
                 if tree is None:
                     ids, parts = np.array([x[0] for x in held]), np.array([x[1] for x in held])
                     tree = RTree(np.stack([x[2] for x in held]))
-                hits = tree.search(point, percent)
-                hits = hits[parts[hits] != component]
-                found += [(min(doc_id, x), max(doc_id, x)) for x in ids[hits].tolist()]
+                hits, near = tree.search(point, percent)
+                apart = parts[hits] != component
+                hits, near = hits[apart], near[apart]
+                for x, part, bound in zip(ids[hits].tolist(), parts[hits].tolist(), near.tolist()):
+                    one, two = sorted(((doc_id, component), (x, part)))
+                    found.append((*one, *two, bound))
                 if len(found) > 10_000:
                     yield _pairs(found)
                     found = []
         if found:
             yield _pairs(found)
 
-    return laid.mapInArrow(run, "a long, b long").distinct()
+    return laid.mapInArrow(run, "a long, part_a long, b long, part_b long, bound double").distinct()
 
 
 def _pairs(found: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"]
-    )
+    columns = [pa.array(values) for values in zip(*found)]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "part_a", "b", "part_b", "bound"])
 
 
 def _labelled(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -415,10 +431,21 @@ def link_components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     )
     others = tree_pairs(groups, percent).join(near.select("a", "b"), ["a", "b"], "left_anti")
     others = written(others, "others")
-    if not others.isEmpty():
-        links = first.unionByName(verified(others, docs, width, percent))
-        parts = components(written(links, "links"))
-    return parts
+    if others.isEmpty():
+        return parts
+    # Of two components the nearest pair comes first; it mostly joins them, and spares the rest.
+    ends = F.least("part_a", "part_b"), F.greatest("part_a", "part_b")
+    nearest = others.groupBy(ends[0].alias("one"), ends[1].alias("two")).agg(
+        F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("pair")
+    )
+    nearest = written(nearest.select("pair.*"), "nearest")
+    first = written(first.unionByName(verified(nearest, docs, width, percent)), "links")
+    parts = written(components(first), "parts")
+    rest = _labelled(others.select("a", "b").join(nearest, ["a", "b"], "left_anti"), parts)
+    rest = written(rest.where("part_a <> part_b").select("a", "b"), "rest")
+    if rest.isEmpty():
+        return parts
+    return components(written(first.unionByName(verified(rest, docs, width, percent)), "links"))
 
 
 def set_sizes(docs: DataFrame, width: int) -> DataFrame:

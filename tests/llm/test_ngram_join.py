@@ -102,11 +102,12 @@ def test_tree_finds_what_a_scan_finds():
     for query in points[::9]:
         shared = np.minimum(points, query).sum(axis=1)
         expected = np.flatnonzero(100 * shared >= 80 * (sizes + query.sum() - shared))
-        found = tree.search(query, 80)
+        found, bound = tree.search(query, 80)
+        assert (bound >= 0.8).all()
         assert sorted(found.tolist()) == expected.tolist()
         hits += len(found)
     assert hits > 100
-    assert len(ngram_join.RTree(points[:1]).search(points[0], 80)) == 1
+    assert len(ngram_join.RTree(points[:1]).search(points[0], 80)[0]) == 1
 
 
 def test_bound_holds():
