@@ -97,6 +97,8 @@ def log_ratios(grams: DataFrame) -> DataFrame:
         known = known.withColumn(tail, F.right("gram", F.lit(order + 1))).withColumn(
             context, F.expr(f"left(right(gram, {order + 1}), {order})")
         )
+        # Each order stands on a table: the plan would grow with every reuse of the one before.
+        known = written(known, "order")
         level = known.groupBy(tail, context).agg(*[F.sum(name).alias(f"n_{name}") for name in _COUNTS])
         total = level.groupBy(context).agg(
             *[F.sum(f"n_{name}").alias(f"all_{name}") for name in _COUNTS],
@@ -109,6 +111,7 @@ def log_ratios(grams: DataFrame) -> DataFrame:
             known = known.withColumn(f"p_{name}", F.when(all_of > 0, blended).otherwise(shares[name]))
         known = known.select(*grams.columns, *[f"p_{name}" for name in _COUNTS])
         shares = {name: F.col(f"p_{name}") for name in _COUNTS}
+    known = written(known, "order")
     ratio = lambda half: F.round((F.log(f"p_allow_{half}") - F.log(f"p_block_{half}")) * _UNIT).cast("long")
     return known.select("gram", ratio(0).alias("ratio_0"), ratio(1).alias("ratio_1"))
 
