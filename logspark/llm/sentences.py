@@ -2,14 +2,16 @@
 
 Every run of SPAN neighbouring sentences is hashed (128 bits of its words and
 marks, white space made equal). Runs that occur more than once anywhere, within a
-document too, are repeats; the first is the one of the least (doc_id, place).
+document too, are repeats; the first is the one of the least (doc_id, mark, place).
 A sentence goes if any run over it is a repeat and not the first.
 
 A sentence ends after dots, exclamation or question marks that white space or
 the end of the text follows, or at a line feed; white space after it belongs to
 it. So the sentences of a text, joined, are the text. Texts with fewer sentences
-than a run, null and empty ones stay as they are. Rows of one doc_id are one
-document and lose the same sentences; rows without doc_id come before all others.
+than a run, null and empty ones stay as they are. Rows that differ in doc_id or in
+the mark of their text (128 bits) are different documents; rows with equal doc_id
+(or none) and equal text are copies of one and lose the same sentences. Rows without
+doc_id come before all others.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm.common import read_documents, small_batches, written
+from logspark.llm.common import read_documents, small_batches, texts, written
 
 SPAN = 3
 #: Fixed pattern of a sentence with what ends it.
@@ -48,8 +50,17 @@ def spans(text: str, span: int) -> list[bytes]:
     return [xxhash.xxh3_128_digest(b"".join(hashed[at : at + span])) for at in range(len(parts) - span + 1)]
 
 
+#: What tells documents apart, besides the place of a run in them.
+DOCUMENT = ["doc_id", "mark_high", "mark_low"]
+
+
+def marks(text: Column) -> list[Column]:
+    """128 bits of a text: two hashes of different seeds."""
+    return [F.xxhash64(text).alias("mark_high"), F.xxhash64(F.lit(1), text).alias("mark_low")]
+
+
 def span_rows(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(high, low, doc_id, place) of every run of sentences."""
+    """(high, low, doc_id, mark_high, mark_low, place) of every run of sentences."""
 
     def run(batches):
         for batch in batches:
@@ -58,33 +69,36 @@ def span_rows(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 counts = np.array([len(x) for x in found], np.int64)
                 hashes = np.frombuffer(b"".join(x for each in found for x in each), ">i8").astype(np.int64)
                 owners = np.repeat(np.arange(len(counts)), counts)
+                rows_of = pa.array(owners)
                 first = np.cumsum(counts) - counts
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(hashes[::2].copy()),
                         pa.array(hashes[1::2].copy()),
-                        part.column("doc_id").take(pa.array(owners)),
+                        *[part.column(name).take(rows_of) for name in DOCUMENT],
                         pa.array((np.arange(len(owners)) - first[owners]).astype(np.int32)),
                     ],
-                    names=["high", "low", "doc_id", "place"],
+                    names=["high", "low", *DOCUMENT, "place"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "high long, low long, doc_id long, place int")
+    rows = texts(docs)
+    rows = rows.select("doc_id", *marks(F.col("text")), "text")
+    return rows.mapInArrow(run, "high long, low long, doc_id long, mark_high long, mark_low long, place int")
 
 
 def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, places): where non-first repeated runs begin in each document that has some.
+    """(doc_id, mark_high, mark_low, places): where non-first repeated runs begin in each document that has some.
 
     Runs are counted with partial sums, and a run met in very many documents only
     makes one side of the join long, which adaptive execution can split.
     """
     rows = written(span_rows(docs, span), "spans")
-    first = rows.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
+    spot = F.struct(*DOCUMENT, "place")
+    first = rows.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(spot).alias("first"))
     # Written, so that both sides of the join are dealt for it alone and a hot run can be split.
     known = written(first.where("n > 1").select("high", "low", "first"), "repeats")
-    again = rows.join(known, ["high", "low"]).where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    again = rows.join(known, ["high", "low"]).where(~spot.eqNullSafe(F.col("first")))
+    return again.groupBy(*DOCUMENT).agg(F.collect_set("place").alias("places"))
 
 
 def covered(places, count: int, span: int) -> list[bool]:
@@ -103,9 +117,10 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
 def cut_documents(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(record, n_sentences, n_removed): the rows of ``docs`` as structs, with shortened texts."""
     found = repeats(docs, span)
-    marked = docs.alias("d").join(
-        found.alias("r"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")), "left"
-    )
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id"))
+    for mark, name in zip(marks(F.col("d.text").cast("string")), DOCUMENT[1:]):
+        same &= mark == F.col(f"r.{name}")
+    marked = docs.alias("d").join(found.alias("r"), same, "left")
 
     def run(batches):
         for batch in batches:

@@ -70,3 +70,23 @@ def test_passages_go_and_clean_documents_stay(spark):
 def test_op8(spark, sf_dir):
     rows = plain_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     assert got(sn.op8_sentence_spans(spark, sf_dir)) == plain_cuts(rows)
+
+
+def test_rows_of_one_or_no_doc_id_are_documents_of_their_own(spark):
+    passage = "The gate was shut. Nobody came by. A dog slept there."
+    own = [f"Number {at} begins. It has words of {at}. And an end of {at}." for at in range(10)]
+    for doc_id in (None, 7):
+        # The passage at one place of two rows, at a later one of a third; others are unique at those places.
+        texts = [f"{passage} {own[0]}", f"{passage} {own[1]}", f"{own[2]} {passage}", f"{own[3]} {own[4]}", own[5]]
+        docs = spark.createDataFrame([(doc_id, text) for text in texts] + [(8, passage)], "doc_id long, text string")
+        kept = [row["text"] for row in sn.without_repeats(docs).collect()]
+        assert sum(text.count(passage) for text in kept) == 1
+        rest = [text.replace(passage, "").strip() for text in kept]
+        assert sorted(filter(None, rest)) == sorted([own[0], own[1], own[2], texts[3], own[5]])
+
+
+def test_copies_of_one_row_lose_the_same(spark):
+    passage = "The gate was shut. Nobody came by. A dog slept there."
+    rows = [(1, passage), (None, f"{passage} It ends."), (None, f"{passage} It ends."), (3, f"So. {passage}"), (3, f"So. {passage}")]
+    kept = sorted(row["text"] for row in sn.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted(["", "So. ", "So. ", rows[1][1], rows[1][1]])
