@@ -143,3 +143,20 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int):
     new[1:] = (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])
     values, owners = values[new], owners[new]
     return values, np.searchsorted(owners, np.arange(len(offsets)))
+
+
+def least_last(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least value among each run of ``width``, the last of equals."""
+    count = len(values) - width + 1
+    if count <= 0:
+        return np.zeros(0, np.int64)
+    place, span = np.arange(len(values)), 1
+    least = values
+    while 2 * span <= width:
+        right = least[span:] <= least[:-span]
+        place = np.where(right, place[span:], place[:-span])
+        least = np.where(right, least[span:], least[:-span])
+        span *= 2
+    shift = width - span
+    right = least[shift:][:count] <= least[:count]
+    return np.where(right, place[shift:][:count], place[:count])

@@ -12,7 +12,7 @@ from logspark.llm.ngram_join import op5_count_rtree
 from logspark.llm.packing import op1_bm25_packing
 from logspark.llm.quality import op7_quality
 from logspark.llm.rans import op2_rans
-from logspark.llm.sentences import SENTENCE, SPAN, op8_sentence_spans
+from logspark.llm.sentences import PIECE, SPAN, WORDS, op8_sentence_spans
 from logspark.llm.sharding import op10_two_pass_shuffle
 from logspark.llm.suffixes import op9_prefix_doubling
 from logspark.llm.urls import op4_markov_urls
@@ -53,18 +53,31 @@ least_of AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
 SELECT d.doc_id AS doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of l ON l.a = d.doc_id"""
 
-_SPANS = f"""WITH texts AS (
- SELECT doc_id, text, list_filter(regexp_extract_all(coalesce(text, ''), '{SENTENCE}'), lambda s: s <> '') AS parts FROM documents),
-plain AS (SELECT doc_id, list_transform(parts, lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))) AS parts FROM texts),
-runs AS (SELECT doc_id, i AS place, parts[i:i + {SPAN - 1}] AS run
- FROM plain, unnest(range(1, greatest(len(parts) - {SPAN - 2}, 1))) AS t(i)),
-again AS (SELECT doc_id, place FROM (
- SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS rn FROM runs) WHERE rn > 1),
-gone AS (SELECT doc_id, list(DISTINCT place + step) AS places FROM again, unnest(range({SPAN})) AS t(step) GROUP BY doc_id),
-kept AS (SELECT t.doc_id AS doc_id, text, parts, coalesce(places, []) AS places FROM texts t LEFT JOIN gone g ON g.doc_id = t.doc_id)
-SELECT doc_id, len(parts) AS n_sentences, len(places) AS n_removed, CASE WHEN text IS NOT NULL THEN array_to_string(
- list_transform(list_filter(range(1, len(parts) + 1), lambda i: NOT list_contains(places, i)), lambda i: parts[i]), '') END AS text
-FROM kept"""
+_SPANS = f"""WITH parts AS (
+ SELECT row_number() OVER () AS d, doc_id, text, regexp_extract(coalesce(text, ''), '^[\\x20\\x09-\\x0D]*') AS head,
+  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*') AS parts FROM documents),
+spelled AS (SELECT d, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM parts),
+ranked AS (SELECT d, i, md5(regexp_extract(part, '^[^\\x20\\x09-\\x0D]+'))[:16] AS rank,
+ regexp_matches(part, '[.!?][\\x20\\x09-\\x0D]*$') OR contains(part, chr(10)) AS closes FROM spelled),
+lagged AS (SELECT *, coalesce(lag(closes) OVER (PARTITION BY d ORDER BY i), true) AS opens FROM ranked),
+lined AS (SELECT *, sum(opens::INT) OVER (PARTITION BY d ORDER BY i) AS line FROM lagged),
+least_of AS (SELECT d, count(*) OVER w AS n, min({{'rank': rank, 'i': -i}}) OVER w AS least FROM lined
+ WINDOW w AS (PARTITION BY d, line ORDER BY i ROWS BETWEEN CURRENT ROW AND {PIECE - 1} FOLLOWING)),
+begins AS (SELECT d, i FROM lined WHERE opens UNION SELECT d, -least.i FROM least_of WHERE n = {PIECE}),
+cuts AS (SELECT d, list(i ORDER BY i) AS b FROM begins GROUP BY d),
+texts AS (SELECT d, doc_id, text, head, parts, list_append(coalesce(b, []), len(parts) + 1) AS b FROM parts LEFT JOIN cuts USING (d)),
+ends AS (SELECT d, doc_id, p, b[p] AS i, parts,
+ greatest(p + {SPAN}, list_position(list_transform(b, lambda x: x >= b[p] + {WORDS}), true)) AS e, b
+ FROM texts, unnest(range(1, len(b))) AS t(p)),
+runs AS (SELECT d, doc_id, p, e, list_transform(parts[i:b[e] - 1], lambda x: regexp_extract(x, '^[^\\x20\\x09-\\x0D]+')) AS run
+ FROM ends WHERE e <= len(b) AND b[len(b)] >= i + {WORDS}),
+again AS (SELECT d, p, e FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS rn FROM runs) WHERE rn > 1),
+gone AS (SELECT d, list(DISTINCT x) AS places FROM again, unnest(range(p, e)) AS t(x) GROUP BY d)
+SELECT doc_id, len(b) - 1 AS n_sentences, coalesce(len(places), 0) AS n_removed, CASE WHEN text IS NOT NULL THEN head || array_to_string(
+ list_transform(list_filter(range(1, len(b)), lambda p: NOT list_contains(coalesce(places, []), p)),
+  lambda p: array_to_string(parts[b[p]:b[p + 1] - 1], '')), '') END AS text
+FROM texts LEFT JOIN gone USING (d)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it and stays small: the byte strings of op9 do not fit in memory, and the

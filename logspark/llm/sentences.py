@@ -1,56 +1,117 @@
 """Removing repeated passages by sliding spans of sentences.
 
-Every run of SPAN neighbouring sentences is hashed (128 bits of its words and
-marks, white space made equal). Runs that occur more than once anywhere, within a
-document too, are repeats; the first is the one of the least (doc_id, mark, place).
-A sentence goes if any run over it is a repeat and not the first.
-
-A sentence ends after dots, exclamation or question marks that white space or
-the end of the text follows, or at a line feed; white space after it belongs to
-it. So the sentences of a text, joined, are the text. Texts with fewer sentences
-than a run, null and empty ones stay as they are. Rows that differ in doc_id or in
+A sentence ends with a word that ends in a dot, an exclamation or a question mark, or that
+a line feed follows. One of more than PIECE words is cut before the word of least hash
+among any PIECE in a row (the last of equals), so a piece has at most PIECE words, and
+where a passage is cut depends on its own words alone. White space belongs to the word
+before it, at the start of a text to nothing: the start and the pieces, joined, are the text.
+
+At every piece a span begins: the fewest following pieces that are at least SPAN and have
+at least WORDS words together. Its words are hashed (128 bits). Spans that occur more than
+once anywhere, within a document too, are repeats; the first is the one of the least
+(doc_id, mark, place). A piece goes if any span over it is a repeat and not the first.
+
+Any 51 words of a passage hold a whole span, wherever it begins: a cut comes within PIECE
+words, and the span ends within 3 * PIECE words of it. Shorter passages may hold one.
+
+Texts without a span, null and empty ones stay as they are. Rows that differ in doc_id or in
 the mark of their text (128 bits) are different documents; rows with equal doc_id
-(or none) and equal text are copies of one and lose the same sentences. Rows without
+(or none) and equal text are copies of one and lose the same pieces. Rows without
 doc_id come before all others.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logspark.llm.common import read_documents, small_batches, texts, written
+from logspark.llm.common import Memory, read_documents, text_blocks, texts, written
+from logspark.llm.hashing import Words, least_last
 
-SPAN = 3
-#: Fixed pattern of a sentence with what ends it.
-SENTENCE = r"[^.!?\n]*(?:[.!?]+[^.!? \t\n\x0b\f\r][^.!?\n]*)*(?:[.!?]+[ \t\n\x0b\f\r]*|\n[ \t\n\x0b\f\r]*|$)"
-_SENTENCE = re.compile(SENTENCE)
+PIECE, SPAN, WORDS = 12, 3, 24
+# Words whose ranks a worker keeps, in one of two generations, and the longest worth keeping.
+KEPT_WORDS, KEPT_BYTES = 400_000, 60
+_MARKS = np.zeros(256, bool)
+_MARKS[list(b".!?")] = True
 
 
-def sentences(text: str) -> list[str]:
-    return [found for found in _SENTENCE.findall(text) if found]
+def word_rank(word: bytes) -> int:
+    """64 bits of a word's MD5, in which words are compared for cuts."""
+    return int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8])
 
 
-def plain(sentence: str) -> str:
-    """The sentence with single spaces, none at its ends."""
-    return " ".join(sentence.split(None))
+@functools.cache
+def _ranks() -> Memory:
+    return Memory(word_rank, KEPT_WORDS, KEPT_BYTES)
 
 
-def spans(text: str, span: int) -> list[bytes]:
-    """A 16-byte hash for each run of sentences; blank sentences are part of the one before."""
-    parts = [plain(part) for part in sentences(text)]
-    if len(parts) < span:
-        return []
-    hashed = [xxhash.xxh3_128_digest(part.encode()) for part in parts]
-    return [xxhash.xxh3_128_digest(b"".join(hashed[at : at + span])) for at in range(len(parts) - span + 1)]
+class Pieces:
+    """The pieces of a block of texts.
 
+    ``starts`` holds the first word of each, and one more entry for the end;
+    ``first`` the first piece of each text, likewise.
+    """
 
-#: What tells documents apart, besides the place of a run in them.
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        words = self.words = Words(raw, offsets)
+        data = raw.tobytes()
+        edges = offsets.tolist()
+        #: Every word, as bytes.
+        self.spelled = [word for a, b in zip(edges, edges[1:]) for word in data[a:b].split()]
+        count = len(self.spelled)
+        begins = np.zeros(count + 1, bool)
+        begins[words.first] = True
+        if count:
+            feeds = np.concatenate([[0], np.cumsum(raw == 10)])
+            until = np.append(words.starts[1:], len(raw))
+            ends = _MARKS[raw[words.ends - 1]] | (feeds[until] > feeds[words.ends])
+            begins[1:] |= ends
+            memory = _ranks()
+            ranks = np.fromiter(map(memory.__getitem__, self.spelled), np.uint64, count)
+            memory.age()
+            sentence = np.cumsum(begins[:-1])
+            whole = sentence[: max(0, count - PIECE + 1)] == sentence[PIECE - 1 :]
+            begins[least_last(ranks, PIECE)[whole]] = True
+        begins[count] = True
+        self.starts = np.flatnonzero(begins)
+        self.first = np.searchsorted(self.starts, words.first)
+
+    @functools.cached_property
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first piece of each span, and the piece after its last one."""
+        begin = np.arange(len(self.starts) - 1)
+        end = np.maximum(np.searchsorted(self.starts, self.starts[:-1] + WORDS), begin + SPAN)
+        last = np.repeat(self.first[1:], np.diff(self.first))
+        inside = end <= last
+        return begin[inside], end[inside]
+
+    def without(self, text: int, places: np.ndarray) -> tuple[bytes, int]:
+        """A text without the spans that begin at some of its pieces, and how many pieces went."""
+        first, stop = self.first[text], self.first[text + 1]
+        begin, end = self.spans
+        at = np.searchsorted(begin, places + first)
+        gone = np.zeros(stop - first + 1, np.int64)
+        np.add.at(gone, begin[at] - first, 1)
+        np.add.at(gone, end[at] - first, -1)
+        gone = np.cumsum(gone[:-1]) > 0
+        edges = np.append(self.words.starts[self.starts[first:stop]], self.words.offsets[text + 1])
+        spans = np.column_stack([edges[:-1], edges[1:]])[~gone].tolist()
+        raw = self.words.raw
+        head = raw[self.words.offsets[text] : edges[0]].tobytes()
+        return b"".join([head, *(raw[a:b].tobytes() for a, b in spans)]), int(gone.sum())
+
+    def texts_of(self, pieces: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, pieces, "right") - 1
+
+
+#: What tells documents apart, besides the place of a span in them.
 DOCUMENT = ["doc_id", "mark_high", "mark_low"]
 
 
@@ -59,24 +120,25 @@ def marks(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("mark_high"), F.xxhash64(F.lit(1), text).alias("mark_low")]
 
 
-def span_rows(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(high, low, doc_id, mark_high, mark_low, place) of every run of sentences."""
+def span_rows(docs: DataFrame) -> DataFrame:
+    """(high, low, doc_id, mark_high, mark_low, place) of every span."""
 
     def run(batches):
         for batch in batches:
-            for part in small_batches(batch):
-                found = [spans(text.as_py(), span) for text in part.column("text")]
-                counts = np.array([len(x) for x in found], np.int64)
-                hashes = np.frombuffer(b"".join(x for each in found for x in each), ">i8").astype(np.int64)
-                owners = np.repeat(np.arange(len(counts)), counts)
-                rows_of = pa.array(owners)
-                first = np.cumsum(counts) - counts
+            for at, raw, offsets in text_blocks(batch.column("text")):
+                found = Pieces(raw, offsets)
+                begin, end = found.spans
+                spelled, owners = found.spelled, found.texts_of(begin)
+                edges = zip(found.starts[begin].tolist(), found.starts[end].tolist())
+                hashed = b"".join([xxhash.xxh3_128_digest(b" ".join(spelled[a:b])) for a, b in edges])
+                hashes = np.frombuffer(hashed, ">i8").astype(np.int64)
+                rows_of = pa.array(owners + at)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(hashes[::2].copy()),
                         pa.array(hashes[1::2].copy()),
-                        *[part.column(name).take(rows_of) for name in DOCUMENT],
-                        pa.array((np.arange(len(owners)) - first[owners]).astype(np.int32)),
+                        *[batch.column(name).take(rows_of) for name in DOCUMENT],
+                        pa.array((begin - found.first[owners]).astype(np.int32)),
                     ],
                     names=["high", "low", *DOCUMENT, "place"],
                 )
@@ -86,37 +148,35 @@ def span_rows(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return rows.mapInArrow(run, "high long, low long, doc_id long, mark_high long, mark_low long, place int")
 
 
-def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, mark_high, mark_low, places): where non-first repeated runs begin in each document that has some.
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark_high, mark_low, places): where non-first repeated spans begin in each document that has some.
 
-    Runs are counted with partial sums, and a run met in very many documents only
-    makes one side of the join long, which adaptive execution can split.
+    Spans are counted with partial sums, and a span met in very many documents only
+    makes one side of the join long, which adaptive execution can split. Which of a span's
+    rows is the first is found among the repeated ones alone.
     """
-    rows = written(span_rows(docs, span), "spans")
+    rows = written(span_rows(docs), "spans")
+    counted = rows.groupBy("high", "low").agg(F.count("*").alias("n"))
+    # Written, so that both sides of the join are dealt for it alone and a hot span can be split.
+    known = written(counted.where("n > 1").select("high", "low"), "repeats")
+    met = written(rows.join(known, ["high", "low"]), "met")
     spot = F.struct(*DOCUMENT, "place")
-    first = rows.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(spot).alias("first"))
-    # Written, so that both sides of the join are dealt for it alone and a hot run can be split.
-    known = written(first.where("n > 1").select("high", "low", "first"), "repeats")
-    again = rows.join(known, ["high", "low"]).where(~spot.eqNullSafe(F.col("first")))
+    first = written(met.groupBy("high", "low").agg(F.min(spot).alias("first")), "first")
+    again = met.join(first, ["high", "low"]).where(~spot.eqNullSafe(F.col("first")))
     return again.groupBy(*DOCUMENT).agg(F.collect_set("place").alias("places"))
 
 
-def covered(places, count: int, span: int) -> list[bool]:
-    """Which of the sentences lie in a run that begins at one of the places."""
-    gone = [False] * count
-    for place in places:
-        gone[place : place + span] = [True] * span
-    return gone
-
-
-def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with shortened texts."""
-    return cut_documents(docs, span).select("record.*")
+    return cut_documents(docs).select("record.*")
+
 
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """(record, n_sentences, n_removed): the rows of ``docs`` as structs, with shortened texts.
 
-def cut_documents(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(record, n_sentences, n_removed): the rows of ``docs`` as structs, with shortened texts."""
-    found = repeats(docs, span)
+    The numbers are those of pieces, which are sentences or parts of long ones.
+    """
+    found = repeats(docs)
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id"))
     for mark, name in zip(marks(F.col("d.text").cast("string")), DOCUMENT[1:]):
         same &= mark == F.col(f"r.{name}")
@@ -124,30 +184,28 @@ def cut_documents(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            column = batch.column("text")
-            kept, counts, removed = [], [], []
-            for text, places in zip(column.to_pylist(), batch.column("places").to_pylist()):
-                if text is None:
-                    kept.append(None), counts.append(0), removed.append(0)
-                    continue
-                parts = sentences(text)
-                gone = covered(places or (), len(parts), span)
-                kept.append("".join(part for part, out in zip(parts, gone) if not out) if places else text)
-                counts.append(len(parts)), removed.append(sum(gone))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"),
-                    pa.array(kept, pa.string()),
-                    pa.array(counts, pa.int64()),
-                    pa.array(removed, pa.int64()),
-                ],
-                names=["row", "text", "n_sentences", "n_removed"],
-            )
+            texts_in = batch.column("text")
+            for at, raw, offsets in text_blocks(texts_in.fill_null("")):
+                found = Pieces(raw, offsets)
+                part = batch.slice(at, len(offsets) - 1)
+                kept, removed = texts_in.slice(at, len(part)).to_pylist(), [0] * len(part)
+                for text, places in enumerate(part.column("places")):
+                    if places.is_valid:
+                        cut, removed[text] = found.without(text, places.values.to_numpy())
+                        kept[text] = cut.decode()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("row"),
+                        pa.array(kept, pa.string()),
+                        pa.array(np.diff(found.first)),
+                        pa.array(removed, pa.int64()),
+                    ],
+                    names=["row", "text", "n_sentences", "n_removed"],
+                )
 
     slim = F.struct(*[F.col(f"d.`{name}`") for name in docs.columns if name != "text"]).alias("row")
-    laid = marked.select(slim, F.col("d.text").cast("string").alias("text"), F.col("r.places").alias("places"))
-    from pyspark.sql import types as T
-
+    text = F.col("d.text").cast("string")
+    laid = marked.select(slim, text.alias("text"), F.col("r.places").alias("places"))
     schema = T.StructType(
         [
             laid.schema["row"],

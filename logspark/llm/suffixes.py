@@ -30,28 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.llm.common import read_documents, text_blocks, texts, written
-from logspark.llm.hashing import Spans, mix
+from logspark.llm.hashing import Spans, least_last, mix
 
 LENGTH = 200
 
 
-def _least_last(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the least value among each run of ``width``, the last of equals."""
-    count = len(values) - width + 1
-    if count <= 0:
-        return np.zeros(0, np.int64)
-    place, span = np.arange(len(values)), 1
-    least = values
-    while 2 * span <= width:
-        right = least[span:] <= least[:-span]
-        place = np.where(right, place[span:], place[:-span])
-        least = np.where(right, least[span:], least[:-span])
-        span *= 2
-    shift = width - span
-    right = least[shift:][:count] <= least[:count]
-    return np.where(right, place[shift:][:count], place[:count])
-
-
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int):
     """Anchors of the strings of a block: rank, hash of all their strings, text, anchor, first and last string.
 
@@ -64,7 +47,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int):
     spans = Spans(raw)
     at = np.arange(len(raw) - half + 1)
     ranks = spans.hashes(at, at + half)
-    places = _least_last(ranks, length - half + 1)
+    places = least_last(ranks, length - half + 1)
     begins = np.arange(len(places))
     texts_of = np.searchsorted(offsets, begins, "right") - 1
     inside = begins + length <= offsets[texts_of + 1]

@@ -1,32 +1,67 @@
+import random
+import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from logspark.llm import sentences as sn
-from tests.llm.samples import no_documents, odd_documents, odd_texts, plain_rows
-
-
-def plain_cuts(rows, span=sn.SPAN):
-    """Kept text, sentences and removed sentences of every document, by a plain count."""
-    times, first = Counter(), {}
-    known = {}
-    for doc_id, text in sorted(rows, key=lambda row: -1 if row[0] is None else row[0]):
-        parts = sn.sentences(text)
-        plain = [sn.plain(part) for part in parts]
-        known[doc_id, text] = parts, plain
-        for at in range(len(parts) - span + 1):
-            key = tuple(plain[at : at + span])
-            times[key] += 1
-            first.setdefault(key, (doc_id, at))
+from logspark.llm.common import text_blocks
+from tests.llm.samples import no_documents, odd_documents, odd_texts, plain_rows, prose
+
+TOKEN = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+
+def plain_pieces(text):
+    """Pieces as lists of words with their white space, by plain loops."""
+    tokens = TOKEN.findall(text)
+    sentences, line = [], []
+    for token in tokens:
+        line.append(token)
+        if token.rstrip(" \t\n\x0b\f\r")[-1] in ".!?" or "\n" in token:
+            sentences.append(line)
+            line = []
+    out = []
+    for line in [*sentences, line]:
+        ranks = [sn.word_rank(token.rstrip(" \t\n\x0b\f\r").encode()) for token in line]
+        cuts = {0, len(line)}
+        for at in range(len(line) - sn.PIECE + 1):
+            cuts.add(min(range(at, at + sn.PIECE), key=lambda i: (ranks[i], -i)))
+        cuts = sorted(cuts)
+        out += [line[a:b] for a, b in zip(cuts, cuts[1:])]
+    return out
+
+
+def plain_spans(pieces):
+    """(first piece, piece after the last, words) of every span."""
+    for begin in range(len(pieces)):
+        for end in range(begin + sn.SPAN, len(pieces) + 1):
+            words = [token.rstrip(" \t\n\x0b\f\r") for piece in pieces[begin:end] for token in piece]
+            if len(words) >= sn.WORDS:
+                yield begin, end, tuple(words)
+                break
+
+
+def plain_cuts(rows):
+    """Kept text, pieces and removed pieces of every document, by a plain count."""
+    times, first, known = Counter(), {}, {}
+    for doc_id, text in sorted(set(rows), key=lambda row: -1 if row[0] is None else row[0]):
+        pieces = plain_pieces(text)
+        spans = list(plain_spans(pieces))
+        known[doc_id, text] = pieces, spans
+        for begin, _, words in spans:
+            times[words] += rows.count((doc_id, text))
+            first.setdefault(words, (doc_id, text, begin))
     out = []
     for doc_id, text in rows:
-        parts, plain = known[doc_id, text]
-        gone = [False] * len(parts)
-        for at in range(len(parts) - span + 1):
-            key = tuple(plain[at : at + span])
-            if times[key] > 1 and first[key] != (doc_id, at):
-                gone[at : at + span] = [True] * span
-        out.append((str(doc_id), len(parts), sum(gone), "".join(p for p, g in zip(parts, gone) if not g)))
+        pieces, spans = known[doc_id, text]
+        gone = set()
+        for begin, end, words in spans:
+            if times[words] > 1 and first[words] != (doc_id, text, begin):
+                gone |= set(range(begin, end))
+        head = text[: len(text) - len("".join(t for p in pieces for t in p))]
+        kept = head + "".join(token for at, piece in enumerate(pieces) if at not in gone for token in piece)
+        out.append((str(doc_id), len(pieces), len(gone), kept))
     return sorted(out)
 
 
@@ -34,19 +69,27 @@ def got(frame):
     return sorted((str(r["doc_id"]), r["n_sentences"], r["n_removed"], r["text"] or "") for r in frame.collect())
 
 
-@pytest.mark.parametrize("text", ["a. b! c? d", "3.14 is. x...y ... z", "\n\n a\n b.\n\n", "...", "", "no end", "e.g. f. ", "!?\n?!"])
-def test_sentences_make_up_the_text(text):
-    assert "".join(sn.sentences(text)) == text
+def pieces_of(text):
+    for _, raw, offsets in text_blocks(pa.array([text])):
+        found = sn.Pieces(raw, offsets)
+        edges = found.starts.tolist()
+        return [[word.decode() for word in found.spelled[a:b]] for a, b in zip(edges, edges[1:])]
 
 
-def test_sentence_ends():
-    assert sn.sentences("One 3.5 two.  Three!\nFour\nfive? six") == ["One 3.5 two.  ", "Three!\n", "Four\n", "five? ", "six"]
-    assert all("".join(sn.sentences(text or "")) == (text or "") for text in odd_texts())
+def test_pieces():
+    assert pieces_of("One 3.5 two.  Three!\nFour\nfive? six") == [["One", "3.5", "two."], ["Three!"], ["Four"], ["five?"], ["six"]]
+    for text in odd_texts():
+        plain = [[token.strip(" \t\n\x0b\f\r") for token in piece] for piece in plain_pieces(text or "")]
+        assert pieces_of(text or "") == plain
+        assert all(0 < len(piece) <= max(sn.PIECE, 1) for piece in plain if not piece[-1].endswith((".", "!", "?")))
 
 
-def test_long_runs_of_marks_take_linear_time():
-    for text in ("." * 200_000, "a." * 200_000, ".a" * 200_000, " " * 200_000):
-        assert "".join(sn.sentences(text)) == text
+@pytest.mark.parametrize("text", ["." * 200_000, "a. " * 100_000, "a " * 100_000, " " * 200_000, "\n" * 200_000])
+def test_long_runs_take_linear_time(text):
+    ((_, raw, offsets),) = text_blocks(pa.array([text]))
+    found = sn.Pieces(raw, offsets)
+    assert found.starts[-1] == len(text.split())
+    assert len(found.spans[0]) <= len(found.starts)
 
 
 def test_odd_documents(spark):
@@ -58,13 +101,38 @@ def test_odd_documents(spark):
     assert sn.without_repeats(no_documents(spark)).count() == 0
 
 
-def test_passages_go_and_clean_documents_stay(spark):
-    passage = "The gate was shut. Nobody came by. A dog slept there. Rain fell on it."
-    own = [f"Number {at} begins. It has words of {at}. And an end of {at}." for at in range(6)]
-    texts = [own[0], f"{own[1]} {passage} {own[2]}", f"{own[3]}\n{passage}\n{own[4]}", own[5], passage.replace(" ", "  ")]
-    rows = {row["record"]["doc_id"]: row for row in sn.cut_documents(odd_documents(spark, texts)).collect()}
-    assert [rows[at]["n_removed"] for at in range(5)] == [0, 0, 4, 0, 4]
-    assert rows[2]["record"]["text"] == f"{own[3]}\n{own[4]}" and rows[4]["record"]["text"] == ""
+def own_words(rng, count, marks=0.0):
+    return " ".join(f"w{rng.randrange(10**9)}" + ("." if rng.random() < marks else "") for _ in range(count))
+
+
+def test_every_passage_of_51_words_is_found(spark):
+    """In one to many sentences, at sentence borders or inside a sentence, at the start and the end."""
+    rng = random.Random(7)
+    rows, passages = [], []
+    for at in range(120):
+        passage = own_words(rng, 51, marks=(0, 0.02, 0.06, 0.15, 0.4)[at % 5])
+        passages.append(passage)
+        for _ in range(2):
+            before = own_words(rng, rng.choice([0, 1, 5, 11, 12, 30]), 0.05)
+            after = own_words(rng, rng.choice([0, 1, 5, 11, 12, 30]), 0.05)
+            rows.append((len(rows), f"{before}{rng.choice(['', '.']) if before else ''} {passage} {after}".strip(" ")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {row["doc_id"]: row["text"] for row in sn.without_repeats(docs).collect()}
+    for at, passage in enumerate(passages):
+        assert kept[2 * at] == rows[2 * at][1]
+        own = len(rows[2 * at + 1][1].split()) - 51
+        rest = kept[2 * at + 1].split()
+        # A span goes, at least 24 words; what surrounds the passage stays.
+        assert own <= len(rest) <= own + 51 - sn.WORDS
+        assert not set(rows[2 * at + 1][1].split()) - set(passage.split()) - set(rest)
+
+
+def test_short_repeats_and_clean_documents_stay(spark):
+    rng = random.Random(8)
+    common = own_words(rng, sn.WORDS - 1, 0.2)
+    texts = [f"{own_words(rng, 60, 0.1)}. {common} {own_words(rng, 60, 0.1)}" for _ in range(20)]
+    docs = odd_documents(spark, texts)
+    assert sorted(row["text"] for row in sn.without_repeats(docs).collect()) == sorted(texts)
 
 
 def test_op8(spark, sf_dir):
@@ -73,20 +141,26 @@ def test_op8(spark, sf_dir):
 
 
 def test_rows_of_one_or_no_doc_id_are_documents_of_their_own(spark):
-    passage = "The gate was shut. Nobody came by. A dog slept there."
-    own = [f"Number {at} begins. It has words of {at}. And an end of {at}." for at in range(10)]
+    rng = random.Random(9)
+    passage = own_words(rng, 50, 0.2) + "."
+    own = [own_words(rng, 30, 0.2) + "." for _ in range(10)]
     for doc_id in (None, 7):
         # The passage at one place of two rows, at a later one of a third; others are unique at those places.
         texts = [f"{passage} {own[0]}", f"{passage} {own[1]}", f"{own[2]} {passage}", f"{own[3]} {own[4]}", own[5]]
         docs = spark.createDataFrame([(doc_id, text) for text in texts] + [(8, passage)], "doc_id long, text string")
         kept = [row["text"] for row in sn.without_repeats(docs).collect()]
         assert sum(text.count(passage) for text in kept) == 1
-        rest = [text.replace(passage, "").strip() for text in kept]
-        assert sorted(filter(None, rest)) == sorted([own[0], own[1], own[2], texts[3], own[5]])
+        assert sorted(text for text in kept if passage not in text and text in (texts[3], own[5])) == sorted([texts[3], own[5]])
+        for text in own[:6]:
+            assert sum(other.count(text) for other in kept) == 1
 
 
 def test_copies_of_one_row_lose_the_same(spark):
-    passage = "The gate was shut. Nobody came by. A dog slept there."
+    rng = random.Random(10)
+    passage = prose(rng, 80)
     rows = [(1, passage), (None, f"{passage} It ends."), (None, f"{passage} It ends."), (3, f"So. {passage}"), (3, f"So. {passage}")]
-    kept = sorted(row["text"] for row in sn.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert kept == sorted(["", "So. ", "So. ", rows[1][1], rows[1][1]])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sn.cut_documents(docs).select("record.doc_id", "n_sentences", "n_removed", "record.text")
+    assert got(found) == plain_cuts(rows)
+    kept = {row["doc_id"]: row["text"] for row in found.collect()}
+    assert kept[None] == rows[1][1] and len(kept[1]) < len(passage) / 2
