@@ -1,4 +1,6 @@
 import os
+import shutil
+import subprocess
 import sys
 
 import pytest
@@ -33,5 +35,15 @@ def test_registered():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_the_rest_stands_without_the_training_data_operators(tmp_path):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    left_out = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__")
+    for at, kept in enumerate((left_out, shutil.ignore_patterns("llm", ".git", "__pycache__"))):
+        shutil.copytree(root, tmp_path / str(at), ignore=kept)
+        code = "import __spark_entry__ as e; print(*sorted(e.queries())); assert set(e.oracle_sql()) == set(e.queries())"
+        said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / str(at), capture_output=True, text=True)
+        assert said.stdout.split() == sorted(QUERIES), said.stderr
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
