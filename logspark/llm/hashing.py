@@ -59,6 +59,14 @@ class Spans:
         return mix(value + (ends - starts).astype(np.uint64) * _WORD_BASE)
 
 
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of a sequence of 64-bit values, which should be random themselves."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(_BASE, len(values)), out=sums[1:])
+    value = (sums[ends] - sums[starts]) * powers(_INVERSE, len(values) + 1)[starts]
+    return mix(value + (ends - starts).astype(np.uint64) * _WORD_BASE)
+
+
 _KIND = np.zeros(256, bool)
 _KIND[[9, 10, 11, 12, 13, 32]] = True
 

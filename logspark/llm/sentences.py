@@ -27,13 +27,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logspark.llm.common import Memory, read_documents, text_blocks, texts, written
-from logspark.llm.hashing import Words, least_last
+from logspark.llm.hashing import Words, least_last, sequence_hashes
 
 PIECE, SPAN, WORDS = 12, 3, 24
 # Words whose ranks a worker keeps, in one of two generations, and the longest worth keeping.
@@ -42,14 +41,14 @@ _MARKS = np.zeros(256, bool)
 _MARKS[list(b".!?")] = True
 
 
-def word_rank(word: bytes) -> int:
-    """64 bits of a word's MD5, in which words are compared for cuts."""
-    return int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8])
+def digest(word: bytes) -> bytes:
+    """A word's MD5. Words are compared for cuts by its first 64 bits."""
+    return hashlib.md5(word, usedforsecurity=False).digest()
 
 
 @functools.cache
-def _ranks() -> Memory:
-    return Memory(word_rank, KEPT_WORDS, KEPT_BYTES)
+def _digests() -> Memory:
+    return Memory(digest, KEPT_WORDS, KEPT_BYTES)
 
 
 class Pieces:
@@ -63,9 +62,10 @@ class Pieces:
         words = self.words = Words(raw, offsets)
         data = raw.tobytes()
         edges = offsets.tolist()
-        #: Every word, as bytes.
-        self.spelled = [word for a, b in zip(edges, edges[1:]) for word in data[a:b].split()]
-        count = len(self.spelled)
+        spelled = [word for a, b in zip(edges, edges[1:]) for word in data[a:b].split()]
+        count = len(spelled)
+        #: Two numbers of 64 bits for each word.
+        self.halves = np.zeros((0, 2), np.uint64)
         begins = np.zeros(count + 1, bool)
         begins[words.first] = True
         if count:
@@ -73,12 +73,13 @@ class Pieces:
             until = np.append(words.starts[1:], len(raw))
             ends = _MARKS[raw[words.ends - 1]] | (feeds[until] > feeds[words.ends])
             begins[1:] |= ends
-            memory = _ranks()
-            ranks = np.fromiter(map(memory.__getitem__, self.spelled), np.uint64, count)
+            memory = _digests()
+            found = b"".join(map(memory.__getitem__, spelled))
             memory.age()
+            self.halves = np.frombuffer(found, ">u8").astype(np.uint64).reshape(count, 2)
             sentence = np.cumsum(begins[:-1])
             whole = sentence[: max(0, count - PIECE + 1)] == sentence[PIECE - 1 :]
-            begins[least_last(ranks, PIECE)[whole]] = True
+            begins[least_last(self.halves[:, 0], PIECE)[whole]] = True
         begins[count] = True
         self.starts = np.flatnonzero(begins)
         self.first = np.searchsorted(self.starts, words.first)
@@ -92,6 +93,11 @@ class Pieces:
         inside = end <= last
         return begin[inside], end[inside]
 
+    def hashes(self) -> list[np.ndarray]:
+        """Two hashes of 64 bits for the words of each span."""
+        begin, end = (self.starts[at] for at in self.spans)
+        return [sequence_hashes(half, begin, end) for half in self.halves.T]
+
     def without(self, text: int, places: np.ndarray) -> tuple[bytes, int]:
         """A text without the spans that begin at some of its pieces, and how many pieces went."""
         first, stop = self.first[text], self.first[text + 1]
@@ -127,16 +133,14 @@ def span_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at, raw, offsets in text_blocks(batch.column("text")):
                 found = Pieces(raw, offsets)
-                begin, end = found.spans
-                spelled, owners = found.spelled, found.texts_of(begin)
-                edges = zip(found.starts[begin].tolist(), found.starts[end].tolist())
-                hashed = b"".join([xxhash.xxh3_128_digest(b" ".join(spelled[a:b])) for a, b in edges])
-                hashes = np.frombuffer(hashed, ">i8").astype(np.int64)
+                begin, _ = found.spans
+                owners = found.texts_of(begin)
+                high, low = found.hashes()
                 rows_of = pa.array(owners + at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(hashes[::2].copy()),
-                        pa.array(hashes[1::2].copy()),
+                        pa.array(high.view(np.int64)),
+                        pa.array(low.view(np.int64)),
                         *[batch.column(name).take(rows_of) for name in DOCUMENT],
                         pa.array((begin - found.first[owners]).astype(np.int32)),
                     ],
