@@ -18,8 +18,9 @@ second round ranks the single strings.
 
 Ranks are hashes of the bytes (64 bits; two of them, 128 bits, decide that strings
 are equal). Null and empty texts have no bytes, texts below LENGTH bytes keep
-theirs. Rows with equal doc_id (or none) and equal text are copies of each other
-and go whole if they are long enough.
+theirs. Rows that differ in doc_id or text are different documents, told apart by 80 bits of
+both; rows with equal doc_id (or none) and equal text are copies of each other and go
+whole if they are long enough.
 """
 
 from __future__ import annotations
@@ -63,12 +64,13 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, text): rows that differ in doc_id or in the mark of their text are different documents."""
-    return texts(docs).withColumn("mark", F.xxhash64("text").bitwiseAND(F.lit((1 << 16) - 1)))
+    """(doc_id, text, key, mark): 80 bits of doc_id and text, that tell documents apart."""
+    mark = F.xxhash64(F.lit(1), "doc_id", "text").bitwiseAND(F.lit((1 << 16) - 1))
+    return texts(docs).withColumns({"key": F.xxhash64("doc_id", "text"), "mark": mark})
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(rank, context, doc_id, mark, place, low, high)."""
+    """(rank, context, key, spot): spot packs the mark, the place and where its strings begin."""
 
     def run(batches):
         for batch in batches:
@@ -81,13 +83,13 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     [
                         pa.array(rank.view(np.int64)),
                         pa.array(context.view(np.int64)),
-                        batch.column("doc_id").take(rows),
+                        batch.column("key").take(rows),
                         pa.array(spot << 16 | batch.column("mark").take(rows).to_numpy()),
                     ],
-                    names=["rank", "context", "doc_id", "spot"],
+                    names=["rank", "context", "key", "spot"],
                 )
 
-    return _documents(docs).mapInArrow(run, "rank long, context long, doc_id long, spot long")
+    return _documents(docs).mapInArrow(run, "rank long, context long, key long, spot long")
 
 
 def _fields(batch_or_spot) -> list[np.ndarray]:
@@ -98,7 +100,7 @@ def _fields(batch_or_spot) -> list[np.ndarray]:
 
 
 def first_round(rows: DataFrame) -> DataFrame:
-    """(doc_id, mark, low, high, open, alone) of anchors whose rank repeats, sorted ranks being compared with their neighbours.
+    """(key, mark, low, high, open, alone) of anchors whose rank repeats, sorted ranks being compared with their neighbours.
 
     Closed rows are strings known to repeat, as their context does. Open rows
     are one for each context whose rank has other contexts too; ``alone`` tells
@@ -112,13 +114,13 @@ def first_round(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rank, context, ids, spot = (batch.column(name) for name in ("rank", "context", "doc_id", "spot"))
-            rank, context, spot = rank.to_numpy(), context.to_numpy(), spot.to_numpy()
+            rank, context, keys, spot = (
+                batch.column(name).to_numpy() for name in ("rank", "context", "key", "spot")
+            )
             if held is not None:
-                rank = np.concatenate([[held[0]], rank])
-                context = np.concatenate([[held[1]], context])
-                spot = np.concatenate([[held[3]], spot])
-                ids = pa.concat_arrays([pa.array([held[2]], pa.int64()), ids])
+                rank, context, keys, spot = (
+                    np.concatenate([[h], x]) for h, x in zip(held, (rank, context, keys, spot))
+                )
             else:
                 repeated, mixed = False, False
             same_rank = rank[1:] == rank[:-1]
@@ -131,15 +133,15 @@ def first_round(rows: DataFrame) -> DataFrame:
             begin = np.maximum.accumulate(begin)
             earlier = (number > number[begin]) | (mixed & (begin == 0))
             open_ = ~same & (earlier[:-1] | same_rank)
-            yield from _first_rows(ids, spot, many, open_)
-            held = (rank[-1], context[-1], ids[-1].as_py(), spot[-1])
+            yield from _first_rows(keys, spot, many, open_)
+            held = (rank[-1], context[-1], keys[-1], spot[-1])
             repeated, mixed = bool(before[-1]), bool(earlier[-1])
         if held is not None:
             yield from _first_rows(
-                pa.array([held[2], None], pa.int64()), np.array([held[3], 0]), np.array([repeated]), np.array([mixed])
+                np.array([held[2]]), np.array([held[3]]), np.array([repeated]), np.array([mixed])
             )
 
-    def _first_rows(ids, spot, many, open_):
+    def _first_rows(keys, spot, many, open_):
         for picked, alone, is_open in ((many, None, False), (open_, ~many, True)):
             at = np.flatnonzero(picked)
             if len(at):
@@ -147,24 +149,27 @@ def first_round(rows: DataFrame) -> DataFrame:
                 alone_of = alone[at] if is_open else np.zeros(len(at), bool)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pa.array(at)),
+                        pa.array(keys[at]),
                         pa.array(mark),
                         pa.array(low.astype(np.int32)),
                         pa.array(high.astype(np.int32)),
                         pa.array(np.full(len(at), is_open)),
                         pa.array(alone_of),
                     ],
-                    names=["doc_id", "mark", "low", "high", "open", "alone"],
+                    names=["key", "mark", "low", "high", "open", "alone"],
                 )
 
     laid = rows.repartition("rank").sortWithinPartitions("rank", "context")
-    return laid.mapInArrow(run, "doc_id long, mark long, low int, high int, open boolean, alone boolean")
+    return laid.mapInArrow(run, "key long, mark long, low int, high int, open boolean, alone boolean")
 
 
 def second_round(docs: DataFrame, open_rows: DataFrame, length: int) -> DataFrame:
-    """(doc_id, mark, low, high): strings of open rows, alone in their context, that repeat."""
+    """(key, mark, low, high): strings of open rows, alone in their context, that repeat.
+
+    Only strings of rows that are alone may have to go; the others tell that they exist.
+    """
     half = length // 2
-    lists = open_rows.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("low", "high", "alone")).alias("lists"))
+    lists = open_rows.groupBy("key", "mark").agg(F.collect_set(F.struct("low", "high", "alone")).alias("lists"))
     pieces = _same_document(_documents(docs), lists)
 
     def pairs(batches):
@@ -176,19 +181,19 @@ def second_round(docs: DataFrame, open_rows: DataFrame, length: int) -> DataFram
                 begins = np.concatenate([np.arange(x["low"], x["high"] + 1) for x in found])
                 one = spans.hashes(begins, begins + half)
                 two = spans.hashes(begins + half, begins + length)
-                size = len(begins)
+                alone = np.repeat([x["alone"] for x in found], counts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(one.view(np.int64)),
                         pa.array(two.view(np.int64)),
-                        pa.array([row["doc_id"]] * size, pa.int64()),
-                        pa.array(begins << 17 | row["mark"] << 1 | np.repeat([x["alone"] for x in found], counts)),
+                        pa.array(np.where(alone, row["key"], 0)),
+                        pa.array(np.where(alone, begins << 17 | row["mark"] << 1 | 1, 0)),
                     ],
-                    names=["one", "two", "doc_id", "spot"],
+                    names=["one", "two", "key", "spot"],
                 )
 
     def _each(batch):
-        for at, row in enumerate(batch.select(["doc_id", "mark", "lists"]).to_pylist()):
+        for at, row in enumerate(batch.select(["key", "mark", "lists"]).to_pylist()):
             for block in text_blocks(batch.column("text").slice(at, 1)):
                 yield row, block
 
@@ -197,46 +202,44 @@ def second_round(docs: DataFrame, open_rows: DataFrame, length: int) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            one, two, spot = (batch.column(name).to_numpy() for name in ("one", "two", "spot"))
-            ids = batch.column("doc_id")
+            one, two, keys, spot = (batch.column(name).to_numpy() for name in ("one", "two", "key", "spot"))
             if held is not None:
-                one, two, spot = (np.concatenate([[h], x]) for h, x in zip(held[:3], (one, two, spot)))
-                ids = pa.concat_arrays([pa.array([held[3]], pa.int64()), ids])
+                one, two, keys, spot = (np.concatenate([[h], x]) for h, x in zip(held, (one, two, keys, spot)))
             same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
             before = np.concatenate([[repeated], same])
-            yield _strings(ids, spot, before[:-1] | same)
-            held, repeated = (one[-1], two[-1], spot[-1], ids[-1].as_py()), bool(before[-1])
+            yield _strings(keys, spot, before[:-1] | same)
+            held, repeated = (one[-1], two[-1], keys[-1], spot[-1]), bool(before[-1])
         if held is not None and repeated:
-            yield _strings(pa.array([held[3]], pa.int64()), np.array([held[2]]), np.array([True]))
+            yield _strings(np.array([held[2]]), np.array([held[3]]), np.array([True]))
 
-    def _strings(ids, spot, many):
+    def _strings(keys, spot, many):
         at = np.flatnonzero(many & (spot[: len(many)] & 1 == 1))
         low = (spot[at] >> 17).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(at)), pa.array(spot[at] >> 1 & 0xFFFF), pa.array(low), pa.array(low)],
-            names=["doc_id", "mark", "low", "high"],
+            [pa.array(keys[at]), pa.array(spot[at] >> 1 & 0xFFFF), pa.array(low), pa.array(low)],
+            names=["key", "mark", "low", "high"],
         )
 
-    ranked = pieces.mapInArrow(pairs, "one long, two long, doc_id long, spot long")
+    ranked = pieces.mapInArrow(pairs, "one long, two long, key long, spot long")
     laid = ranked.repartition("one", "two").sortWithinPartitions("one", "two")
-    return laid.mapInArrow(run, "doc_id long, mark long, low int, high int")
+    return laid.mapInArrow(run, "key long, mark long, low int, high int")
 
 
 def _same_document(documents: DataFrame, others: DataFrame, how: str = "inner") -> DataFrame:
     one, two = documents.alias("d"), others.alias("o")
-    same = F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.mark") == F.col("o.mark"))
+    same = (F.col("d.key") == F.col("o.key")) & (F.col("d.mark") == F.col("o.mark"))
     names = [name for name in others.columns if name not in documents.columns]
     return one.join(two, same, how).select("d.*", *[f"o.{name}" for name in names])
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, mark, runs): where strings that repeat begin, as first and last places, per document."""
+    """(key, mark, runs): where strings that repeat begin, as first and last places, per document."""
     ranked = written(first_round(anchor_rows(docs, length)), "ranked")
-    settled = ranked.where("NOT open").select("doc_id", "mark", "low", "high")
+    settled = ranked.where("NOT open").select("key", "mark", "low", "high")
     # Only ranks with an unsettled context need the second round.
-    rest = second_round(docs, ranked.where("open").select("doc_id", "mark", "low", "high", "alone"), length)
+    rest = second_round(docs, ranked.where("open").select("key", "mark", "low", "high", "alone"), length)
     every = settled.unionByName(rest)
-    return every.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    return every.groupBy("key", "mark").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
 
 
 def removed_spans(runs, length: int) -> np.ndarray:

@@ -94,3 +94,14 @@ def test_op9(spark, sf_dir):
     found = suffixes.op9_prefix_doubling(spark, sf_dir).collect()
     mine = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found)
     assert mine == plain_cuts(rows, 200)
+
+
+def test_thousands_of_rows_without_doc_id(spark):
+    """A shared passage, among unique texts; places and lengths are alike everywhere."""
+    rng = random.Random(3)
+    passage = prose(rng, 60)[:250]
+    unique = lambda: "".join(rng.choice("abcdefghij ") for _ in range(300))
+    for doc_id in (None, 7):
+        rows = [(doc_id, (passage if at % 5 == 0 else unique()[:250]) + unique()) for at in range(3000)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert got(suffixes.without_repeated_bytes(docs)) == plain_cuts(rows, suffixes.LENGTH)
