@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logspark.llm.bytebpe import op3_byte_bpe
 from logspark.llm.fingerprint import op6_bottom_k
+from logspark.llm.langid import op11_compression_langid
 from logspark.llm.ngram_join import op5_count_rtree
 from logspark.llm.packing import op1_bm25_packing
 from logspark.llm.quality import op7_quality
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_sentence_spans,
         op9_prefix_doubling,
         op10_two_pass_shuffle,
+        op11_compression_langid,
     )
     return {query.__name__: query for query in found}
 
