@@ -13,6 +13,7 @@ from logspark.llm.ngram_join import op5_count_rtree
 from logspark.llm.packing import op1_bm25_packing
 from logspark.llm.quality import op7_quality
 from logspark.llm.rans import op2_rans
+from logspark.llm.runs import op12_difference_cover_runs
 from logspark.llm.sentences import PIECE, SPAN, WORDS, op8_sentence_spans
 from logspark.llm.sharding import op10_two_pass_shuffle
 from logspark.llm.suffixes import op9_prefix_doubling
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_prefix_doubling,
         op10_two_pass_shuffle,
         op11_compression_langid,
+        op12_difference_cover_runs,
     )
     return {query.__name__: query for query in found}
 
