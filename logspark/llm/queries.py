@@ -18,6 +18,7 @@ from logspark.llm.sentences import PIECE, SPAN, WORDS, op8_sentence_spans
 from logspark.llm.sharding import op10_two_pass_shuffle
 from logspark.llm.suffixes import op9_prefix_doubling
 from logspark.llm.urls import op4_markov_urls
+from logspark.llm.whitening import op13_incremental_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_two_pass_shuffle,
         op11_compression_langid,
         op12_difference_cover_runs,
+        op13_incremental_whitening,
     )
     return {query.__name__: query for query in found}
 
