@@ -487,6 +487,7 @@ UNION ALL SELECT ts, level, coalesce(service, 'stdin'), message, trace_id FROM p
         "stream_dedup": _fast_logs(
             f"SELECT DISTINCT {_SECOND} AS ts, source, message, {_PLACE} FROM logs"
         ),
+        "stream_growing": _logs(f"SELECT {fixtures.duckdb_line('structured')} AS value FROM logs"),
         "stream_counters": _logs(
             """SELECT stream, count(*) AS log_count, count_if(level IN ('ERROR', 'FATAL'))::BIGINT AS error_count,
  count_if(level IN ('WARN', 'WARNING'))::BIGINT AS warning_count, max(ts) AS last_seen FROM logs GROUP BY stream"""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 from collections.abc import Callable
 from functools import partial
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from logspark.operators.parse import parse_lines
 from logspark.operators.patterns import DEFAULTS, Pattern
 from logspark.plans import compaction, retention
 from logspark.schema import DISTINCT_COLUMNS
-from logspark.sources import inventory
+from logspark.sources import growing, inventory
 from logspark.sources.folders import in_parallel, path_of
 from logspark.sources.lake import file_system, lake_rows, read_lake, write_sorted
 from logspark.sources.lines import (
@@ -622,6 +624,33 @@ def stream_ingest(spark, sf_dir) -> DataFrame:
     return _landed(read_lake(spark, _ingested(dedup_stream(rows))))
 
 
+def _grow(lines: DataFrame, folder: str, share: float) -> None:
+    """Bring a file of each task to a share of its bytes, its last line feed left out; repeatable."""
+
+    def write(batches):
+        values = [value for batch in batches for value in batch.column("value").to_pylist()]
+        data = "\n".join(values).encode()
+        with open(f"{folder}/{TaskContext.get().partitionId()}.log", "wb") as file:
+            file.write(data[: int(len(data) * share)])
+        yield from ()
+
+    lines.mapInArrow(write, "value string").count()
+
+
+def stream_growing(spark, sf_dir) -> DataFrame:
+    """Lines of files that grow between batches, and end in half a line each time."""
+    lines = fixtures.lines(spark, sf_dir, "structured").repartition(8, "id").sortWithinPartitions("id").select("value")
+    folder = new_folder(spark)
+    _, logs = growing.open_folder(f"{folder}/logs")
+    os.makedirs(logs)
+    for share, settle in ((0.35, 3600), (0.8, 3600), (1, 0)):
+        _grow(lines, logs, share)
+        rows = growing.follow_lines(spark, logs, "*.log", settle_seconds=settle)
+        sink = rows.select("value").writeStream.format("parquet").option("path", f"{folder}/rows")
+        sink.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
+
+
 def stream_dedup(spark, sf_dir) -> DataFrame:
     lines = fixtures.lines(spark, sf_dir, "json_prefix", fast=True)
     folder = _text_files(lines.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(2)))))
@@ -806,6 +835,7 @@ def queries() -> dict[str, Query]:
         "stream_retain": stream_retain,
         "stream_ingest": stream_ingest,
         "stream_dedup": stream_dedup,
+        "stream_growing": stream_growing,
         "stream_counters": stream_counters,
     }
     found |= {f"distinct_{name}": partial(distinct, column=name) for name in sorted(DISTINCT_COLUMNS)}
