@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm.common import written
+from logspark.llm.common import partitions, written
 
 SCALE, SHIFT, LARGEST = 64, 1_000_000, float(1 << 50)
 COMPONENTS, MERGED = 16, 8
@@ -233,7 +233,8 @@ def merged(rows: DataFrame, dimension: int) -> DataFrame:
 
 def spectrum_of(fit: DataFrame, dimension: int) -> Spectrum:
     """The spectrum of the whole list, merged level by level; each level is written."""
-    rows = written(spectra(fit, dimension), "spectra")
+    # Dealt out anew: an update costs far more than the few bytes of its vector, by which tasks are sized.
+    rows = written(spectra(fit.repartition(partitions(fit.sparkSession)), dimension), "spectra")
     while rows.count() > 1:
         rows = written(merged(rows, dimension), "spectra")
     row = rows.first()
