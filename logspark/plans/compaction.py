@@ -15,12 +15,21 @@ from pyspark.sql import functions as F
 
 from logspark.runtime import cut_lineage
 from logspark.schema import PARTITION_COLUMNS
-from logspark.sources.folders import in_parallel, only_run, partition_folders, path_of, refuse_sink
+from logspark.sources.files import path_exists
+from logspark.sources.folders import only_run, refuse_sink
 from logspark.sources.inventory import file_inventory
-from logspark.sources.lake import file_system, path_exists, read_files, write_sorted
-
-STAGING = "_compaction"
-_PREFIX = "compacted_"
+from logspark.sources.lake import read_files, write_sorted
+from logspark.sources.publication import (
+    PREFIX,
+    STAGING,
+    finish_runs,
+    metadata_path,
+    place_in_lake,
+    replace_files,
+)
+
+# How long replaced files are kept for searches that planned before.
+GRACE = dt.timedelta(hours=1)
 # Bytes rewritten by one Spark job; a larger plan takes several jobs.
 BYTES_PER_JOB = 1 << 40
 
@@ -38,7 +47,7 @@ def _older(now: Column, age: dt.timedelta) -> Column:
 
 
 def is_compacted(path: Column) -> Column:
-    return F.contains(F.element_at(F.split(path, "/"), -1), F.lit(_PREFIX))
+    return F.contains(F.element_at(F.split(path, "/"), -1), F.lit(PREFIX))
 
 
 def with_eligibility(
@@ -142,30 +151,32 @@ def compact_lake(
     policy: CompactionPolicy = CompactionPolicy(),
     bytes_per_job: int = BYTES_PER_JOB,
     takeover: bool = False,
+    grace: dt.timedelta = GRACE,
 ) -> int:
     """Rewrite every settled partition the plan names; returns the files merged.
 
     A partition is settled when all its files are old enough; others wait for a
     later run. Jobs take whole partitions, up to ``bytes_per_job`` but always at
-    least one, so the result does not depend on the job size. Each job stages its
-    partitions, then swaps folders: the old one moves aside, the staged one into
-    its place, and files that came in meanwhile move back. A run that dies leaves
-    its staging folder; the next run, which must take over the marker, finishes
-    complete ones and drops incomplete ones. Readers should be paused during a
-    swap, as plain Parquet has no atomic one.
+    least one, so the result does not depend on the job size. Each job is published
+    in one step: ``read_lake`` sees its old files until then and its new ones after. The
+    old files stay on disk for ``grace``, which should cover the longest search, and go in a later run (or
+    in this one if it is zero). A run that dies leaves its folder; the next run, which must take
+    over the marker, finishes what was staged completely and drops the rest. Readers other
+    than ``read_lake`` see old and new files until the old ones are gone.
     """
     refuse_sink(spark, root, "compact")
     if not path_exists(spark, root):
         return 0
     with only_run(spark, f"{root}/{STAGING}/_running", takeover):
-        finish_pending(spark, root)
+        finish_runs(spark, root, grace.total_seconds())
         files = cut_lineage(with_eligibility(file_inventory(spark, root), now, policy))
         settled = files.groupBy(*PARTITION_COLUMNS).agg(F.bool_and("eligible").alias("settled")).where("settled")
         plan = compaction_plan(files, now, policy).where("needs_compaction")
         chosen = plan.join(settled, list(PARTITION_COLUMNS), "left_semi")
         merged = 0
         for job in _jobs(chosen, bytes_per_job):
-            merged += _rewrite(spark, root, files, job, policy)
+            merged += _rewrite(spark, root, files, job)
+            finish_runs(spark, root, grace.total_seconds())
     return merged
 
 
@@ -182,9 +193,7 @@ def _jobs(chosen: DataFrame, most_bytes: int) -> Iterator[list[Row]]:
         yield job
 
 
-def _rewrite(
-    spark: SparkSession, root: str, files: DataFrame, job: list[Row], policy: CompactionPolicy
-) -> int:
+def _rewrite(spark: SparkSession, root: str, files: DataFrame, job: list[Row]) -> int:
     kinds = [f"{name} {files.schema[name].dataType.simpleString()}" for name in PARTITION_COLUMNS]
     numbered, total = [], 0
     for row in job:
@@ -193,84 +202,20 @@ def _rewrite(
     schema = ", ".join([*kinds, "output_files bigint", "first bigint"])
     outputs = spark.createDataFrame(numbered, schema)
     folders = [partition_folder(spark, row) for row in job]
-    run = f"{root}/{STAGING}/{uuid.uuid4().hex}"
-    replaced = files.join(outputs.select(*PARTITION_COLUMNS), list(PARTITION_COLUMNS))
-    name = F.element_at(F.split("path", "/"), -1)
-    listed = cut_lineage(replaced.select(*PARTITION_COLUMNS, "path", name.alias("name")))
-    # Each partition's list lies in a folder of its own, for the swap.
-    listed.drop("path").repartition(*PARTITION_COLUMNS).write.partitionBy(*PARTITION_COLUMNS).text(f"{run}/replaced")
     # All listed files of the partitions are read, young compacted ones too, and no others.
-    rows = read_files(spark, root, [f"{root}/{folder}" for folder in folders])
-    rows = rows.withColumn("_path", F.col("_metadata.file_path"))
-    rows = rows.join(listed.select(F.col("path").alias("_path")), "_path", "left_semi").drop("_path")
-    write_sorted(merge_rows(rows, outputs, total), f"{run}/data")
-    publish(spark, root, run)
-    return listed.count()
+    listed = cut_lineage(files.join(outputs.select(*PARTITION_COLUMNS), list(PARTITION_COLUMNS)).select("path"))
+    places = listed.select(place_in_lake(F.col("path")).alias("_place"))
+
+    def write(folder: str) -> None:
+        rows = read_files(spark, root, [f"{root}/{name}" for name in folders])
+        rows = rows.withColumn("_place", place_in_lake(metadata_path()))
+        rows = rows.join(places, "_place", "left_semi").drop("_place")
+        write_sorted(merge_rows(rows, outputs, total), folder)
+
+    return replace_files(spark, root, uuid.uuid4().hex, listed, write)
 
 
 def partition_folder(spark: SparkSession, row: Row) -> str:
     """The folder of a partition, relative to the lake."""
     escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     return "/".join(f"{name}={escape(str(row[name]))}" for name in PARTITION_COLUMNS)
-
-
-def publish(spark: SparkSession, root: str, run: str) -> None:
-    """Swap a run's partitions in; repeatable after a failure at any point."""
-    staged = list(partition_folders(spark, f"{run}/replaced"))
-    in_parallel(lambda folder: _swap(spark, root, run, folder), staged)
-    # What is left aside are the replaced files of partitions that are in place.
-    file_system(spark, root).delete(path_of(spark, run), True)
-
-
-def _swap(spark: SparkSession, root: str, run: str, folder: str) -> None:
-    files = file_system(spark, root)
-    place, aside, staged = (path_of(spark, f"{base}/{folder}") for base in (root, f"{run}/old", f"{run}/data"))
-    name = run.rsplit("/", 1)[1]
-    if not files.exists(aside):
-        for status in files.listStatus(staged) if files.exists(staged) else []:
-            if status.getPath().getName().startswith("part-"):
-                target = path_of(spark, f"{run}/data/{folder}/{_PREFIX}{name}_{status.getPath().getName()}")
-                _move(files, status.getPath(), target)
-        files.mkdirs(aside.getParent())
-        _move(files, place, aside)
-    if files.exists(staged):
-        # Files that came in meanwhile may have made the folder anew.
-        for status in files.listStatus(place) if files.exists(place) else []:
-            _move(files, status.getPath(), path_of(spark, f"{run}/data/{folder}/{status.getPath().getName()}"))
-        files.delete(place, True)
-        _move(files, staged, place)
-    known = _replaced(spark, run, folder)
-    for status in files.listStatus(aside):
-        if status.getPath().getName().endswith(".parquet") and status.getPath().getName() not in known:
-            _move(files, status.getPath(), path_of(spark, f"{root}/{folder}/{status.getPath().getName()}"))
-
-
-def _replaced(spark: SparkSession, run: str, folder: str) -> set[str]:
-    """Names of the files of a partition that the run has read."""
-    files, names = file_system(spark, run), set()
-    for status in files.listStatus(path_of(spark, f"{run}/replaced/{folder}")):
-        stream = files.open(status.getPath())
-        names |= set(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines())
-        stream.close()
-    return names
-
-
-def _move(files, source, target) -> None:
-    if not files.rename(source, target):
-        raise OSError(f"could not move {source} to {target}")
-
-
-def finish_pending(spark: SparkSession, root: str) -> None:
-    """Publish runs that were staged completely, drop the others."""
-    files = file_system(spark, root)
-    staging = path_of(spark, f"{root}/{STAGING}")
-    if not files.exists(staging):
-        return
-    for status in files.listStatus(staging):
-        if not status.isDirectory():
-            continue
-        run = f"{root}/{STAGING}/{status.getPath().getName()}"
-        if files.exists(path_of(spark, f"{run}/data/_SUCCESS")):
-            publish(spark, root, run)
-        else:
-            files.delete(path_of(spark, run), True)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from logspark.operators.filters import timestamp_literal
 from logspark.plans.ranking import running_totals
-from logspark.sources.folders import in_parallel, path_of, refuse_sink
-from logspark.sources.lake import file_system
+from logspark.sources.files import file_system, in_parallel, path_of
+from logspark.sources.folders import refuse_sink
 
 
 @dataclass(frozen=True)

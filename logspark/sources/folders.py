@@ -1,32 +1,13 @@
-"""Moving and deleting files of a lake, without one driver call after another."""
+"""Folders of a lake: who owns them, and one run at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import islice
 
 from pyspark.sql import SparkSession
 
-from logspark.schema import PARTITION_COLUMNS
-from logspark.sources.lake import file_system
-
-# Calls to the file system at a time, and paths held for them.
-PARALLEL_CALLS = 32
-_CHUNK = 4_096
-
-
-def in_parallel(call: Callable[[str], object], paths: Iterable[str]) -> int:
-    """Apply a file system call to every path, many at a time; returns how many there were."""
-    count = 0
-    rest = iter(paths)
-    with ThreadPoolExecutor(PARALLEL_CALLS) as pool:
-        while chunk := list(islice(rest, _CHUNK)):
-            for _ in pool.map(call, chunk):
-                count += 1
-    return count
-
+from logspark.sources.files import file_system, path_of
 
 def refuse_sink(spark: SparkSession, root: str, task: str) -> None:
     """Raise for the folder of a file sink: its own log names the files it has."""
@@ -34,21 +15,6 @@ def refuse_sink(spark: SparkSession, root: str, task: str) -> None:
         raise ValueError(f"a file sink owns this folder; {task} a lake of write_stream instead")
 
 
-def path_of(spark: SparkSession, path: str, exists: bool = False):
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return file_system(spark, path).exists(found) if exists else found
-
-
-def partition_folders(spark: SparkSession, root: str) -> Iterator[str]:
-    """Paths of the partition folders below a folder, relative to it."""
-    files = file_system(spark, root)
-    base = files.makeQualified(path_of(spark, root)).toString()
-    pattern = "/".join(f"{name}=*" for name in PARTITION_COLUMNS)
-    for status in files.globStatus(path_of(spark, f"{root}/{pattern}")) or []:
-        if status.isDirectory():
-            yield status.getPath().toString()[len(base) + 1 :]
-
-
 @contextmanager
 def only_run(spark: SparkSession, marker: str, takeover: bool) -> Iterator[None]:
     """Hold a marker file for one run; a second run raises, unless it takes over a dead one's."""

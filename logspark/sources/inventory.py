@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logspark.sources.lake import foreign_partition, path_exists, reachable_folders
+from logspark.sources.files import path_exists
+from logspark.sources.lake import foreign_partition, reachable_folders
+from logspark.sources.publication import live_files
 
 INVENTORY_SCHEMA = T.StructType(
     [
@@ -31,6 +33,7 @@ def file_inventory(
     stream: str = "",
 ) -> DataFrame:
     """One row per Parquet file under the lake; file contents are not read.
+    Files that compaction has replaced, or has not published yet, do not count.
 
     With time bounds or a stream only the folders they reach are listed.
     """
@@ -39,13 +42,16 @@ def file_inventory(
         folders = reachable_folders(spark, root, start, end, stream)
     if not folders:
         return spark.createDataFrame([], INVENTORY_SCHEMA)
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .load(folders)
-        .select("path", "length", F.col("modificationTime").alias("mtime"))
-    )
+    def listed() -> DataFrame:
+        return (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.parquet")
+            .load(folders)
+            .select("path", "length", F.col("modificationTime").alias("mtime"))
+        )
+
+    files = listed() if foreign else live_files(spark, root, listed, lambda: F.col("path"))
     place = foreign_partition(F.col("path")) if foreign else _partition(F.col("path"))
     return files.select("path", "length", "mtime", *place)
 

@@ -13,6 +13,8 @@ from logspark.functions.times import to_utc
 from logspark.operators.entries import storage_rows
 from logspark.runtime import session_conf
 from logspark.schema import LAKE_SCHEMA, LOG_COLUMNS, LOG_SCHEMA, PARTITION_COLUMNS
+from logspark.sources.files import file_system, path_exists
+from logspark.sources.publication import live_files, metadata_path
 
 # Millisecond timestamps carry Parquet statistics, so a scan skips row groups
 # outside the time bounds; Spark's default timestamp format does not.
@@ -77,14 +79,15 @@ def read_lake(
     With both bounds only the folders of those days (of those hours, within one
     day) are listed; a long range lists by month. The rows are still to be
     filtered: predicates on stream, dt and hour prune partitions, those on ts row
-    groups. An empty or missing lake has no rows.
+    groups. An empty or missing lake has no rows. Of files that compaction is replacing, the old
+    or the new ones are read.
     """
     folders = [root]
     if start is not None and end is not None or stream:
         folders = reachable_folders(spark, root, start, end, stream)
     if not folders or not path_exists(spark, root):
         return spark.createDataFrame([], LAKE_SCHEMA)
-    return spark.read.schema(LAKE_SCHEMA).option("basePath", root).parquet(*folders)
+    return live_files(spark, root, lambda: read_files(spark, root, folders), metadata_path)
 
 
 def reachable_folders(
@@ -126,7 +129,7 @@ def _time_glob(start: dt.datetime, end: dt.datetime) -> str:
 
 
 def read_files(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFrame:
-    """Exactly the listed data files, with their partition columns."""
+    """Exactly the listed data files or folders, with their partition columns."""
     return spark.read.schema(LAKE_SCHEMA).option("basePath", root).parquet(*paths)
 
 
@@ -159,14 +162,3 @@ def foreign_partition(path: Column) -> list[Column]:
         day.try_cast("date").alias("dt"),
         part(5).try_cast("int").alias("hour"),
     ]
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return file_system(spark, path).exists(target)
-
-
-def file_system(spark: SparkSession, path: str):
-    """The Hadoop file system that holds ``path``."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())

@@ -12,8 +12,8 @@ from logspark.operators.entries import exact_key, from_containers, from_pipe, wi
 from logspark.operators.parse import parse_lines
 from logspark.operators.patterns import DEFAULTS, Pattern
 from logspark.schema import PARTITION_COLUMNS
-from logspark.sources.folders import in_parallel, path_of
-from logspark.sources.lake import file_system, write_lake
+from logspark.sources.files import file_system, in_parallel, path_of
+from logspark.sources.lake import write_lake
 
 # How long a key is remembered, and how often rows are flushed.
 DEDUP_DELAY = "1 minute"

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logspark.plans import compaction, ranking, retention
-from logspark.sources import inventory, lake
+from logspark.sources import inventory, lake, publication
 from tests.plans import physical
 
 SCHEMA = "stream string, path string, length bigint, mtime timestamp_ntz"
@@ -130,13 +130,13 @@ def test_files_that_come_in_during_a_swap_stay(spark, small_files, monkeypatch):
     now = F.current_timestamp() + F.expr(LATER)
     extra = lake.read_lake(spark, small_files).where("hour = 10").limit(3).withColumn("id", F.lit("late"))
     late = extra.checkpoint()
-    publish = compaction.publish
+    publish = publication.publish
 
     def meanwhile(*args):
         lake.write_sorted(late.select(*lake.LAKE_SCHEMA.fieldNames()), small_files)
         publish(*args)
 
-    monkeypatch.setattr(compaction, "publish", meanwhile)
+    monkeypatch.setattr(publication, "publish", meanwhile)
     assert compaction.compact_lake(spark, small_files, now) == 14
     found = contents(spark, small_files)
     assert len(found) == len(before) + 3 and set(before) <= set(found)
@@ -144,7 +144,7 @@ def test_files_that_come_in_during_a_swap_stay(spark, small_files, monkeypatch):
 
 def test_a_second_run_is_refused(spark, small_files):
     now = F.current_timestamp() + F.expr(LATER)
-    with compaction.only_run(spark, f"{small_files}/{compaction.STAGING}/_running", False):
+    with compaction.only_run(spark, f"{small_files}/{publication.STAGING}/_running", False):
         with pytest.raises(RuntimeError):
             compaction.compact_lake(spark, small_files, now)
         assert compaction.compact_lake(spark, small_files, now, takeover=True) == 14
@@ -158,7 +158,7 @@ def test_broken_compaction_is_finished_by_the_next(spark, small_files, monkeypat
         raise RuntimeError("lost")
 
     with monkeypatch.context() as patch:
-        patch.setattr(compaction, "publish", die)
+        patch.setattr(publication, "publish", die)
         with pytest.raises(RuntimeError):
             compaction.compact_lake(spark, small_files, now)
     assert contents(spark, small_files) == before
@@ -179,12 +179,105 @@ def test_incomplete_staging_is_dropped(spark, small_files, monkeypatch):
         patch.setattr(compaction, "write_sorted", die)
         with pytest.raises(RuntimeError):
             compaction.compact_lake(spark, small_files, now)
-    compaction.finish_pending(spark, small_files)
+    publication.finish_runs(spark, small_files)
     assert contents(spark, small_files) == before
     assert compaction.compact_lake(spark, small_files, now) == 14
     assert contents(spark, small_files) == before
 
 
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", range(5))
+def test_readers_see_old_or_new_files_wherever_a_run_stops(spark, small_files, monkeypatch, step):
+    """Stopped while staging, between two moves, before and after the commit, and while old files are deleted."""
+    before = contents(spark, small_files)
+    planned = lake.read_lake(spark, small_files)
+    now = F.current_timestamp() + F.expr(LATER)
+    grace = dt.timedelta(0) if step == 4 else dt.timedelta(hours=1)
+    moved = []
+
+    def some(call, paths):
+        for at, path in enumerate(list(paths)):
+            if at == 1:
+                raise Stopped
+            moved.append(call(path))
+
+    def stop(*_):
+        raise Stopped
+
+    finish, in_parallel = publication.finish_runs, publication.in_parallel
+    with monkeypatch.context() as patch:
+        if step == 0:
+            patch.setattr(compaction, "merge_rows", stop)
+        elif step == 1:
+            patch.setattr(publication, "in_parallel", some)
+        elif step == 2:
+            patch.setattr(publication, "in_parallel", lambda *args: (in_parallel(*args), stop()))
+        elif step == 3:
+            patch.setattr(compaction, "finish_runs", lambda *args: finish(*args) if not publication.runs_of(spark, small_files).committed else stop())
+        else:
+            calls = []
+            patch.setattr(publication, "in_parallel", lambda *args: (in_parallel if not calls.append(1) and len(calls) == 1 else some)(*args))
+        with pytest.raises(Stopped):
+            compaction.compact_lake(spark, small_files, now, grace=grace)
+    live = inventory.file_inventory(spark, small_files)
+    assert contents(spark, small_files) == before
+    assert live.count() == (15 if step < 3 else 3)
+    if step < 4:
+        assert sorted(tuple(row) for row in planned.collect()) == before
+    # The next run finishes or drops it, and the one after that has no more to do.
+    done = compaction.compact_lake(spark, small_files, now, grace=dt.timedelta(0))
+    assert done == (14 if step == 0 else 0) and contents(spark, small_files) == before
+    assert spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(small_files).count() == 3
+    assert publication.runs_of(spark, small_files) == publication.Runs(frozenset(), frozenset())
+
+
+def test_old_files_stay_for_readers_that_planned_before(spark, small_files):
+    planned, before = lake.read_lake(spark, small_files), contents(spark, small_files)
+    now = F.current_timestamp() + F.expr(LATER)
+    assert compaction.compact_lake(spark, small_files, now, grace=dt.timedelta(hours=1)) == 14
+    assert sorted(tuple(row) for row in planned.collect()) == before == contents(spark, small_files)
+    assert len(publication.runs_of(spark, small_files).committed) == 1
+    # Replaced files are not merged again; later they go.
+    assert compaction.compact_lake(spark, small_files, now, grace=dt.timedelta(hours=1)) == 0
+    publication.finish_runs(spark, small_files)
+    assert contents(spark, small_files) == before and not publication.runs_of(spark, small_files).committed
+
+
+@pytest.mark.parametrize("literals", [0, 500])
+def test_many_replaced_files_and_odd_stream_names(spark, tmp_path, monkeypatch, literals):
+    monkeypatch.setattr(publication, "LITERALS", literals)
+    root = str(tmp_path / "lake")
+    rows = spark.range(60).selectExpr(
+        "timestamp'2024-01-01 10:00:00' AS ts", "element_at(array('a b', 'c+d', 'e%20f', 'g:h', 'ü=1'), cast(id % 5 + 1 AS int)) AS source",
+        "'INFO' AS level", "concat('message ', id) AS message", "cast(id AS string) AS id",
+    )
+    lake.write_sorted(lake.lake_rows(rows).repartition(6, "id"), root)
+    before = contents(spark, root)
+    now = F.current_timestamp() + F.expr(LATER)
+    merged = compaction.compact_lake(spark, root, now, compaction.CompactionPolicy(min_files=2), grace=dt.timedelta(hours=1))
+    assert merged > 10 and contents(spark, root) == before and len(before) == 60
+    assert inventory.file_inventory(spark, root).count() == 5
+    publication.finish_runs(spark, root)
+    assert contents(spark, root) == before
+
+
+def test_a_run_that_begins_or_ends_while_files_are_listed(spark, small_files, monkeypatch):
+    listings = []
+
+    def listed():
+        listings.append(1)
+        if len(listings) == 1:
+            folder = publication.path_of(spark, f"{small_files}/_compaction/abc/replaced")
+            publication.file_system(spark, small_files).mkdirs(folder)
+        return lake.read_files(spark, small_files, [small_files])
+
+    found = publication.live_files(spark, small_files, listed, publication.metadata_path)
+    assert found.count() == 600 and len(listings) == 2
+
+
 def test_streaming_sink_folder_is_refused(spark, tmp_path):
     (tmp_path / "_spark_metadata").mkdir()
     with pytest.raises(ValueError):

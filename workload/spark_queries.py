@@ -19,8 +19,8 @@ from logspark.operators.patterns import DEFAULTS, Pattern
 from logspark.plans import compaction, retention
 from logspark.schema import DISTINCT_COLUMNS
 from logspark.sources import growing, inventory
-from logspark.sources.folders import in_parallel, path_of
-from logspark.sources.lake import file_system, lake_rows, read_lake, write_sorted
+from logspark.sources.files import file_system, in_parallel, path_of
+from logspark.sources.lake import lake_rows, read_lake, write_sorted
 from logspark.sources.lines import (
     read_container_lines,
     read_lines,
