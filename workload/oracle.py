@@ -26,6 +26,7 @@ def _fast_logs(query: str) -> str:
 
 
 _LAKE = "ts >= TIMESTAMP '2024-01-01 05:30:00' AND ts <= TIMESTAMP '2024-01-02 02:15:00'"
+_SPAN = "ts >= TIMESTAMP '2024-01-01 05:30:00' AND ts <= TIMESTAMP '2024-01-09 02:15:00'"
 _PLACE = "stream, ts::DATE AS dt, hour(ts)::INTEGER AS hour"
 
 
@@ -254,8 +255,8 @@ def oracle_sql() -> dict[str, str]:
         "search_since_start_of_day": _search(
             f"ts >= date_trunc('day', {_NEWEST}) AND ts <= {_NEWEST}", 1000
         ),
-        "search_lake": _fast_logs(
-            f"SELECT {_RESULT} FROM logs WHERE {_LAKE} AND stream = 'svc-3' AND level IN ('ERROR', 'FATAL')"
+        "search_lake": _logs(
+            f"SELECT {_RESULT} FROM logs WHERE {_SPAN} AND stream = 'svc-3' AND level IN ('ERROR', 'FATAL')"
             f" AND {_text('Timeout|full')} ORDER BY ts DESC, coalesce(id, '')"
         ),
         "search_envelope": _logs(
@@ -273,7 +274,7 @@ FROM (SELECT id, ts, count(*) OVER () AS total FROM logs WHERE {_MONTH} AND leve
 FROM (SELECT count(*) AS total FROM logs WHERE {_MONTH} AND level = 'ERROR')"""
         ),
         "count_matches": _logs(f"SELECT count(*) AS total FROM logs WHERE {_COMBINED}"),
-        "files_scanned": _fast_logs(
+        "files_scanned": _logs(
             "SELECT count(DISTINCT (stream, date_trunc('hour', ts))) AS files_scanned FROM logs"
             " WHERE ts >= TIMESTAMP '2024-01-01 05:00:00' AND ts < TIMESTAMP '2024-01-02 03:00:00'"
         ),
@@ -446,6 +447,10 @@ SELECT {_RESULT}, stream FROM logs WHERE stream IN (SELECT stream FROM members W
 FROM plan WHERE needs_compaction""",
         "compaction_files": f"""{_COMPACTION} SELECT c.stream AS stream, c.dt AS dt, name, length, output_files
 FROM chosen c JOIN plan p ON c.stream = p.stream AND c.dt = p.dt WHERE needs_compaction AND in_rewrite""",
+        "search_during_compaction": _fast_logs(
+            f"SELECT step, id, ts, message FROM logs, (SELECT unnest(['before', 'half moved', 'published', 'held', 'cleaned up']) AS step)"
+            f" WHERE {_LAKE} AND level IN ('ERROR', 'FATAL')"
+        ),
         "compaction_rewrite": _fast_logs(f"SELECT {_LAKE_COLUMNS}, {_PLACE} FROM logs"),
         "retention_apply": _fast_logs(f"SELECT {_LAKE_COLUMNS}, {_PLACE} FROM logs WHERE ts >= TIMESTAMP '2024-01-02'"),
         "stream_compact": _fast_logs(_STREAMED),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import os
 from collections.abc import Callable
 from functools import partial
+from unittest import mock
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,7 @@ from logspark.operators.parse import parse_lines
 from logspark.operators.patterns import DEFAULTS, Pattern
 from logspark.plans import compaction, retention
 from logspark.schema import DISTINCT_COLUMNS
-from logspark.sources import growing, inventory
+from logspark.sources import growing, inventory, publication
 from logspark.sources.files import file_system, in_parallel, path_of
 from logspark.sources.lake import lake_rows, read_lake, write_sorted
 from logspark.sources.lines import (
@@ -38,6 +40,7 @@ from workload.scratch import lake_of_logs, new_folder
 DAY_START = dt.datetime(2024, 1, 10)
 DAY_END = dt.datetime(2024, 1, 11)
 LAKE_START = dt.datetime(2024, 1, 1, 5, 30)
+SPAN_END = dt.datetime(2024, 1, 9, 2, 15)
 LAKE_END = dt.datetime(2024, 1, 2, 2, 15)
 MONTH_START = dt.datetime(2024, 1, 1)
 MONTH_END = dt.datetime(2024, 2, 1)
@@ -116,10 +119,10 @@ def search_relative(spark, sf_dir, factory) -> DataFrame:
 
 
 def search_lake(spark, sf_dir) -> DataFrame:
-    """Some hours' errors of one stream, out of the folders of the lake they can be in."""
-    root = lake_of_logs(spark, sf_dir)
+    """Some days' errors of one stream, out of the folders of the lake they can be in."""
+    root = lake_of_logs(spark, sf_dir, fast=False)
     wanted = filters.QueryFilter(
-        LAKE_START, LAKE_END, process="svc-3", levels=["ERROR", "FATAL"], message_search="Timeout|full"
+        LAKE_START, SPAN_END, process="svc-3", levels=["ERROR", "FATAL"], message_search="Timeout|full"
     )
     lake = read_lake(spark, root, wanted.start, wanted.end, wanted.process)
     return _plain(_ntz(search.search(lake, wanted)))
@@ -136,7 +139,7 @@ def count_matches(spark, sf_dir) -> DataFrame:
 
 def files_scanned(spark, sf_dir) -> DataFrame:
     """Hours of the range that hold rows of any stream: the lake keeps one file for each here."""
-    root = lake_of_logs(spark, sf_dir)
+    root = lake_of_logs(spark, sf_dir, fast=False)
     return search.files_scanned(spark, root, filters.QueryFilter(LAKE_START, LAKE_END))
 
 
@@ -541,6 +544,36 @@ def compaction_rewrite(spark, sf_dir) -> DataFrame:
     return _stored(read_lake(spark, root))
 
 
+def search_during_compaction(spark, sf_dir) -> DataFrame:
+    """A search at every step of a compaction that is stopped between two moves, taken up and cleaned up.
+
+    Each step reads the lake anew; ``held`` is a search planned before, run after the new files count.
+    """
+    folder = new_folder(spark)
+    root, found = f"{folder}/lake", f"{folder}/found"
+    write_sorted(lake_rows(fixtures.logs(spark, sf_dir, fast=True)).repartition(6, "id"), root)
+    wanted = filters.QueryFilter(LAKE_START, LAKE_END, levels=["ERROR", "FATAL"], limit=0)
+    searched = lambda: _ntz(search.search(read_lake(spark, root, LAKE_START, LAKE_END), wanted)).select("id", "ts", "message")
+    keep = lambda step, rows: rows.withColumn("step", F.lit(step)).write.mode("append").parquet(found)
+    now = F.current_timestamp() + F.expr("INTERVAL 3 HOURS")
+
+    def stopped(call, paths):
+        in_parallel(call, list(paths)[::2])
+        raise InterruptedError
+
+    held = searched()
+    keep("before", searched())
+    with mock.patch.object(publication, "in_parallel", stopped), contextlib.suppress(InterruptedError):
+        compaction.compact_lake(spark, root, now)
+    keep("half moved", searched())
+    publication.finish_runs(spark, root, grace_seconds=3600)
+    keep("published", searched())
+    keep("held", held)
+    publication.finish_runs(spark, root)
+    keep("cleaned up", searched())
+    return spark.read.parquet(found)
+
+
 def _stored(lake: DataFrame) -> DataFrame:
     return _ntz(lake.select("id", "ts", "level", "source", "message", "trace_id", "stream", "dt", "hour"))
 
@@ -808,6 +841,7 @@ def queries() -> dict[str, Query]:
         "compaction_totals": compaction_totals,
         "compaction_files": compaction_files,
         "compaction_rewrite": compaction_rewrite,
+        "search_during_compaction": search_during_compaction,
         "retention_plan": retention_plan,
         "retention_totals": retention_totals,
         "retention_keep": retention_keep,
