@@ -98,18 +98,17 @@ def dedup(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
     Each task keeps its first row of a key before the shuffle (a group limit), so
     a message repeated any number of times costs one row per task. Rows without
     their own time (``timed`` is false) share the ingest second, which says
-    nothing about repetition: they are all kept. Select the columns to keep
-    beforehand: whole rows are sorted.
+    nothing about repetition: each has a number for a key of its own, so they all stay
+    and the input is read once. Select the columns to keep beforehand: whole rows are sorted.
     """
-    timed = F.col("timed") if "timed" in rows.columns else F.lit(True)
     message, second, source = _same_line()
-    keyed = rows.where(timed).withColumns(
-        {"_message": message, "_second": second, "_source": source}
-    )
-    copies = Window.partitionBy("_message", "_second", "_source").orderBy(*order)
-    first = keyed.withColumn("_rank", F.row_number().over(copies)).where("_rank = 1")
-    kept = first.drop("_message", "_second", "_source", "_rank")
-    return kept.unionByName(rows.where(~timed)) if "timed" in rows.columns else kept
+    keys = {"_message": message, "_second": second, "_source": source}
+    if "timed" in rows.columns:
+        keys = {name: F.when(F.col("timed"), key) for name, key in keys.items()}
+        keys["_own"] = F.when(~F.col("timed"), F.monotonically_increasing_id())
+    copies = Window.partitionBy(*keys).orderBy(*order)
+    first = rows.withColumns(keys).withColumn("_rank", F.row_number().over(copies)).where("_rank = 1")
+    return first.drop(*keys, "_rank")
 
 
 def storage_rows(rows: DataFrame) -> DataFrame:

@@ -49,10 +49,12 @@ def write_lake(rows: DataFrame, root: str, collector: str = "default") -> None:
     """Append rows to the lake.
 
     Rebalancing brings each hour partition into few files and splits one that
-    is too large for a task, so neither a hot stream nor many small ones hurt.
+    is too large for a task, so neither a hot stream nor many small ones hurt. It is
+    adaptive execution's doing, which streams switch off for their batches: without it the hint
+    would be dropped, and every task would write a file into every partition.
     """
-    clustered = lake_rows(rows, collector).hint("rebalance", *PARTITION_COLUMNS)
-    write_sorted(clustered, root)
+    with session_conf(rows.sparkSession, {"spark.sql.adaptive.enabled": "true"}):
+        write_sorted(lake_rows(rows, collector).hint("rebalance", *PARTITION_COLUMNS), root)
 
 
 def write_sorted(clustered: DataFrame, root: str) -> None:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,7 +20,6 @@ from logspark.sources.lake import write_lake
 # How long a key is remembered, and how often rows are flushed.
 DEDUP_DELAY = "1 minute"
 FLUSH_INTERVAL = "30 seconds"
-_SALTS = 32
 
 
 def pipe_rows(
@@ -40,28 +41,36 @@ def container_rows(
     return from_containers(parsed, containers)
 
 
-def dedup_stream(rows: DataFrame, delay: str = DEDUP_DELAY) -> DataFrame:
+def first_in_batches(keyed: DataFrame, key: str) -> DataFrame:
+    """Rows without those whose key an earlier row of their Arrow batch has, in any order.
+
+    It needs neither state nor a shuffle, and leaves little of a line that is repeated very often.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(key).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            first = np.unique(codes, return_index=True)[1]
+            yield batch if len(first) == len(batch) else batch.take(pa.array(np.sort(first)))
+
+    return keyed.mapInArrow(run, keyed.schema)
+
+
+def dedup_stream(rows: DataFrame, delay: str = DEDUP_DELAY, arrival: Column | None = None) -> DataFrame:
     """Rows without repeats that arrive within ``delay`` of the first one.
 
-    The watermark runs on arrival time, which never goes back, so no row is
-    late and none is lost, whatever time it carries. Copies are removed per
-    salt first: a line repeated any number of times reaches the task that owns
-    its key at most once per salt. Rows without their own time are all kept.
+    A key is kept until ``delay`` after the arrival of its first row and then forgotten, as the
+    watermark passes that time: a line that comes after it is a new one. The watermark
+    runs on arrival, which never goes back, so no row is late and none is lost,
+    whatever time it carries; ``arrival`` may be a clock of the caller's that does not go back by
+    more than ``delay`` either. Rows without their own time have keys of their own, so they all stay, and
+    one stateful operator sees every row of one pass over the input.
     """
-    arrived = (
-        rows.where("timed")
-        .withColumns(
-            {
-                "_arrival": F.current_timestamp(),
-                "_key": exact_key(),
-                "_salt": F.pmod(F.spark_partition_id(), F.lit(_SALTS)),
-            }
-        )
-        .withWatermark("_arrival", delay)
-    )
-    unique = arrived.dropDuplicatesWithinWatermark(["_key", "_salt"])
-    unique = unique.dropDuplicatesWithinWatermark(["_key"]).drop("_arrival", "_key", "_salt")
-    return unique.unionByName(rows.where(~F.col("timed")))
+    key = F.when(F.col("timed"), exact_key()).otherwise(F.uuid())
+    clock = F.current_timestamp() if arrival is None else arrival
+    keyed = first_in_batches(rows.withColumns({"_arrival": clock, "_key": key}), "_key")
+    unique = keyed.withWatermark("_arrival", delay).dropDuplicatesWithinWatermark(["_key"])
+    return unique.drop("_arrival", "_key")
 
 
 def write_stream(

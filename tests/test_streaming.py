@@ -174,3 +174,53 @@ def test_export_log_keeps_every_batch(spark, tmp_path):
     assert log.entries == 6 and log.metrics(spark).count() == 3
     sizes = progress.export_sizes(inventory.file_inventory(spark, root))
     assert sizes.count() == 3 and sizes.where("bytes > 0").count() == 3
+
+
+def test_keys_are_forgotten_after_their_time(spark, tmp_path):
+    """By a test clock: repeats within the time go, the same line after it is kept again."""
+    source, root, checkpoint = (str(tmp_path / name) for name in ("in", "lake", "cp"))
+
+    def arrive(clock, texts):
+        rows = [(text, dt.datetime.fromisoformat(f"2024-06-01 {clock}+00:00")) for text in texts]
+        spark.createDataFrame(rows, "value string, arrived timestamp").coalesce(1).write.mode("append").parquet(source)
+        found = spark.readStream.schema("value string, arrived timestamp").parquet(source)
+        parsed = ingest.pipe_rows(found.withColumn("ingest_ts", F.lit(INGEST)), "stdin")
+        unique = ingest.dedup_stream(parsed, "1 minute", arrival=F.col("arrived"))
+        ingest.write_stream(unique, root, checkpoint, interval=None).awaitTermination()
+        counts = lake.read_lake(spark, root).groupBy("message").count().collect()
+        return {row["message"]: row["count"] for row in counts}
+
+    line, other = _texts(2)
+    assert arrive("00:00:00", [line] * 3 + ["untimed"] * 2) == {"message 0": 1, "untimed": 2}
+    assert arrive("00:00:59", [line, "untimed"]) == {"message 0": 1, "untimed": 3}
+    # Its time is counted from the first row, not from the repeat.
+    assert arrive("00:02:30", [other])["message 0"] == 1
+    assert arrive("00:02:31", [line, line])["message 0"] == 2
+
+
+def test_repeats_thin_out_before_the_shuffle(spark):
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE cast(id AS string) END AS k", "id").coalesce(1)
+    found = ingest.first_in_batches(rows, "k").collect()
+    hot = [row["id"] for row in found if row["k"] == "hot"]
+    assert 0 in hot and len(hot) <= 3 and len(found) - len(hot) == 13_333
+    assert ingest.first_in_batches(rows.where("id < 0"), "k").count() == 0
+
+
+def test_one_pass_over_the_input(spark, tmp_path):
+    source = str(tmp_path / "in")
+    _write_lines(spark, source, _texts(3))
+    batch = entries.from_pipe(parse_lines(lines.read_lines(spark, source), ingest_ts=F.lit(INGEST)), "stdin")
+    plan = entries.dedup(batch, ("ts", "message"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Union" not in plan and "WindowGroupLimit" in plan
+    stream = ingest.dedup_stream(ingest.pipe_rows(lines.stream_lines(spark, source), "stdin"))
+    logical = stream._jdf.queryExecution().analyzed().toString()
+    assert logical.count("StreamingRelation") == 1 and logical.count("DeduplicateWithinWatermark") == 1
+
+
+def test_a_batch_has_one_file_for_each_small_partition(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "lake")
+    texts = [f"[2025-01-01 {at % 5:02d}:00:00] [INFO] message {at}" for at in range(400)]
+    spark.createDataFrame([(text,) for text in texts], "value string").repartition(8).write.text(source)
+    rows = ingest.pipe_rows(lines.stream_lines(spark, source), "stdin", ingest_ts=F.lit(INGEST))
+    ingest.write_stream(ingest.dedup_stream(rows), root, str(tmp_path / "cp"), interval=None).awaitTermination()
+    assert inventory.file_inventory(spark, root).count() == 5

@@ -492,6 +492,10 @@ UNION ALL SELECT ts, level, coalesce(service, 'stdin'), message, trace_id FROM p
         "stream_dedup": _fast_logs(
             f"SELECT DISTINCT {_SECOND} AS ts, source, message, {_PLACE} FROM logs"
         ),
+        "stream_evict": _fast_logs(
+            f"""SELECT ts, source, message FROM (SELECT DISTINCT {_SECOND} AS ts, source, message FROM logs), range(2)
+UNION ALL SELECT TIMESTAMP '2030-01-01', 'clock', 'moved'"""
+        ),
         "stream_growing": _logs(f"SELECT {fixtures.duckdb_line('structured')} AS value FROM logs"),
         "stream_counters": _logs(
             """SELECT stream, count(*) AS log_count, count_if(level IN ('ERROR', 'FATAL'))::BIGINT AS error_count,

@@ -692,6 +692,25 @@ def stream_dedup(spark, sf_dir) -> DataFrame:
     return _ntz(landed.select("ts", "source", "message", "stream", "dt", "hour"))
 
 
+def stream_evict(spark, sf_dir) -> DataFrame:
+    """Lines that come again: within their time they are repeats, after it they are new.
+
+    Arrival is a test clock. The lines come at once, again half a minute later, and once more
+    ten minutes later, after a line of that time has moved the watermark.
+    """
+    folder = new_folder(spark)
+    lines = fixtures.lines(spark, sf_dir, "json_prefix", fast=True).select("value")
+    moved = spark.createDataFrame([('{"timestamp":"2030-01-01T00:00:00Z","level":"INFO","service":"clock"} moved',)], "value string")
+    for arrived, part in (("00:00:00", lines), ("00:00:30", lines), ("00:10:00", moved), ("00:10:01", lines)):
+        clock = F.lit(f"2024-06-01 {arrived}").cast("timestamp")
+        part.withColumn("arrived", clock).repartition(4).write.mode("append").parquet(f"{folder}/lines")
+        found = spark.readStream.schema("value string, arrived timestamp").parquet(f"{folder}/lines")
+        rows = pipe_rows(found.withColumn("ingest_ts", F.lit(INGEST)), "stdin")
+        rows = dedup_stream(rows, arrival=F.col("arrived"))
+        write_stream(rows, f"{folder}/lake", f"{folder}/checkpoint", interval=None, with_ids=False).awaitTermination()
+    return _ntz(read_lake(spark, f"{folder}/lake").select("ts", "source", "message"))
+
+
 def stream_late(spark, sf_dir) -> DataFrame:
     """Rows that arrive latest first, in batches, every row twice: none is too late."""
     logs = fixtures.logs(spark, sf_dir, fast=True)
@@ -869,6 +888,7 @@ def queries() -> dict[str, Query]:
         "stream_retain": stream_retain,
         "stream_ingest": stream_ingest,
         "stream_dedup": stream_dedup,
+        "stream_evict": stream_evict,
         "stream_growing": stream_growing,
         "stream_counters": stream_counters,
     }
