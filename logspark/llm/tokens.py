@@ -25,7 +25,7 @@ END_ID = 1
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 # Entries in one generation of the memory, and the longest one worth keeping.
 WIDE, NARROW = "<u4", "<u2"
-KEPT_CHUNKS, KEPT_CHARS = 400_000, 40
+KEPT_CHUNKS, KEPT_CHARS = 640_000, 40
 
 
 def _byte_letters() -> dict[int, str]:
@@ -46,7 +46,13 @@ class ChunkEncoder:
         self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
         self.memory = Memory(self._chunk, KEPT_CHUNKS, KEPT_CHARS)
 
+    def _ids(self, word: str) -> bytes:
+        return array(self.code, [token.id for token in self.model.tokenize(word)]).tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            # Most chunks: one piece to the tokenizer.
+            return self._ids(chunk) if chunk.islower() else self.memory[chunk.lower()]
         plain = _PLAIN.fullmatch(chunk)
         if plain is None:
             found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
@@ -58,7 +64,7 @@ class ChunkEncoder:
             return self.memory[word]
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [token.id for token in self.model.tokenize(word)]).tobytes()
+        return self._ids(word)
 
     def encode(self, text: str) -> bytes:
         # Line feeds are white space to the tokenizer just as spaces are.
