@@ -36,7 +36,7 @@ from logspark.llm.hashing import Words, least_last, sequence_hashes
 
 PIECE, SPAN, WORDS = 12, 3, 24
 # Words whose ranks a worker keeps, in one of two generations, and the longest worth keeping.
-KEPT_WORDS, KEPT_BYTES = 400_000, 60
+KEPT_WORDS, KEPT_BYTES = 50_000, 60
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b".!?")] = True
 
