@@ -32,6 +32,8 @@ def _byte_values() -> np.ndarray:
 
 
 _powers: dict[int, np.ndarray] = {}
+# Powers kept by a worker for each base; those of a longer text are made for it alone.
+_KEPT_POWERS = 1 << 21
 
 
 def powers(base: np.uint64, count: int) -> np.ndarray:
@@ -39,10 +41,11 @@ def powers(base: np.uint64, count: int) -> np.ndarray:
     known = _powers.get(int(base))
     if known is None or len(known) < count:
         size = 1 << max(count - 1, 1).bit_length()
-        known = np.full(size, base, np.uint64)
+        known = np.full(size if size <= _KEPT_POWERS else count, base, np.uint64)
         known[0] = _ONE
-        known = np.multiply.accumulate(known)
-        _powers[int(base)] = known
+        np.multiply.accumulate(known, out=known)
+        if len(known) <= _KEPT_POWERS:
+            _powers[int(base)] = known
     return known[:count]
 
 
