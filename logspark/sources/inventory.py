@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,20 +43,23 @@ def file_inventory(
         folders = reachable_folders(spark, root, start, end, stream)
     if not folders:
         return spark.createDataFrame([], INVENTORY_SCHEMA)
-    def listed() -> DataFrame:
-        return (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.parquet")
-            .load(folders)
-            .select("path", "length", F.col("modificationTime").alias("mtime"))
-        )
-
+    listed = lambda: stored_files(spark, folders)
     files = listed() if foreign else live_files(spark, root, listed, lambda: F.col("path"))
     place = foreign_partition(F.col("path")) if foreign else _partition(F.col("path"))
     return files.select("path", "length", "mtime", *place)
 
 
+def stored_files(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
+    """Every Parquet file on disk below the folders, whether it counts or not."""
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet")
+        .load(list(folders))
+        .select("path", "length", F.col("modificationTime").alias("mtime"))
+    )
+
+
 def _partition(path: Column) -> list[Column]:
     pattern = r"/stream=([^/]+)/dt=(\d+-\d+-\d+)/hour=(\d+)/[^/]+$"
     part = lambda at: F.regexp_extract(path, pattern, at)

@@ -59,6 +59,11 @@ def place_in_lake(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+/[^/]+/[^/]+/[^/]+)$", 1)
 
 
+def folder_in_lake(path: Column) -> Column:
+    """Partition folders out of any path of a file of a lake."""
+    return F.regexp_extract(path, r"([^/]+/[^/]+/[^/]+)/[^/]+$", 1)
+
+
 def metadata_path() -> Column:
     """The path that a scan reports, without its escapes; a plus sign is one."""
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))

@@ -303,3 +303,53 @@ def test_row_retention_prunes_days(spark, small_files):
     rows = retention.row_retention(lake.read_lake(spark, small_files), dt.datetime(2024, 1, 31, 11), 30)
     assert "PartitionFilters: [isnotnull(dt" in physical(rows)
     assert rows.count() == lake.read_lake(spark, small_files).where("hour >= 11").count()
+
+
+def test_partitions_go_as_folders(spark, small_files, monkeypatch):
+    files = inventory.file_inventory(spark, small_files)
+    calls = []
+    plain = retention.in_parallel
+    monkeypatch.setattr(retention, "in_parallel", lambda call, what: plain(lambda x: (calls.append(x), call(x)), what))
+    one_left = files.where("hour = 10").orderBy("path").limit(2)
+    assert retention.delete_files(spark, small_files, files.where("hour = 11").unionByName(one_left)) == 9
+    assert len(calls) == 3  # seven files of an hour at once, and two files
+    left = {(row["hour"], row["count"]) for row in inventory.file_inventory(spark, small_files).groupBy("hour").count().collect()}
+    assert left == {(10, 5), (12, 1)}
+
+
+def test_a_file_that_comes_in_before_the_drop_stays(spark, small_files, monkeypatch):
+    files = inventory.file_inventory(spark, small_files).where("hour = 11")
+    late = spark.createDataFrame([(dt.datetime(2024, 1, 1, 11, 59), "app", "INFO", "late", "late")], "ts timestamp, source string, level string, message string, id string")
+    plain = retention._drop
+
+    def drop(*args):
+        lake.write_lake(late, small_files)
+        return plain(*args)
+
+    monkeypatch.setattr(retention, "_drop", drop)
+    assert retention.delete_files(spark, small_files, files) == 0
+    assert lake.read_lake(spark, small_files).where("id = 'late'").count() == 1
+    assert inventory.file_inventory(spark, small_files).where("hour = 11").count() == 8
+
+
+def test_a_drop_that_died_is_finished(spark, small_files, monkeypatch):
+    files = inventory.file_inventory(spark, small_files).where("hour = 11")
+    with monkeypatch.context() as broken, pytest.raises(InterruptedError):
+        broken.setattr(retention, "_settle", lambda *_: (_ for _ in ()).throw(InterruptedError))
+        retention.delete_files(spark, small_files, files)
+    assert lake.read_lake(spark, small_files).where("hour = 11").count() == 0
+    nothing = inventory.file_inventory(spark, small_files).where("false")
+    assert retention.delete_files(spark, small_files, nothing) == 0
+    assert not [path for path in (spark.sparkContext._jvm.java.io.File(f"{small_files}/_dropped").list() or [])]
+
+
+@pytest.mark.parametrize("minute", [0, 20, 59])
+def test_row_retention_is_applied(spark, small_files, minute):
+    now = dt.datetime(2024, 1, 31, 11, minute)
+    kept = sorted(tuple(row) for row in retention.row_retention(lake.read_lake(spark, small_files), now, 30).collect())
+    untouched = {row["path"] for row in inventory.file_inventory(spark, small_files).where("hour = 12").collect()}
+    retention.apply_row_retention(spark, small_files, now, 30)
+    assert contents(spark, small_files) == kept
+    retention.apply_row_retention(spark, small_files, now, 30, grace=dt.timedelta(0))
+    assert contents(spark, small_files) == kept
+    assert untouched <= {row["path"] for row in inventory.file_inventory(spark, small_files).collect()}

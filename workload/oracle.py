@@ -453,6 +453,7 @@ FROM chosen c JOIN plan p ON c.stream = p.stream AND c.dt = p.dt WHERE needs_com
         ),
         "compaction_rewrite": _fast_logs(f"SELECT {_LAKE_COLUMNS}, {_PLACE} FROM logs"),
         "retention_apply": _fast_logs(f"SELECT {_LAKE_COLUMNS}, {_PLACE} FROM logs WHERE ts >= TIMESTAMP '2024-01-02'"),
+        "row_retention_apply": _fast_logs(f"SELECT {_LAKE_COLUMNS}, {_PLACE} FROM logs WHERE ts >= TIMESTAMP '2024-01-01 17:20:00'"),
         "stream_compact": _fast_logs(_STREAMED),
         "stream_retain": _fast_logs(f"{_STREAMED} WHERE ts >= TIMESTAMP '2024-01-02'"),
         "retention_plan": f"{_RETENTION} SELECT * FROM plan",

@@ -42,6 +42,7 @@ DAY_END = dt.datetime(2024, 1, 11)
 LAKE_START = dt.datetime(2024, 1, 1, 5, 30)
 SPAN_END = dt.datetime(2024, 1, 9, 2, 15)
 LAKE_END = dt.datetime(2024, 1, 2, 2, 15)
+ROWS_FROM = dt.datetime(2024, 1, 1, 17, 20)
 MONTH_START = dt.datetime(2024, 1, 1)
 MONTH_END = dt.datetime(2024, 2, 1)
 INGEST = "2024-06-01 12:30:45"
@@ -586,6 +587,13 @@ def retention_apply(spark, sf_dir) -> DataFrame:
     return _stored(read_lake(spark, root))
 
 
+def row_retention_apply(spark, sf_dir) -> DataFrame:
+    """A lake after row retention whose oldest time lies inside an hour; only that hour is rewritten."""
+    root = lake_of_logs(spark, sf_dir)
+    retention.apply_row_retention(spark, root, ROWS_FROM + dt.timedelta(days=30))
+    return _stored(read_lake(spark, root))
+
+
 def _retention(spark, sf_dir) -> DataFrame:
     files = fixtures.retention_inventory(spark, sf_dir)
     total = files.agg(F.sum("length")).first()[0]
@@ -884,6 +892,7 @@ def queries() -> dict[str, Query]:
         "stream_late": stream_late,
         "search_envelope": search_envelope,
         "retention_apply": retention_apply,
+        "row_retention_apply": row_retention_apply,
         "stream_compact": stream_compact,
         "stream_retain": stream_retain,
         "stream_ingest": stream_ingest,
