@@ -18,7 +18,7 @@ from logspark.schema import PARTITION_COLUMNS
 from logspark.sources.files import path_exists
 from logspark.sources.folders import only_run, refuse_sink
 from logspark.sources.inventory import file_inventory
-from logspark.sources.lake import read_files, write_sorted
+from logspark.sources.lake import partition_folder, read_files, write_sorted
 from logspark.sources.publication import (
     PREFIX,
     STAGING,
@@ -213,9 +213,3 @@ def _rewrite(spark: SparkSession, root: str, files: DataFrame, job: list[Row]) -
         write_sorted(merge_rows(rows, outputs, total), folder)
 
     return replace_files(spark, root, uuid.uuid4().hex, listed, write)
-
-
-def partition_folder(spark: SparkSession, row: Row) -> str:
-    """The folder of a partition, relative to the lake."""
-    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    return "/".join(f"{name}={escape(str(row[name]))}" for name in PARTITION_COLUMNS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.functions.text import blank_to_null
@@ -89,6 +89,11 @@ def read_lake(
         folders = reachable_folders(spark, root, start, end, stream)
     if not folders or not path_exists(spark, root):
         return spark.createDataFrame([], LAKE_SCHEMA)
+    return read_folders(spark, root, folders)
+
+
+def read_folders(spark: SparkSession, root: str, folders: Sequence[str]) -> DataFrame:
+    """The files that count below some folders of a lake."""
     return live_files(spark, root, lambda: read_files(spark, root, folders), metadata_path)
 
 
@@ -130,6 +135,12 @@ def _time_glob(start: dt.datetime, end: dt.datetime) -> str:
     return "dt={" + ",".join(f"{year:04d}-{month + 1:02d}-*" for year, month in places) + "}"
 
 
+def partition_folder(spark: SparkSession, row: Row) -> str:
+    """The folder of a partition, relative to the lake."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return "/".join(f"{name}={escape(str(row[name]))}" for name in PARTITION_COLUMNS)
+
+
 def read_files(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFrame:
     """Exactly the listed data files or folders, with their partition columns."""
     return spark.read.schema(LAKE_SCHEMA).option("basePath", root).parquet(*paths)

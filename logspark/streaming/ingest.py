@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,6 +17,7 @@ from logspark.operators.patterns import DEFAULTS, Pattern
 from logspark.schema import PARTITION_COLUMNS
 from logspark.sources.files import file_system, in_parallel, path_of
 from logspark.sources.lake import write_lake
+from logspark.streaming.progress import read_metrics, record_failure, record_metrics
 
 # How long a key is remembered, and how often rows are flushed.
 DEDUP_DELAY = "1 minute"
@@ -86,11 +88,16 @@ def write_stream(
     ``interval=None`` drains what is there and stops. A batch is staged under the
     checkpoint, rebalanced and sorted like any write, and then its files move
     into the lake under names that hold the batch number. A batch that runs again
-    after a failure finishes what it began, or finds itself done.
+    after a failure finishes what it began, or finds itself done. ``export_metrics`` reads what each batch
+    and each failure left under the checkpoint.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        append_batch(with_random_id(batch) if with_ids else batch, root, checkpoint, batch_id, collector)
+        try:
+            append_batch(with_random_id(batch) if with_ids else batch, root, checkpoint, batch_id, collector)
+        except Exception as error:
+            record_failure(batch.sparkSession, checkpoint, batch_id, error)
+            raise
 
     writer = rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     if interval is None:
@@ -101,16 +108,33 @@ def write_stream(
 def append_batch(
     rows: DataFrame, root: str, checkpoint: str, batch_id: int, collector: str = "default"
 ) -> None:
-    """Add a numbered batch to the lake once, however often it is called."""
+    """Add a numbered batch to the lake once, however often it is called.
+
+    Its entries are counted by the write itself. The counts are written when all its files are staged, and
+    become the batch's mark once all have moved.
+    """
     spark = rows.sparkSession
     files = file_system(spark, checkpoint)
     staged = f"{checkpoint}/staged/{batch_id}"
     done = path_of(spark, f"{checkpoint}/done/{batch_id}")
     if files.exists(done):
         return
-    if not files.exists(path_of(spark, f"{staged}/_SUCCESS")):
+    pattern = f"{staged}/" + "/".join(f"{name}=*" for name in PARTITION_COLUMNS) + "/*.parquet"
+    metrics = f"{staged}/_metrics"
+    if not read_metrics(spark, metrics):
         files.delete(path_of(spark, staged), True)
-        write_lake(rows, staged, collector)
+        began, seen = time.time(), Observation()
+        write_lake(rows.observe(seen, F.count(F.lit(1)).alias("entries")), staged, collector)
+        made = files.globStatus(path_of(spark, pattern)) or []
+        record_metrics(
+            spark,
+            metrics,
+            batch_id=batch_id,
+            entries=seen.get["entries"] if made else 0,
+            files=len(made),
+            bytes=sum(status.getLen() for status in made),
+            duration_ms=int((time.time() - began) * 1000),
+        )
     lake = file_system(spark, root)
     base = files.makeQualified(path_of(spark, staged)).toString()
 
@@ -121,8 +145,9 @@ def append_batch(
         if not lake.rename(path_of(spark, source), target):
             raise OSError(f"could not move {source} to {target}")
 
-    pattern = "/".join(f"{name}=*" for name in PARTITION_COLUMNS)
-    found = files.globStatus(path_of(spark, f"{staged}/{pattern}/*.parquet")) or []
+    found = files.globStatus(path_of(spark, pattern)) or []
     in_parallel(move, [status.getPath().toString() for status in found])
-    files.create(done, True).close()
+    files.mkdirs(done.getParent())
+    if not files.rename(path_of(spark, metrics), done):
+        raise OSError(f"could not close batch {batch_id} in {checkpoint}")
     files.delete(path_of(spark, staged), True)

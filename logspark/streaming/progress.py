@@ -1,17 +1,27 @@
-"""Ingest metrics out of a streaming query's progress reports."""
+"""Ingest metrics: what each batch wrote, kept under the checkpoint of its stream.
+
+A batch that is in the lake has a file with its numbers in ``done``, a failure one in ``failed``.
+They outlive the job, and compaction and retention of the lake do not change them.
+"""
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.listener import StreamingQueryListener
 
-_SCHEMA = "batch_id bigint, entries bigint, entries_per_ms double, duration_ms bigint, error string"
+from logspark.sources.files import file_system, path_exists, path_of
+
+_PROGRESS = "batch_id bigint, entries bigint, entries_per_ms double, duration_ms bigint, error string"
+_METRICS = "batch_id bigint, entries bigint, files bigint, bytes bigint, duration_ms bigint, error string"
 
 
-def export_metrics(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """One row per reported micro-batch (Spark keeps the last hundred; ExportLog keeps all)."""
+def query_progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """One row per micro-batch that a running query still reports (the last hundred): the rows it took in."""
     failure = query.exception()
     rows = [
         (
@@ -23,53 +33,53 @@ def export_metrics(spark: SparkSession, query: StreamingQuery) -> DataFrame:
         )
         for report in query.recentProgress
     ]
-    return spark.createDataFrame(rows, _SCHEMA)
+    return spark.createDataFrame(rows, _PROGRESS)
 
 
-class ExportLog(StreamingQueryListener):
-    """Every micro-batch of a session, and totals: entries, exports, errors.
+def record_metrics(spark: SparkSession, path: str, **numbers) -> None:
+    out = file_system(spark, path).create(path_of(spark, path), True)
+    try:
+        out.write(bytearray(json.dumps(numbers) + "\n", "utf-8"))
+    finally:
+        out.close()
 
-    Register it before the query starts. One small row is held for each batch;
-    ``flush`` appends them to a table and forgets them.
-    """
 
-    def __init__(self) -> None:
-        self.entries = 0
-        self.exports = 0
-        self.errors = 0
-        self.rows: list[tuple] = []
-
-    def onQueryStarted(self, event) -> None:
-        pass
-
-    def onQueryProgress(self, event) -> None:
-        report = event.progress
-        if report.numInputRows > 0:
-            self.entries += report.numInputRows
-            self.exports += 1
-            rate = (report.processedRowsPerSecond or 0.0) / 1000.0
-            took = int(report.durationMs.get("triggerExecution", 0))
-            self.rows.append((report.batchId, report.numInputRows, rate, took, None))
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        if event.exception is not None:
-            self.errors += 1
-            self.rows.append((None, 0, 0.0, 0, event.exception))
-
-    def metrics(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, _SCHEMA)
-
-    def flush(self, spark: SparkSession, folder: str) -> None:
-        rows, self.rows = self.rows, []
-        if rows:
-            spark.createDataFrame(rows, _SCHEMA).coalesce(1).write.mode("append").parquet(folder)
-
-
-def export_sizes(inventory: DataFrame) -> DataFrame:
-    """(batch_id, files, bytes) of the batches whose files are still as ``write_stream`` named them."""
-    batch = F.regexp_extract("path", r"/batch_(\d+)_[^/]+$", 1)
-    named = inventory.withColumn("batch_id", batch.try_cast("bigint")).where("batch_id IS NOT NULL")
-    return named.groupBy("batch_id").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+def read_metrics(spark: SparkSession, path: str) -> bool:
+    """Whether a whole record lies at ``path``; one that was cut short does not count."""
+    files = file_system(spark, path)
+    if not files.exists(path_of(spark, path)):
+        return False
+    data = files.open(path_of(spark, path))
+    try:
+        return bytes(data.readAllBytes()).endswith(b"\n")
+    finally:
+        data.close()
+
+
+def record_failure(spark: SparkSession, checkpoint: str, batch_id: int, error: Exception) -> None:
+    failed = f"{checkpoint}/failed/{int(time.time() * 1000)}-{uuid.uuid4().hex}"
+    record_metrics(spark, failed, batch_id=batch_id, error=f"{type(error).__name__}: {error}")
+
+
+def export_metrics(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """One row per batch in the lake, with its entries, files, bytes and time, and one per failure.
+
+    A batch without rows counts; a failed one is listed with its error, and again once it went through.
+    """
+    folders = [f"{checkpoint}/{name}" for name in ("done", "failed")]
+    folders = [folder for folder in folders if path_exists(spark, folder)]
+    if not folders:
+        return spark.createDataFrame([], _METRICS)
+    return spark.read.schema(_METRICS).json(folders)
+
+
+def export_totals(metrics: DataFrame) -> DataFrame:
+    """One row: exports, entries, files, bytes, entries a millisecond, failures."""
+    fine = F.col("error").isNull()
+    total = lambda name: F.coalesce(F.sum(F.when(fine, F.col(name))), F.lit(0))
+    return metrics.agg(
+        F.count_if(fine & (F.col("entries") > 0)).alias("exports"),
+        *[total(name).alias(name) for name in ("entries", "files", "bytes")],
+        F.try_divide(total("entries"), total("duration_ms")).alias("entries_per_ms"),
+        F.count_if(~fine).alias("failures"),
+    )

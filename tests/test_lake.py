@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logspark.operators import entries, filters, search, sessions, stats
 from logspark.operators.parse import parse_lines
+from logspark.plans import newest
 from logspark.schema import LAKE_SCHEMA, LOG_COLUMNS
 from logspark.sources import inventory, lake, lines, session_files
 from tests.plans import physical, scan_line
@@ -229,3 +230,25 @@ def test_tail_json_leaves_out_empty_members(spark):
     text = entries.tail_json(row.withColumn("process", F.col("process").cast("string"))).first()["value"]
     assert json.loads(text) == {"id": "i", "ts": "2024-01-01T10:00:00.5Z", "source": "s", "level": "INFO",
                                 "message": 'm"q', "component": "c"}
+
+
+def test_newest_rows_without_reading_the_lake(spark, tmp_path):
+    """Two hundred hours of three streams: one dense, one with a row in every ninth hour, one of few rows."""
+    rows = spark.range(20_000).selectExpr(
+        "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 36) AS ts",
+        "CASE WHEN id % 900 = 0 THEN 'thin' WHEN id < 5 THEN 'old' ELSE 'dense' END AS stream",
+        "'s' AS source", "'INFO' AS level", "concat('m', id % 3) AS message", "lpad(cast(id AS string), 8, '0') AS id",
+    )
+    root = str(tmp_path / "lake")
+    lake.write_lake(rows, root)
+    stored = lake.read_lake(spark, root)
+    wanted = lambda frame: {(row["stream"], row["id"]) for row in frame.collect()}
+    found = newest.newest_in_lake(spark, root, 10)
+    assert wanted(found) == wanted(sessions.newest_per_stream(stored, 10))
+    # the dense stream needs an hour, the thin one its ten newest, the old one its only one
+    assert len(found.inputFiles()) <= 1 + 2 * 10 + 1
+    start, end = dt.datetime(2024, 1, 2, 3, 20), dt.datetime(2024, 1, 5, 0, 10)
+    inside = stored.where(filters.time_between(stored, start, end)).where("message = 'm1'")
+    found = newest.newest_in_lake(spark, root, 40, start, end, F.col("message") == "m1")
+    assert wanted(found) == wanted(sessions.newest_per_stream(inside, 40))
+    assert newest.newest_in_lake(spark, str(tmp_path / "none")).count() == 0

@@ -40,7 +40,7 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     assert landed.select(*columns).exceptAll(expected.select(*columns)).count() == 0
     assert expected.select(*columns).exceptAll(landed.select(*columns)).count() == 0
     assert landed.select("id").distinct().count() == landed.count()
-    metrics = progress.export_metrics(spark, query)
+    metrics = progress.query_progress(spark, query)
     assert metrics.agg(F.sum("entries")).first()[0] > 0
 
 
@@ -155,25 +155,33 @@ def test_grown_files_are_found(spark, tmp_path):
     assert [row["path"].rsplit("/", 1)[1] for row in lines.grown_files(spark, str(source), checkpoint).collect()] == ["a.log"]
 
 
-def test_export_log_keeps_every_batch(spark, tmp_path):
-    source, root = str(tmp_path / "in"), str(tmp_path / "lake")
+def test_export_metrics_outlive_the_job(spark, tmp_path, monkeypatch):
+    source, root, checkpoint = str(tmp_path / "in"), str(tmp_path / "lake"), str(tmp_path / "cp")
+    assert progress.export_metrics(spark, checkpoint).count() == 0
     for at in range(3):
         _write_lines(spark, source, _texts(2, at))
-    log = progress.ExportLog()
-    spark.streams.addListener(log)
-    try:
-        rows = ingest.pipe_rows(lines.stream_lines(spark, source, 1), "stdin", ingest_ts=F.lit(INGEST))
-        ingest.write_stream(rows, root, str(tmp_path / "cp"), interval=None).awaitTermination()
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-        for _ in range(100):
-            if log.exports >= 3:
-                break
-            time.sleep(0.1)
-    finally:
-        spark.streams.removeListener(log)
-    assert log.entries == 6 and log.metrics(spark).count() == 3
-    sizes = progress.export_sizes(inventory.file_inventory(spark, root))
-    assert sizes.count() == 3 and sizes.where("bytes > 0").count() == 3
+    rows = ingest.pipe_rows(lines.stream_lines(spark, source, 1), "stdin", ingest_ts=F.lit(INGEST))
+    run = lambda: ingest.write_stream(rows, root, checkpoint, interval=None).awaitTermination()
+    with monkeypatch.context() as broken, pytest.raises(Exception, match="lost"):
+        broken.setattr(ingest, "in_parallel", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        run()
+    run()
+    found = progress.export_metrics(spark, checkpoint)
+    batches = found.where("error IS NULL").orderBy("batch_id").collect()
+    assert [(row["batch_id"], row["entries"]) for row in batches] == [(0, 2), (1, 2), (2, 2)]
+    files = inventory.file_inventory(spark, root).agg(F.count("*"), F.sum("length")).first()
+    assert (sum(row["files"] for row in batches), sum(row["bytes"] for row in batches)) == tuple(files)
+    totals = progress.export_totals(found).first()
+    assert (totals["exports"], totals["entries"], totals["failures"]) == (3, 6, 1)
+    assert [row["error"] for row in found.where("error IS NOT NULL").collect()] == ["OSError: lost"]
+
+
+def test_a_batch_without_rows_is_closed(spark, tmp_path):
+    root, checkpoint = str(tmp_path / "lake"), str(tmp_path / "cp")
+    empty = spark.createDataFrame([], "ts timestamp, level string, source string, message string, id string")
+    for at, rows in enumerate((empty, spark.range(9).selectExpr("timestamp'2025-01-01' AS ts", "'INFO' AS level", "'s' AS source", "'m' AS message", "'i' AS id").where("rand() > 2"))):
+        ingest.append_batch(rows, root, checkpoint, at)
+    assert [row["entries"] for row in progress.export_metrics(spark, checkpoint).collect()] == [0, 0]
 
 
 def test_keys_are_forgotten_after_their_time(spark, tmp_path):

@@ -453,6 +453,14 @@ FROM chosen c JOIN plan p ON c.stream = p.stream AND c.dt = p.dt WHERE needs_com
         ),
         "compaction_rewrite": _fast_logs(f"SELECT {_LAKE_COLUMNS}, {_PLACE} FROM logs"),
         "retention_apply": _fast_logs(f"SELECT {_LAKE_COLUMNS}, {_PLACE} FROM logs WHERE ts >= TIMESTAMP '2024-01-02'"),
+        "newest_in_lake": _fast_logs(
+            "SELECT stream, ts, id, level, message FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts DESC, id) AS rn"
+            f" FROM logs WHERE {_LAKE}) WHERE rn <= 25"
+        ),
+        # eight files of lines, three a batch
+        "export_metrics": _fast_logs(
+            "SELECT 3::BIGINT AS exports, count(*) AS entries, 0::BIGINT AS failures, true AS same_files FROM logs"
+        ),
         "row_retention_apply": _fast_logs(f"SELECT {_LAKE_COLUMNS}, {_PLACE} FROM logs WHERE ts >= TIMESTAMP '2024-01-01 17:20:00'"),
         "stream_compact": _fast_logs(_STREAMED),
         "stream_retain": _fast_logs(f"{_STREAMED} WHERE ts >= TIMESTAMP '2024-01-02'"),

@@ -18,7 +18,7 @@ from logspark.functions.text import duration_text
 from logspark.operators import entries, filters, render, search, sessions, stats
 from logspark.operators.parse import parse_lines
 from logspark.operators.patterns import DEFAULTS, Pattern
-from logspark.plans import compaction, retention
+from logspark.plans import compaction, newest, retention
 from logspark.schema import DISTINCT_COLUMNS
 from logspark.sources import growing, inventory, publication
 from logspark.sources.files import file_system, in_parallel, path_of
@@ -31,7 +31,7 @@ from logspark.sources.lines import (
     trim_lines,
 )
 from logspark.sources.session_files import read_sessions, session_members
-from logspark.streaming import live
+from logspark.streaming import live, progress
 from logspark.streaming.counters import running_counters
 from logspark.streaming.ingest import dedup_stream, pipe_rows, write_stream
 from workload import fixtures
@@ -197,6 +197,13 @@ def newest_per_stream(spark, sf_dir) -> DataFrame:
     return newest.select("stream", "ts", "id", "level", "message")
 
 
+def newest_in_lake(spark, sf_dir) -> DataFrame:
+    """The newest rows of every stream before a time inside an hour, from as few hours as hold them."""
+    root = lake_of_logs(spark, sf_dir)
+    rows = newest.newest_in_lake(spark, root, 25, LAKE_START, LAKE_END)
+    return _ntz(rows.select("stream", "ts", "id", "level", "message"))
+
+
 def process_counts(spark, sf_dir) -> DataFrame:
     return sessions.process_counts(fixtures.logs(spark, sf_dir), fixtures.members(spark))
 
@@ -763,6 +770,20 @@ def stream_compact(spark, sf_dir) -> DataFrame:
     return _landed(read_lake(spark, root))
 
 
+def export_metrics(spark, sf_dir) -> DataFrame:
+    """What the batches of a stream recorded, read after its lake was compacted.
+
+    ``same_files`` says whether their files and bytes were those of the lake before.
+    """
+    root = _ingested(_batches(spark, sf_dir))
+    stored = inventory.file_inventory(spark, root).agg(F.count("*"), F.sum("length")).first()
+    policy = compaction.CompactionPolicy(min_files=2)
+    compaction.compact_lake(spark, root, F.current_timestamp() + F.expr("INTERVAL 3 HOURS"), policy)
+    totals = progress.export_totals(progress.export_metrics(spark, f"{root.rsplit('/', 1)[0]}/checkpoint"))
+    same = (F.col("files") == stored[0]) & (F.col("bytes") == stored[1])
+    return totals.select("exports", "entries", "failures", same.alias("same_files"))
+
+
 def stream_retain(spark, sf_dir) -> DataFrame:
     """A streamed lake after the files of its first day are deleted."""
     root = _ingested(_batches(spark, sf_dir))
@@ -892,6 +913,8 @@ def queries() -> dict[str, Query]:
         "stream_late": stream_late,
         "search_envelope": search_envelope,
         "retention_apply": retention_apply,
+        "newest_in_lake": newest_in_lake,
+        "export_metrics": export_metrics,
         "row_retention_apply": row_retention_apply,
         "stream_compact": stream_compact,
         "stream_retain": stream_retain,
