@@ -128,5 +128,7 @@ class Memory(dict):
 
     def age(self) -> None:
         if len(self) >= self.limit:
+            # The older one goes first, so that there are never three.
+            self.before = {}
             self.before = dict(self)
             self.clear()

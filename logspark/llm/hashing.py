@@ -33,7 +33,7 @@ def _byte_values() -> np.ndarray:
 
 _powers: dict[int, np.ndarray] = {}
 # Powers kept by a worker for each base; those of a longer text are made for it alone.
-_KEPT_POWERS = 1 << 21
+_KEPT_POWERS = 1 << 20
 
 
 def powers(base: np.uint64, count: int) -> np.ndarray:

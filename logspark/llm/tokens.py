@@ -25,7 +25,7 @@ END_ID = 1
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 # Entries in one generation of the memory, and the longest one worth keeping.
 WIDE, NARROW = "<u4", "<u2"
-KEPT_CHUNKS, KEPT_CHARS = 640_000, 40
+KEPT_CHUNKS, KEPT_CHARS = 480_000, 40
 
 
 def _byte_letters() -> dict[int, str]:
