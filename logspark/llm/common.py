@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from logspark.runtime import ensure_checkpoint_dir, own_checkpoint_dir
 
 # Texts are handled in blocks of about this many bytes; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 # The place of null keys.
 LOWEST = -(2**63)
 

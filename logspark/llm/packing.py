@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from logspark.llm.common import partitions, read_documents, written
 from logspark.llm.hashing import mix
 from logspark.llm.tokens import (
+    KEPT_CHUNKS,
     collected_counts,
     document_counts,
     id_kind,
@@ -252,15 +253,17 @@ def pack_tokens(
     return laid.select("doc_id", "ids").mapInArrow(run, _PIECES)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, window: int = WINDOW, kept: int = KEPT_CHUNKS
+) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): the pieces of all documents.
 
     ``ids`` holds a piece's ids as little-endian uint32. Texts are tokenised once,
-    into a table in the shared folder.
+    into a table in the shared folder; ``kept`` bounds what a worker remembers for it.
     """
     kind, size = id_kind(tokenizer_path), vocabulary_size(tokenizer_path)
     sign = ("signature", pa.int64(), lambda _, ids: [signature(np.frombuffer(x, kind), size) for x in ids])
-    tokens = written(token_rows(docs, tokenizer_path, kind=kind, extra=sign), "tokens")
+    tokens = written(token_rows(docs, tokenizer_path, kind=kind, extra=sign, kept=kept), "tokens")
     return pack_tokens(tokens, size, kind, window)
 
 

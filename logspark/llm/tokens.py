@@ -41,10 +41,10 @@ def _byte_letters() -> dict[int, str]:
 class ChunkEncoder:
     """Ids of texts as bytes: little-endian uint32, or uint16 for a small vocabulary."""
 
-    def __init__(self, tokenizer, kind: str = WIDE):
+    def __init__(self, tokenizer, kind: str = WIDE, kept: int = KEPT_CHUNKS):
         self.kind, self.code = kind, {WIDE: "I", NARROW: "H"}[kind]
         self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
-        self.memory = Memory(self._chunk, KEPT_CHUNKS, KEPT_CHARS)
+        self.memory = Memory(self._chunk, kept, KEPT_CHARS)
 
     def _ids(self, word: str) -> bytes:
         return array(self.code, [token.id for token in self.model.tokenize(word)]).tobytes()
@@ -74,12 +74,12 @@ class ChunkEncoder:
 
 
 @functools.cache
-def encoder(definition: bytes, kind: str = WIDE) -> ChunkEncoder:
+def encoder(definition: bytes, kind: str = WIDE, kept: int = KEPT_CHUNKS) -> ChunkEncoder:
     """The encoder of a tokenizer file; it refuses one that parts words in another way."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(definition.decode())
-    found = ChunkEncoder(tokenizer, kind)
+    found = ChunkEncoder(tokenizer, kind, kept)
     for chunk in ("word", "Word", "\u00c9t\u00e9", "Fin.", "a!?", "x,"):
         text = f"b {chunk} c\n{chunk}"
         whole = np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
@@ -99,13 +99,15 @@ def token_rows(
     end_id: int = END_ID,
     kind: str = WIDE,
     extra: tuple[str, pa.DataType, Callable] | None = None,
+    kept: int = KEPT_CHUNKS,
 ) -> DataFrame:
     """(doc_id, ids, n_tokens): the ids of each text and then ``end_id``, as integers of one kind.
 
     The driver reads the tokenizer file and sends its content along, so
     executors need no copy. A null or empty text has the end id alone. ``extra``
     adds a column: its name, type, and a function of the doc_ids (an Arrow
-    array) and the ids (a list of bytes).
+    array) and the ids (a list of bytes). A worker remembers at most twice ``kept``
+    chunks, some 200 bytes each; how many changes no id.
     """
     with open(tokenizer_path, "rb") as file:
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -113,7 +115,7 @@ def token_rows(
     width = len(end)
 
     def run(batches):
-        encode = encoder(definition.value, kind).encode
+        encode = encoder(definition.value, kind, kept).encode
         for batch in batches:
             for part in small_batches(batch):
                 ids = [encode(text.as_py()) + end for text in part.column("text")]
