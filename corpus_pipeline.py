@@ -17,6 +17,8 @@ from logspark.llm.quality import keep_good
 from logspark.llm.sentences import without_repeats
 
 TOKENIZER = "word_bpe_49k.json"
+# Chunks a worker remembers: fewer than in packing alone, as it also holds what earlier stages left it.
+KEPT_CHUNKS = 160_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the ids of all documents into windows."""
-    return pack(docs, public_tokenizers.path(TOKENIZER))
+    return pack(docs, public_tokenizers.path(TOKENIZER), kept=KEPT_CHUNKS)
 
 
 STAGES = [
