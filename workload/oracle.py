@@ -232,6 +232,9 @@ def oracle_sql() -> dict[str, str]:
         "flagship_errors": _search(f"{_DAY} AND level IN ('ERROR', 'FATAL') AND {_text('timeout')}"),
         "search_time_range": _search(_DAY),
         "search_levels": _search(f"{_MONTH} AND level IN ('ERROR', 'FATAL')"),
+        "search_bounds": _search(
+            "ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-12 18:30:00' AND level = 'WARN'", limit=40
+        ),
         "search_sources": _search(f"{_MONTH} AND source IN ('svc-1', 'svc-2')"),
         "search_trace_ids": _search(f"{_MONTH} AND trace_id IN ('trace-0', 'trace-30', 'trace-300')"),
         "search_message_text": _search(f"{_MONTH} AND {_text('TIMEOUT 100% f')}"),
@@ -291,6 +294,11 @@ FROM (SELECT count(*) AS total FROM logs WHERE {_MONTH} AND level = 'ERROR')"""
             " count(DISTINCT coalesce(process, '')) AS unique_processes,"
             " count(DISTINCT source) AS unique_sources, count(DISTINCT level) AS unique_levels FROM logs"
         ),
+        "kept_stats": _fast_logs(
+            "SELECT stream, count(*) AS total_records, min(ts) AS oldest, max(ts) AS newest,"
+            " count(DISTINCT coalesce(process, '')) AS unique_processes,"
+            " count(DISTINCT source) AS unique_sources, count(DISTINCT level) AS unique_levels FROM logs GROUP BY stream"
+        ),
         "stream_list": _logs("SELECT DISTINCT stream FROM logs WHERE NOT starts_with(stream, '.')"),
         "lake_size": f"{_FILES} SELECT count(*) AS total_files, sum(length)::BIGINT AS total_size_bytes FROM files",
         "folder_info": f"""{_FILES}, logs AS ({fixtures.duckdb_logs()}),

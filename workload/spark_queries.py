@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from logspark.functions.levels import normalize_level
 from logspark.functions.text import duration_text
+from logspark.functions.times import parse_bound, parse_rfc3339
 from logspark.operators import entries, filters, render, search, sessions, stats
 from logspark.operators.parse import parse_lines
 from logspark.operators.patterns import DEFAULTS, Pattern
-from logspark.plans import compaction, newest, retention
+from logspark.plans import compaction, newest, retention, summaries
 from logspark.schema import DISTINCT_COLUMNS
 from logspark.sources import growing, inventory, publication
 from logspark.sources.files import file_system, in_parallel, path_of
-from logspark.sources.lake import lake_rows, read_lake, write_sorted
+from logspark.sources.lake import lake_rows, read_lake, write_lake, write_sorted
 from logspark.sources.lines import (
     read_container_lines,
     read_lines,
@@ -60,6 +61,10 @@ def _ntz(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def _ntz_range(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("oldest", "newest")})
+
+
 def _newest(logs: DataFrame) -> dt.datetime:
     return logs.agg(F.max("ts")).first()[0]
 
@@ -119,6 +124,18 @@ def search_relative(spark, sf_dir, factory) -> DataFrame:
     return _plain(search.search(logs, factory(_newest(logs))))
 
 
+def search_bounds(spark, sf_dir) -> DataFrame:
+    """Bounds and limit as a request gives them: a day, a time with a zone, a checked number."""
+    return _search(
+        spark,
+        sf_dir,
+        start=parse_bound("2024-01-10"),
+        end=parse_rfc3339("2024-01-12T20:30:00+02:00"),
+        levels=["WARN"],
+        limit=filters.checked_limit(40),
+    )
+
+
 def search_lake(spark, sf_dir) -> DataFrame:
     """Some days' errors of one stream, out of the folders of the lake they can be in."""
     root = lake_of_logs(spark, sf_dir, fast=False)
@@ -552,6 +569,25 @@ def compaction_rewrite(spark, sf_dir) -> DataFrame:
     return _stored(read_lake(spark, root))
 
 
+def kept_stats(spark, sf_dir) -> DataFrame:
+    """Statistics of each stream out of kept summaries.
+
+    Two batches come in, one of them is summarised; after a compaction replaced the files of both, the new ones
+    are; a third batch has no summaries yet.
+    """
+    root = f"{new_folder(spark)}/lake"
+    rows = fixtures.logs(spark, sf_dir, fast=True)
+    batch = lambda at: write_lake(rows.where(F.col("event_id") % 3 == at), root)
+    batch(0)
+    summaries.summarise_lake(spark, root)
+    batch(1)
+    now = F.current_timestamp() + F.expr("INTERVAL 3 HOURS")
+    compaction.compact_lake(spark, root, now, compaction.CompactionPolicy(min_files=2))
+    summaries.summarise_lake(spark, root)
+    batch(2)
+    return _ntz_range(summaries.kept_stats(spark, root, by_stream=True))
+
+
 def search_during_compaction(spark, sf_dir) -> DataFrame:
     """A search at every step of a compaction that is stopped between two moves, taken up and cleaned up.
 
@@ -844,6 +880,7 @@ def queries() -> dict[str, Query]:
         "search_api_default": partial(search_relative, factory=filters.for_api),
         "search_cli_default": partial(search_relative, factory=filters.for_cli_filter),
         "search_since_start_of_day": partial(search_relative, factory=filters.for_cli_search),
+        "search_bounds": search_bounds,
         "search_lake": search_lake,
         "page_info": page_info,
         "count_matches": count_matches,
@@ -851,6 +888,7 @@ def queries() -> dict[str, Query]:
         "time_range": lambda spark, sf_dir: stats.time_range(logs(spark, sf_dir)),
         "stream_time_range": lambda spark, sf_dir: stats.stream_time_range(logs(spark, sf_dir)),
         "lake_stats": lambda spark, sf_dir: stats.lake_stats(logs(spark, sf_dir)),
+        "kept_stats": kept_stats,
         "stream_list": lambda spark, sf_dir: stats.stream_list(logs(spark, sf_dir)),
         "lake_size": lambda spark, sf_dir: stats.lake_size(_inventory(spark, sf_dir)),
         "folder_info": folder_info,
