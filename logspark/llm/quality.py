@@ -3,7 +3,7 @@
 The ratio compares two multinomials over hashed word unigrams and bigrams: one
 counted over trusted documents, one over the whole corpus. A document's score is
 the mean log ratio of its n-grams. It is kept when the score reaches a threshold
-fitted once on labelled documents; every document meets the same threshold.
+fitted once on all labelled documents; every document meets the same threshold.
 
 Null and empty texts have no words, fail the base rules and are not kept. Words
 are maximal runs of characters other than space and U+0009 to U+000D.
@@ -28,8 +28,8 @@ BUCKETS = 1 << 14
 CELLS_A_ROOT = 4
 MIN_WORDS = 50
 REPEAT_WINDOW = 3
-# Labelled rows that the threshold is fitted on, at most.
-MAX_LABELLED = 200_000
+# Labelled documents that are broadcast, at most; more are joined as any table.
+MAX_BROADCAST = 200_000
 # Share of trusted labelled documents that the threshold must keep.
 KEEP_SHARE = 0.99
 # Cells of the score histogram the threshold is read from, and its range.
@@ -195,50 +195,52 @@ class Model:
     threshold: float
 
 
+def half_of(doc_id: str):
+    """0 or 1, by a hash of a long column."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(2)).cast("int")
+
+
 def labelled_ids(labels: DataFrame) -> DataFrame:
-    """(doc_id, quality, half, trusted_half): labelled documents, trusted when of quality 1 and not toxic.
+    """(doc_id, quality, trusted_half): labelled documents, trusted when of quality 1 and not toxic.
 
     A document labelled more than once is trusted if all its labels are, and of the
-    greatest quality of them. ``half`` parts them by a hash of doc_id.
+    greatest quality of them. ``trusted_half`` is the half of trusted ones, else null.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     judged = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.bool_and(good).alias("good"), F.max("quality").alias("quality")
     )
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
-    return judged.select("doc_id", "quality", half.alias("half"), F.when(F.col("good"), half).alias("trusted_half"))
+    return judged.select("doc_id", "quality", F.when(F.col("good"), half_of("doc_id")).alias("trusted_half"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int | None = None, most: int = MAX_LABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int | None = None, most: int = MAX_BROADCAST) -> Model:
     """Count both multinomials over all documents and place the threshold.
 
-    All trusted documents are counted. The labelled side is broadcast up to ``most``
-    documents and joined as any table above, which changes no count. The threshold
-    alone is placed on a bounded number: beyond ``most`` a share of about 95 % of it is
-    drawn by a hash of doc_id. Labelled documents are scored without the trusted
-    ones of their own half, so that they stand as any other document. The threshold
-    is the cell border of a score histogram that parts trusted documents from those of
-    quality 0 with the fewest errors, each class weighing the same, among those that
-    keep KEEP_SHARE of the former; of equal borders the middle one. Toxic documents of
-    quality 1 belong to neither class. Without both classes it is minus infinity, and
-    the base rules decide alone.
+    All trusted documents are counted, and all labelled ones place the threshold. The
+    labelled side is broadcast up to ``most`` documents and joined as any table above,
+    which changes no result: above, every document is scored and only the scores are
+    joined, so that texts are shuffled once, for the counts. Labelled documents are
+    scored without the trusted ones of their own half, so that they stand as any other
+    document. The threshold is the cell border of a score histogram that parts trusted
+    documents from those of quality 0 with the fewest errors, each class weighing the
+    same, among those that keep KEEP_SHARE of the former; of equal borders the middle
+    one. Toxic documents of quality 1 belong to neither class. Without both classes it
+    is minus infinity, and the base rules decide alone.
     """
     if buckets is None:
         buckets = buckets_for(count_words(docs))
-    known = labelled_ids(labels)
-    count = known.count()
-    held = known
-    if count > most:
-        share = int(0.95 * most / count * 1_000_000)
-        held = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < share)
-    rows = texts(docs).join(F.broadcast(known) if count <= most else known, "doc_id", "left")
+    known, whole = labelled_ids(labels), texts(docs)
+    few = known.count() <= most
+    if few:
+        known = F.broadcast(known)
+    rows = whole.join(known, "doc_id", "left")
     ratios, *others = log_ratios(gram_counts(rows, "trusted_half", buckets), buckets)
-    halves = [
-        score(texts(docs).join(F.broadcast(held.where(f"half = {half}")), "doc_id"), Model(other, 0.0), ["quality", "trusted_half"])
-        for half, other in enumerate(others)
-    ]
-    scored = halves[0].unionByName(halves[1]).where("NOT base_failed AND (trusted_half IS NOT NULL OR quality = 0)")
+    if few:
+        whole = whole.join(known, "doc_id", "left_semi")
+    halves = [score(whole.where(half_of("doc_id") == half), Model(other, 0.0), []) for half, other in enumerate(others)]
+    scored = halves[0].unionByName(halves[1]).join(known, "doc_id")
+    scored = scored.where("NOT base_failed AND (trusted_half IS NOT NULL OR quality = 0)")
     cell = F.least(F.greatest(F.floor((F.col("score") + _REACH) * (_CELLS / (2 * _REACH))), F.lit(0)), F.lit(_CELLS - 1))
     table = scored.groupBy("quality", cell.alias("cell")).count().collect()
     good, bad = np.zeros(_CELLS + 1), np.zeros(_CELLS + 1)

@@ -125,3 +125,31 @@ def test_toxic_documents_do_not_hold_the_threshold_down(spark):
     known = labels(spark, [(at, int(at < 80), int(60 <= at < 80), None) for at in range(100)])
     kept = {row["doc_id"] for row in quality.judge(docs, known).where("kept").collect()}
     assert kept == set(range(60))
+
+
+def test_all_labelled_documents_place_the_threshold(spark, sf_dir):
+    """How the labelled side is joined changes nothing."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    known = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    whole = quality.fit(docs, known).threshold
+    assert np.isfinite(whole)
+    assert [quality.fit(docs, known, most=most).threshold for most in (0, 20, 40, 80)] == [whole] * 4
+
+
+def more_labels_than_broadcast(spark):
+    """60 trusted documents, one of quality 0, 20 unlabelled ones like the latter, a null doc_id; most labels are of documents not here."""
+    rng = np.random.default_rng(4)
+    text = lambda kind: " ".join(f"{kind}{at}" for at in rng.integers(0, 200, 80))
+    docs = [(at, text("good")) for at in range(60)] + [(at, text("other")) for at in range(60, 81)] + [(None, text("other"))]
+    absent = spark.range(1000, 1000 + 5 * quality.MAX_BROADCAST).selectExpr(
+        "id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic", "CAST(NULL AS STRING) AS good"
+    )
+    known = labels(spark, [(at, int(at < 60), 0, None) for at in range(61)])
+    return spark.createDataFrame(docs, "doc_id long, text string"), known.unionByName(absent)
+
+
+def test_a_single_label_counts_among_many(spark):
+    docs, known = more_labels_than_broadcast(spark)
+    found = quality.judge(docs, known).collect()
+    assert len(found) == docs.count()
+    assert {row["doc_id"] for row in found if row["kept"]} == set(range(60))
