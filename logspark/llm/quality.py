@@ -237,9 +237,12 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int | None = None, most: in
     rows = whole.join(known, "doc_id", "left")
     ratios, *others = log_ratios(gram_counts(rows, "trusted_half", buckets), buckets)
     if few:
-        whole = whole.join(known, "doc_id", "left_semi")
-    halves = [score(whole.where(half_of("doc_id") == half), Model(other, 0.0), []) for half, other in enumerate(others)]
-    scored = halves[0].unionByName(halves[1]).join(known, "doc_id")
+        whole = whole.join(known, "doc_id")
+    extra = ["quality", "trusted_half"] if few else []
+    halves = [score(whole.where(half_of("doc_id") == half), Model(other, 0.0), extra) for half, other in enumerate(others)]
+    scored = halves[0].unionByName(halves[1])
+    if not few:
+        scored = scored.join(known, "doc_id")
     scored = scored.where("NOT base_failed AND (trusted_half IS NOT NULL OR quality = 0)")
     cell = F.least(F.greatest(F.floor((F.col("score") + _REACH) * (_CELLS / (2 * _REACH))), F.lit(0)), F.lit(_CELLS - 1))
     table = scored.groupBy("quality", cell.alias("cell")).count().collect()

@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from logspark.llm.common import written
 from logspark.llm.quality import judge
-from tests.llm import test_sentences
+from tests.llm import test_quality, test_sentences
 from tests.llm.samples import least_reachable, linked, no_documents, odd_documents, plain_rows, shingles
 from tests.llm.test_tokens import check_pieces
 
@@ -48,3 +48,12 @@ def test_odd_and_empty_tables(spark, sf_dir):
             found = written(stage(spark, docs, sf_dir), "stage")
             assert found.columns == docs.columns and found.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= docs.count()
+
+
+def test_quality_stage_follows_a_single_label_among_many(spark, tmp_path):
+    """More labels than are broadcast: all of them place the threshold."""
+    docs, known = test_quality.more_labels_than_broadcast(spark)
+    known.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("doc_id < 60").collect()))
