@@ -19,20 +19,30 @@ from logspark.llm.sentences import without_repeats
 TOKENIZER = "word_bpe_49k.json"
 # Chunks a worker remembers: fewer than in packing alone, as it also holds what earlier stages left it.
 KEPT_CHUNKS = 160_000
+# Bytes of an Arrow batch, about: texts are handled in far smaller blocks, and the rest of a batch only waits in memory.
+BATCH_BYTES = 4 << 20
+
+
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches in bytes; stages are carried out after they return, so the bound stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules reject."""
+    small_arrow_batches(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least doc_id of each group of near-duplicates."""
+    small_arrow_batches(spark)
     return one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut sentences of repeated passages out of all but the first document that has them."""
+    small_arrow_batches(spark)
     shorter = without_repeats(docs)
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
@@ -42,6 +52,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the ids of all documents into windows."""
+    small_arrow_batches(spark)
     return pack(docs, public_tokenizers.path(TOKENIZER), kept=KEPT_CHUNKS)
 
 

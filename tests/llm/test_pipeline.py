@@ -1,6 +1,9 @@
 import itertools
 
 import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -57,3 +60,19 @@ def test_quality_stage_follows_a_single_label_among_many(spark, tmp_path):
     kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("doc_id < 60").collect()))
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_each_stage_hands_out_texts_in_small_batches(spark, sf_dir, stage):
+    """Three thousand texts of 10,000 bytes: no task gets them all at once."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["bytes", "rows"])
+
+    long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    dict(corpus_pipeline.STAGES)[stage](spark, no_documents(spark), sf_dir)
+    met = long.mapInArrow(sizes, "bytes long, rows long").collect()
+    assert sum(row["rows"] for row in met) == 3000
+    assert max(row["bytes"] for row in met) <= 5_000_000
