@@ -372,17 +372,35 @@ def separators_sql() -> str:
 
 
 LONG_LINE = 1_200_000
+# Bytes of long lines that lie on disk at a time: so many, or this part of all of them if that is more.
+LINES_AT_ONCE, LINES_ROUNDS = 256 << 20, 64
 
 
 def lines_long(spark, sf_dir) -> DataFrame:
-    """Lines as long as the whole text of a document, each tenth of them over a mebibyte."""
-    docs = fixtures.table(spark, sf_dir, "documents").where("text <> ''")
+    """Lines as long as the whole text of a document, each tenth of them over a mebibyte.
+
+    The files of lines are many times as large as the documents, so they are not kept: in each round a
+    share of the lines is written, read and deleted. Shares are dealt by a row's place, whatever its key is.
+    """
+    docs = spread(fixtures.table(spark, sf_dir, "documents").where("text <> ''"))
     line = "concat(doc_id, ': ', translate(text, '\n\r', '  '))"
-    times = f"CASE WHEN doc_id % 10 = 0 THEN {LONG_LINE} div length({line}) + 1 ELSE 1 END"
-    folder = f"{new_folder(spark)}/lines"
-    docs.selectExpr(f"repeat({line}, cast({times} AS int)) AS value").write.text(folder)
-    read = read_lines(spark, folder)
-    return read.selectExpr("length(value) AS size", "md5(value) AS digest")
+    times = f"cast(CASE WHEN doc_id % 10 = 0 THEN {LONG_LINE} div length({line}) + 1 ELSE 1 END AS int)"
+    lines = docs.selectExpr(f"{line} AS line", f"{times} AS times")
+    total = lines.agg(F.expr("sum(octet_length(line) * bigint(times))")).first()[0] or 0
+    rounds = max(1, min(LINES_ROUNDS, -(-total // LINES_AT_ONCE)))
+    folder = new_folder(spark)
+    share = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(rounds)).cast("int")
+    lines.withColumn("share", share).write.partitionBy("share").option("compression", "zstd").parquet(f"{folder}/shares")
+    dealt = spark.read.schema("line string, times int, share int").parquet(f"{folder}/shares")
+    files = file_system(spark, folder)
+    for at in range(rounds):
+        part = f"{folder}/lines-{at}"
+        dealt.where(F.col("share") == at).selectExpr("repeat(line, times) AS value").write.text(part)
+        read = read_lines(spark, part).selectExpr("length(value) AS size", "md5(value) AS digest")
+        read.write.mode("append").parquet(f"{folder}/found")
+        files.delete(path_of(spark, part), True)
+    files.delete(path_of(spark, f"{folder}/shares"), True)
+    return spark.read.parquet(f"{folder}/found")
 
 
 def parse_syslog_new_year(spark, sf_dir) -> DataFrame:
