@@ -2,7 +2,9 @@
 
 import hashlib
 import os
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from workload import spark_queries
@@ -50,3 +52,29 @@ def test_long_lines_lie_on_disk_a_share_at_a_time(long_lines):
 
 def test_long_lines_of_no_documents(long_lines):
     assert long_lines([])[0] == []
+
+
+@pytest.mark.parametrize("share", [0.35, 0.8, 1])
+def test_a_growing_file_is_written_as_its_lines_come(tmp_path, monkeypatch, share):
+    parts = [[], ["", "é" * 50_000], [""], ["b" * 100_000, "c"], [], ["d"]]
+    on_disk = []
+
+    class Lines:
+        def mapInArrow(self, write, schema):
+            self.write = write
+            return self
+
+        def count(self):
+            return len(list(self.write(self.batches())))
+
+        def batches(self):
+            for part in parts:
+                yield pa.RecordBatch.from_pydict({"value": pa.array(part, pa.string())})
+                on_disk.append(stored(tmp_path))
+
+    monkeypatch.setattr(spark_queries, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    for _ in range(2):
+        spark_queries._grow(Lines(), str(tmp_path), share)
+        data = "\n".join(value for part in parts for value in part).encode()
+        assert (tmp_path / "3.log").read_bytes() == data[: int(len(data) * share)]
+    assert on_disk[1] > 50_000 and on_disk[3] > 150_000

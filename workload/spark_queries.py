@@ -727,13 +727,19 @@ def stream_ingest(spark, sf_dir) -> DataFrame:
 
 
 def _grow(lines: DataFrame, folder: str, share: float) -> None:
-    """Bring a file of each task to a share of its bytes, its last line feed left out; repeatable."""
+    """Bring a file of each task to a share of its bytes, its last line feed left out; repeatable.
+
+    Lines are written as they come, and the file is then cut to its share.
+    """
 
     def write(batches):
-        values = [value for batch in batches for value in batch.column("value").to_pylist()]
-        data = "\n".join(values).encode()
+        feed = ""
         with open(f"{folder}/{TaskContext.get().partitionId()}.log", "wb") as file:
-            file.write(data[: int(len(data) * share)])
+            for batch in batches:
+                if len(batch):
+                    file.write((feed + "\n".join(batch.column("value").to_pylist())).encode())
+                    feed = "\n"
+            file.truncate(int(file.tell() * share))
         yield from ()
 
     lines.mapInArrow(write, "value string").count()
