@@ -9,8 +9,15 @@ from logspark.functions.text import trim_space
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
-    """Drop a closing carriage return, then empty lines; lines of any length stay."""
-    return lines.withColumn("value", F.regexp_replace("value", r"\r\z", "")).where("value <> ''")
+    """Drop a closing carriage return, then empty lines; lines of any length stay.
+
+    The pattern decodes and walks through a whole line: only lines that it changes are given to it,
+    those with a return at the end or with bytes that are no text.
+    """
+    value = F.col("value")
+    cut = F.regexp_replace(value, r"\r\z", "")
+    kept = F.when(value.endswith("\r") | ~F.is_valid_utf8(value), cut).otherwise(value)
+    return lines.where(~value.isin("", "\r")).withColumn("value", kept)
 
 
 def spread(lines: DataFrame) -> DataFrame:

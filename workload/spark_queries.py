@@ -383,9 +383,9 @@ def lines_long(spark, sf_dir) -> DataFrame:
     share of the lines is written, read and deleted. Shares are dealt by a row's place, whatever its key is.
     """
     docs = spread(fixtures.table(spark, sf_dir, "documents").where("text <> ''"))
-    line = "concat(doc_id, ': ', translate(text, '\n\r', '  '))"
-    times = f"cast(CASE WHEN doc_id % 10 = 0 THEN {LONG_LINE} div length({line}) + 1 ELSE 1 END AS int)"
-    lines = docs.selectExpr(f"{line} AS line", f"{times} AS times")
+    lines = docs.selectExpr("doc_id % 10 = 0 AS long", "concat(doc_id, ': ', replace(replace(text, '\n', ' '), '\r', ' ')) AS line")
+    times = f"cast(CASE WHEN long THEN {LONG_LINE} div length(line) + 1 ELSE 1 END AS int)"
+    lines = lines.selectExpr("line", f"{times} AS times")
     total = lines.agg(F.expr("sum(octet_length(line) * bigint(times))")).first()[0] or 0
     rounds = max(1, min(LINES_ROUNDS, -(-total // LINES_AT_ONCE)))
     folder = new_folder(spark)
